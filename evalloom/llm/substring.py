@@ -3,13 +3,13 @@
 A window is a run of consecutive words of one document. Windows repeated at one
 length alone are extended to twice that length, until no candidates survive:
 
-* anchors: each window of the wanted length is represented by the smallest hash
-  of its short word grams. Equal windows have equal anchors, and neighbouring
-  windows mostly share theirs, so about one anchor per twenty words is shuffled.
-  Only windows whose anchor occurs in two documents become candidates.
-* levels: candidates start at half the wanted length. Windows whose hash is in
-  one document alone are dropped; those that stay are joined with the one right
-  behind them into windows twice as long.
+* first level, half the wanted length: of the shorter windows inside a window of
+  the wanted length only the one with the smallest hash is looked at, its anchor.
+  Equal windows have equal anchors, and neighbours mostly share theirs, so one
+  anchor for about thirteen words is shuffled. Windows of the wanted length whose
+  anchor occurs in two documents are the candidates of the next level.
+* every further level: windows whose hash is in one document alone are dropped;
+  those that stay are joined with the one right behind them, twice as long.
 
 Windows of the wanted length whose smallest doc_id is another document's mark
 words; longer levels tell how long the repeats are. Hashes of windows have 128
@@ -28,10 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mixed, range_hashes, written
-
-#: Words in the grams that make anchors.
-GRAM = 12
+from .common import Words, chunks, forget, mixed, range_hashes, written
 
 
 def _runs_of_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -65,7 +62,7 @@ def _anchor_lists(texts: list, length: int, gram: int):
             yield at + i, words, i, h, _anchors_of(words, i, grams, offsets[i], length, gram)
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, tk, spans, longest) of the documents (doc_id, tk, text) with words to remove.
 
     spans: array of word ranges start, end (exclusive) that earlier documents hold
@@ -73,7 +70,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = GRAM) -> DataF
     """
     if length % 2 or length < 2:
         raise ValueError("the wanted length must be even: the first level is half of it")
-    gram = min(gram, length // 2)
+    gram = length // 2
     docs = docs.where("doc_id is not null and text is not null")
 
     def anchors(batches):
@@ -92,7 +89,6 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = GRAM) -> DataF
     shared = written(each.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "shared")
     # an anchor is once in a document: its list is no longer than the document
     known = each.join(shared, "anchor").groupBy("doc_id", "tk").agg(F.collect_list("anchor").alias("anchors"))
-    half = length // 2
 
     def first_level(batches):
         for p in batches:
@@ -100,26 +96,28 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = GRAM) -> DataF
             for i, words, k, h, a in _anchor_lists(p["text"].tolist(), length, gram):
                 at = np.flatnonzero(np.isin(a, np.asarray(known_of[i], dtype=np.int64).view(np.uint64)))
                 if len(at):
-                    at = np.unique(np.concatenate([at, at + half]))
                     own, own2 = (x[words.first[k] : words.first[k + 1]] for x in (h, _second(words)))
-                    out.append((p["doc_id"].iat[i], p["tk"].iat[i], at, _window(own, at, half, 0), _window(own2, at, half, 1)))
+                    out.append((p["doc_id"].iat[i], p["tk"].iat[i], at, _window(own, at, length, 0), _window(own2, at, length, 1)))
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "tk", "at", "a", "b"])
 
     state = docs.join(known, ["doc_id", "tk"]).select("doc_id", "tk", "text", "anchors").mapInPandas(first_level, _STATE)
-    level, marks = half, None
+    level, marks = length, None
+    spent = [each, shared]
     while True:
         state = written(state, f"level{level}")
         rows = state.select("doc_id", "tk", F.explode(F.arrays_zip("at", "a", "b")).alias("w")).select("doc_id", "tk", "w.at", "w.a", "w.b")
         groups = written(rows.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "b", "low"), f"groups{level}")
         hits = rows.join(groups, ["a", "b"]).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("at", "a", "b", (F.col("doc_id") > F.col("low")).alias("later"))).alias("w"))
         hits = written(hits, f"hits{level}")
+        forget(state, groups, *spent)
         if hits.isEmpty():
             break
         later = hits.select("doc_id", "tk", F.filter("w", lambda w: w["later"]).alias("w")).where("size(w) > 0")
-        if level >= length:
-            here = later.select("doc_id", "tk", F.lit(level).cast("long").alias("level"), (F.array_sort(F.col("w.at")) if level == length else F.array().cast("array<int>")).alias("at"))
-            marks = here if marks is None else marks.union(here)
+        at = F.array_sort(F.col("w.at")) if level == length else F.array().cast("array<int>")
+        here = written(later.select("doc_id", "tk", F.lit(level).cast("long").alias("level"), at.alias("at")), "marks")
+        marks = here if marks is None else marks.union(here)
+        spent = [hits]
         state = hits.mapInPandas(_doubled(level), _STATE)
         level *= 2
     if marks is None:
