@@ -57,7 +57,7 @@ def fitted(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return take
     if budget >= total:
         return counts.copy()
-    take = np.array([c * budget // total for c in counts.tolist()], dtype=np.int64)
+    take = np.array([c * max(0, budget - BUDGET) // total for c in counts.tolist()], dtype=np.int64)
     rest = budget - int((take * sizes).sum())
     for i in range(len(sizes) - 1, -1, -1):  # long ones first, down to what the knapsack fits
         if rest > BUDGET and sizes[i] > 0:
