@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, urls
+from . import pieces, secrets, urls
 from .common import read
+from .fingerprints import fingerprints
 from .jaccard import shingle_components
 from .mixing import mixed_documents
 from .quality import scored
@@ -31,6 +32,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(read(spark, sf_dir, "documents"), pieces.MODEL)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -66,6 +71,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "url", "host", F.col("fetched").cast("string").alias("fetched"), "blocked", "pattern", F.col("listed").cast("string").alias("listed"))
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH p AS (SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host,
   DATE '2024-01-01' + ((page_id % 365 + 365) % 365)::INTEGER AS fetched FROM pages),
@@ -86,10 +95,12 @@ FROM p LEFT JOIN m USING (page_id)"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scans": op2_secret_scans,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_source_mixing": op5_source_mixing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_url_filters": op9_url_filters,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
 
 ORACLES: dict[str, str] = {"op2_secret_scans": secrets.ORACLE, "op9_url_filters": OP9_SQL}
