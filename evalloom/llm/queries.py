@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import pieces, secrets, urls
 from .common import read
+from .embeddings import near_duplicates
 from .fingerprints import fingerprints
+from .html import extracted
 from .jaccard import shingle_components
 from .mixing import mixed_documents
 from .quality import scored
@@ -44,6 +46,14 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_documents(read(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3, seed=2025)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(read(spark, sf_dir, "pages"))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(read(spark, sf_dir, "documents"), k=5, percent=80)
 
@@ -98,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_source_mixing": op5_source_mixing,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_url_filters": op9_url_filters,
     "op10_document_fingerprints": op10_document_fingerprints,
