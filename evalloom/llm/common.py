@@ -143,6 +143,10 @@ def chunks(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]
 # ----------------------------------------------------------------- components
 
 
+#: Edges in a partition of the tables between steps.
+EDGES = 200_000
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(id, component) of every id in edges (a, b): component is the smallest id reachable.
 
@@ -150,20 +154,20 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     shuffle of edges, whose number never grows. Hubs are reduced by min() before
     the shuffle; joins split hot keys at run time.
     """
-    spark = edges.sparkSession
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    parts = max(8, -(-e.count() // EDGES))  # the number of edges never grows
     before = None
     for _ in range(most):
         # large star: every larger neighbour moves to the smallest of the neighbourhood
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(parts), "low")
         big = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        big = written(big, "large")
+        big = written(big.coalesce(parts), "large")
         forget(e, low)
         # small star: smaller neighbours and the node itself move to the smallest
-        least = written(big.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = written(big.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts), "least")
         small = big.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = written(small, "small")
+        e = written(small.coalesce(parts), "small")
         forget(big, least)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before is not None and tuple(now) == tuple(before):

@@ -242,5 +242,5 @@ def extracted(pages: DataFrame) -> DataFrame:
                 gone.append(len(own) - len(keep))
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), pa.array(gone, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_dropped"])
 
-    result = p.join(shared, ["k1", "k2"], "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "shared")
+    result = p.join(shared.hint("merge"), ["k1", "k2"], "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "shared")
     return result.mapInArrow(differenced, "page_id long, url string, text string, n_chars long, n_dropped long")

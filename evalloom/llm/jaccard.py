@@ -127,7 +127,7 @@ def links(docs: DataFrame, keyed: DataFrame, nodes: DataFrame, k: int, percent:
     frequent_of = docs.sparkSession.sparkContext.broadcast((last, rank))
 
     # sets with enough shingles that another set has too
-    shared = posts.select("doc_id", "token").join(seen.select("token"), "token").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    shared = posts.select("doc_id", "token").join(seen.select("token").hint("merge"), "token").groupBy("doc_id").agg(F.count("*").alias("shared"))
     least = F.col("posted") - (F.col("n") - F.ceil(F.col("n") * percent / 100))
     near = shared.join(nodes.withColumnRenamed("id", "doc_id"), "doc_id").withColumn("posted", _posted_column(percent)).where(F.col("shared") >= least)
     near = written(near.select("doc_id", "s1", "s2"), "near")
@@ -150,7 +150,7 @@ def links(docs: DataFrame, keyed: DataFrame, nodes: DataFrame, k: int, percent:
             if out:
                 yield pa.RecordBatch.from_pydict(dict(zip(("doc_id", "n", "tokens", "prefix"), ([x[j] for x in out] for j in range(4)))), schema=_SETS)
 
-    sets = docs.join(near, "doc_id").select("doc_id", "s1", "s2", "text").mapInArrow(full, "doc_id long, n int, tokens array<long>, prefix array<long>")
+    sets = docs.join(near.hint("merge"), "doc_id").select("doc_id", "s1", "s2", "text").mapInArrow(full, "doc_id long, n int, tokens array<long>, prefix array<long>")
     sets = written(sets, "sets")
     # a size band holds sizes within 1 / 0.8; partners are in one or in neighbouring bands
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent + 1e-9))).cast("int")

@@ -90,7 +90,7 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame
         todo = pairs.groupBy("blob").agg(F.first("one").alias("one"), F.collect_set("kind").alias("todo")).select("blob", "one.path", "one.version", "todo")
     todo = todo.select(F.col("blob").alias("todo_blob"), F.col("path").alias("todo_path"), F.col("version").alias("todo_version"), "todo")
     same = (v["blob"] == todo["todo_blob"]) & v["path"].eqNullSafe(todo["todo_path"]) & v["version"].eqNullSafe(todo["todo_version"])
-    unseen = v.join(todo, same).select("blob", "content", "todo")
+    unseen = v.join(todo.hint("merge"), same).select("blob", "content", "todo")
     each = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version"), F.when(F.array_contains("todo", r.kind), spans_of(F.col("content"), r, i)).alias("spans")) for i, r in enumerate(rules)))
     scanned = unseen.select("blob", each.alias("found")).groupBy("blob").agg(F.first("found").alias("found"))
     scanned = written(scanned.select("blob", F.filter("found", lambda x: x["spans"].isNotNull()).alias("found")), "scanned")

@@ -71,7 +71,7 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     if length % 2 or length < 2:
         raise ValueError("the wanted length must be even: the first level is half of it")
     gram = length // 2
-    docs = docs.where("doc_id is not null and text is not null")
+    docs = docs.where("doc_id is not null and text is not null")  # joins of texts are by shuffle at every size
 
     def anchors(batches):
         for p in batches:
@@ -101,7 +101,7 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "tk", "at", "a", "b"])
 
-    state = docs.join(known, ["doc_id", "tk"]).select("doc_id", "tk", "text", "anchors").mapInPandas(first_level, _STATE)
+    state = docs.join(known.hint("merge"), ["doc_id", "tk"]).select("doc_id", "tk", "text", "anchors").mapInPandas(first_level, _STATE)
     level, marks = length, None
     spent = [each, shared]
     while True:
@@ -197,5 +197,5 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns)
 
     out = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>, longest long"
-    joined = keyed.join(spans, ["doc_id", "tk"], "left").select("doc_id", "text", "spans", F.coalesce("longest", F.lit(0)).cast("long").alias("longest"))
+    joined = keyed.join(spans.hint("merge"), ["doc_id", "tk"], "left").select("doc_id", "text", "spans", F.coalesce("longest", F.lit(0)).cast("long").alias("longest"))
     return joined.mapInArrow(cut, out)
