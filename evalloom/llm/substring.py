@@ -12,8 +12,8 @@ length alone are extended to twice that length, until no candidates survive:
   those that stay are joined with the one right behind them, twice as long.
 
 Windows of the wanted length whose smallest doc_id is another document's mark
-words; longer levels tell how long the repeats are. Hashes of windows have 128
-bits.
+words; longer levels tell how long the repeats are. Hashes of windows have 96 bits.
+Of documents with one text only the first is looked into.
 
 Cases: null text and empty text are no words; a null doc_id has no place in the
 order, so nothing is removed from it or because of it; rows with one doc_id and
@@ -22,10 +22,12 @@ the same or another text are one document for the order, and each is returned.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, chunks, forget, mixed, range_hashes, written
@@ -84,11 +86,18 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
             if out:
                 yield pd.DataFrame({"doc_id": np.concatenate(ids), "tk": np.concatenate(tks), "anchor": np.concatenate(out)})
 
+    # copies of a whole text: only the first is looked into, of the others every window is in it
+    texts = docs.select("doc_id", "tk", F.xxhash64(F.lit(1), "text").alias("tk2"))
+    groups = written(texts.groupBy("tk", "tk2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("tk", "tk2", "low"), "texts")
+    copies = written(texts.join(groups.hint("merge"), ["tk", "tk2"]).where("doc_id > low").select("doc_id", "tk").distinct(), "copies")
     each = docs.select("doc_id", "tk", "text").mapInPandas(anchors, "doc_id long, tk long, anchor long")
     each = written(each, "anchors")
-    shared = written(each.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "shared")
+    shared = written(each.groupBy("anchor").agg(F.min("tk").alias("low"), F.max("tk").alias("high")).where("low < high").select("anchor"), "shared")
     # an anchor is once in a document: its list is no longer than the document
-    known = each.join(shared, "anchor").groupBy("doc_id", "tk").agg(F.collect_list("anchor").alias("anchors"))
+    known = each.join(shared.hint("merge"), "anchor").groupBy("doc_id", "tk").agg(F.collect_list("anchor").alias("anchors"))
+    known = known.join(copies, ["doc_id", "tk"], "left_anti")
+    known = written(known.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("tk"))), "known")
+    forget(groups, each, shared)
 
     def first_level(batches):
         for p in batches:
@@ -97,40 +106,45 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
                 at = np.flatnonzero(np.isin(a, np.asarray(known_of[i], dtype=np.int64).view(np.uint64)))
                 if len(at):
                     own, own2 = (x[words.first[k] : words.first[k + 1]] for x in (h, _second(words)))
-                    out.append((p["doc_id"].iat[i], p["tk"].iat[i], at, _window(own, at, length, 0), _window(own2, at, length, 1)))
+                    out.append((p["doc_id"].iat[i], p["nth"].iat[i], at, _window(own, at, length, 0), _window(own2, at, length, 1) >> 32))
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "tk", "at", "a", "b"])
+                yield pd.DataFrame(out, columns=["doc_id", "nth", "at", "a", "b"])
 
-    state = docs.join(known.hint("merge"), ["doc_id", "tk"]).select("doc_id", "tk", "text", "anchors").mapInPandas(first_level, _STATE)
-    level, marks = length, None
-    spent = [each, shared]
+    state = docs.join(known.hint("merge"), ["doc_id", "tk"]).select("doc_id", "nth", "text", "anchors").mapInPandas(first_level, _STATE)
+    level, marks, spent = length, [], []
     while True:
         state = written(state, f"level{level}")
-        rows = state.select("doc_id", "tk", F.explode(F.arrays_zip("at", "a", "b")).alias("w")).select("doc_id", "tk", "w.at", "w.a", "w.b")
+        rows = state.select("doc_id", "nth", F.explode(F.arrays_zip("at", "a", "b")).alias("w")).select("doc_id", "nth", "w.at", "w.a", "w.b")
         groups = written(rows.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "b", "low"), f"groups{level}")
-        hits = rows.join(groups, ["a", "b"]).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("at", "a", "b", (F.col("doc_id") > F.col("low")).alias("later"))).alias("w"))
+        # the second hash, the place and whether an earlier document has the window, in one number
+        packed = F.shiftleft(F.col("b").cast("long"), 32) + F.shiftleft(F.col("at").cast("long"), 1) + (F.col("doc_id") > F.col("low")).cast("long")
+        hits = rows.join(groups.hint("merge"), ["a", "b"]).groupBy("doc_id", "nth").agg(F.collect_list(F.struct("a", packed.alias("q"))).alias("w"))
         hits = written(hits, f"hits{level}")
         forget(state, groups, *spent)
         if hits.isEmpty():
             break
-        later = hits.select("doc_id", "tk", F.filter("w", lambda w: w["later"]).alias("w")).where("size(w) > 0")
-        at = F.array_sort(F.col("w.at")) if level == length else F.array().cast("array<int>")
-        here = written(later.select("doc_id", "tk", F.lit(level).cast("long").alias("level"), at.alias("at")), "marks")
-        marks = here if marks is None else marks.union(here)
+        places = F.transform(F.filter("w", lambda w: w["q"] % 2 != 0), lambda w: F.shiftright(w["q"].bitwiseAND(0xFFFFFFFF), 1).cast("int"))
+        later = hits.select("doc_id", "nth", F.lit(level).cast("long").alias("level"), places.alias("at")).where("size(at) > 0")
+        marks.append(written(later if level == length else later.withColumn("at", F.array().cast("array<int>")), "marks"))
         spent = [hits]
         state = hits.mapInPandas(_doubled(level), _STATE)
         level *= 2
-    if marks is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, tk long, spans array<struct<start:int,end:int>>, longest long")
+    whole = copies.select("doc_id", "tk", F.array(F.struct(F.lit(0).alias("start"), F.lit(WHOLE).alias("end"))).alias("spans"), F.lit(0).cast("long").alias("longest"))
+    if not marks:
+        return whole
 
     def merged(batches):
         for p in batches:
-            yield pd.DataFrame({"doc_id": p["doc_id"], "tk": p["tk"], "spans": [_ranges(x, length) for x in p["at"]], "longest": p["longest"]})
+            yield pd.DataFrame({"doc_id": p["doc_id"], "nth": p["nth"], "spans": [_ranges(x, length) for x in p["at"]], "longest": p["longest"]})
 
-    return marks.groupBy("doc_id", "tk").agg(F.max("level").alias("longest"), F.flatten(F.collect_list("at")).alias("at")).mapInPandas(merged, "doc_id long, tk long, spans array<struct<start:int,end:int>>, longest long")
+    found = reduce(DataFrame.union, marks).groupBy("doc_id", "nth").agg(F.max("level").alias("longest"), F.flatten(F.collect_list("at")).alias("at"))
+    found = found.mapInPandas(merged, "doc_id long, nth int, spans array<struct<start:int,end:int>>, longest long")
+    return found.join(known.select("doc_id", "nth", "tk"), ["doc_id", "nth"]).select("doc_id", "tk", "spans", "longest").union(whole)
 
 
-_STATE = "doc_id long, tk long, at array<int>, a array<long>, b array<long>"
+_STATE = "doc_id long, nth int, at array<int>, a array<long>, b array<int>"
+#: The end of the span of a copy of an earlier document: all its words, if they are a window at least.
+WHOLE = 2**31 - 1
 
 
 def _second(words: Words) -> np.ndarray:
@@ -149,32 +163,38 @@ def _doubled(level: int):
     def step(batches):
         for p in batches:
             out = []
-            for doc_id, tk, w in zip(p["doc_id"], p["tk"], p["w"]):
-                at = np.fromiter((x["at"] for x in w), dtype=np.int64, count=len(w))
+            for doc_id, nth, w in zip(p["doc_id"], p["nth"], p["w"]):
+                q = np.fromiter((x["q"] for x in w), dtype=np.int64, count=len(w))
+                a = np.fromiter((x["a"] for x in w), dtype=np.int64, count=len(w)).view(np.uint64)
+                at = (q & 0xFFFFFFFF) >> 1
                 order = np.argsort(at)
-                at = at[order]
-                a, b = (np.fromiter((x[k] for x in w), dtype=np.int64, count=len(w))[order].view(np.uint64) for k in "ab")
+                at, a, b = at[order], a[order], (q[order] >> 32).view(np.uint64)
                 behind = np.searchsorted(at, at + level)
                 ok = np.flatnonzero((behind < len(at)) & (at[np.minimum(behind, len(at) - 1)] == at + level))
                 if len(ok):
                     j = behind[ok]
-                    both = [mixed(mixed(x[ok]) + x[j] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) for x in (a, b)]
-                    out.append((doc_id, tk, at[ok], *both))
+                    a, b = (mixed(mixed(x[ok]) + x[j] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) for x in (a, b))
+                    out.append((doc_id, nth, at[ok], a, b >> 32))
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "tk", "at", "a", "b"])
+                yield pd.DataFrame(out, columns=["doc_id", "nth", "at", "a", "b"])
 
     return step
 
 
 def _ranges(at, length: int) -> list[dict]:
     """Word ranges that the windows at these places cover together."""
-    at = np.asarray(at, dtype=np.int64)
+    at = np.sort(np.asarray(at, dtype=np.int64))
     if not len(at):
         return []
     cut = np.flatnonzero(np.diff(at) > length)
     return [{"start": int(s), "end": int(e) + length} for s, e in zip(at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]])]
 
 
+def _level(n: int, length: int) -> int:
+    """The longest level at which n words hold a window."""
+    return 0 if n < length else length << (n // length).bit_length() - 1
+
+
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, spans, longest) per row of docs (doc_id, text)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tk"), "text")
@@ -182,10 +202,13 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def cut(batches):
         for p in batches:
-            n, gone, kept = [], [], []
+            n, gone, kept, spans = [], [], [], []
             for t, ranges in zip(p["text"].to_pylist(), p["spans"].to_pylist()):
                 w = (t or "").encode("utf-8", "surrogatepass").split()
                 n.append(len(w))
+                if ranges and ranges[0]["end"] == WHOLE:
+                    ranges = [{"start": 0, "end": len(w)}] if len(w) >= length else None
+                spans.append(ranges)
                 left, at = [], 0
                 for r in ranges or ():
                     left += w[at : r["start"]]
@@ -193,7 +216,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 left += w[at:]
                 gone.append(len(w) - len(left))
                 kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
-            columns = {"doc_id": p["doc_id"], "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_text": pa.array(kept, pa.string()), "spans": p["spans"], "longest": p["longest"]}
+            columns = {"doc_id": p["doc_id"], "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_text": pa.array(kept, pa.string()), "spans": pa.array(spans, p["spans"].type), "longest": pa.array([_level(c, length) if r and r[0]["end"] == c else x for r, c, x in zip(spans, n, p["longest"].to_pylist())], pa.int64())}
             yield pa.RecordBatch.from_pydict(columns)
 
     out = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>, longest long"
