@@ -107,6 +107,9 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
                 if len(at):
                     own, own2 = (x[words.first[k] : words.first[k + 1]] for x in (h, _second(words)))
                     out.append((p["doc_id"].iat[i], p["nth"].iat[i], at, _window(own, at, length, 0), _window(own2, at, length, 1) >> 32))
+                if len(out) == 500:
+                    yield pd.DataFrame(out, columns=["doc_id", "nth", "at", "a", "b"])
+                    out = []
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "nth", "at", "a", "b"])
 
@@ -127,7 +130,7 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
         later = hits.select("doc_id", "nth", F.lit(level).cast("long").alias("level"), places.alias("at")).where("size(at) > 0")
         marks.append(written(later if level == length else later.withColumn("at", F.array().cast("array<int>")), "marks"))
         spent = [hits]
-        state = hits.mapInPandas(_doubled(level), _STATE)
+        state = hits.mapInArrow(_doubled(level), _STATE)
         level *= 2
     whole = copies.select("doc_id", "tk", F.array(F.struct(F.lit(0).alias("start"), F.lit(WHOLE).alias("end"))).alias("spans"), F.lit(0).cast("long").alias("longest"))
     if not marks:
@@ -162,10 +165,14 @@ def _doubled(level: int):
 
     def step(batches):
         for p in batches:
+            w = p["w"]
+            ends = w.offsets.to_numpy()
+            values = w.values
+            all_a, all_q = (values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            ids, nth = p["doc_id"].to_pylist(), p["nth"].to_pylist()
             out = []
-            for doc_id, nth, w in zip(p["doc_id"], p["nth"], p["w"]):
-                q = np.fromiter((x["q"] for x in w), dtype=np.int64, count=len(w))
-                a = np.fromiter((x["a"] for x in w), dtype=np.int64, count=len(w)).view(np.uint64)
+            for i in range(len(ids)):
+                q, a = all_q[ends[i] : ends[i + 1]], all_a[ends[i] : ends[i + 1]].view(np.uint64)
                 at = (q & 0xFFFFFFFF) >> 1
                 order = np.argsort(at)
                 at, a, b = at[order], a[order], (q[order] >> 32).view(np.uint64)
@@ -174,13 +181,16 @@ def _doubled(level: int):
                 if len(ok):
                     j = behind[ok]
                     a, b = (mixed(mixed(x[ok]) + x[j] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) for x in (a, b))
-                    out.append((doc_id, nth, at[ok], a, b >> 32))
+                    out.append((ids[i], nth[i], at[ok].astype(np.int32), a, (b >> 32).astype(np.int32)))
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "nth", "at", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _STATE_ARROW)], schema=_STATE_ARROW)
 
     return step
 
 
+_STATE_ARROW = pa.schema([("doc_id", pa.int64()), ("nth", pa.int32()), ("at", pa.list_(pa.int32())), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int32()))])
+
+
 def _ranges(at, length: int) -> list[dict]:
     """Word ranges that the windows at these places cover together."""
     at = np.sort(np.asarray(at, dtype=np.int64))
