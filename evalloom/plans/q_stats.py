@@ -1 +1,309 @@
-"""Queries."""
+"""Queries of pairing, tests, intervals, regressions and power."""
+
+from __future__ import annotations
+
+from statistics import NormalDist
+
+from pyspark.sql import functions as F
+
+from evalloom.operators import infer, models, power, resample
+from evalloom.operators import pairs as P
+from evalloom.plans import fixtures as X
+from evalloom.plans.registry import query
+from evalloom.plans.q_scores import _SCORES, norm
+
+KEYS = ("temp", "type", "metric")
+W = f"WITH {X.PAIRS}"
+
+
+def _per_item(spark, sf_dir):
+    return X.per_item(spark, sf_dir)
+
+
+def _pairs(spark, sf_dir):
+    return P.pair_conditions(_per_item(spark, sf_dir))
+
+
+def _deltas(spark, sf_dir):
+    return P.paired_deltas(_pairs(spark, sf_dir))
+
+
+def _rounded(df, *names, digits=9):
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+def r(expression: str, name: str | None = None, digits: int = 9) -> str:
+    return f"round({expression}, {digits}) AS {name or expression}"
+
+
+@query("q_balance", f"""WITH {X.PER_ITEM}, n AS (SELECT count(*) FILTER (condition = 'control') AS n_control, count(*) FILTER (condition = 'treatment') AS n_treatment FROM per_item)
+SELECT n_control, n_treatment, round(greatest(n_control, n_treatment) / least(n_control, n_treatment), 9) AS ratio, CASE WHEN least(n_control, n_treatment) = 0 THEN 'error' WHEN greatest(n_control, n_treatment) / least(n_control, n_treatment) > 5 THEN 'severe' WHEN greatest(n_control, n_treatment) / least(n_control, n_treatment) > 2 THEN 'moderate' ELSE 'ok' END AS severity FROM n""")
+def _(spark, sf_dir):
+    return _rounded(P.balance_check(_per_item(spark, sf_dir)), "ratio")
+
+
+_SIDES = [f"{s}_{m}" for s in "ct" for m in X.METRICS]
+
+
+@query("q_pairs", f"{W} SELECT item_key, type, temp, dataset, {', '.join(r(c) for c in _SIDES)} FROM pairs")
+def _(spark, sf_dir):
+    return _rounded(_pairs(spark, sf_dir), *_SIDES)
+
+
+@query("q_pairing_rate", f"""{W} SELECT n_rows, n_items, n_pairs, round(n_pairs / n_items, 9) AS rate, round(n_pairs / n_rows, 9) AS rate_rows
+FROM (SELECT count(*) AS n_rows, count(DISTINCT (item_key, type, temp)) AS n_items FROM per_item), (SELECT count(*) AS n_pairs FROM pairs)""")
+def _(spark, sf_dir):
+    i = _per_item(spark, sf_dir)
+    return _rounded(P.pairing_rate(i, P.pair_conditions(i)), "rate", "rate_rows")
+
+
+@query("q_deltas", f"{W} SELECT item_key, type, temp, dataset, metric, round(delta, 9) + 0.0 AS delta FROM deltas")
+def _(spark, sf_dir):
+    return _rounded(_deltas(spark, sf_dir), "delta").withColumn("delta", F.col("delta") + 0.0)  # one zero
+
+
+_MCNEMAR = f"""{W}, m AS (SELECT temp, type, count(*) AS n, count(*) FILTER (c_em < 0.5 AND t_em >= 0.5) AS b, count(*) FILTER (c_em >= 0.5 AND t_em < 0.5) AS c FROM pairs GROUP BY temp, type)"""
+_P = "CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))) END"
+
+
+@query("q_mcnemar", f"{_MCNEMAR} SELECT temp, type, n, b, c, round((b - c) / n, 9) AS net FROM m")
+def _(spark, sf_dir):
+    m = P.mcnemar_counts(_pairs(spark, sf_dir), "temp", "type")
+    return m.withColumn("net", F.round((F.col("b") - F.col("c")) / F.col("n"), 9))
+
+
+@query("q_binom_p", f"{_MCNEMAR} SELECT temp, type, b, c, round({_P}, 8) AS p FROM m")
+def _(spark, sf_dir):
+    m = infer.binom_two_sided(P.mcnemar_counts(_pairs(spark, sf_dir), "temp", "type"))
+    return _rounded(m.select("temp", "type", "b", "c", "p"), "p", digits=8)
+
+
+@query("q_odds_ratio", f"{_MCNEMAR} SELECT temp, type, round((b + 0.5) / (c + 0.5), 9) AS odds_ratio FROM m")
+def _(spark, sf_dir):
+    return _rounded(infer.odds_ratio(P.mcnemar_counts(_pairs(spark, sf_dir), "temp", "type")).select("temp", "type", "odds_ratio"), "odds_ratio")
+
+
+@query("q_odds_limits")
+def _(spark, sf_dir):
+    return infer.odds_ratio(P.mcnemar_counts(_pairs(spark, sf_dir), "temp", "type"))
+
+
+_CUTS = "CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(resample.POISSON)) + f" ELSE {len(resample.POISSON)} END"
+_KEYED = f"""{W}, u AS (SELECT temp, type, r, delta, ('0x' || substr(md5('2025|' || r || '|' || item_key), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM deltas, (SELECT unnest(range(1, 201)) AS r) WHERE metric = 'em')"""
+
+
+def _em(spark, sf_dir):
+    return _deltas(spark, sf_dir).where("metric = 'em'")
+
+
+@query("q_bootstrap_keyed", f"""{_KEYED}, m AS (SELECT temp, type, r, sum(w * delta) / sum(w) AS m FROM (SELECT *, {_CUTS} AS w FROM u) GROUP BY temp, type, r)
+SELECT temp, type, round(quantile_cont(m, 0.025), 8) AS ci_low, round(quantile_cont(m, 0.975), 8) AS ci_high FROM m GROUP BY temp, type""")
+def _(spark, sf_dir):
+    return _rounded(resample.bootstrap_keyed(_em(spark, sf_dir), 200, 2025, 0.05, "temp", "type"), "ci_low", "ci_high", digits=8)
+
+
+@query("q_permutation_keyed", f"""{_KEYED}, m AS (SELECT temp, type, r, avg(CASE WHEN u < 0.5 THEN -delta ELSE delta END) AS m, avg(delta) AS obs FROM u GROUP BY temp, type, r)
+SELECT temp, type, CASE WHEN abs(first(obs)) <= 1e-12 THEN 1.0 ELSE count(*) FILTER (abs(m) >= abs(obs) - 1e-12) / 200.0::DOUBLE END AS p FROM m GROUP BY temp, type""")
+def _(spark, sf_dir):
+    return resample.permutation_keyed(_em(spark, sf_dir), 200, 2025, "temp", "type")
+
+
+@query("q_resample_histogram")
+def _(spark, sf_dir):
+    h = P.delta_histogram(_deltas(spark, sf_dir), *KEYS)
+    b = resample.bootstrap_histogram(h, 1000, 2025, 0.05, *KEYS)
+    return b.join(resample.permutation_histogram(h, 1000, 2025, *KEYS), list(KEYS))
+
+
+@query("q_histogram", f"{W} SELECT temp, type, metric, round(delta, 9) AS delta, count(*) AS cnt FROM deltas GROUP BY temp, type, metric, round(delta, 9)")
+def _(spark, sf_dir):
+    return P.delta_histogram(_rounded(_deltas(spark, sf_dir), "delta"), *KEYS)
+
+
+_RANKS = f"""{W}, nz AS (SELECT temp, type, metric, delta, round(abs(delta), 12) AS size FROM deltas WHERE abs(delta) > 1e-12),
+rk AS (SELECT *, rank() OVER (PARTITION BY temp, type, metric ORDER BY size) + (count(*) OVER (PARTITION BY temp, type, metric, size) - 1) / 2.0::DOUBLE AS k, count(*) OVER (PARTITION BY temp, type, metric, size) AS t FROM nz),
+g AS (SELECT temp, type, metric, count(*) AS n, sum(CASE WHEN delta > 0 THEN k ELSE 0 END) AS w_plus, sum(CASE WHEN delta < 0 THEN k ELSE 0 END) AS w_minus, sum(t::DOUBLE * t - 1) AS ties FROM rk GROUP BY temp, type, metric)"""
+
+
+@query("q_wilcoxon", f"""{_RANKS} SELECT temp, type, metric, n, round(w_plus, 3) AS w_plus, round(w_minus, 3) AS w_minus, round(least(w_plus, w_minus), 3) AS w,
+  round((least(w_plus, w_minus) - n::DOUBLE * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48), 7) AS z FROM g""")
+def _(spark, sf_dir):
+    w = infer.wilcoxon(P.delta_histogram(_deltas(spark, sf_dir), *KEYS), *KEYS).drop("p")
+    return _rounded(_rounded(w, "w_plus", "w_minus", "w", digits=3), "z", digits=7)
+
+
+@query("q_wilcoxon_p")
+def _(spark, sf_dir):
+    return infer.wilcoxon(P.delta_histogram(_deltas(spark, sf_dir), *KEYS), *KEYS)
+
+
+@query("q_hodges_lehmann", f"""{W}, e AS (SELECT temp, type, delta, row_number() OVER (PARTITION BY temp, type ORDER BY delta, item_key) AS i, count(*) OVER (PARTITION BY temp, type) AS n FROM deltas WHERE metric = 'em'),
+v AS (SELECT a.temp, a.type, (a.delta + b.delta) / 2 AS v FROM e a JOIN e b ON a.temp = b.temp AND a.type = b.type AND a.i <= b.i WHERE a.n <= 2000 UNION ALL SELECT temp, type, delta FROM e WHERE n > 2000)
+SELECT temp, type, round(quantile_cont(v, 0.5), 9) AS hl FROM v GROUP BY temp, type""")
+def _(spark, sf_dir):
+    return _rounded(infer.hodges_lehmann(_em(spark, sf_dir), "temp", "type"), "hl")
+
+
+@query("q_effects", f"""{W} SELECT temp, type, metric, count(*) AS n, {r("avg(delta)", "mean")}, {r("coalesce(stddev_samp(delta), 0)", "sd")}, round(CASE WHEN stddev_samp(delta) > 0 THEN avg(delta) / stddev_samp(delta) ELSE 0 END, 8) AS cohens_d,
+  round(CASE WHEN count(*) FILTER (abs(delta) > 1e-12) > 0 THEN (count(*) FILTER (delta > 1e-12) - count(*) FILTER (delta < -1e-12)) / count(*) FILTER (abs(delta) > 1e-12) ELSE 0 END, 9) AS cliffs_delta FROM deltas GROUP BY temp, type, metric""")
+def _(spark, sf_dir):
+    return _rounded(_rounded(P.effect_sizes(_deltas(spark, sf_dir), *KEYS), "mean", "sd", "cliffs_delta"), "cohens_d", digits=8)
+
+
+_RISK = " UNION ALL ".join(f"""SELECT temp, type, '{n}' AS condition, threshold, count(*) FILTER ({s}_abstain_rate <= threshold) AS kept, sum(1 - {s}_abstain_rate) FILTER ({s}_abstain_rate <= threshold) AS answered, sum({s}_em) FILTER ({s}_abstain_rate <= threshold) AS good
+FROM pairs, (SELECT unnest([0.0, 0.25, 0.5, 1.0])::DOUBLE AS threshold) GROUP BY temp, type, threshold""" for s, n in (("c", "control"), ("t", "treatment")))
+_RISK = f"""{W}, k AS ({_RISK}), risk AS (SELECT temp, type, condition, threshold, kept, CASE WHEN kept > 0 THEN answered / kept ELSE 0 END AS coverage, CASE WHEN answered > 0 THEN good / answered END AS accuracy, CASE WHEN answered > 0 THEN 1 - good / answered END AS risk FROM k)"""
+
+
+def _risk(spark, sf_dir):
+    p, marks = _pairs(spark, sf_dir), [1.0, 0.0, 0.5, 0.25, 7.0]
+    one = lambda s, n: infer.selective_risk(p, marks, s, "temp", "type").withColumn("condition", F.lit(n))
+    return one("c", "control").unionByName(one("t", "treatment"))
+
+
+@query("q_selective_risk", f"{_RISK} SELECT temp, type, condition, threshold, kept, {r('coverage')}, {r('accuracy')}, {r('risk')} FROM risk")
+def _(spark, sf_dir):
+    return _rounded(_risk(spark, sf_dir), "coverage", "accuracy", "risk")
+
+
+@query("q_aurc", f"""{_RISK}, s AS (SELECT *, (coverage - lag(coverage) OVER w) * (risk + lag(risk) OVER w) / 2 AS area FROM risk WHERE risk IS NOT NULL WINDOW w AS (PARTITION BY temp, type, condition ORDER BY coverage, threshold))
+SELECT temp, type, condition, round(CASE WHEN count(*) > 1 THEN sum(area) END, 9) AS aurc FROM s GROUP BY temp, type, condition""")
+def _(spark, sf_dir):
+    return _rounded(infer.aurc(_risk(spark, sf_dir), "temp", "type", "condition"), "aurc")
+
+
+@query("q_subgroups", f"""{W} SELECT temp, type, metric, CASE WHEN grouping(dataset) = 1 THEN 'overall' ELSE dataset END AS scope, count(*) AS n, {r("avg(delta)", "mean")}, count(*) FILTER (delta > 1e-12) AS pos, count(*) FILTER (delta < -1e-12) AS neg
+FROM deltas GROUP BY GROUPING SETS ((temp, type, metric), (temp, type, metric, dataset))""")
+def _(spark, sf_dir):
+    return _rounded(P.subgroup_effects(_deltas(spark, sf_dir)), "mean")
+
+
+_GROUPS = "SELECT temp, type, metric, dataset, count(*) AS n, avg(delta) AS mean, avg(delta) - 1.96 * coalesce(stddev_samp(delta), 0) / sqrt(count(*)) AS ci_low, avg(delta) + 1.96 * coalesce(stddev_samp(delta), 0) / sqrt(count(*)) AS ci_high FROM deltas WHERE type = 'closed' GROUP BY ALL"
+_META = f"""{W}, gr AS ({_GROUPS}), v AS (SELECT *, CASE WHEN ci_high - ci_low > 0 THEN ((ci_high - ci_low) / 2 / 1.96) ** 2 ELSE greatest(1e-8, 0.25 / n) END AS v FROM gr WHERE n > 1),
+f AS (SELECT temp, type, metric, count(*) AS k, sum(1 / v) AS sw, sum(1 / (v * v)) AS sw2, sum(mean / v) AS swm, sum(mean * mean / v) AS swmm FROM v GROUP BY ALL),
+q AS (SELECT *, swm / sw AS fixed, greatest(0, swmm - swm * swm / sw) AS q, greatest(1, k - 1) AS df, sw - sw2 / sw AS c FROM f),
+t AS (SELECT *, CASE WHEN k > 1 AND c > 0 THEN greatest(0, (q - (k - 1)) / c) ELSE 0 END AS tau2 FROM q),
+x AS (SELECT temp, type, metric, sum(mean / (v + tau2)) / sum(1 / (v + tau2)) AS random, sqrt(1 / sum(1 / (v + tau2))) AS se FROM v JOIN t USING (temp, type, metric) GROUP BY ALL)"""
+
+
+def _meta(spark, sf_dir):
+    d = _deltas(spark, sf_dir).where("type = 'closed'")
+    g = d.groupBy("temp", "type", "metric", "dataset").agg(F.count("*").alias("n"), F.avg("delta").alias("mean"), (1.96 * F.coalesce(F.stddev_samp("delta"), F.lit(0.0)) / F.sqrt(F.count("*").cast("double"))).alias("half"))
+    return infer.meta_analysis(g.withColumn("ci_low", F.col("mean") - F.col("half")).withColumn("ci_high", F.col("mean") + F.col("half")), "temp", "type", "metric")
+
+
+@query("q_meta", f"""{_META} SELECT temp, type, metric, k, {r("fixed", digits=8)}, round(fixed - 1.96 * sqrt(1 / sw), 8) AS fixed_low, round(fixed + 1.96 * sqrt(1 / sw), 8) AS fixed_high, {r("random", digits=8)}, round(random - 1.96 * se, 8) AS random_low, round(random + 1.96 * se, 8) AS random_high, {r("tau2", digits=8)}
+FROM t JOIN x USING (temp, type, metric)""")
+def _(spark, sf_dir):
+    names = ("fixed", "fixed_low", "fixed_high", "random", "random_low", "random_high", "tau2")
+    return _rounded(_meta(spark, sf_dir).select("temp", "type", "metric", "k", *names), *names, digits=8)
+
+
+@query("q_heterogeneity", f"{_META} SELECT temp, type, metric, round(q, 6) AS q, df::BIGINT AS df, round(CASE WHEN q > 0 THEN greatest(0, (q - df) / q) ELSE 0 END, 6) AS i2 FROM t")
+def _(spark, sf_dir):
+    return _rounded(_meta(spark, sf_dir).select("temp", "type", "metric", "q", F.col("df").cast("long").alias("df"), "i2"), "q", "i2", digits=6)
+
+
+@query("q_heterogeneity_p")
+def _(spark, sf_dir):
+    return _meta(spark, sf_dir).select("temp", "type", "metric", "q", "df", "q_p")
+
+
+_TESTS = f"""{W}, m AS (SELECT temp, type, dataset, count(*) FILTER (c_em < 0.5 AND t_em >= 0.5) AS b, count(*) FILTER (c_em >= 0.5 AND t_em < 0.5) AS c FROM pairs GROUP BY ALL),
+tests AS (SELECT temp::VARCHAR || '|' || type || '|' || dataset AS test, round({_P}, 9) AS p FROM m),
+ranked AS (SELECT *, row_number() OVER (ORDER BY p, test) AS rank, count(*) OVER () AS m FROM tests)"""
+
+
+def _tests(spark, sf_dir):
+    m = infer.binom_two_sided(P.mcnemar_counts(_pairs(spark, sf_dir), "temp", "type", "dataset"))
+    return m.select(F.concat_ws("|", F.col("temp").cast("string"), "type", "dataset").alias("test"), F.round("p", 9).alias("p"))
+
+
+for _name, _frame, _ref in (("q_fdr_bh", "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING", False), ("q_fdr_ref", "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", True)):
+
+    @query(_name, f"{_TESTS} SELECT test, round(p, 8) AS p, rank, round(least(1.0, min(m * p / rank) OVER (ORDER BY p, test {_frame})), 8) AS q FROM ranked")
+    def _(spark, sf_dir, ref=_ref):
+        q = infer.fdr_bh(_tests(spark, sf_dir), ref).select("test", "p", F.col("rank").cast("long").alias("rank"), "q")
+        return _rounded(q, "p", "q", digits=8)
+
+
+@query("q_tost", f"""{W} SELECT temp, type, metric, count(*) AS n, {r("avg(delta)", "mean")}, {r("stddev_samp(delta)", "sd")}, round((avg(delta) + 0.01) / (stddev_samp(delta) / sqrt(count(*))), 7) AS t FROM deltas WHERE metric IN ('em', 'f1') GROUP BY ALL""")
+def _(spark, sf_dir):
+    t = infer.noninferiority(_deltas(spark, sf_dir).where("metric in ('em', 'f1')"), 0.01, 0.05, *KEYS)
+    return _rounded(_rounded(t.select(*KEYS, "n", "mean", "sd", "t"), "mean", "sd"), "t", digits=7)
+
+
+@query("q_tost_p")
+def _(spark, sf_dir):
+    return infer.noninferiority(_deltas(spark, sf_dir).where("metric in ('em', 'f1')"), 0.01, 0.05, *KEYS)
+
+
+@query("q_significance")
+def _(spark, sf_dir):
+    return infer.significance(_pairs(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- sweeps and power
+
+_MARKS = [i / 10 for i in range(11)]
+
+
+@query("q_sensitivity", f"""{_SCORES}, b AS (SELECT item_key, temp, condition, (np = '')::INTEGER AS gone, (NOT (np <> '' AND contains(coalesce({norm("context")}, ''), np)))::INTEGER AS bad FROM u WHERE type = 'open'),
+i AS (SELECT item_key, temp, threshold, avg(CASE WHEN gone >= threshold THEN 0 ELSE bad END) FILTER (condition = 'control') AS c, avg(CASE WHEN gone >= threshold THEN 0 ELSE bad END) FILTER (condition = 'treatment') AS t
+  FROM b, (SELECT unnest({_MARKS})::DOUBLE AS threshold) GROUP BY ALL)
+SELECT temp, threshold, count(*) AS n, round(avg(t - c), 9) AS mean FROM i WHERE c IS NOT NULL AND t IS NOT NULL GROUP BY temp, threshold""")
+def _(spark, sf_dir):
+    items = X.text_items(spark, sf_dir)
+    return _rounded(power.sensitivity_summary(power.unsupported_sensitivity(X.text_predictions(items), items, _MARKS)), "mean")
+
+
+_Z = NormalDist().inv_cdf(0.975) + NormalDist().inv_cdf(0.8)
+_POWER = f"""{W}, d AS (SELECT temp, t_false_answer_rate - c_false_answer_rate AS delta FROM pairs WHERE type = 'open' AND split_part(item_key, '|', 2)::BIGINT % 2 = 0),
+g AS (SELECT temp, count(*) AS n, avg(delta) AS mean, coalesce(stddev_samp(delta), 0) AS sd FROM d GROUP BY temp)"""
+
+
+def _power(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    even = p.where("cast(split(item_key, '[|]')[1] as long) % 2 = 0").select("item_key").distinct()
+    return power.detectable(power.power_deltas(p, even), 0.05, 0.8, "temp")
+
+
+@query("q_power", f"{_POWER} SELECT temp, n, {r('mean')}, {r('sd')}, round({_Z!r} * sd / sqrt(n), 9) AS mde FROM g")
+def _(spark, sf_dir):
+    return _rounded(_power(spark, sf_dir), "mean", "sd", "mde")
+
+
+@query("q_required_n", f"{_POWER} SELECT temp, target, CASE WHEN target > 0 AND sd > 0 THEN ceil(({_Z!r} * sd / target) ** 2)::BIGINT END AS n_needed FROM g, (SELECT unnest([0.01, 0.02, 0.05])::DOUBLE AS target)")
+def _(spark, sf_dir):
+    return power.required_n(_power(spark, sf_dir), [0.01, 0.02, 0.05]).select("temp", "target", "n_needed")
+
+
+# ------------------------------------------------------------------------ regressions
+
+def _long(spark, sf_dir):
+    p = X.predictions(spark, sf_dir)
+    return p.withColumn("binary_correct", (F.col("em") >= 0.5).cast("int")).withColumn("f1", F.when(F.col("type") == "open", F.col("f1")))
+
+
+@query("q_ols", f"""WITH {X.PREDS}, d AS (SELECT item_key, f1, (condition = 'treatment')::INTEGER AS x FROM preds WHERE type = 'open' AND temp = 0.0)
+SELECT 'intercept' AS term, round(regr_intercept(f1, x), 8) AS coef FROM d UNION ALL SELECT 'treatment', round(regr_slope(f1, x), 8) FROM d""")
+def _(spark, sf_dir):
+    """At one temperature the other terms are combinations and left out."""
+    return _rounded(models.ols_cluster_robust(_long(spark, sf_dir).where("type = 'open' and temp = 0.0")).select("term", "coef"), "coef", digits=8)
+
+
+@query("q_ols_full")
+def _(spark, sf_dir):
+    return models.ols_cluster_robust(_long(spark, sf_dir).where("type = 'open'"))
+
+
+@query("q_gee")
+def _(spark, sf_dir):
+    return models.gee_logistic(_long(spark, sf_dir))
+
+
+@query("q_gee_independent", f"""WITH {X.PREDS}, p AS (SELECT condition, avg((em >= 0.5)::INTEGER) AS p FROM preds WHERE temp = 0.0 GROUP BY condition), c AS (SELECT ln(p / (1 - p)) AS l FROM p WHERE condition = 'control'), t AS (SELECT ln(p / (1 - p)) AS l FROM p WHERE condition = 'treatment')
+SELECT 'intercept' AS term, round(l, 7) AS coef FROM c UNION ALL SELECT 'treatment', round(t.l - c.l, 7) FROM c, t""")
+def _(spark, sf_dir):
+    """With two groups and no correlation the coefficients are the groups' log odds."""
+    return _rounded(models.gee_logistic(_long(spark, sf_dir).where("temp = 0.0"), exchangeable=False).select("term", "coef"), "coef", digits=7)
