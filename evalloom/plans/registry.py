@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return put
 
 
-from evalloom.plans import q_requests, q_scores, q_stats  # noqa: E402, F401
+from evalloom.plans import q_costs, q_requests, q_results, q_scores, q_stats  # noqa: E402, F401
