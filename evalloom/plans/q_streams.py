@@ -1 +1,68 @@
-"""Queries."""
+"""Streaming queries over everything that is there, equal to their batch forms."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evalloom.plans import fixtures as X
+from evalloom.plans.q_results import _T, lines
+from evalloom.plans.q_scores import _SCORES
+from evalloom.plans.registry import query
+from evalloom.sources.shared import shared_path
+from evalloom.streaming import streams as S
+
+
+def _to(stream, spark, name, mode="append"):
+    """The stream's result as a table in the shared folder."""
+    out, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
+    if mode == "append":
+        S.run_available(stream, out, state)
+        return spark.read.schema(stream.schema).parquet(out)
+    # the whole result so far is written over at each batch: a row for each group
+    S.run_available(stream, out, state, mode, lambda df, i: df.write.mode("overwrite").parquet(out))
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("q_stream_ingest", f"WITH {_T} SELECT cid AS custom_id, turn::INTEGER AS sample_index, CASE WHEN conv_id % 7 = 0 THEN '' ELSE text END AS response_text FROM t WHERE conv_id % 13 <> 0")
+def _(spark, sf_dir):
+    """The lines are written as JSONL parts, some ids in two of them, and ingested as a stream."""
+    parts = shared_path(spark, "parts")
+    t = lines(spark, sf_dir)
+    for i, file in enumerate(("a.jsonl", "b.jsonl")):
+        t.where(F.col("file") == file).select(F.col("line").alias("value")).write.text(f"{parts}/{i}")
+    return _to(S.stream_results(spark, parts, names="*.txt"), spark, "ingest").select("custom_id", "sample_index", "response_text")
+
+
+def _prediction_stream(spark, sf_dir):
+    path = shared_path(spark, "predictions")
+    items = X.text_items(spark, sf_dir)
+    p = X.text_predictions(items)
+    p.repartition(3, "item_key").write.parquet(path)
+    return spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(path), items
+
+
+@query("q_stream_scores", f"""{_SCORES} SELECT item_key, type, condition, temp, round(avg(em), 9) AS em, round(coalesce(stddev_samp(em), 0), 7) AS em_std, round(avg(f1), 9) AS f1, round(avg(abstained), 9) AS abstain_rate, count(*) AS k FROM sc GROUP BY ALL""")
+def _(spark, sf_dir):
+    stream, items = _prediction_stream(spark, sf_dir)
+    out = shared_path(spark, "scores")
+    S.run_available(stream, out, shared_path(spark, "scores-state"), "append", S.score_batch(items, out))
+    m = S.merged_scores(spark, out)
+    return m.select("item_key", "type", "condition", "temp", F.round("em", 9).alias("em"), F.round("em_std", 7).alias("em_std"), F.round("f1", 9).alias("f1"), F.round("abstain_rate", 9).alias("abstain_rate"), "k")
+
+
+def _events(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table can be a file or a folder
+
+
+@query("q_stream_telemetry", "SELECT date_trunc('hour', ts)::VARCHAR AS window_start, event_type AS provider, count(value) AS samples, round(avg(value), 6) AS mean_ms, round(max(value), 6) AS max_ms FROM events GROUP BY 1, 2")
+def _(spark, sf_dir):
+    e = _events(spark, sf_dir).select(F.col("event_type").alias("provider"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("latency_ms"))
+    t = _to(S.stream_telemetry(e), spark, "telemetry", "complete")
+    return t.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "provider", "samples", F.round("mean_ms", 6).alias("mean_ms"), F.round("max_ms", 6).alias("max_ms"))
+
+
+@query("q_stream_progress", "SELECT user_id % 10 AS part, count(*) AS items_out, 900::BIGINT AS items_in, count(*) >= 900 AS done FROM events GROUP BY 1")
+def _(spark, sf_dir):
+    parts = spark.range(10).select(F.col("id").alias("part"), F.lit(900).cast("long").alias("items_in"))
+    return _to(S.stream_part_progress(_events(spark, sf_dir).select((F.col("user_id") % 10).alias("part")), parts), spark, "progress", "complete")
