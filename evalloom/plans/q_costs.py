@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evalloom.functions.text import job_state, temp_key
 from evalloom.operators import cost, report, telemetry
 from evalloom.plans import fixtures as X
-from evalloom.plans.registry import query
+from evalloom.plans.base import query
 
 P, I = f"WITH {X.PREDS}", f"WITH {X.PER_ITEM}"
 M = X.METRICS

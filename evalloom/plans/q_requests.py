@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evalloom.operators import prepare, requests
 from evalloom.plans import fixtures as X
 from evalloom.plans.q_scores import _SPACE
-from evalloom.plans.registry import query
+from evalloom.plans.base import query
 
 _CLEAN = lambda x: rf"trim(regexp_replace({x}, '{_SPACE}', ' ', 'g'))"
 _PART = X._PART

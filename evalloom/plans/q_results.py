@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from evalloom.operators import normalize as N
 from evalloom.plans import fixtures as X
-from evalloom.plans.registry import query
+from evalloom.plans.base import query
 from evalloom.sources import io
+from evalloom.sources.shared import stored
 
 
 def _turns(spark, sf_dir):
@@ -31,10 +32,10 @@ def lines(spark, sf_dir):
     error = F.to_json(S(F.col("cid").alias("customId"), S(L("boom").alias("message")).alias("error")))
     i = F.col("conv_id")
     line = F.when((i % 7 == 0) & (i % 3 == 2), failed).when(i % 7 == 0, error).when(i % 3 == 0, chat).when(i % 3 == 1, responses).otherwise(batch)
-    line = F.when(i % 13 == 0, F.substring(line, F.lit(1), F.length(line) - 5)).otherwise(line)
-    t = t.withColumn("line", line)
+    t = t.withColumn("whole", line)
+    t = t.withColumn("line", F.when(i % 13 == 0, F.substring("whole", F.lit(1), F.length("whole") - 5)).otherwise(F.col("whole")))
     twice = t.where("conv_id % 11 = 0").select("conv_id", "line", F.lit("b.jsonl").alias("file"))
-    return t.select("conv_id", "line", F.lit("a.jsonl").alias("file")).union(twice)
+    return stored(t.select("conv_id", "line", F.lit("a.jsonl").alias("file")).union(twice), "lines")
 
 
 _T = "t AS (SELECT conv_id, turn, trim(text) AS text, concat_ws('|', 'conv', conv_id, 'control', '0.0', turn, 'closed') AS cid FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evalloom.functions import text as T
 from evalloom.operators import score
 from evalloom.plans import fixtures as X
-from evalloom.plans.registry import query
+from evalloom.plans.base import query
 
 _SPACE = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _PUNCT = T.PUNCTUATION.replace("'", "''")

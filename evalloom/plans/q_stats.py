@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evalloom.operators import infer, models, power, resample
 from evalloom.operators import pairs as P
 from evalloom.plans import fixtures as X
-from evalloom.plans.registry import query
+from evalloom.plans.base import query
 from evalloom.plans.q_scores import _SCORES, norm
 
 KEYS = ("temp", "type", "metric")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evalloom.plans import fixtures as X
 from evalloom.plans.q_results import _T, lines
 from evalloom.plans.q_scores import _SCORES
-from evalloom.plans.registry import query
+from evalloom.plans.base import query
 from evalloom.sources.shared import shared_path
 from evalloom.streaming import streams as S
 

@@ -2,22 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from evalloom.plans import q_costs, q_requests, q_results, q_scores, q_stats, q_streams  # noqa: F401
+from evalloom.plans.base import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable:
-    """Registers a function (spark, sf_dir) -> DataFrame under a name, with its SQL."""
-
-    def put(f: Callable) -> Callable:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
-from evalloom.plans import q_costs, q_requests, q_results, q_scores, q_stats, q_streams  # noqa: E402, F401
+__all__ = ["ORACLES", "QUERIES"]
