@@ -29,7 +29,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = shingle_components(docs.select("doc_id", "text"))
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__ep_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__ep_id"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__ep_id"), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     findings, _ = secrets.scan(versions)
     found = findings.where("size(spans) > 0").groupBy("blob").agg(F.first("spans").alias("__ep_spans")).withColumnRenamed("blob", "__ep_blob")
     found = written(found, "secrets")
-    masked = docs.join(found, F.sha2(F.encode("text", "utf-8"), 256) == F.col("__ep_blob"), "left")
+    masked = docs.join(found.hint("merge"), F.sha2(F.encode("text", "utf-8"), 256) == F.col("__ep_blob"), "left")
     text = F.when(F.col("__ep_spans").isNotNull(), secrets.masked(F.col("text"), F.col("__ep_spans"))).otherwise(F.col("text"))
     masked = masked.withColumn("text", text)
     if "n_chars" in docs.columns:
@@ -51,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixed_documents(docs.select("doc_id", "source", "text")).where("taken > 0")
     times = taken.select(F.col("doc_id").alias("__ep_id"), (F.col("taken") / F.col("size")).cast("int").alias("__ep_n"))
     times = written(times.groupBy("__ep_id").agg(F.collect_list("__ep_n").alias("__ep_times")), "times")
-    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__ep_id")))
+    out = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__ep_id")))
     # rows with one doc_id share its takes: the first of them, as they are one document
     return out.withColumn("__ep_i", F.explode(F.sequence(F.lit(1), F.element_at("__ep_times", 1)))).select(*docs.columns)
 
