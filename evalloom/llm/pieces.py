@@ -102,7 +102,10 @@ class Pieces:
                 order = np.argsort(h)
                 ids = np.array([i for _, i in own])[order]
                 self.by_length[n] = (h[order], ids, np.array(self.scores)[ids])
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.plain = np.isin(self.kinds, (self.NORMAL, self.USER))
+        self.shown = [p.replace(SPACE, " ") for p in self.pieces]
+        self.cut_lines = not any("\n" in p for p, _ in usable)
+        self.cache: dict[str, np.ndarray] = {}
 
     @staticmethod
     def _codes(words: list[str], n: int) -> np.ndarray:
@@ -163,20 +166,29 @@ class Pieces:
                         best[more, end] = total[more]
                         back[more, end] = size
                         piece[more, end] = ids[more, end - size]
-        out = []
-        for r, word in enumerate(words):
-            ids, end, steps, names = [], n, back[r], piece[r]
-            while end:
-                size = int(steps[end])
-                i = int(names[end])
-                if i >= 0 and self.pieces[i] == word[end - size : end]:
-                    ids.append(i)
-                else:
-                    ids += self._bytes(word[end - size : end])[::-1]
-                end -= size
-            out.append(tuple(reversed(ids)))
+        # all words walk back together; -1 marks characters that no piece covers
+        end, row, columns = np.full(rows, n), np.arange(rows), []
+        while end.any():
+            columns.append(np.where(end > 0, piece[row, end], -2))
+            end = np.maximum(end - np.where(end > 0, back[row, end], 0), 0)
+        out, names = [], self.pieces
+        for word, ids in zip(words, np.stack(columns[::-1], axis=1).tolist()):
+            ids = [i for i in ids if i != -2]
+            if -1 in ids or "".join([names[i] for i in ids]) != word:
+                ids = self._walk(word, back, piece, len(out))
+            out.append(tuple(ids))
         return out
 
+    def _walk(self, word: str, back: np.ndarray, piece: np.ndarray, row: int) -> list[int]:
+        """One word's pieces, with bytes where none covers a character or a hash was another string's."""
+        ids, end = [], len(word)
+        while end:
+            size, i = int(back[row, end]), int(piece[row, end])
+            part = word[end - size : end]
+            ids += [i] if i >= 0 and self.pieces[i] == part else self._bytes(part)[::-1]
+            end -= size
+        return ids[::-1]
+
     def _bytes(self, text: str) -> list[int]:
         if not self.byte_fallback:
             return [self.unknown]
@@ -188,12 +200,23 @@ class Pieces:
         return (SPACE if self.dummy_prefix and text else "") + text.replace(" ", SPACE)
 
     def words(self, text: str) -> list[str]:
-        """The normalised text cut before each run of spaces."""
-        parts = self.normalised(text).split(SPACE)
-        out, spaces = [], 0
-        if parts[0]:
-            out.append(parts[0])
-        for p in parts[1:]:
+        """The normalised text cut before each run of spaces, and at line ends where no piece has any."""
+        text = self.normalised(text)
+        if not self.cut_lines or "\n" not in text:
+            return self._spaced(text)
+        out = []
+        for i, line in enumerate(text.split("\n")):
+            out += ["\n"] * (i > 0) + self._spaced(line)
+        return out
+
+    @staticmethod
+    def _spaced(text: str) -> list[str]:
+        first, *parts = text.split(SPACE)
+        head = [first] if first else []
+        if "" not in parts:
+            return head + [SPACE + p for p in parts]
+        out, spaces = head, 0
+        for p in parts:
             spaces += 1
             if p:
                 out.append(SPACE * spaces + p)
@@ -206,21 +229,25 @@ class Pieces:
         unseen = list({w for s in split if s for w in s} - self.cache.keys())
         if len(self.cache) + len(unseen) > CACHE:
             self.cache = {w: self.cache[w] for w in {w for s in split if s for w in s} & self.cache.keys()}
-        self.cache |= zip(unseen, self.segment(unseen))
-        have = self.cache
-        return [None if s is None else np.array([i for w in s for i in have[w]], dtype=np.int32) for s in split]
+        self.cache |= zip(unseen, (np.array(ids, dtype=np.int32) for ids in self.segment(unseen)))
+        have, none = self.cache, np.empty(0, dtype=np.int32)
+        return [None if s is None else np.concatenate([none, *map(have.__getitem__, s)]) for s in split]
 
     def decode(self, ids) -> str:
-        out = bytearray()
-        for i in ids:
-            k = self.kinds[i]
-            if k == self.BYTE:
-                out.append(int(self.pieces[i][3:5], 16))
-            elif k == self.UNKNOWN:
-                out += " ⁇ ".encode()
-            elif k != self.CONTROL:
-                out += self.pieces[i].encode("utf-8")
-        text = out.decode("utf-8", "surrogatepass").replace(SPACE, " ")
+        ids = np.asarray(ids, dtype=np.int64)
+        if self.plain[ids].all():
+            text = "".join(map(self.shown.__getitem__, ids.tolist()))
+        else:
+            out = bytearray()
+            for i in ids.tolist():
+                k = self.kinds[i]
+                if k == self.BYTE:
+                    out.append(int(self.pieces[i][3:5], 16))
+                elif k == self.UNKNOWN:
+                    out += " ⁇ ".encode()
+                elif k != self.CONTROL:
+                    out += self.shown[i].encode("utf-8")
+            text = out.decode("utf-8", "surrogatepass")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -234,7 +261,7 @@ def loaded(name: str, model: bytes) -> Pieces:
     return _LOADED[name]
 
 
-def encoded(docs: DataFrame, model: str = MODEL, batch: int = 1 << 20) -> DataFrame:
+def encoded(docs: DataFrame, model: str = MODEL, batch: int = 1 << 21) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256, round_trip) per row of docs (doc_id, text).
 
     The model file is read on the driver and sent with the task: it is 0.5 MB, whatever the corpus.
@@ -257,7 +284,7 @@ def encoded(docs: DataFrame, model: str = MODEL, batch: int = 1 << 20) -> DataFr
                     end += 1
                 own = texts[start:end]
                 ids = p.encode(own)
-                back = [None if x is None else p.decode(x.tolist()) for x in ids]
+                back = [None if x is None else p.decode(x) for x in ids]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": b["doc_id"].slice(start, end - start),
                     "n_tokens": pa.array([None if x is None else len(x) for x in ids], pa.int64()),
