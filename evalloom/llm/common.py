@@ -129,7 +129,7 @@ class Words:
         return begin, text, range_hashes(hashes, begin, begin + length, which)
 
 
-def chunks(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: list, size: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of whole texts (null: empty) of about so many bytes, each with the place of its first."""
     at, held, total = 0, [], 0
     for i, t in enumerate(texts):
