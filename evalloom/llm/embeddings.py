@@ -102,8 +102,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 11) ->
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda c: F.struct(F.least(c, F.col("own")).alias("i"), F.greatest(c, F.col("own")).alias("j"))))
     dealt = met.select("h", "t", "code", "own", pair.alias("p")).select("h", "t", "code", "own", "p.i", "p.j")
     full = nodes.select("h", "id", "copies", "v").join(codes, "h")
-    found = dealt.join(full, "h").groupBy("t", "code", "i", "j").applyInPandas(_checked(cosine), "h long, links long, id long, other long")
-    found = written(found, "links")
+    key = ["t", "code", "i", "j"]
+    met = dealt.join(full, "h").select(*key, "own", "h", "id", "copies", "v", "codes").repartition(*key).sortWithinPartitions(*key)
+    found = written(met.mapInArrow(_checked(cosine), "h long, links long, id long, other long"), "links")
     counts = found.where("links > 0").groupBy("h").agg(F.sum("links").alias("links"))
     joined = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     classes = nodes.select("h", "id", "copies").join(counts, "h", "left").join(joined.withColumnRenamed("id", "c_id"), F.col("id") == F.col("c_id"), "left")
@@ -115,38 +116,82 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 11) ->
 
 
 def _checked(cosine: float):
-    def check(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        t, _, i, j = key
-        rows = p["own"].to_numpy()
-        a, b = np.flatnonzero(rows == i), np.flatnonzero(rows == j)
-        x = np.stack(p["v"].to_numpy())
-        norm = np.sqrt((x * x).sum(1))
-        codes = np.stack(p["codes"].to_numpy())[:, :t]
-        copies, ids = p["copies"].to_numpy(), p["id"].to_numpy()
-        links, label = np.zeros(len(p), dtype=np.int64), np.arange(len(p))
-        near = []
-        for s in range(0, len(a), 256):
-            q = a[s : s + 256]
-            ok = x[q] @ x[b].T >= cosine * norm[q][:, None] * norm[b][None, :]
-            ok &= q[:, None] != b[None, :]
-            near.append(ok)
-            if ok.any():
-                new = ok.copy()
-                for e in range(t):  # pairs that met in an earlier table are counted there
-                    new &= codes[q, e][:, None] != codes[b, e][None, :]
-                links[q] += new @ copies[b]
-                if i != j:
-                    links[b] += copies[q] @ new
-        near = np.concatenate(near) if near else np.zeros((0, len(b)), dtype=bool)
-        moved = near.any()
-        while moved:
-            before = label.copy()
-            label[a] = np.minimum(label[a], np.where(near, label[b][None, :], len(p)).min(1))
-            label[b] = np.minimum(label[b], np.where(near, label[a][:, None], len(p)).min(0))
-            moved = (before != label).any()
-        alone = label == np.arange(len(p))
-        other = pd.array(ids[label], dtype="Int64")
-        other[alone] = pd.NA
-        return pd.DataFrame({"h": p["h"].to_numpy(), "links": links, "id": ids, "other": other})[(links > 0) | ~alone]
+    """Rows sorted by task key: each run of one key is checked when its last row is there."""
+
+    def check(batches):
+        held = None
+        for b in batches:
+            b = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
+            keys = np.stack([b[k].to_numpy() for k in ("t", "code", "i", "j")])
+            ends = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            if len(ends):
+                yield from _out(_runs(b.slice(0, ends[-1]), np.concatenate([[0], ends]), cosine))
+            held = b.slice(ends[-1] if len(ends) else 0)
+        if held is not None and held.num_rows:
+            yield from _out(_runs(held, np.array([0, held.num_rows]), cosine))
 
     return check
+
+
+def _out(rows: list[tuple]):
+    if rows:
+        h, links, ids, other = zip(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).tolist() if x is other else np.concatenate(x), pa.int64()) for x in (h, links, ids, other)], names=["h", "links", "id", "other"])
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and where each row's begin."""
+    c = column.combine_chunks()
+    c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+    return c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()
+
+
+def _runs(b: pa.Table, ends: np.ndarray, cosine: float) -> list[tuple]:
+    """Counts and links of each run ends[n]:ends[n + 1] of one task key."""
+    values, v_at = _lists(b["v"])
+    codes, c_at = _lists(b["codes"])
+    h, ids, copies, own, t, i, j = (b[k].to_numpy() for k in ("h", "id", "copies", "own", "t", "i", "j"))
+    out = []
+    for s, e in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        if e - s < 2:
+            continue
+        # a bucket's vectors have one length: it is part of the code
+        x = values[v_at[s] : v_at[e]].reshape(e - s, -1)
+        c = codes[c_at[s] : c_at[e]].reshape(e - s, -1)[:, : t[s]]
+        links, label = _pairs(x, c, copies[s:e], own[s:e] == i[s], own[s:e] == j[s], i[s] == j[s], cosine)
+        some = np.flatnonzero((links > 0) | (label != np.arange(e - s)))
+        if len(some):
+            near = label[some]
+            out.append((h[s:e][some], links[some], ids[s:e][some], np.where(near == some, None, ids[s:e][near])))
+    return out
+
+
+def _pairs(x: np.ndarray, codes: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """New links of each row between the left and the right cell, and the first row of its group.
+
+    Pairs that met in an earlier table (codes) are counted there.
+    """
+    n = len(x)
+    a, b = np.flatnonzero(left), np.flatnonzero(right)
+    norm = np.sqrt((x * x).sum(1))
+    links, label, near = np.zeros(n, dtype=np.int64), np.arange(n), []
+    for s in range(0, len(a), 256):
+        q = a[s : s + 256]
+        ok = x[q] @ x[b].T >= cosine * norm[q][:, None] * norm[b][None, :]
+        ok &= q[:, None] != b[None, :]
+        near.append(ok)
+        if ok.any():
+            new = ok.copy()
+            for e in range(codes.shape[1]):
+                new &= codes[q, e][:, None] != codes[b, e][None, :]
+            links[q] += new @ copies[b]
+            if not same:
+                links[b] += copies[q] @ new
+    near = np.concatenate(near) if near else np.zeros((0, len(b)), dtype=bool)
+    moved = near.any()
+    while moved:
+        before = label.copy()
+        label[a] = np.minimum(label[a], np.where(near, label[b][None, :], n).min(1))
+        label[b] = np.minimum(label[b], np.where(near, label[a][:, None], n).min(0))
+        moved = (before != label).any()
+    return links, label
