@@ -7,7 +7,8 @@ subsequence, and lines that both hold are shared lines. Shared lines are deleted
 except inside the article element of a page that has one: there, repeated text is the
 page's own. Structure that is never text (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, comments, hidden parts) is left out in any case; on a page
-with an article element so is what stands outside of it.
+with an article element so is what stands outside of it. An element that is left out
+and holds the page's only article loses its other text, not the article.
 
 The order of URLs is made by range partitioning, and neighbours across partitions by
 a row for each partition, so that a host with a third of all pages is no one task's.
@@ -44,56 +45,104 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices"
     " popup modal overlay newsletter subscribe subscription social share sharing sharebar related recommended recommendations comment comments commentlist disqus respond replies widget widgets pagination pager toolbar login signup skip".split()
 )
+# the same, as whole names of more than one word
+NAMES |= frozenset(
+    "ad-slot ad-unit ad-container ad-banner adsbygoogle cookie-banner cookie-notice cookie-consent site-header site-footer page-footer main-nav main-menu main-navigation site-navigation nav-menu nav-links post-navigation skip-link"
+    " share-buttons social-share social-links social-icons related-posts related-articles comment-list comments-area comment-respond newsletter-signup newsletter-form subscribe-form modal-dialog".split()
+)
+# names that inside an article can be what it is about
+SUBJECTS = frozenset("menu banner promotion masthead cookie cookies consent gdpr notice notices overlay subscription comment replies widget widgets toolbar login signup sponsor".split())
+# texts of others, often article elements themselves
+OTHERS = frozenset("related recommended recommendations comment comments commentlist disqus respond replies related-posts related-articles comment-list comments-area comment-respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-NAME = re.compile(r"[A-Za-z0-9]+")
+# Why an element is left out; the numbers grow with how surely.
+FORM, NAMED, STRUCTURE, OF_OTHERS = 1, 2, 3, 4
 
 
-def _flags(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether the element is left out, and whether it is the article."""
-    skip, main = tag in BOILERPLATE or (tag == "header" and not in_main), tag in ("article", "main")
+def _flags(tag: str, attributes: str, in_main: bool) -> tuple[int, bool]:
+    """Why the element is left out (0: it is not), and whether it is the article."""
+    skip, main = 0, tag in ("article", "main")
+    if tag == "form":
+        skip = FORM
+    elif tag in BOILERPLATE or (tag == "header" and not in_main):
+        skip = STRUCTURE
     if attributes.strip():
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "")
-            if key in ("class", "id") and tag not in ("html", "body"):
-                skip |= any(x.lower() in NAMES for x in NAME.findall(value))
+            if key in ("class", "id") and tag not in ("html", "body", "main"):
+                if in_main and (tag in HEADINGS or (tag == "section" and key == "id")):
+                    continue  # made of the words of a heading
+                names = {x.lower().replace("_", "-") for x in value.split()} & NAMES
+                if in_main:
+                    names -= SUBJECTS
+                if names:
+                    skip = max(skip, OF_OTHERS if names & OTHERS else NAMED)
             elif key == "role":
-                skip |= value.strip().lower() in ROLES
-                main |= value.strip().lower() in ("main", "article")
+                role = value.strip().lower()
+                skip = max(skip, FORM if role == "form" else STRUCTURE if role in ROLES else 0)
+                main |= role in ("main", "article")
             elif key == "itemprop":
                 main |= value == "articleBody"
             elif key == "hidden" or (key == "aria-hidden" and value == "true"):
-                skip = True
-            elif key == "style":
-                skip |= "display:none" in value.replace(" ", "").lower()
+                skip = max(skip, STRUCTURE)
+            elif key == "style" and "display:none" in value.replace(" ", "").lower():
+                skip = max(skip, STRUCTURE)
     return skip, main and not skip
 
 
+def _chosen(blocks: list[tuple[str, bool, int, int]]) -> list[tuple[str, bool]]:
+    """Of all blocks (text, inside an article, why left out outside of it and inside) those of the page."""
+    words = lambda x: sum(t.count(" ") + 1 for t, *_ in x)
+    found = [(t, m, why) for t, m, why, own in blocks if not own]
+    form = [t for t, _, _, own in blocks if own == FORM]
+    if form and words([(t,) for t in form]) > words([x for x in found if x[1]]):  # a form around the article's text
+        found = [(t, m, why) for t, m, why, _ in blocks]
+    free = [(t, m) for t, m, why in found if not why]
+    if any(m for _, m in free):
+        return free
+    inside = [(t, m) for t, m, why in found if m and why < OF_OTHERS]
+    if inside:  # the only articles stand in what was left out
+        if words(inside) >= words(free):
+            return [(t, m) for t, m, why in found if not why or (m and why < OF_OTHERS)]
+        return [(t, False) for t, m, why in found if not why or (m and why < OF_OTHERS)]
+    form = [t for t, _, why in found if why == FORM]
+    if form and words([(t,) for t in form]) > words(free):  # a form around the page
+        return [(t, False) for t, _, why in found if why <= FORM]
+    return free or [(t, m) for t, m, why in found if why == NAMED or m]
+
+
 def lines(page: str) -> list[tuple[str, bool]]:
     """The page's blocks of text in order, white space made one space, and whether each is inside the article."""
-    out: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: tag, left out, in the article
+    found: list[tuple[str, bool, int, int]] = []
+    # open elements: tag, then why left out outside of the article, in the article, why left out in it
+    stack: list[tuple[str, tuple[int, bool, int]]] = []
     held: list[str] = []
-    skip = main = False
+    top = state = (0, False, 0)
     at, raw = 0, page.lower() if "<" in page else page
 
+    def wanted() -> bool:
+        around, main, inside = state
+        return inside <= FORM if main else around < STRUCTURE
+
     def flush() -> None:
         text = " ".join(entities.unescape("".join(held)).split())
         if text:
-            out.append((text, main))
+            found.append((text, state[1], state[0], state[2]))
         held.clear()
 
     def close(to: int) -> None:
-        nonlocal skip, main
+        nonlocal state
         flush()
         del stack[to:]
-        skip, main = stack[-1][1:] if stack else (False, False)
+        state = stack[-1][1] if stack else top
 
     while at < len(page):
         m = TOKEN.search(page, at)
-        if not skip:
+        if wanted():
             held.append(page[at : m.start() if m else len(page)])
         if not m:
             break
@@ -102,7 +151,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
         if not tag:
             continue
         if m[1]:
-            if tag in BLOCKS or any(t == tag for t, *_ in stack):
+            if tag in BLOCKS or any(t == tag for t, _ in stack):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         close(i)
@@ -131,14 +180,22 @@ def lines(page: str) -> list[tuple[str, bool]]:
             flush()
         if tag in VOID:
             continue
-        own_skip, own_main = _flags(tag, m[3], main)
+        own_skip, own_main = _flags(tag, m[3], state[1])
         if tag in BLOCKS or own_skip or own_main:
-            if own_skip and not skip:
+            around, main, inside = state
+            if main:
+                inside = 0 if own_main and inside == FORM else max(inside, own_skip)
+            elif own_main:
+                # a form or a main element is no menu, whatever is around it
+                around, main = 0 if around == FORM or tag == "main" else around, True
+            else:
+                around = max(around, own_skip)
+            if (around, main, inside) != state:
                 flush()
-            stack.append((tag, skip or own_skip, main or own_main))
-            skip, main = stack[-1][1:]
+            state = (around, main, inside)
+            stack.append((tag, state))
     flush()
-    return out
+    return _chosen(found)
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:

@@ -71,3 +71,22 @@ def test_differencing_and_cases(spark):
     assert extracted(df).count() == 6 and got[1].text == "one text\nOwn one" and got[2].text == "two text\nOwn two"
     assert got[3].text.startswith("Title <1>\nOne two") and got[4].text == "" and got[4].n_chars == 0 and got[5].text.startswith("Menu")
     assert extracted(df.limit(0)).count() == 0
+
+
+def test_wrappers_do_not_take_the_article_along():
+    own = lambda page: [t for t, m in lines(page) if m]
+    for open_, shut in [('<div class="content-sidebar-wrap">', "</div>"), ('<div class="has-sidebar">', "</div>"), ('<div id="no-nav">', "</div>"), ('<form id="aspnetForm">', "</form>"), ("<div class=sidebar>", "</div>"), ("<aside>", "</aside>")]:
+        for tag in ("article", "main"):
+            assert own(f"<body>{open_}<p>menu</p><{tag}><p>One</p><p>Two</p></{tag}>{shut}<p>x</p></body>") == ["One", "Two"], open_
+    assert own("<main><form id=aspnetForm><article>One</article></form></main>") == ["One"]
+    assert own("<main><form id=aspnetForm><p>One two three</p></form></main>") == ["One two three"]
+    # what stands in a sidebar or among comments is not taken if the page has an article or text of its own
+    assert own("<article>One</article><aside><article>teaser</article></aside>") == ["One"]
+    assert text("<div>One</div><div class=comments><article>reader reader</article></div>") == ["One"]
+    assert text("<form id=aspnetForm><div>One two</div></form>a") == ["One two", "a"]
+
+
+def test_names_are_whole():
+    page = '<article><section class="menu">Soup</section><p class="share-price">Up</p><h2 id="comments">On comments</h2><div class="x ad">buy</div><div class="share_buttons">s</div><p>b</p></article>'
+    assert text(page) == ["Soup", "Up", "On comments", "b"]
+    assert text('<p class="ad-hoc">a</p><p class="Banner">b</p><p class="site-footer">c</p>') == ["a"]
