@@ -58,6 +58,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
+RAW_ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Why an element is left out; the numbers grow with how surely.
 FORM, NAMED, STRUCTURE, OF_OTHERS = 1, 2, 3, 4
@@ -122,7 +123,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
     stack: list[tuple[str, tuple[int, bool, int]]] = []
     held: list[str] = []
     top = state = (0, False, 0)
-    at, raw = 0, page.lower() if "<" in page else page
+    at = 0
 
     def wanted() -> bool:
         around, main, inside = state
@@ -163,8 +164,8 @@ def lines(page: str) -> list[tuple[str, bool]]:
                     flush()
             continue
         if tag in RAW:
-            end = raw.find(f"</{tag}", at)
-            at = len(page) if end < 0 else end
+            end = RAW_ENDS[tag].search(page, at)  # in page itself: lower-casing can change its length
+            at = end.start() if end else len(page)
             continue
         if tag == "br":
             held.append(" ")

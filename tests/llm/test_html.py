@@ -90,3 +90,9 @@ def test_names_are_whole():
     page = '<article><section class="menu">Soup</section><p class="share-price">Up</p><h2 id="comments">On comments</h2><div class="x ad">buy</div><div class="share_buttons">s</div><p>b</p></article>'
     assert text(page) == ["Soup", "Up", "On comments", "b"]
     assert text('<p class="ad-hoc">a</p><p class="Banner">b</p><p class="site-footer">c</p>') == ["a"]
+
+
+def test_raw_elements_end_where_they_end():
+    for n in (1, 8, 9, 300):
+        for tag in ("script", "STYLE", "svg", "button"):
+            assert text(f"<p>{'İ' * n}</p><{tag}>x</{tag.title()}><p>One</p><p>Two</p>") == ["İ" * n, "One", "Two"]
