@@ -4,8 +4,8 @@ Each source gets a target in words: its weight's share of all words, stopped at
 multiple of its own size, the excess shared again. A source is taken whole as often
 as its target holds it; the rest of the budget is fitted by documents of exact
 lengths. Documents are counted by length; most of the rest is met by an equal part
-of every length, then by long documents, and the last BUDGET words by a bounded
-knapsack over the counts that are left. Which documents of a length are taken is
+of every length, then by long documents, and the last words, BUDGET or as many as
+the longest document has, by a bounded knapsack over the counts that are left. Which documents of a length are taken is
 decided by a seeded hash of their ids.
 
 Only the histogram of lengths of a source meets in one task: as many rows as it
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, written
 
-#: Words of a budget that the exact knapsack fits.
+#: Words of a budget that the exact knapsack fits at least.
 BUDGET = 1 << 14
+#: Sums that it tells apart; beyond so many words it first fits in units of several words.
+SUMS = 1 << 21
 #: Documents of one source and length that are ranked together.
 TOGETHER = 64
 
@@ -51,26 +53,54 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float
 
 def fitted(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each size (in ascending order) to take for the budget."""
-    take = np.zeros(len(sizes), dtype=np.int64)
     total = int((sizes * counts).sum())
     if budget <= 0 or total == 0:
-        return take
+        return np.zeros(len(sizes), dtype=np.int64)
     if budget >= total:
         return counts.copy()
-    take = np.array([c * max(0, budget - BUDGET) // total for c in counts.tolist()], dtype=np.int64)
+    # the part for the knapsack: no document that fits at all is longer
+    last = max(BUDGET, int(sizes[(counts > 0) & (sizes <= budget)].max(initial=0)))
+    take = _fitted(sizes, counts, budget, total, last)
+    short = budget % int(np.gcd.reduce(sizes[counts > 0]))  # no sum comes nearer
+    if last < SUMS // 2 and budget - int((take * sizes).sum()) > short:  # few documents: with as many as the knapsack bears
+        other = _fitted(sizes, counts, budget, total, SUMS // 2)
+        if (other * sizes).sum() > (take * sizes).sum():
+            return other
+    return take
+
+
+def _fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, total: int, last: int) -> np.ndarray:
+    take = np.array([c * max(0, budget - last) // total for c in counts.tolist()], dtype=np.int64)
     rest = budget - int((take * sizes).sum())
     for i in range(len(sizes) - 1, -1, -1):  # long ones first, down to what the knapsack fits
-        if rest > BUDGET and sizes[i] > 0:
-            n = min(int(counts[i] - take[i]), (rest - BUDGET) // int(sizes[i]))
+        if rest > last and sizes[i] > 0:
+            n = min(int(counts[i] - take[i]), (rest - last) // int(sizes[i]))
             take[i] += n
             rest -= n * int(sizes[i])
-    rest = min(rest, 2 * BUDGET)
+    while rest > SUMS:
+        unit = -(-rest // SUMS)
+        more = _knapsack(-(-sizes // unit), counts - take, rest // unit)
+        if not more.any():  # rounding hides one that just fits
+            fits = np.flatnonzero((sizes > 0) & (sizes <= rest) & (counts > take))
+            if not len(fits):
+                return take
+            more[fits[-1]] = 1
+        take += more
+        rest -= int((more * sizes).sum())
+    return take + _knapsack(sizes, counts - take, rest)
+
+
+def _knapsack(sizes: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
+    """How many of each size make the largest sum up to rest."""
+    take = np.zeros(len(sizes), dtype=np.int64)
     # sums that can be reached, and with which size each was reached first
     made = np.zeros(rest + 1, dtype=bool)
     made[0] = True
     last = np.full(rest + 1, -1, dtype=np.int64)
-    for i in np.argsort(-sizes):
-        size, left = int(sizes[i]), int(counts[i] - take[i])
+    fit = sizes[(counts > 0) & (sizes > 0)]
+    best = rest - rest % int(np.gcd.reduce(fit)) if len(fit) else 0
+    for i in np.argsort(-sizes, kind="stable"):
+        size, left = int(sizes[i]), int(counts[i])
         if not 0 < size <= rest or left <= 0:
             continue
         rows = -(-(rest + 1) // size)
@@ -82,7 +112,7 @@ def fitted(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         new = ((steps <= left) & ~grid).reshape(-1)[: rest + 1]
         last[new] = i
         made |= new
-        if made[rest]:
+        if made[best]:
             break
     at = int(np.flatnonzero(made)[-1])
     while at:

@@ -21,6 +21,25 @@ def test_fitted_is_the_best_subset():
         assert got <= budget and (got == best or budget - got <= sizes.min())
 
 
+def test_fitted_with_long_documents():
+    fit = lambda sizes, counts, budget: int((fitted(np.array(sizes), np.array(counts), budget) * sizes).sum())
+    assert fit([90_000, 100_000], [1, 1], 95_000) == 90_000
+    assert fit([90_000, 95_000, 100_000], [1, 1, 1], 190_000) == 190_000
+    assert fit([60_000, 100_000], [2, 1], 120_000) == 120_000
+    assert fit([5_000_001, 9_000_000], [1, 1], 5_000_001) == 5_000_001
+    assert fit([10, 3_000_000, 9_000_000], [30, 2, 1], 6_000_100) == 6_000_100
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        sizes = np.sort(rng.choice(np.arange(17_000, 150_000), 4, replace=False))
+        counts = rng.integers(1, 3, 4)
+        budget = int(rng.integers(20_000, (sizes * counts).sum()))
+        every = [int(np.dot(c, sizes)) for c in product(*(range(k + 1) for k in counts))]
+        best = max(s for s in every if s <= budget)
+        take = fitted(sizes, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        assert int((take * sizes).sum()) == best, (sizes, counts, budget)
+
+
 def wanted(sizes, weights=(5, 2, 1)):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % 3] for i, s in enumerate(order)}
