@@ -7,13 +7,13 @@ itself start with __ep_ and are gone when it returns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalloom.llm import pieces, quality, secrets
 from evalloom.llm.common import read, written
 from evalloom.llm.jaccard import shingle_components
-from evalloom.llm.mixing import mixed_documents
+from evalloom.llm.mixing import mixed_sizes, n_words
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,13 +47,31 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, none to three times; documents without words go."""
-    taken = mixed_documents(docs.select("doc_id", "source", "text")).where("taken > 0")
-    times = taken.select(F.col("doc_id").alias("__ep_id"), (F.col("taken") / F.col("size")).cast("int").alias("__ep_n"))
-    times = written(times.groupBy("__ep_id").agg(F.collect_list("__ep_n").alias("__ep_times")), "times")
-    out = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__ep_id")))
-    # rows with one doc_id share its takes: the first of them, as they are one document
-    return out.withColumn("__ep_i", F.explode(F.sequence(F.lit(1), F.element_at("__ep_times", 1)))).select(*docs.columns)
+    """Each document as often as the mix takes it, none to three times; documents without words go.
+
+    Every row is a document of its own, whatever its doc_id. Which are taken follows from
+    the content of all columns and, among equal rows, from their number.
+    """
+    cols = docs.columns
+    content = [*(F.col(f"`{c}`").isNull() for c in cols), *(F.col(f"`{c}`") for c in cols)]
+    keyed = docs.select("*", F.monotonically_increasing_id().alias("__ep_row"), F.xxhash64(F.lit(1), *content).alias("__ep_k1"), F.xxhash64(F.lit(2), *content).alias("__ep_k2"), n_words("text").alias("__ep_size"))
+    keyed = written(keyed, "keyed")
+    rows = _copies(keyed.select("source", F.col("__ep_size").alias("size"), "__ep_row", "__ep_k1", "__ep_k2"))
+    key = F.struct("__ep_k1", "__ep_k2", "__ep_copy").alias("doc_id")
+    taken = mixed_sizes(rows.select(key, "source", "size", "__ep_row"), carried=("__ep_row",)).where("taken > 0")
+    times = written(taken.select("__ep_row", (F.col("taken") / F.col("size")).cast("int").alias("__ep_n")), "times")
+    out = keyed.join(times.hint("merge"), "__ep_row")
+    return out.withColumn("__ep_i", F.explode(F.sequence(F.lit(1), F.col("__ep_n")))).select(*cols)
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """__ep_copy: the number of a row among equal ones (by __ep_k1 and __ep_k2), counted within each partition of __ep_row behind the ones before it."""
+    k = ["__ep_k1", "__ep_k2"]
+    rows = rows.withColumn("__ep_part", F.shiftright("__ep_row", 33))
+    counts = rows.groupBy(*k, "__ep_part").agg(F.count("*").alias("__ep_c"))
+    counts = counts.withColumn("__ep_before", F.sum("__ep_c").over(Window.partitionBy(*k).orderBy("__ep_part")) - F.col("__ep_c")).drop("__ep_c")
+    own = F.row_number().over(Window.partitionBy(*k, "__ep_part").orderBy("__ep_row"))
+    return rows.join(counts, [*k, "__ep_part"]).withColumn("__ep_copy", own + F.col("__ep_before"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

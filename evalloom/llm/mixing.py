@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, written
@@ -123,7 +123,15 @@ def _knapsack(sizes: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 2025) -> DataFrame:
     """(doc_id, size, source_size, target, taken) per row of docs (doc_id, source, text)."""
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return mixed_sizes(docs.select("doc_id", "source", n_words("text").alias("size")), weights, most, seed)
+
+
+def n_words(text) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def mixed_sizes(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 2025, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The same and the columns carried, per row of sized (doc_id, source, size, carried); doc_id can be of any type that has an order."""
     sized = written(sized.withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 31))), "sized")
     lengths = written(sized.groupBy("source", "size").agg(F.count("*").alias("c")), "lengths")
     goals = written(targets(lengths.groupBy("source").agg(F.sum(F.col("c") * F.col("size")).alias("source_size")), weights, float(most)), "targets")
@@ -151,10 +159,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     edge = written(edge.select(F.col("source").alias("e_source"), F.col("size").alias("e_size"), F.col("bucket").alias("edge"), (F.col("n") - F.col("upto") + F.col("b")).alias("give")), "edges")
     cut = rows.where(part).join(edge, rows["source"].eqNullSafe(edge["e_source"]) & (rows["size"] == edge["e_size"]))
     rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("u", "doc_id"))
-    columns = ["doc_id", "size", "source_size", "target", "whole"]
+    columns = ["doc_id", "size", "source_size", "target", "whole", *carried]
     extra = (
         rows.where(~part).select(*columns, (F.col("n") > 0).cast("int").alias("extra"))
         .union(cut.where("bucket <> edge").select(*columns, (F.col("bucket") < F.col("edge")).cast("int")))
         .union(cut.where("bucket = edge").withColumn("rank", rank).select(*columns, (F.col("rank") <= F.col("give")).cast("int")))
     )
-    return extra.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("extra"))).cast("long").alias("taken"))
+    return extra.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("extra"))).cast("long").alias("taken"), *carried)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evalloom.llm.pieces import MODEL, Pieces
@@ -44,3 +45,19 @@ def test_stages(spark, corpus, tmp_path):
     assert len(kept[4]) == len(kept[3]) and all(r["round_trip"] for r in kept[4])
     assert all(p.decode(r["ids"]) == texts[r["doc_id"]] for r in kept[4] if r["doc_id"] != 402)
     assert corpus_pipeline.run(spark, path).count() == len(kept[4])
+
+
+def test_mix_takes_rows_not_ids(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, None, 7, i]), " ".join(["w"] * rng.choice([3, 7, 50, 51])), rng.choice(["a", "b", "c"]), rng.choice([None, "x"])) for i in range(600)]
+    rows += [(None, "w w w w", "a", None)] * 150
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, note string")
+    target = {r.source: r.target for r in corpus_pipeline.mixed_sizes(docs.select("doc_id", "source", corpus_pipeline.n_words("text").alias("size")), carried=("source",)).select("source", "target").distinct().collect()}
+    got = corpus_pipeline.mix_sources(spark, docs, "")
+    assert got.columns == docs.columns
+    got = sorted(map(tuple, got.collect()), key=str)
+    taken = {s: sum(len(t.split()) for _, t, x, _ in got if x == s) for s in target}
+    assert all(abs(taken[s] - target[s]) <= 3 for s in target), (taken, target)
+    assert all(got.count(r) <= 3 * rows.count(r) for r in set(got))
+    again = corpus_pipeline.mix_sources(spark, docs.orderBy(F.rand(3)).repartition(3), "")
+    assert sorted(map(tuple, again.collect()), key=str) == got
