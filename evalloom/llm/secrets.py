@@ -41,11 +41,18 @@ ASSIGN = Rule("assign", "(" + _either("password|passwd|secret|token|api_?key") +
 ACCESS = Rule("access", "AKIA[A-Z0-9]+", least=20)
 HEX = Rule("hex", "[0-9a-f]{24,}", least=24)  # runs are maximal: the same as runs of any length, then 24 or more
 BASE = (ASSIGN, ACCESS, HEX)
+# A private key from its header to its END line; if that is missing (another ----- comes first, or 64 dashes),
+# over the header fields, the lines of base64 and the rest of one on the line behind.
+_64 = "[A-Za-z0-9+/=]"
+_PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:[ \t\r\n]*(?:Proc-Type|DEK-Info):[^\n]*){0,4}(?:[ \t\r\n\\]*" + _64 + r"{40,}(?:[ \t\r\n\\]+" + _64 + r"{40,})*(?:\r?\n[ \t]*" + _64 + "+)?)?)"
+)
 MORE = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{20,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", _PEM, version=2),
 )
 RULES = BASE + MORE
 
