@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,6 +144,44 @@ def chunks(texts: list, size: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]
         yield at, held
 
 
+# ----------------------------------------------------------------- Arrow rows
+
+
+def list_column(arrays: list[np.ndarray]) -> pa.ListArray:
+    """A column of lists of longs."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, dtype=np.int64), pa.int64()))
+
+
+def sorted_runs(df: DataFrame, key: str, work: Callable[[pa.Table, list[int]], Iterator[pa.RecordBatch]], schema: str, parts: int | None = None) -> DataFrame:
+    """work on whole runs of rows of one key (a long): a table in one piece and the ends of its runs, 0 first.
+
+    Rows meet by hash and come in sorted order, so no more than a batch and a run is held.
+    """
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
+            k = t[key].to_numpy()
+            ends = (np.flatnonzero(k[1:] != k[:-1]) + 1).tolist()
+            if ends:
+                yield from work(t.slice(0, ends[-1]), [0, *ends])
+            held = t.slice(ends[-1]) if ends else t
+        if held is not None and held.num_rows:
+            yield from work(held.combine_chunks(), [0, held.num_rows])
+
+    dealt = df.repartition(parts, key) if parts else df.repartition(key)
+    return dealt.sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def lists_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column in one piece and where each row's begin and end."""
+    c = column.combine_chunks()
+    c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+    return c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()
+
+
 # ----------------------------------------------------------------- components
 
 

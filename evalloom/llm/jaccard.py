@@ -9,44 +9,50 @@ A document is the set of its distinct word shingles; two documents link when
    that have too few shared ones can't link, and most documents end here.
 3. The sets that stay post a prefix of their shingles in one global order: rare
    ones by hash, then a bounded list of frequent ones by frequency. Sets that link
-   share a shingle of both prefixes (that many shingles can't all be missing), so
-   they fall into one block: a component of the graph of each posting's smallest id.
-4. In a block, an inverted index is searched: for each set the longest lists are
-   put aside, the short ones heap-merged, and documents with the needed rest of
-   occurrences are looked up in the long lists by binary search. Blocks over a
-   size are dealt as pairs of cells of neighbouring set sizes, so that no task
-   holds more than two cells. Sets that already hang together are not compared
-   again, so at most one link per set and cell pair leaves a task, never all pairs.
-5. Components of the links; copies take the component of their set.
+   share a shingle of both prefixes (that many shingles can't all be missing). A
+   posting list (shingle, band of set sizes) is named after its smallest id, the
+   head; a set is dealt once to each head of its lists. Sets that link share a list
+   and so a head; a head's group is its own lists, and never grows along chains.
+4. In a group, an inverted index is searched: for each set the longest lists are
+   put aside, the short ones heap-merged, and sets with the needed rest of
+   occurrences are looked up in the long lists by binary search. Sets that already
+   hang together are not compared again.
+5. Groups over a cell are dealt as cells, each with the head: every set is searched
+   once, and what is like the head hangs together after it. What then is left
+   outside the largest component of a group meets the cells of that component and
+   the rest. So copies cost one visit each, and no task holds more than two cells.
+6. Components of the links; copies take the component of their set.
 
 Cases: null and empty texts have an empty set and link with nothing; texts shorter
 than a shingle have one; a null doc_id links with nothing and has a null component;
-rows with one doc_id are one document.
+rows with one doc_id are one document; a very long text is one set, which bounds
+the size of a cell from below; sets of one size are searched in order of doc_id.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
 from itertools import groupby
 from math import log2
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, components, mixed, written
+from .common import Words, chunks, components, list_column, lists_of, mixed, sorted_runs, written
 
 #: Frequent shingles that go last in the order; a bound on what is sent to tasks (1 MB), not on results.
 FREQUENT = 1 << 17
 #: A shingle in more posted prefixes than this is frequent.
 OFTEN = 8
-#: Sets in a cell.
-CELL = 1024
+#: Sets in a cell, and shingles in it.
+CELL = 256
+SHINGLES = 1 << 20
 #: Cost of a binary search against that of a merge step, as in DivideSkip.
 MU = 0.01
+#: Entries that the heap merges; more are merged by numpy's stable sort of the same sorted runs.
+HEAP = 4096
 
 
 def shingle_sets(texts: list, k: int):
@@ -100,22 +106,19 @@ def shingle_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
                 s1.append(a)
                 s2.append(b)
                 low.append(tokens[: _posted(len(tokens), percent)].view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(low) if low else np.empty(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_pydict({"doc_id": p["doc_id"], "n": pa.array(n, pa.int64()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "low": lists})
+            yield pa.RecordBatch.from_pydict({"doc_id": p["doc_id"], "n": pa.array(n, pa.int64()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "low": list_column(low)})
 
     keyed = written(docs.mapInArrow(keys, "doc_id long, n long, s1 long, s2 long, low array<long>"), "keys")
     nodes = written(keyed.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n")), "nodes")
-    edges = links(docs, keyed, nodes, k, percent)
-    joined = components(edges)
+    joined = joined_sets(near_sets(docs, keyed, nodes, k, percent), percent)
     classes = nodes.join(joined, "id", "left").where("copies > 1 or component is not null")
     classes = written(classes.select("s1", "s2", F.coalesce("component", "id").alias("component")), "classes")
     out = keyed.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def links(docs: DataFrame, keyed: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges (a, b) between nodes with linked sets, enough to connect all that are."""
+def near_sets(docs: DataFrame, keyed: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, n, tokens, prefix) of the nodes that can link at all."""
     posts = keyed.where("n > 0 and doc_id is not null").select("doc_id", "s1", F.explode("low").alias("token"))
     seen = written(posts.groupBy("token").agg(F.min("s1").alias("x"), F.max("s1").alias("y"), F.count("*").alias("df")).where("x <> y").select("token", "df"), "seen")
     frequent = seen.where(F.col("df") > OFTEN).orderBy(F.desc("df"), "token").limit(FREQUENT).toPandas()  # a bounded list
@@ -135,8 +138,8 @@ def links(docs: DataFrame, keyed: DataFrame, nodes: DataFrame, k: int, percent:
     def full(batches):
         last, rank = frequent_of.value
         for p in batches:
-            out = []
-            s1, s2, ids = p["s1"].to_pylist(), p["s2"].to_pylist(), p["doc_id"].to_pylist()
+            place, size, sets, prefixes = [], [], [], []
+            s1, s2 = p["s1"].to_pylist(), p["s2"].to_pylist()
             for i, tokens in shingle_sets(p["text"].to_pylist(), k):
                 if len(tokens) and _key(tokens) == (s1[i], s2[i]):
                     n = len(tokens)
@@ -146,84 +149,139 @@ def links(docs: DataFrame, keyed: DataFrame, nodes: DataFrame, k: int, percent:
                     weight = np.zeros(n, dtype=np.int64)
                     weight[hit] = rank[at[hit]]
                     order = np.argsort(weight, kind="stable")[: n - needed(n, percent) + 1]
-                    out.append((ids[i], n, tokens.view(np.int64).tolist(), tokens[order].view(np.int64).tolist()))
-            if out:
-                yield pa.RecordBatch.from_pydict(dict(zip(("doc_id", "n", "tokens", "prefix"), ([x[j] for x in out] for j in range(4)))), schema=_SETS)
+                    place.append(i)
+                    size.append(n)
+                    sets.append(tokens.view(np.int64))
+                    prefixes.append(tokens[order].view(np.int64))
+            if place:
+                yield pa.RecordBatch.from_pydict({"doc_id": p["doc_id"].take(pa.array(place)), "n": pa.array(size, pa.int32()), "tokens": list_column(sets), "prefix": list_column(prefixes)})
 
     sets = docs.join(near.hint("merge"), "doc_id").select("doc_id", "s1", "s2", "text").mapInArrow(full, "doc_id long, n int, tokens array<long>, prefix array<long>")
-    sets = written(sets, "sets")
+    return written(sets, "sets")
+
+
+def joined_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of the sets (doc_id, n, tokens, prefix) that link with another."""
+    groups = written(_groups(sets, percent), "groups")
+    key = ["head", "band"]
+    sizes = written(groups.groupBy(*key).agg(_cells().alias("cells")), "groupsizes")
+    g = groups.join(sizes, key)
+    own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("cells")))
+    cell = F.explode(F.when(F.col("doc_id") == F.col("head"), F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).otherwise(own))
+    first = g.select("doc_id", F.col("doc_id").alias("label"), F.lit(BOTH).alias("side"), *key, cell.alias("cell"))
+    first = first.select("doc_id", "label", "side", F.xxhash64(*key, "cell").alias("deal"))
+    found = written(_searched(first, sets, percent), "links")
+    joined = written(components(found), "joined")
+    large = sizes.where("cells > 1").select(*key)
+    if large.isEmpty():
+        return joined
+    # the cells of a large group have met its head alone: what does not hang with the rest meets them now
+    m = groups.join(large, key).join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+    m = written(m, "members")
+    labels = m.groupBy(*key, "label").agg(F.count("*").alias("c"))
+    main = labels.groupBy(*key).agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1").select(*key, "main")
+    m = m.join(main, key).withColumn("rest", F.col("label") != F.col("main"))
+    split = m.groupBy(*key, "rest").agg(_cells().alias("k")).groupBy(*key).agg(F.max(F.when(~F.col("rest"), F.col("k"))).alias("a"), F.max(F.when(F.col("rest"), F.col("k"))).alias("r"))
+    m = m.join(written(split, "split"), key)
+    task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    until = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    against = F.transform(until(F.col("r")), lambda j: task(0, F.col("mine"), j, F.lit(0)))
+    tasks = F.concat(
+        F.transform(until(F.col("a")), lambda i: task(0, i, F.col("mine"), F.lit(1))),
+        F.transform(until(F.col("r")), lambda j: task(1, F.least(j, F.col("mine")), F.greatest(j, F.col("mine")), F.when(j == F.col("mine"), BOTH).otherwise((j < F.col("mine")).cast("int")))),
+    )
+    second = m.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("a"))))
+    second = second.select("doc_id", "label", *key, F.explode(F.when(F.col("rest"), tasks).otherwise(against)).alias("t"))
+    second = second.select("doc_id", "label", "t.side", F.xxhash64(*key, "t.kind", "t.i", "t.j").alias("deal"))
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
+    more = written(components(written(_searched(second, sets, percent, parts), "more")), "rejoined")
+    every = joined.union(more.select("id", F.col("id").alias("component"))).distinct()
+    again = more.select(F.col("id").alias("component"), F.col("component").alias("low"))
+    return every.join(again, "component", "left").select("id", F.coalesce("low", "component").alias("component"))
+
+
+def _groups(sets: DataFrame, percent: int) -> DataFrame:
+    """(head, band, doc_id, n): the heads of each set's posting lists that more sets are in."""
     # a size band holds sizes within 1 / 0.8; partners are in one or in neighbouring bands
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent + 1e-9))).cast("int")
-    sized = sets.select("doc_id", "n", band.alias("band"))
-    posted = sets.select("doc_id", band.alias("band"), F.explode("prefix").alias("token"))
-    posted = posted.select("doc_id", "token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-    heads = written(posted.groupBy("token", "band").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("other")).where("head < other").select("token", "band", "head"), "heads")
-    near_edges = posted.join(heads, ["token", "band"]).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).where("a <> b").distinct()
-    blocks = written(components(near_edges), "blocks")
-    cells = _cells(blocks.join(sized, blocks["id"] == sized["doc_id"]).select("component", "doc_id", "n", "band"))
-    dealt = cells.join(sets.select("doc_id", "n", "tokens"), "doc_id").select("deal", "doc_id", "n", "tokens")
-    return dealt.groupBy("deal").applyInPandas(_search(percent), "a long, b long")
-
-
-def _posted_column(percent: int):
     n = F.col("n")
-    return F.least(n, n - F.ceil(n * percent / 100) + 1 + F.floor(n / 20))
+    band = n if percent == 100 else F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent + 1e-9))).cast("int")
+    bands = F.array(F.struct(band.alias("band"), F.lit(1).alias("home")), F.struct((band + 1).alias("band"), F.lit(0).alias("home")))
+    posted = sets.select("doc_id", "n", "prefix", F.explode(bands).alias("b")).select("doc_id", "n", "b.*", F.explode("prefix").alias("token"))
+    lists = posted.groupBy("token", "band").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.max("home").alias("home"))
+    # a list without a set of its own band is in the band below too
+    heads = written(lists.where("head < last and home = 1").select("token", "band", "head"), "heads")
+    return posted.join(heads, ["token", "band"]).select("head", "band", "doc_id", "n").distinct()
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+def _cells() -> Column:
+    """Cells for the sets (n) of a group."""
+    return F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum(F.col("n").cast("long")) / SHINGLES)).cast("long")
 
 
-def _cells(members: DataFrame) -> DataFrame:
-    """(doc_id, deal): the tasks in which a member of a block (component, doc_id, n, band) is searched.
+def _searched(dealt: DataFrame, sets: DataFrame, percent: int, parts: int | None = None) -> DataFrame:
+    """Links (a, b) of labels found in each task of dealt (doc_id, label, side, deal)."""
+    rows = dealt.join(sets.select("doc_id", "n", "tokens"), "doc_id").select("deal", "n", "doc_id", "label", "side", "tokens")
 
-    A block of one cell is one task. A larger one is split by band and hash into
-    cells, and each pair of cells of the same or neighbouring bands is a task.
-    """
-    counts = members.groupBy("component", "band").agg(F.count("*").alias("c"))
-    info = counts.groupBy("component").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("c") / CELL).cast("int").alias("k")))).alias("split"))
-    info = written(info, "blocksizes")
-    m = members.join(info, "component")
-    whole = m.where(F.col("total") <= CELL).select("doc_id", F.col("component").cast("string").alias("deal"))
-    big = m.where(F.col("total") > CELL)
-    own = F.pmod(F.xxhash64("doc_id"), F.element_at("split", F.col("band"))).cast("int")
-    name = lambda b, s: F.concat(b.cast("string"), F.lit("."), s.cast("string"))
-    pairs = F.flatten(
-        F.transform(
-            F.filter(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1), lambda b: F.map_contains_key("split", b)),
-            lambda b: F.transform(
-                F.sequence(F.lit(0), F.element_at("split", b) - 1),
-                lambda s: F.when((b < F.col("band")) | ((b == F.col("band")) & (s < F.col("own"))), F.concat(name(b, s), F.lit("/"), name(F.col("band"), F.col("own")))).otherwise(F.concat(name(F.col("band"), F.col("own")), F.lit("/"), name(b, s))),
-            ),
-        )
-    )
-    dealt = big.withColumn("own", own).select("doc_id", "component", F.explode(pairs).alias("pair"))
-    return whole.union(dealt.select("doc_id", F.concat_ws(":", F.col("component").cast("string"), "pair").alias("deal")))
+    def search(t: pa.Table, bounds: list[int]):
+        values, ends = lists_of(t["tokens"])
+        n, ids, label, side = (t[c].to_numpy() for c in ("n", "doc_id", "label", "side"))
+        found = []
+        for s, e in zip(bounds, bounds[1:]):
+            if e - s > 1:
+                order = s + np.lexsort((ids[s:e], n[s:e]))
+                pairs = t_occurrence([values[ends[i] : ends[i + 1]] for i in order.tolist()], percent, label[order], side[order])
+                found += [(label[order[i]], label[order[j]]) for i, j in pairs]
+        if found:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    return sorted_runs(rows, "deal", search, "a long, b long", parts)
 
-def _search(percent: int):
-    def search(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["n", "doc_id"])
-        ids, sets = p["doc_id"].tolist(), [np.asarray(x, dtype=np.int64) for x in p["tokens"]]
-        return pd.DataFrame([(ids[i], ids[j]) for i, j in t_occurrence(sets, percent)], columns=["a", "b"], dtype="int64")
 
-    return search
+def _posted_column(percent: int) -> Column:
+    n = F.col("n")
+    return F.least(n, n - F.ceil(n * percent / 100) + 1 + F.floor(n / 20))
 
 
-def t_occurrence(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Pairs of places in sets (in order of size) that link and connect all that do."""
-    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-    tokens, which = np.unique(np.concatenate(sets), return_inverse=True)
+#: Sides of a task's sets: those of sides 0 and 1 are compared across, BOTH with all.
+BOTH = -1
+
+
+def t_occurrence(sets: list[np.ndarray], percent: int, label: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of places in sets (in order of size) that link and connect all that do.
+
+    Sets with one label are known to hang together; sets of one side (0 or 1) are not compared.
+    """
+    many = len(sets)
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=many)
+    owner = np.repeat(np.arange(many), sizes)
+    tokens, which, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held[which] > 1  # a shingle of one set alone is in no list
+    which, owner = which[shared], owner[shared]
+    ends = np.cumsum(np.bincount(owner, minlength=many))
     by_list = np.argsort(which, kind="stable")
     postings = owner[by_list]  # the lists one after another, each in order
+    probes = which[by_list] * many + postings  # ascending: a binary search in a list is one in all
     begins = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(tokens)))])
-    starts = np.cumsum(sizes) - sizes
-    comp = np.arange(len(sets))  # kept flat: the component of each place
-    members = {i: [i] for i in range(len(sets))}
-    out = []
+    # each list from the first set that is not too small to the last before the current one
+    front, back = begins[:-1].copy(), begins[:-1].copy()
+    comp = np.arange(many) if label is None else np.unique(label, return_inverse=True)[1]
+    members = {int(c): np.flatnonzero(comp == c).tolist() for c in np.unique(comp)}
+    side = np.full(many, BOTH) if side is None else side
+    out: list[tuple[int, int]] = []
+
+    def of(q: int) -> np.ndarray:
+        return which[ends[q - 1] if q else 0 : ends[q]]
+
+    def found(lists: np.ndarray, c: int) -> int:
+        """How many of the lists hold c, by binary search."""
+        key = lists * many + c
+        at = np.searchsorted(probes, key)
+        at[at == len(probes)] = 0
+        return int((probes[at] == key).sum())
 
     def join(q: int, c: int) -> None:
-        a, b = comp[q], comp[c]
+        a, b = int(comp[q]), int(comp[c])
         if len(members[a]) < len(members[b]):
             a, b = b, a
         moved = members.pop(b)
@@ -231,50 +289,54 @@ def t_occurrence(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         members[a] += moved
         out.append((c, q))
 
-    largest = 0
-    for q in range(len(sets)):
-        n = int(sizes[q])
+    def compared(q: int, places: np.ndarray) -> np.ndarray:
+        return (comp[places] != comp[q]) & ((side[places] != side[q]) | (side[q] == BOTH))
+
+    largest, low = 0, 0
+    for q in range(many):
+        n, lists = int(sizes[q]), of(q)
         t = needed(n, percent)
-        low = int(np.searchsorted(sizes, t))  # smaller ones can't share enough
-        if low >= q:
-            continue
-        # the head of the largest component, by a plain merge: copies end here
-        head = members[comp[largest]][0]
-        if low <= head < q and comp[head] != comp[q]:
-            both = len(np.intersect1d(sets[q], sets[head], assume_unique=True))
-            if 100 * both >= percent * (n + int(sizes[head]) - both):
-                join(q, head)
-        if not (comp[low:q] != comp[q]).any():
-            continue
-        lists = []
-        for w in which[starts[q] : starts[q] + n]:
-            x = postings[begins[w] : begins[w + 1]]
-            a, b = np.searchsorted(x, (low, q))
-            if a < b:
-                lists.append(x[a:b])
-        if len(lists) >= t:
-            lists.sort(key=len)
-            aside = min(t - 1, int(t / (MU * log2(len(lists[-1]) + 1) + 1)))
-            short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-            for c, count in _merged(short, comp, comp[q], t - aside):
-                if comp[c] == comp[q]:
-                    continue
-                for x in long:
-                    i = bisect_left(x, c)
-                    count += i < len(x) and x[i] == c
-                if 100 * count >= percent * (n + int(sizes[c]) - count):
-                    join(q, c)
-        if len(members[comp[q]]) > len(members[comp[largest]]):
+        while sizes[low] < t:  # too small from here on
+            front[of(low)] += 1
+            low += 1
+        if len(lists) >= t and low < q and compared(q, np.arange(low, q)).any():
+            # the head of the largest component first: copies end here
+            head = members[int(comp[largest])][0]
+            if low <= head < q and compared(q, np.array([head])).any():
+                both = found(lists, head)
+                if 100 * both >= percent * (n + int(sizes[head]) - both):
+                    join(q, head)
+            length = back[lists] - front[lists]
+            order = np.argsort(length, kind="stable")
+            own = lists[order][np.searchsorted(length[order], 1) :]
+            if len(own) >= t:
+                length = back[own] - front[own]
+                aside = min(t - 1, int(t / (MU * log2(int(length[-1]) + 1) + 1)))
+                short, long = own[: len(own) - aside], own[len(own) - aside :]
+                for c, count in _merged(postings, front[short], back[short], lambda x: compared(q, x), t - aside):
+                    if comp[c] == comp[q]:
+                        continue
+                    count += found(long, c)
+                    if 100 * count >= percent * (n + int(sizes[c]) - count):
+                        join(q, c)
+        back[lists] += 1
+        if len(members[int(comp[q])]) > len(members[int(comp[largest])]):
             largest = q
     return out
 
 
-def _merged(short: list[np.ndarray], comp: np.ndarray, own: int, least: int) -> list[tuple[int, int]]:
-    """Places outside a component that occur in so many lists at least, with their counts."""
-    kept = [y for x in short if len(y := x[comp[x] != own])]
-    if sum(map(len, kept)) <= 2000:
-        counts = ((c, sum(1 for _ in g)) for c, g in groupby(heapq.merge(*(x.tolist() for x in kept))))
+def _merged(postings: np.ndarray, front: np.ndarray, back: np.ndarray, compared, least: int) -> list[tuple[int, int]]:
+    """Places to compare with that occur in so many of the lists postings[front:back] at least, with their counts."""
+    length = back - front
+    starts = np.cumsum(length) - length
+    places = postings[np.arange(int(length.sum())) + np.repeat(front - starts, length)]
+    use = compared(places)
+    if not use.any():
+        return []
+    places, of_list = places[use], np.repeat(np.arange(len(length)), length)[use]
+    if len(places) <= HEAP:
+        runs = np.split(places, np.flatnonzero(np.diff(of_list)) + 1)
+        counts = ((c, sum(1 for _ in g)) for c, g in groupby(heapq.merge(*(x.tolist() for x in runs))))
         return [(c, m) for c, m in counts if m >= least]
-    # numpy's stable sort merges the sorted runs, as the heap does
-    places, counts = np.unique(np.sort(np.concatenate(kept), kind="stable"), return_counts=True)
-    return [(int(c), int(m)) for c, m in zip(places, counts) if m >= least]
+    found, counts = np.unique(np.sort(places, kind="stable"), return_counts=True)
+    return [(int(c), int(m)) for c, m in zip(found, counts) if m >= least]

@@ -16,7 +16,7 @@ def shingles(t, k=5):
     return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
 
 
-def brute(rows):
+def brute(rows, percent=80):
     sets = [shingles(t) for _, t in rows]
     comp = {d: d for d, _ in rows if d is not None}
 
@@ -28,7 +28,7 @@ def brute(rows):
     for i, (a, _) in enumerate(rows):
         for j in range(i):
             b = rows[j][0]
-            if a is not None and b is not None and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            if a is not None and b is not None and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 x, y = sorted((root(a), root(b)))
                 comp[y] = x
     return sorted(((d, len(s), root(d) if d is not None else None) for (d, _), s in zip(rows, sets)), key=str)
@@ -52,11 +52,11 @@ def corpus(seed=3):
 
 def test_against_brute_force(spark):
     rows = corpus()
-    for cell in (1024, 3):
+    for cell in (256, 3):
         jaccard.CELL = cell
         got = shingle_components(spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, n int, band string"))
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(rows)
-    jaccard.CELL = 1024
+    jaccard.CELL = 256
 
 
 def test_empty(spark):
@@ -85,3 +85,18 @@ def test_t_occurrence_links_are_complete():
         got = t_occurrence(sets, 80)
         assert all(link(sets[a], sets[b]) for a, b in got)
         assert closed(got) == closed([(a, b) for a in range(len(sets)) for b in range(a) if link(sets[a], sets[b])])
+
+
+def test_other_likeness_and_very_long_texts(spark):
+    rows = corpus(4)[:60] + [(6000, " ".join(f"w{i % 997}x{i}" for i in range(30000))), (6001, " ".join(f"w{i % 997}x{i}" for i in range(1000, 30000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (100, 90):
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in shingle_components(df, percent=percent).collect()), key=str) == brute(rows, percent)
+
+
+def test_sides_and_labels():
+    sets = [np.arange(10), np.arange(10) + (np.arange(10) > 8) * 100, np.arange(11), np.arange(11) + (np.arange(11) > 9) * 50]
+    assert len(t_occurrence(sets, 60)) == 3
+    assert t_occurrence(sets, 60, np.array([7, 7, 7, 7])) == []
+    assert t_occurrence(sets, 60, None, np.zeros(4, dtype=int)) == []
+    assert {tuple(sorted((a in (0, 1), b in (0, 1)))) for a, b in t_occurrence(sets, 60, None, np.array([0, 0, 1, 1]))} == {(False, True)}
