@@ -22,10 +22,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only where a local session names none (tests) a temporary folder is set; a cluster
+    must name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="evalloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
