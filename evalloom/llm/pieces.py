@@ -7,10 +7,15 @@ together: at each place the hashes of the substrings that end there probe the so
 hashes of pieces of that length, and the maximum of the candidates is stored with
 the length that gave it. Characters that no piece covers are bytes (or unknown).
 
-Scores of a merge model (BPE) are ranks. Segmentations are by largest sum all the
-same, as asked for; the ids decode exactly but can differ from those of merging.
-
-Cases: null text has null pieces, empty text none; texts are encoded whole.
+The file's trainer settings say what its scores are. Those of a unigram model are
+log-probabilities. Those of a merge model (BPE) are ranks: a piece of rank r gets the
+log-probability of Zipf's and Mandelbrot's law, 1 / (r + MANDELBROT) over their sum,
+a rule that nothing is fitted for. Ids of a merge model decode exactly but can differ
+from those of merging, which no sum of scores gives.
+
+Cases: null text has null pieces, empty text none; texts are encoded whole; of
+segmentations with one sum the one whose last piece is shortest; repeated rows are
+encoded each.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words kept with their pieces between batches of a task.
 CACHE = 200_000
+#: Shift of the ranks of a merge model in the law of its log-probabilities.
+MANDELBROT = 50.0
 
 
 def fields(data: bytes):
@@ -63,10 +70,11 @@ class Pieces:
     """A model file's pieces and its segmentation of texts."""
 
     NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+    UNIGRAM, BPE = 1, 2
 
     def __init__(self, model: bytes):
         self.pieces, self.scores, self.kinds = [], [], []
-        self.dummy_prefix, self.squeeze, self.byte_fallback = True, True, False
+        self.dummy_prefix, self.squeeze, self.byte_fallback, self.model_type = True, True, False, self.UNIGRAM
         for number, value in fields(model):
             if number == 1:
                 piece, score, kind = "", 0.0, self.NORMAL
@@ -81,7 +89,8 @@ class Pieces:
                 self.scores.append(score)
                 self.kinds.append(kind)
             elif number == 2:
-                self.byte_fallback = dict(fields(value)).get(35, 0) == 1
+                spec = dict(fields(value))
+                self.byte_fallback, self.model_type = spec.get(35, 0) == 1, spec.get(3, self.UNIGRAM)
             elif number == 3:
                 spec = dict(fields(value))
                 self.dummy_prefix, self.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
@@ -92,6 +101,13 @@ class Pieces:
         usable = [(p, i) for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (self.NORMAL, self.USER) and p]
         if any(SPACE in p.lstrip(SPACE) for p, _ in usable):
             raise ValueError("a piece has a space inside: words can't be segmented alone")
+        if self.model_type == self.BPE:
+            ranked = sorted((i for _, i in usable), key=lambda i: (-self.scores[i], i))
+            weight = 1 / (np.arange(1, len(ranked) + 1) + MANDELBROT)
+            for i, s in zip(ranked, np.log(weight / weight.sum()).tolist()):
+                self.scores[i] = s
+        elif self.model_type != self.UNIGRAM:
+            raise ValueError("only unigram and merge models have scores to sum")
         self.unknown_score = min(self.scores[i] for _, i in usable) - 10.0
         self.longest = max(len(p) for p, _ in usable)
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}

@@ -50,7 +50,9 @@ def test_same_sums_as_the_library_with_the_same_pieces(pieces):
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     m = pb.ModelProto()
     m.ParseFromString(open(MODEL, "rb").read())
-    m.trainer_spec.model_type = 1  # the same pieces and scores, segmented by their sum
+    m.trainer_spec.model_type = 1  # the same pieces, segmented by the sum of the scores they have here
+    for piece, score in zip(m.pieces, pieces.scores):
+        piece.score = score
     lib = sp.SentencePieceProcessor(model_proto=m.SerializeToString())
     rng = random.Random(9)
     texts = TEXTS[:8] + [" ".join("".join(rng.choice("thaeinosrdl") for _ in range(rng.randrange(1, 14))) for _ in range(3)) for _ in range(200)]  # short: the library sums in 32 bits
