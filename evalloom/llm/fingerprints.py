@@ -9,7 +9,8 @@ A to B is the part of A's weight whose chunks B has too.
 
 Cases: null text is empty; an empty text has an empty fingerprint, like another
 only if that is empty too (1). Rows with a null doc_id come last in descending
-order; rows with one doc_id are ordered by text.
+order; rows with one doc_id (or none) are ordered by a hash of their text, so that
+many of them are split too; only equal rows are never split.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ import hashlib
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, range_hashes
+from .common import mixed, range_hashes, written
 
 #: Chunk sizes in bytes.
 LEAST, NORMAL, MOST = 12, 40, 160
@@ -99,52 +101,63 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - k] + other[:k]
 
 
-def _place(ends: list[int], value: Column) -> Column:
-    """How many of the descending ends are not below the value, found in two steps of about the root of their number."""
-    if not ends:
-        return F.lit(0)
-    step = max(1, int(len(ends) ** 0.5))
-    blocks = [ends[i : i + step] for i in range(0, len(ends), step)]
-    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
-    over = F.size(F.filter(longs([b[-1] for b in blocks]), lambda e: e >= value))  # whole blocks
-    inside = F.try_element_at(F.array(*(longs(b) for b in blocks)), over + 1)
-    return over * step + F.coalesce(F.size(F.filter(inside, lambda e: e >= value)), F.lit(0))
+def _parts(ends: tuple[np.ndarray, np.ndarray, np.ndarray], doc_id: np.ndarray, none: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """How many of the sorted keys ends (null last, descending id, hash) are not behind each row's key."""
+    e_none, e_id, e_th = ends
+    out = np.zeros(len(th), dtype=np.int32)
+    last = int(e_none.sum())  # ends of rows without id come last
+    with_id = -e_id[: len(e_id) - last]  # ascending
+    rows = np.flatnonzero(~none)
+    low, high = (np.searchsorted(with_id, -doc_id[rows], side) for side in ("left", "right"))
+    out[rows] = low
+    for i in np.flatnonzero(low < high):  # the few rows whose id is an end's
+        out[rows[i]] = low[i] + np.searchsorted(e_th[low[i] : high[i]], th[rows[i]], "right")
+    out[none] = len(with_id) + np.searchsorted(e_th[len(with_id) :], th[none], "right")
+    return out
 
 
-def with_next(docs: DataFrame, rows: int = 400, most: int = 10_000) -> DataFrame:
-    """Rows (part, lead, doc_id, text) in which every document stands before its next one.
+def with_next(docs: DataFrame, part_bytes: int = 1 << 21, few: int = 512, large_bytes: int = 1 << 26) -> DataFrame:
+    """Rows (part, lead, doc_id, th, text) in which every document stands before its next one.
 
-    Parts are ranges of descending doc_id of about so many rows; their ends, at most
-    `most`, are the only thing that the driver sees. The first document of a part is
-    copied to the end of the part before it (of the first, to the last part), with
-    lead = 1. Texts are moved once.
+    Parts are ranges of (descending doc_id, text hash th) of about part_bytes of text, beyond
+    `few` of them of large_bytes. Their first keys, three numbers for each part, are the only
+    thing that the driver sees and sends. The first document of a part is copied to the end
+    of the part before it (of the first, to the last part), with lead = 1. Texts are moved once.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = d.where("doc_id is not null")
-    parts = max(1, min(most, -(-ids.count() // rows)))
-    at = [i / parts for i in range(1, parts)]
-    ends = sorted(set(ids.select(F.percentile_approx("doc_id", at, max(10_000, 10 * parts))).first()[0] or []), reverse=True) if at else []
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(ends))).otherwise(_place(ends, F.col("doc_id")))
-    d = d.withColumn("part", part.cast("int"))
-    firsts = d.groupBy("part").agg(F.max("doc_id").alias("first")).orderBy("part").collect()  # a row for each part
-    if not firsts:
-        return d.select("part", F.lit(0).alias("lead"), "doc_id", "text")
-    before = {r["part"]: firsts[i - 1]["part"] for i, r in enumerate(firsts)}
-    table = d.sparkSession.createDataFrame([(r["part"], r["first"], before[r["part"]]) for r in firsts], "f_part int, first long, before int")
-    d = d.join(F.broadcast(table), (F.col("part") == F.col("f_part")) & F.col("doc_id").eqNullSafe(F.col("first")), "left")
+    d = d.withColumn("th", F.xxhash64("text"))
+    keys = written(d.select("doc_id", "th", F.octet_length("text").alias("size")), "textkeys")
+    total = keys.agg(F.sum("size")).first()[0]
+    if total is None:
+        return d.select(F.lit(0).alias("part"), F.lit(0).alias("lead"), "doc_id", "th", "text")
+    parts = max(1, min(few, total // part_bytes), total // large_bytes)
+    order = [F.desc_nulls_last("doc_id"), F.asc("th")]
+    key = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), "th")
+    ranges = keys.repartitionByRange(parts, *order).groupBy(F.spark_partition_id().alias("pid")).agg(F.min(key).alias("first"))
+    firsts = sorted((r["first"]["none"], r["first"]["down"] or 0, r["first"]["th"]) for r in ranges.collect())  # a row for each part
+    ends = (np.array([f[0] for f in firsts]), -np.array([f[1] for f in firsts], dtype=np.int64), np.array([f[2] for f in firsts], dtype=np.int64))
+    sent = d.sparkSession.sparkContext.broadcast(ends)
+
+    @F.pandas_udf("int")
+    def place(doc_id: pd.Series, none: pd.Series, th: pd.Series) -> pd.Series:
+        return pd.Series(_parts(sent.value, doc_id.to_numpy(), none.to_numpy(), th.to_numpy()) - 1)
+
+    table = d.sparkSession.createDataFrame([(i, None if n else -down, th, (i - 1) % len(firsts)) for i, (n, down, th) in enumerate(firsts)], "f_part int, f_id long, f_th long, before int")
+    d = d.withColumn("part", place(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "th"))
+    d = d.join(F.broadcast(table), (F.col("part") == F.col("f_part")) & F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left")
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("lead"))
     ahead = F.struct(F.col("before").alias("part"), F.lit(1).alias("lead"))
-    dealt = d.select(F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, ahead))).alias("p"), "doc_id", "text")
-    return dealt.select("p.part", "p.lead", "doc_id", "text")
+    dealt = d.select(F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, ahead))).alias("p"), "doc_id", "th", "text")
+    return dealt.select("p.part", "p.lead", "doc_id", "th", "text")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, part_bytes: int = 1 << 21) -> DataFrame:
     """Per row of docs (doc_id, text): its fingerprint, that of its edited text, and their likenesses.
 
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)
     """
-    rows = with_next(docs)
-    rows = rows.repartition("part").sortWithinPartitions("part", "lead", F.desc_nulls_last("doc_id"), "text")
+    rows = with_next(docs, part_bytes)
+    rows = rows.repartition("part").sortWithinPartitions("part", "lead", F.desc_nulls_last("doc_id"), "th", "text")
 
     def pairs(batches):
         """Each document, its fingerprint, and those of the next."""

@@ -46,15 +46,18 @@ def test_against_brute_force(spark):
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(4))
     rows = [(i * 17 % 3001 - 50, " ".join(word() for _ in range(rng.choice([0, 1, 5, 80, 300])))) for i in range(1000)]
     rows += [(5000, None), (None, "zz " * 40), (rows[3][0], "another text of this id"), (6000, "x" * 200_000)]
-    got = fingerprints(spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, part int, lead int")).collect()
-    order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    rows += [(7000, f"hot {i} " * 30) for i in range(50)] + [(None, f"hot {i} " * 20) for i in range(50)] + [(7001, "same " * 50)] * 5 + [(2**60 + 1, "large id")]
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, part int, lead int")
+    th = {r.t: r.h for r in df.selectExpr("coalesce(text, '') AS t", "xxhash64(coalesce(text, '')) AS h").collect()}
+    order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), th[r[1]]))
     want = []
     for i, (d, t) in enumerate(order):
         nxt = order[(i + 1) % len(order)][1]
         new = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
         f = fingerprint(t)
         want.append((d, len(t), hashlib.sha256(new.encode()).hexdigest(), written_out(f), written_out(fingerprint(new)), containment(f, fingerprint(new)), containment(f, fingerprint(nxt))))
-    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    for part_bytes in (1 << 21, 20_000, 2_000):
+        assert sorted(map(tuple, fingerprints(df, part_bytes).collect()), key=str) == sorted(want, key=str)
 
 
 def test_small_tables(spark):
