@@ -2,15 +2,18 @@
 
 A list is a log of dated entries: from its date on, a pattern (a host name, which
 also covers the hosts below it) is blocked, allowed, or taken off the list. Each
-pattern's log becomes validity intervals, and every capture is judged by the entries
-that were active when it was fetched. The longest pattern decides.
+pattern's log becomes validity intervals in order of date, and an as-of join takes
+the one interval that had begun last when a capture was fetched. The longest pattern
+with an active entry decides.
 
 Captures are first reduced to different hosts and days, so that a host with a third
-of all captures is joined once a day.
+of all captures is joined once a day. A pattern's log is one row, an entry a day at
+most, so each host and day meets it once, however long it is.
 
 Cases: null or unreadable URLs have an empty host, and null dates no active entry:
 both pass; entries without pattern or date are ignored; of one pattern's entries of
-one day the strictest holds (block, then allow, then remove).
+one day the strictest holds (block, then allow, then remove); repeated captures are
+returned each.
 """
 
 from __future__ import annotations
@@ -42,8 +45,11 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     labels = F.split("host", r"\.")
     below = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     tried = days.where("host <> ''").select("host", "fetched", F.explode(below).alias("pattern"))
-    valid = written(intervals(entries), "intervals")
-    active = tried.join(valid, "pattern").where((F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))))
+    log = F.array_sort(F.collect_list(F.struct("valid_from", "valid_to", "action")))  # an entry a day at most
+    logs = written(intervals(entries).groupBy("pattern").agg(log.alias("log")), "intervals")
+    as_of = F.get("log", F.size(F.filter("log", lambda e: e["valid_from"] <= F.col("fetched"))) - 1)  # the last that has begun
+    begun = tried.join(logs, "pattern").select("host", "fetched", "pattern", as_of.alias("e")).select("host", "fetched", "pattern", "e.*")
+    active = begun.where(F.col("valid_from").isNotNull()).where(F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
     # a host has few patterns: one for each of its labels
     best = active.groupBy("host", "fetched").agg(F.max_by(F.struct("pattern", "action", "valid_from"), F.length("pattern")).alias("m"))
     best = written(best.select("host", "fetched", "m.*"), "verdicts")
