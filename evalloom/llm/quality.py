@@ -6,13 +6,16 @@ learns, from labels of whole documents, an encoding of passages, gated attention
 weights (tanh times sigmoid) and the score of the weighted mean encoding.
 
 The network is fitted on at most `sample` labelled documents, chosen by a hash of
-their ids; all passages of a chosen document are used. Scoring is a map over all
-texts and needs nothing but the text.
+their ids, and at most `most` passages of each, evenly spread over the whole text:
+both bound what the driver holds (124 MB). Scoring is a map over all texts, uses all
+their passages and needs nothing but the text.
 
 Cases: null and empty texts are one empty passage and get a score like others;
 labels that are null, and labels of documents that aren't there, are left out; of
-several labels of one document the smallest counts; without both labels in the
-sample every text scores the share of ones (or 0.5).
+several labels of one document the smallest counts; of rows with one doc_id one is
+fitted on and each is scored; very long texts are scored whole, passage by passage;
+extra columns are not read; without both labels in the sample every text scores the
+share of ones (or 0.5).
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from .common import Words, chunks
 PASSAGE = 64
 #: Labelled documents to fit on, at most.
 SAMPLE = 6000
+#: Passages of each to fit on, at most.
+MOST = 64
 
 KINDS = 12
 FEATURES = KINDS * KINDS + KINDS + 6
@@ -177,7 +182,7 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST) -> Model:
     """The model of labels (doc_id, quality) that aren't held out, from docs (doc_id, text)."""
     chosen = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     chosen = chosen.where(~held_out(F.col("doc_id"))).withColumnRenamed("doc_id", "label_id")
@@ -192,9 +197,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             for at, held in chunks(texts):
                 x, bag = passages(held)
                 ends = np.searchsorted(bag, np.arange(len(held) + 1))
-                yield pd.DataFrame({"doc_id": p["doc_id"].iloc[at : at + len(held)], "y": p["y"].iloc[at : at + len(held)], "x": [x[ends[i] : ends[i + 1]].astype(np.float16).tobytes() for i in range(len(held))]})
+                use = [np.unique(np.linspace(ends[i], ends[i + 1] - 1, most).astype(np.int64)) for i in range(len(held))]
+                yield pd.DataFrame({"doc_id": p["doc_id"].iloc[at : at + len(held)], "y": p["y"].iloc[at : at + len(held)], "x": [x[rows].astype(np.float16).tobytes() for rows in use]})
 
-    encoded = d.mapInPandas(encode, "doc_id long, y int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample)
+    encoded = d.mapInPandas(encode, "doc_id long, y int, x binary").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x"))
+    encoded = encoded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     got = encoded.toPandas()
     bags = [np.frombuffer(b, dtype=np.float16).astype(np.float32).reshape(-1, FEATURES) for b in got["x"]]
     if not bags:
