@@ -62,13 +62,15 @@ SPANS = "array<struct<start:int,kind:int,end:int>>"
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """Spans of a rule's matches in code points, leftmost and non-overlapping.
 
-    A match is the first place of its string behind the match before: the pattern
-    would have matched at any earlier place.
+    The text is split at the matches: the lengths of what stands between them and of
+    themselves add up to their places, so that no text is searched from its start again.
     """
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    found = F.zip_with(F.split(text, rule.pattern, -1), matches, lambda gap, m: F.struct(F.char_length(gap).alias("gap"), m.alias("m")))
+    found = F.slice(found, F.lit(1), F.size(matches))  # nothing follows the last gap
 
-    def add(acc: Column, m: Column) -> Column:
-        start = F.position(m, text, acc["end"] + 1) - 1
+    def add(acc: Column, x: Column) -> Column:
+        m, start = x["m"], acc["end"] + x["gap"]
         end = start + F.char_length(m)
         span = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end")))
         value = F.regexp_extract(m, rule.pattern, rule.group) if rule.group else m
