@@ -17,7 +17,8 @@ Of documents with one text only the first is looked into.
 
 Cases: null text and empty text are no words; a null doc_id has no place in the
 order, so nothing is removed from it or because of it; rows with one doc_id and
-the same or another text are one document for the order, and each is returned.
+the same or another text are one document for the order, and each is returned; a
+very long text is read whole, and its lists are as long as it is.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, chunks, forget, mixed, range_hashes, written
@@ -96,7 +97,7 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     # an anchor is once in a document: its list is no longer than the document
     known = each.join(shared.hint("merge"), "anchor").groupBy("doc_id", "tk").agg(F.collect_list("anchor").alias("anchors"))
     known = known.join(copies, ["doc_id", "tk"], "left_anti")
-    known = written(known.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("tk"))), "known")
+    known = written(known, "known")
     forget(groups, each, shared)
 
     def first_level(batches):
@@ -106,28 +107,28 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
                 at = np.flatnonzero(np.isin(a, np.asarray(known_of[i], dtype=np.int64).view(np.uint64)))
                 if len(at):
                     own, own2 = (x[words.first[k] : words.first[k + 1]] for x in (h, _second(words)))
-                    out.append((p["doc_id"].iat[i], p["nth"].iat[i], at, _window(own, at, length, 0), _window(own2, at, length, 1) >> 32))
+                    out.append((p["doc_id"].iat[i], p["tk"].iat[i], at, _window(own, at, length, 0), _window(own2, at, length, 1) >> 32))
                 if len(out) == 500:
-                    yield pd.DataFrame(out, columns=["doc_id", "nth", "at", "a", "b"])
+                    yield pd.DataFrame(out, columns=["doc_id", "tk", "at", "a", "b"])
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "nth", "at", "a", "b"])
+                yield pd.DataFrame(out, columns=["doc_id", "tk", "at", "a", "b"])
 
-    state = docs.join(known.hint("merge"), ["doc_id", "tk"]).select("doc_id", "nth", "text", "anchors").mapInPandas(first_level, _STATE)
+    state = docs.join(known.hint("merge"), ["doc_id", "tk"]).select("doc_id", "tk", "text", "anchors").mapInPandas(first_level, _STATE)
     level, marks, spent = length, [], []
     while True:
         state = written(state, f"level{level}")
-        rows = state.select("doc_id", "nth", F.explode(F.arrays_zip("at", "a", "b")).alias("w")).select("doc_id", "nth", "w.at", "w.a", "w.b")
+        rows = state.select("doc_id", "tk", F.explode(F.arrays_zip("at", "a", "b")).alias("w")).select("doc_id", "tk", "w.at", "w.a", "w.b")
         groups = written(rows.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "b", "low"), f"groups{level}")
         # the second hash, the place and whether an earlier document has the window, in one number
         packed = F.shiftleft(F.col("b").cast("long"), 32) + F.shiftleft(F.col("at").cast("long"), 1) + (F.col("doc_id") > F.col("low")).cast("long")
-        hits = rows.join(groups.hint("merge"), ["a", "b"]).groupBy("doc_id", "nth").agg(F.collect_list(F.struct("a", packed.alias("q"))).alias("w"))
+        hits = rows.join(groups.hint("merge"), ["a", "b"]).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("a", packed.alias("q"))).alias("w"))
         hits = written(hits, f"hits{level}")
         forget(state, groups, *spent)
         if hits.isEmpty():
             break
         places = F.transform(F.filter("w", lambda w: w["q"] % 2 != 0), lambda w: F.shiftright(w["q"].bitwiseAND(0xFFFFFFFF), 1).cast("int"))
-        later = hits.select("doc_id", "nth", F.lit(level).cast("long").alias("level"), places.alias("at")).where("size(at) > 0")
+        later = hits.select("doc_id", "tk", F.lit(level).cast("long").alias("level"), places.alias("at")).where("size(at) > 0")
         marks.append(written(later if level == length else later.withColumn("at", F.array().cast("array<int>")), "marks"))
         spent = [hits]
         state = hits.mapInArrow(_doubled(level), _STATE)
@@ -138,14 +139,14 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def merged(batches):
         for p in batches:
-            yield pd.DataFrame({"doc_id": p["doc_id"], "nth": p["nth"], "spans": [_ranges(x, length) for x in p["at"]], "longest": p["longest"]})
+            yield pd.DataFrame({"doc_id": p["doc_id"], "tk": p["tk"], "spans": [_ranges(x, length) for x in p["at"]], "longest": p["longest"]})
 
-    found = reduce(DataFrame.union, marks).groupBy("doc_id", "nth").agg(F.max("level").alias("longest"), F.flatten(F.collect_list("at")).alias("at"))
-    found = found.mapInPandas(merged, "doc_id long, nth int, spans array<struct<start:int,end:int>>, longest long")
-    return found.join(known.select("doc_id", "nth", "tk"), ["doc_id", "nth"]).select("doc_id", "tk", "spans", "longest").union(whole)
+    found = reduce(DataFrame.union, marks).groupBy("doc_id", "tk").agg(F.max("level").alias("longest"), F.flatten(F.collect_list("at")).alias("at"))
+    found = found.mapInPandas(merged, "doc_id long, tk long, spans array<struct<start:int,end:int>>, longest long")
+    return found.select("doc_id", "tk", "spans", "longest").union(whole)
 
 
-_STATE = "doc_id long, nth int, at array<int>, a array<long>, b array<int>"
+_STATE = "doc_id long, tk long, at array<int>, a array<long>, b array<int>"
 #: The end of the span of a copy of an earlier document: all its words, if they are a window at least.
 WHOLE = 2**31 - 1
 
@@ -169,7 +170,7 @@ def _doubled(level: int):
             ends = w.offsets.to_numpy()
             values = w.values
             all_a, all_q = (values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            ids, nth = p["doc_id"].to_pylist(), p["nth"].to_pylist()
+            ids, tks = p["doc_id"].to_pylist(), p["tk"].to_pylist()
             out = []
             for i in range(len(ids)):
                 q, a = all_q[ends[i] : ends[i + 1]], all_a[ends[i] : ends[i + 1]].view(np.uint64)
@@ -181,14 +182,14 @@ def _doubled(level: int):
                 if len(ok):
                     j = behind[ok]
                     a, b = (mixed(mixed(x[ok]) + x[j] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) for x in (a, b))
-                    out.append((ids[i], nth[i], at[ok].astype(np.int32), a, (b >> 32).astype(np.int32)))
+                    out.append((ids[i], tks[i], at[ok].astype(np.int32), a, (b >> 32).astype(np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _STATE_ARROW)], schema=_STATE_ARROW)
 
     return step
 
 
-_STATE_ARROW = pa.schema([("doc_id", pa.int64()), ("nth", pa.int32()), ("at", pa.list_(pa.int32())), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int32()))])
+_STATE_ARROW = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("at", pa.list_(pa.int32())), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int32()))])
 
 
 def _ranges(at, length: int) -> list[dict]:
