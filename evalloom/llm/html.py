@@ -2,20 +2,22 @@
 
 Pages are cut into lines, one for each block of text. Within each host every page is
 paired with the page next to it in order of URL path, the one of its two neighbours
-that shares the longer start; the lines of both are aligned by longest common
-subsequence, and lines that both hold are shared lines. Shared lines are deleted,
-except inside the article element of a page that has one: there, repeated text is the
-page's own. Structure that is never text (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, comments, hidden parts) is left out in any case; on a page
-with an article element so is what stands outside of it. An element that is left out
-and holds the page's only article loses its other text, not the article.
+that shares the longer start; all lines of both, menus and all, are aligned by longest
+common subsequence, and lines that both hold are shared lines. Shared lines are
+deleted, unless both pages hold them inside their article element: articles repeat
+and quote each other, and such text is the page's own. Structure that is never text
+(menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments, hidden
+parts) is left out in any case; on a page with an article element so is what stands
+outside of it. An element that is left out and holds the page's only article loses its
+other text, not the article.
 
 The order of URLs is made by range partitioning, and neighbours across partitions by
 a row for each partition, so that a host with a third of all pages is no one task's.
 
 Cases: null html is empty and gives an empty text; null or unreadable URLs are one
 host with the whole URL as path; equal rows are one page for pairing, and each is
-returned; cut-off and badly nested pages are read as far as they go.
+returned; of two neighbours that share equally long starts the one before counts;
+cut-off and badly nested pages are read as far as they go.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import range_hashes, written
 
 # Elements and names by what they are for.
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option button canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object select option button canvas audio video".split())
 BOILERPLATE = frozenset("head nav footer aside form menu dialog".split())
 BLOCKS = frozenset(
     "html body main article section header div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary fieldset hr center hgroup"
@@ -62,6 +64,8 @@ RAW_ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Why an element is left out; the numbers grow with how surely.
 FORM, NAMED, STRUCTURE, OF_OTHERS = 1, 2, 3, 4
+# What a block is: menus and the like, text outside of an article, text of the article.
+LEFT_OUT, AROUND, ARTICLE = 0, 1, 2
 
 
 def _flags(tag: str, attributes: str, in_main: bool) -> tuple[int, bool]:
@@ -95,29 +99,34 @@ def _flags(tag: str, attributes: str, in_main: bool) -> tuple[int, bool]:
     return skip, main and not skip
 
 
-def _chosen(blocks: list[tuple[str, bool, int, int]]) -> list[tuple[str, bool]]:
-    """Of all blocks (text, inside an article, why left out outside of it and inside) those of the page."""
-    words = lambda x: sum(t.count(" ") + 1 for t, *_ in x)
-    found = [(t, m, why) for t, m, why, own in blocks if not own]
-    form = [t for t, _, _, own in blocks if own == FORM]
-    if form and words([(t,) for t in form]) > words([x for x in found if x[1]]):  # a form around the article's text
-        found = [(t, m, why) for t, m, why, _ in blocks]
-    free = [(t, m) for t, m, why in found if not why]
-    if any(m for _, m in free):
+def _chosen(blocks: list[tuple[str, bool, int, int]]) -> dict[int, bool]:
+    """Of all blocks (text, inside an article, why left out outside of it and inside) the places of the page's, and whether they are the article's."""
+    words = lambda x: sum(blocks[i][0].count(" ") + 1 for i, *_ in x)
+    may = [(i, m, why, own) for i, (_, m, why, own) in enumerate(blocks) if (own <= FORM if m else why < STRUCTURE)]
+    found = [(i, m, why) for i, m, why, own in may if not own]
+    form = [(i,) for i, _, _, own in may if own == FORM]
+    if form and words(form) > words([x for x in found if x[1]]):  # a form around the article's text
+        found = [(i, m, why) for i, m, why, _ in may]
+    free = {i: m for i, m, why in found if not why}
+    if any(free.values()):
         return free
-    inside = [(t, m) for t, m, why in found if m and why < OF_OTHERS]
+    inside = [(i, m) for i, m, why in found if m and why < OF_OTHERS]
     if inside:  # the only articles stand in what was left out
-        if words(inside) >= words(free):
-            return [(t, m) for t, m, why in found if not why or (m and why < OF_OTHERS)]
-        return [(t, False) for t, m, why in found if not why or (m and why < OF_OTHERS)]
-    form = [t for t, _, why in found if why == FORM]
-    if form and words([(t,) for t in form]) > words(free):  # a form around the page
-        return [(t, False) for t, _, why in found if why <= FORM]
-    return free or [(t, m) for t, m, why in found if why == NAMED or m]
+        main = words(inside) >= words([(i,) for i in free])
+        return {i: m and main for i, m, why in found if not why or (m and why < OF_OTHERS)}
+    form = [(i,) for i, _, why in found if why == FORM]
+    if form and words(form) > words([(i,) for i in free]):  # a form around the page
+        return {i: False for i, _, why in found if why <= FORM}
+    return free or {i: m for i, m, why in found if why == NAMED or m}
 
 
 def lines(page: str) -> list[tuple[str, bool]]:
-    """The page's blocks of text in order, white space made one space, and whether each is inside the article."""
+    """The page's blocks of text in order, and whether each is inside the article."""
+    return [(t, role == ARTICLE) for t, role in blocks(page) if role]
+
+
+def blocks(page: str) -> list[tuple[str, int]]:
+    """All blocks of text in order, white space made one space, with their roles: LEFT_OUT, AROUND or ARTICLE."""
     found: list[tuple[str, bool, int, int]] = []
     # open elements: tag, then why left out outside of the article, in the article, why left out in it
     stack: list[tuple[str, tuple[int, bool, int]]] = []
@@ -125,10 +134,6 @@ def lines(page: str) -> list[tuple[str, bool]]:
     top = state = (0, False, 0)
     at = 0
 
-    def wanted() -> bool:
-        around, main, inside = state
-        return inside <= FORM if main else around < STRUCTURE
-
     def flush() -> None:
         text = " ".join(entities.unescape("".join(held)).split())
         if text:
@@ -143,8 +148,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
 
     while at < len(page):
         m = TOKEN.search(page, at)
-        if wanted():
-            held.append(page[at : m.start() if m else len(page)])
+        held.append(page[at : m.start() if m else len(page)])
         if not m:
             break
         at = m.end()
@@ -196,16 +200,17 @@ def lines(page: str) -> list[tuple[str, bool]]:
             state = (around, main, inside)
             stack.append((tag, state))
     flush()
-    return _chosen(found)
+    chosen = _chosen(found)
+    return [(t, LEFT_OUT if i not in chosen else ARTICLE if chosen[i] else AROUND) for i, (t, *_) in enumerate(found)]
 
 
-def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Places in a of a longest common subsequence of a and b, by bit rows."""
+def common_lines(a: list[int], b: list[int], roles: bytes = b"", other_roles: bytes = b"") -> list[int]:
+    """Places in a of a longest common subsequence of a and b, by bit rows, but for lines that are in both articles."""
     both = set(a) & set(b)
-    own, other = [i for i, x in enumerate(a) if x in both], [x for x in b if x in both]
+    own, other = [i for i, x in enumerate(a) if x in both], [j for j, x in enumerate(b) if x in both]
     where: dict[int, int] = {}
-    for j, x in enumerate(other):
-        where[x] = where.get(x, 0) | 1 << j
+    for j, at in enumerate(other):
+        where[b[at]] = where.get(b[at], 0) | 1 << j
     full = (1 << len(other)) - 1
     v, rows = full, [full]
     for i in own:
@@ -222,7 +227,8 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
             continue
         while length(i, j - 1) == here:
             j -= 1
-        out.append(own[i - 1])
+        if not (roles and roles[own[i - 1]] == ARTICLE == other_roles[other[j - 1]]):
+            out.append(own[i - 1])
         j -= 1
     return out[::-1]
 
@@ -259,7 +265,10 @@ def neighbours(keys: DataFrame) -> DataFrame:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars, n_dropped) per row of pages (page_id, url, html)."""
+    """(page_id, url, text, n_chars, n_dropped, n_shared) per row of pages (page_id, url, html).
+
+    n_dropped: lines that are not in the text; n_shared: those of them that only the neighbour's lines delete.
+    """
     p = pages.select("page_id", "url", "html")
     content = [F.col("page_id").cast("string"), F.col("url"), F.col("html")]
     p = p.select("page_id", "url", "html", F.xxhash64(*content).alias("k1"), F.xxhash64(F.lit(1), *content).alias("k2"))
@@ -267,38 +276,42 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def hashed(batches):
         for b in batches:
-            out = []
+            out, roles = [], []
             for page in b["html"].to_pylist():
-                own = [t.encode("utf-8", "surrogatepass") for t, _ in lines(page or "")]
+                found = blocks(page or "")
+                own = [t.encode("utf-8", "surrogatepass") for t, _ in found]
+                roles.append(bytes(role for _, role in found))
                 ends = np.cumsum([len(t) for t in own], dtype=np.int64)
                 starts = ends - np.array([len(t) for t in own], dtype=np.int64)
                 out.append(range_hashes(np.frombuffer(b"".join(own), dtype=np.uint8), starts, ends).view(np.int64) if own else [])
-            yield pa.RecordBatch.from_arrays([b["k1"], b["k2"], b["host"], b["path"], pa.array(out, pa.list_(pa.int64()))], names=["k1", "k2", "host", "path", "lines"])
+            yield pa.RecordBatch.from_arrays([b["k1"], b["k2"], b["host"], b["path"], pa.array(out, pa.list_(pa.int64())), pa.array(roles, pa.binary())], names=["k1", "k2", "host", "path", "lines", "roles"])
 
-    rows = p.select("k1", "k2", host.alias("host"), path.alias("path"), "html").mapInArrow(hashed, "k1 long, k2 long, host string, path string, lines array<long>")
+    rows = p.select("k1", "k2", host.alias("host"), path.alias("path"), "html").mapInArrow(hashed, "k1 long, k2 long, host string, path string, lines array<long>, roles binary")
     rows = written(rows, "lines")
     keys = rows.select("k1", "k2", "host", "path").distinct()
     pairs = written(neighbours(keys), "pairs")
-    texts = rows.groupBy("k1", "k2").agg(F.first("lines").alias("lines"))
+    texts = rows.groupBy("k1", "k2").agg(F.first(F.struct("lines", "roles")).alias("x")).select("k1", "k2", "x.*")
     texts = written(texts, "texts")
-    both = pairs.join(texts, ["k1", "k2"]).join(texts.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("lines").alias("others")), ["n1", "n2"])
+    both = pairs.join(texts, ["k1", "k2"]).join(texts.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("lines").alias("others"), F.col("roles").alias("other_roles")), ["n1", "n2"])
 
     def aligned(batches):
         for b in batches:
-            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "shared": [common_lines(list(x), list(y)) for x, y in zip(b["lines"], b["others"])]})
+            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "shared": [common_lines(list(x), list(y), r, s) for x, y, r, s in zip(b["lines"], b["others"], b["roles"], b["other_roles"])]})
 
-    shared = written(both.select("k1", "k2", "lines", "others").mapInPandas(aligned, "k1 long, k2 long, shared array<int>"), "shared")
+    shared = written(both.select("k1", "k2", "lines", "others", "roles", "other_roles").mapInPandas(aligned, "k1 long, k2 long, shared array<int>"), "shared")
 
     def differenced(batches):
         for b in batches:
-            out, gone = [], []
+            out, gone, by_neighbour = [], [], []
             for page, common in zip(b["html"].to_pylist(), b["shared"].to_pylist()):
-                own, common = lines(page or ""), set(common or ())
-                article = any(m for _, m in own)
-                keep = [t for i, (t, m) in enumerate(own) if m or (not article and i not in common)]
+                own, common = blocks(page or ""), set(common or ())
+                least = ARTICLE if any(role == ARTICLE for _, role in own) else AROUND
+                text = [(i, t) for i, (t, role) in enumerate(own) if role >= least]
+                keep = [t for i, t in text if i not in common]
                 out.append("\n".join(keep))
                 gone.append(len(own) - len(keep))
-            yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), pa.array(gone, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_dropped"])
+                by_neighbour.append(len(text) - len(keep))
+            yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), pa.array(gone, pa.int64()), pa.array(by_neighbour, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_dropped", "n_shared"])
 
     result = p.join(shared.hint("merge"), ["k1", "k2"], "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "shared")
-    return result.mapInArrow(differenced, "page_id long, url string, text string, n_chars long, n_dropped long")
+    return result.mapInArrow(differenced, "page_id long, url string, text string, n_chars long, n_dropped long, n_shared long")

@@ -1,6 +1,7 @@
 import random
+import re
 
-from evalloom.llm.html import common_lines, extracted, lines, neighbours
+from evalloom.llm.html import ARTICLE, AROUND, blocks, common_lines, extracted, lines, neighbours
 
 
 def text(page):
@@ -96,3 +97,58 @@ def test_raw_elements_end_where_they_end():
     for n in (1, 8, 9, 300):
         for tag in ("script", "STYLE", "svg", "button"):
             assert text(f"<p>{'İ' * n}</p><{tag}>x</{tag.title()}><p>One</p><p>Two</p>") == ["İ" * n, "One", "Two"]
+
+
+def test_formulas_and_left_out_lines():
+    page = "<nav>Menu</nav><article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be<section id='related-work'><h2>Related work</h2><p>It was</section></article>"
+    assert text(page) == ["Let x=1 be", "Related work", "It was"] and blocks(page)[0] == ("Menu", 0)
+
+
+def brute(rows):
+    """Neighbours by sorting, alignment by a table of lengths, and the rule on shared lines."""
+    def host_path(url):
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)[^/?#]*([^#]*)", url or "")
+        return (m[1].lower(), m[2]) if m else ("", url or "")
+
+    order = sorted({(*host_path(u), i, u, h) for i, u, h in rows}, key=lambda x: (x[0], x[1], x[2]))
+    start = lambda x, y: next((k for k, (c, d) in enumerate(zip(x, y)) if c != d), min(len(x), len(y)))
+    out = {}
+    for n, (host, path, i, _, h) in enumerate(order):
+        near = [order[j] for j in (n - 1, n + 1) if 0 <= j < len(order) and order[j][0] == host]
+        own, gone = blocks(h or ""), set()
+        if near:
+            other = blocks(max(near, key=lambda x: start(x[1], path))[4] or "")
+            a, b = [t for t, _ in own], [t for t, _ in other]
+            table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    table[x + 1][y + 1] = table[x][y] + 1 if a[x] == b[y] else max(table[x][y + 1], table[x + 1][y])
+            x, y = len(a), len(b)
+            while x and y:
+                if table[x - 1][y] == table[x][y]:
+                    x -= 1
+                elif table[x][y - 1] == table[x][y]:
+                    y -= 1
+                else:
+                    x, y = x - 1, y - 1
+                    if not own[x][1] == ARTICLE == other[y][1]:
+                        gone.add(x)
+        least = ARTICLE if any(r == ARTICLE for _, r in own) else AROUND
+        out[i] = "\n".join(t for k, (t, r) in enumerate(own) if r >= least and k not in gone)
+    return out
+
+
+def test_extraction_against_brute_force(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join(rng.choice("ab cd ef gh ij kl".split()) for _ in range(n))
+    shared = [words(6) for _ in range(8)]
+    rows = []
+    for i in range(120):
+        body = "".join(f"<p>{rng.choice(shared) if rng.random() < 0.4 else words(9)}</p>" for _ in range(rng.randrange(0, 7)))
+        around = "".join(f"<div>{rng.choice(shared)}</div>" for _ in range(2))
+        tag = rng.choice(["article", "main", "div", "section"])
+        rows.append((i, f"http://h{rng.randrange(4)}.com/{rng.choice('abc')}/{i}", f"<nav>{rng.choice(shared)}</nav>{around}<{tag}>{body}</{tag}><footer>{words(3)}</footer>"))
+    got = {r.page_id: r for r in extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = brute(rows)
+    assert {i: r.text for i, r in got.items()} == want
+    assert sum(r.n_shared > 0 for r in got.values()) > 20
