@@ -12,7 +12,10 @@ Only the histogram of lengths of a source meets in one task: as many rows as it
 has different lengths, at most its longest document's words.
 
 Cases: null text has no words; a null source is a source, the last in order;
-documents without words take nothing; repeated rows are documents of their own.
+documents without words take nothing; a document longer than the rest of a budget is
+not taken for it; repeated rows, and rows with one doc_id or none, are documents of
+their own: which of them are taken follows from their texts and, among equal rows,
+from their number.
 """
 
 from __future__ import annotations
@@ -123,7 +126,24 @@ def _knapsack(sizes: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 2025) -> DataFrame:
     """(doc_id, size, source_size, target, taken) per row of docs (doc_id, source, text)."""
-    return mixed_sizes(docs.select("doc_id", "source", n_words("text").alias("size")), weights, most, seed)
+    row, text = F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("th")
+    sized = written(docs.select("doc_id", "source", n_words("text").alias("size"), text, row), "rows")
+    keyed = with_copies(sized, ["doc_id", "source", "th"])
+    key = F.struct("doc_id", "th", "copy").alias("doc_id")
+    return mixed_sizes(keyed.select(key, "source", "size"), weights, most, seed).withColumn("doc_id", F.col("doc_id.doc_id"))
+
+
+def with_copies(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """copy: the number of a row among those with equal keys, counted in each partition of row (its monotonic id) behind the ones before it."""
+    c = rows.withColumn("part", F.shiftright("row", 33))
+    counts = c.groupBy(*keys, "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("part")) - F.col("n")
+    counts = counts.select(*(F.col(k).alias(f"c_{k}") for k in keys), F.col("part").alias("c_part"), before.alias("before"))
+    same = F.col("part") == F.col("c_part")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"c_{k}"))
+    own = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("row"))
+    return c.withColumn("own", own).join(counts, same).select(*rows.columns, (F.col("own") + F.col("before")).alias("copy"))
 
 
 def n_words(text) -> Column:
