@@ -61,3 +61,19 @@ def test_mix_takes_rows_not_ids(spark):
     assert all(got.count(r) <= 3 * rows.count(r) for r in set(got))
     again = corpus_pipeline.mix_sources(spark, docs.orderBy(F.rand(3)).repartition(3), "")
     assert sorted(map(tuple, again.collect()), key=str) == got
+
+
+def test_empty_tables_and_odd_ids(spark, tmp_path):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    text = "one two three four five six seven password=hunter2hunter2"
+    rows = [(7, text, "en", "a", 60), (7, text + " more", "en", "a", 65), (None, text, "en", None, 60), (None, "other words", None, "b", 11), (9, None, None, None, None), (9, "", "en", "a", 0)]
+    for data in ([], rows):
+        docs = spark.createDataFrame(data, kinds)
+        out = [stage(spark, docs, str(tmp_path)) for _, stage in corpus_pipeline.STAGES]
+        counts = [o.count() for o in out]
+        assert all(o.columns == docs.columns for o in out[:4])
+        assert counts == [0] * 5 if not data else counts[1:3] == [6, 6] and counts[4] == 6
+        if data:
+            assert sorted(str(r.text) for r in out[2].collect()).count("one two three four five six seven [SECRET]") == 2
