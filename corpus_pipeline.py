@@ -7,17 +7,20 @@ itself start with __ep_ and are gone when it returns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm import pieces, quality, secrets
 from evalloom.llm.common import read, written
 from evalloom.llm.jaccard import shingle_components
-from evalloom.llm.mixing import mixed_sizes, n_words
+from evalloom.llm.mixing import mixed_sizes, n_words, with_copies
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (score below 0.3) go."""
+    """Documents that the classifier rejects (score below 0.3) go.
+
+    Null and empty texts are scored like others; rows with one doc_id, or none, are judged each by its text.
+    """
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
     return docs.withColumn("__ep_score", quality.score(F.col("text"), model)).where("__ep_score >= 0.3").drop("__ep_score")
 
@@ -33,7 +36,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each secret is replaced by [SECRET] and n_chars is counted again; every document stays."""
+    """Each secret is replaced by [SECRET] and n_chars is counted again; every document stays.
+
+    A text decides, not its doc_id: rows with one doc_id, or none, are masked each. Null texts stay null.
+    """
     versions = docs.select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), F.col("text").alias("content"))
     findings, _ = secrets.scan(versions)
     found = findings.where("size(spans) > 0").groupBy("blob").agg(F.first("spans").alias("__ep_spans")).withColumnRenamed("blob", "__ep_blob")
@@ -56,26 +62,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     content = [*(F.col(f"`{c}`").isNull() for c in cols), *(F.col(f"`{c}`") for c in cols)]
     keyed = docs.select("*", F.monotonically_increasing_id().alias("__ep_row"), F.xxhash64(F.lit(1), *content).alias("__ep_k1"), F.xxhash64(F.lit(2), *content).alias("__ep_k2"), n_words("text").alias("__ep_size"))
     keyed = written(keyed, "keyed")
-    rows = _copies(keyed.select("source", F.col("__ep_size").alias("size"), "__ep_row", "__ep_k1", "__ep_k2"))
-    key = F.struct("__ep_k1", "__ep_k2", "__ep_copy").alias("doc_id")
-    taken = mixed_sizes(rows.select(key, "source", "size", "__ep_row"), carried=("__ep_row",)).where("taken > 0")
-    times = written(taken.select("__ep_row", (F.col("taken") / F.col("size")).cast("int").alias("__ep_n")), "times")
+    rows = with_copies(keyed.select("source", F.col("__ep_size").alias("size"), F.col("__ep_row").alias("row"), F.col("__ep_k1").alias("k1"), F.col("__ep_k2").alias("k2")), ["k1", "k2"])
+    key = F.struct("k1", "k2", "copy").alias("doc_id")
+    taken = mixed_sizes(rows.select(key, "source", "size", "row"), carried=("row",)).where("taken > 0")
+    times = written(taken.select(F.col("row").alias("__ep_row"), (F.col("taken") / F.col("size")).cast("int").alias("__ep_n")), "times")
     out = keyed.join(times.hint("merge"), "__ep_row")
     return out.withColumn("__ep_i", F.explode(F.sequence(F.lit(1), F.col("__ep_n")))).select(*cols)
 
 
-def _copies(rows: DataFrame) -> DataFrame:
-    """__ep_copy: the number of a row among equal ones (by __ep_k1 and __ep_k2), counted within each partition of __ep_row behind the ones before it."""
-    k = ["__ep_k1", "__ep_k2"]
-    rows = rows.withColumn("__ep_part", F.shiftright("__ep_row", 33))
-    counts = rows.groupBy(*k, "__ep_part").agg(F.count("*").alias("__ep_c"))
-    counts = counts.withColumn("__ep_before", F.sum("__ep_c").over(Window.partitionBy(*k).orderBy("__ep_part")) - F.col("__ep_c")).drop("__ep_c")
-    own = F.row_number().over(Window.partitionBy(*k, "__ep_part").orderBy("__ep_row"))
-    return rows.join(counts, [*k, "__ep_part"]).withColumn("__ep_copy", own + F.col("__ep_before"))
-
-
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded_sha256, round_trip of each row."""
+    """doc_id, n_tokens, ids, decoded_sha256, round_trip of each row; null for a null text, whatever the doc_id."""
     return pieces.encoded(docs)
 
 
