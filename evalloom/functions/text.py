@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ASCII punctuation, articles and abstention markers.
@@ -23,6 +23,11 @@ def clean_text(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, SPACE, " "))
 
 
+def stripped(s: Column) -> Column:
+    """White space of any kind cut from both ends."""
+    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+
+
 def first_filled(*columns: Column) -> Column:
     """The first of string columns that is neither null nor empty."""
     return F.coalesce(*(F.when(c != "", c) for c in columns))
@@ -115,6 +120,13 @@ def is_unsupported(prediction: Column, context: Column, abstained: Column, thres
     return F.when(abstained >= threshold, 0.0).otherwise((~is_supported(prediction, context, strategy, min_overlap)).cast("double"))
 
 
+def sweep_thresholds(df: DataFrame, prediction: Column, context: Column, abstained: Column, thresholds: list[float], strategy: str = "baseline", min_overlap: float = 0.6) -> DataFrame:
+    """df with a row for each threshold and whether the answer is unsupported at it; support is looked up once a row."""
+    bad = df.withColumns({"_bad": (~is_supported(prediction, context, strategy, min_overlap)).cast("double"), "_gone": abstained})
+    each = bad.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
+    return each.withColumn("unsupported", F.when(F.col("_gone") >= F.col("threshold"), 0.0).otherwise(F.col("_bad"))).drop("_bad", "_gone")
+
+
 def estimate_tokens(s: Column) -> Column:
     """Word count; at least 1 where there is any text."""
     words = F.size(F.filter(F.split(F.coalesce(s, F.lit("")), SPACE), lambda t: t != ""))
@@ -144,7 +156,25 @@ def majority(x: Column) -> Column:
     return (x >= 0.5).cast("int")
 
 
+def content_texts(v: Column) -> Column:
+    """The texts of a message's content, a variant: a string, a list of strings and blocks, or one block."""
+    text = lambda x: F.when(F.schema_of_variant(x) == "STRING", x.cast("string")).otherwise(F.try_variant_get(x, "$.text", "string"))
+    many = F.try_variant_get(v, "$", "array<variant>")
+    return F.filter(F.when(many.isNotNull(), F.transform(many, text)).otherwise(F.array(text(v))), lambda t: t.isNotNull())
+
+
 def content_to_text(v: Column) -> Column:
-    """A message's content, a string or a list of blocks, as one text; blocks are joined by line ends."""
-    blocks = F.from_json(v, "array<struct<type:string,text:string>>")
-    return F.when(v.startswith("["), F.array_join(F.filter(F.transform(blocks, lambda b: b["text"]), lambda t: t.isNotNull() & (t != "")), "\n")).otherwise(v)
+    """A message's content as one text, parts that are not empty joined by line ends.
+
+    v: a variant, or a string that may be a JSON list of strings and blocks.
+    """
+    listed = F.when(v.cast("string").startswith("["), F.try_parse_json(v.cast("string")))
+    return F.when(listed.isNotNull(), F.array_join(F.filter(content_texts(listed), lambda t: t != ""), "\n")).otherwise(F.coalesce(v.cast("string"), F.lit("")))
+
+
+def estimate_message_tokens(messages: Column) -> Column:
+    """estimate_tokens of all texts of messages, a variant (a string, or a list of strings and messages), joined by line ends."""
+    one = F.when(F.schema_of_variant(messages) == "STRING", F.array(messages.cast("string")))
+    text = lambda m: F.when(F.schema_of_variant(m) == "STRING", F.array(m.cast("string"))).otherwise(content_texts(F.try_variant_get(m, "$.content", "variant")))
+    every = F.flatten(F.transform(F.try_variant_get(messages, "$", "array<variant>"), lambda m: F.coalesce(text(m), F.array().cast("array<string>"))))
+    return estimate_tokens(F.array_join(F.coalesce(one, every, F.array().cast("array<string>")), "\n"))

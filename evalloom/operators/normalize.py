@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalloom.functions.text import estimate_tokens
+from evalloom.functions.text import estimate_tokens, stripped
 
 COLUMNS = ("custom_id", "dataset", "item_id", "condition", "temp", "sample_index", "type", "request_id", "finish_reason", "response_text", "prompt_tokens", "completion_tokens", "total_tokens")
 
@@ -60,7 +60,7 @@ def _joined(blocks: Column, take) -> Column:
 
 
 def predictions(recs: DataFrame) -> DataFrame:
-    """The 13 columns of predictions from records (custom_id, v) of any of three shapes.
+    """The 13 columns of predictions, and failure, error_type and error_message, from records (custom_id, v) of any of three shapes.
 
     chat: response[.body].choices[0]; responses: response[.body].output[]; message
     batch: result.message. Tokens are taken under either of their names. Records whose
@@ -77,7 +77,7 @@ def predictions(recs: DataFrame) -> DataFrame:
     output = _get(b, "$.output", "array<variant>")
     is_text = lambda x: F.coalesce(_get(x, "$.type").isin("output_text", "text"), F.lit(False))
     of_item = lambda x: F.when(_get(x, "$.type") == "message", _joined(F.filter(_get(x, "$.content", "array<variant>"), is_text), lambda c: F.coalesce(_get(c, "$.text"), F.lit("")))).when(is_text(x), F.coalesce(_get(x, "$.text"), F.lit(""))).otherwise("")
-    told = F.trim(_joined(output, of_item))
+    told = stripped(_joined(output, of_item))
     told = F.coalesce(F.when(told != "", told), _text(b, "$.output_text"), _text(b, "$.text"), F.lit(""))
     ends = F.filter(F.transform(output, lambda x: F.when(_get(x, "$.type") == "message", F.coalesce(_text(x, "$.finish_reason"), _text(x, "$.status"))).when(is_text(x), _text(x, "$.finish_reason"))), lambda e: e.isNotNull())
     # message batches: a string, or text blocks and strings
@@ -86,6 +86,7 @@ def predictions(recs: DataFrame) -> DataFrame:
     said = F.when(blocks.isNotNull(), _joined(blocks, lambda x: F.coalesce(F.when(_get(x, "$.type") == "text", _get(x, "$.text")), F.when(F.schema_of_variant(x) == "STRING", x.cast("string")), F.lit("")))).otherwise(F.coalesce(_get(m, "$.content"), F.lit("")))
     failed = F.coalesce(F.lower(_text(v, "$.result.type")), F.lit("errored"))
     success = failed == "succeeded"
+    error_type, error_message = _error(v, failed, F.col("kind") == "batch")
     batch, responses = F.col("kind") == "batch", F.col("kind") == "responses"
     tokens = lambda new, old: F.coalesce(*(_get(x, f"$.usage.{n}", "long") for x in (_get(v, "$.response", "variant"), b, m) for n in (old, new)))
     p, c = tokens("input_tokens", "prompt_tokens"), tokens("output_tokens", "completion_tokens")
@@ -96,12 +97,26 @@ def predictions(recs: DataFrame) -> DataFrame:
         F.when(batch, F.when(success, F.coalesce(_text(m, "$.stop_reason"), _text(m, "$.stop_sequence"), F.lit("stop"))))
         .when(responses, F.coalesce(F.try_element_at(ends, F.lit(-1)), _text(b, "$.status"), _text(v, "$.response.status"), F.lit("stop")))
         .otherwise(_get(b, "$.choices[0].finish_reason")).alias("finish_reason"),
-        F.trim(F.when(batch, F.when(success, said).otherwise("")).when(responses, told).otherwise(chat)).alias("response_text"),
+        stripped(F.when(batch, F.when(success, said).otherwise("")).when(responses, told).otherwise(chat)).alias("response_text"),
         p.alias("prompt_tokens"), c.alias("completion_tokens"), F.coalesce(tokens("total_tokens", "total_tokens"), summed).alias("total_tokens"),
         F.when(batch, F.when(~success, failed)).otherwise(F.when(_get(v, "$.error", "variant").isNotNull() & (F.schema_of_variant(_get(v, "$.error", "variant")) != "VOID"), "error")).alias("failure"),
+        F.when(~batch | ~success, error_type).alias("error_type"), F.when(~batch | ~success, error_message).alias("error_message"),
     )
     good, _ = parse_custom_id(out)
-    return good.select(*COLUMNS, "failure")
+    return good.select(*COLUMNS, "failure", "error_type", "error_message")
+
+
+#: Fixed value: what a failed message-batch record without an error object says.
+NO_MESSAGE = "Anthropic batch request failed."
+
+
+def _error(v: Column, failed: Column, batch: Column) -> tuple[Column, Column]:
+    """Type and message of a failed record's error; of a message batch without one they are made from its status."""
+    own = F.coalesce(_get(v, "$.result.error", "variant"), _get(v, "$.error", "variant"))
+    none = batch & F.coalesce(F.schema_of_variant(own).isin("VOID", "OBJECT<>"), F.lit(True))
+    kind = F.when(none, failed).otherwise(_get(own, "$.type"))
+    text = F.when(none, F.coalesce(_text(v, "$.result.error_message"), F.lit(NO_MESSAGE))).when(F.schema_of_variant(own) == "STRING", own.cast("string")).otherwise(_get(own, "$.message"))
+    return kind, text
 
 
 def union_controls(cache: DataFrame, results: DataFrame, prefer: str = "cache") -> DataFrame:

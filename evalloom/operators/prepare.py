@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,9 +46,18 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 2025) -> DataFram
 
 
 def dataset_manifest(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows and a digest of their contents that doesn't depend on their order."""
-    part = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns))), 1, 8), 16, 10).cast("long")
-    return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.sum(part).alias("digest"))
+    """Rows and a digest of their contents that doesn't depend on their order: the sum of 60 bits of each row's MD5."""
+    part = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns))), 1, 15), 16, 10).cast("decimal(28,0)")
+    return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.sum(part).cast("string").alias("digest"))
+
+
+def validate_manifest(df: DataFrame, manifest: DataFrame, *keys: str) -> DataFrame:
+    """Each set of df or of its manifest with status: ok, rows (their number differs), digest (only their contents do), missing or unexpected."""
+    now = dataset_manifest(df, *keys).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("n_rows").alias("found_rows"), F.col("digest").alias("found_digest"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    j = manifest.select(*keys, "n_rows", "digest").join(now, same, "full_outer")
+    status = F.when(F.col("found_rows").isNull(), "missing").when(F.col("n_rows").isNull(), "unexpected").when(F.col("found_rows") != F.col("n_rows"), "rows").when(F.col("found_digest") != F.col("digest"), "digest").otherwise("ok")
+    return j.select(*(F.coalesce(k, f"_{k}").alias(k) for k in keys), "n_rows", "found_rows", status.alias("status"))
 
 
 def limit_first(df: DataFrame, n: int, pos: str, *keys: str) -> DataFrame:

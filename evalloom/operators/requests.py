@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,11 +88,13 @@ def shard_manifest(rows: DataFrame, line: str, pos: str, *keys: str) -> DataFram
 
 
 def prune_stale_shards(manifest: DataFrame, fresh: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """manifest and fresh (prompt_set, temp, condition, name, ...): rows of refreshed groups that are not new go."""
-    mark = lambda df: df.withColumn("_t", F.round(F.col("temp") / (tolerance * 10)).cast("long"))
-    groups = mark(fresh).select("prompt_set", "condition", "_t").distinct()
-    kept = mark(manifest).join(groups, ["prompt_set", "condition", "_t"], "left_anti").drop("_t")
-    return kept.unionByName(fresh)
+    """manifest and fresh (prompt_set, temp, condition, name, ...): rows of refreshed groups that are not new go.
+
+    A row's group is refreshed if its temp is no further than the tolerance from one of the few fresh groups' temps.
+    """
+    groups = fresh.select(F.col("prompt_set").alias("_set"), F.col("condition").alias("_condition"), F.col("temp").alias("_temp")).distinct()
+    near = (F.col("prompt_set") == F.col("_set")) & (F.col("condition") == F.col("_condition")) & (F.abs(F.col("temp") - F.col("_temp")) <= tolerance)
+    return manifest.join(groups, near, "left_anti").unionByName(fresh)
 
 
 def split_parts(df: DataFrame, parts: int, lines_per_part: int | None = None, pos: str = "pos") -> DataFrame:
@@ -120,38 +124,111 @@ def kind_of(custom_id: Column) -> Column:
     return F.element_at(F.split(custom_id, r"\|"), -1)
 
 
-def render_openai(requests: DataFrame, model: str, endpoint: str = "/v1/responses", temperature: float | None = None, top_p: float | None = None, limits: dict[str, int] | None = None, metadata: dict[str, str] | None = None) -> DataFrame:
-    """requests (custom_id, messages, stop) as JSON lines; rows without id or messages are left out."""
+def _limits(limits: dict[str, int] | None) -> Column:
+    return F.create_map(*(x for k, v in (limits or {}).items() for x in (F.lit(k), F.lit(v)))).cast("map<string,int>")
+
+
+def _overridden(fields: dict[str, Column], overrides: dict | None) -> Column:
+    """A struct of fields in order; overrides replace fields of their names and come last."""
+    every = fields | {k: F.parse_json(F.lit(json.dumps(v))) for k, v in (overrides or {}).items()}
+    return F.struct(*(c.alias(k) for k, c in every.items()))
+
+
+def _metadata(metadata: dict | None) -> dict[str, Column]:
+    return {str(k): F.lit("" if v is None else str(v)) for k, v in (metadata or {}).items() if k is not None}
+
+
+def render_openai(
+    requests: DataFrame, model: str, endpoint: str = "/v1/responses", temperature: float | None = None, top_p: float | None = None, limits: dict[str, int] | None = None, metadata: dict[str, str] | None = None,
+    overrides: dict | None = None, allow_temperature: bool = True, allow_top_p: bool = True,
+) -> DataFrame:
+    """requests (custom_id, messages, stop) as JSON lines; rows without id or messages are left out.
+
+    overrides replace whole fields of the body, last of all; what is not allowed is neither set nor overridden.
+    """
     r = requests.where("custom_id is not null and custom_id <> '' and size(messages) > 0")
-    limit = token_limit(kind_of(F.col("custom_id")), F.create_map(*(x for k, v in (limits or {}).items() for x in (F.lit(k), F.lit(v)))).cast("map<string,int>"))
     responses = endpoint == "/v1/responses"
-    f = [F.lit(model).alias("model")]
-    if temperature is not None:
-        f.append(F.lit(float(temperature)).alias("temperature"))
-    if top_p is not None:
-        f.append(F.lit(float(top_p)).alias("top_p"))
-    f += [F.when(F.size("stop") > 0, F.col("stop")).alias("stop"), limit.alias("max_output_tokens" if responses else "max_tokens"), F.col("messages").alias("input" if responses else "messages")]
+    f = {"model": F.lit(model)}
+    if temperature is not None and allow_temperature:
+        f["temperature"] = F.lit(float(temperature))
+    if top_p is not None and allow_top_p:
+        f["top_p"] = F.lit(float(top_p))
+    f["stop"] = F.when(F.size("stop") > 0, F.col("stop"))
+    f["max_output_tokens" if responses else "max_tokens"] = token_limit(kind_of(F.col("custom_id")), _limits(limits))
+    f["input" if responses else "messages"] = F.col("messages")
     if metadata:
-        f.append(F.struct(*(F.lit(str(v)).alias(k) for k, v in sorted(metadata.items()))).alias("metadata"))
-    body = F.struct(*f)
+        f["metadata"] = F.struct(*(c.alias(k) for k, c in sorted(_metadata(metadata).items())))
+    barred = {k for k, allowed in (("temperature", allow_temperature), ("top_p", allow_top_p)) if not allowed}
+    body = _overridden(f, {k: v for k, v in (overrides or {}).items() if k not in barred})
     return r.select("custom_id", F.to_json(F.struct("custom_id", F.lit("POST").alias("method"), F.lit(endpoint).alias("url"), body.alias("body"))).alias("line"))
 
 
-def render_anthropic(requests: DataFrame, model: str, temperature: float, limits: dict[str, int] | None = None, cache: str | None = "ephemeral") -> DataFrame:
+def _blocks(content: Column, plain: bool) -> Column:
+    """Content, a string or a variant, as a list of blocks, maps of their fields: strings are text blocks, a block without type is a text block."""
+    typed = F.create_map(F.lit("type"), F.parse_json(F.lit('"text"')))
+    text_block = lambda s: F.map_concat(typed, F.create_map(F.lit("text"), s.cast("variant")))
+    if plain:
+        return F.when(content.isNotNull(), F.array(text_block(content)))
+
+    def block(x: Column) -> Column:
+        fields = F.transform_values(F.try_variant_get(x, "$", "map<string,variant>"), lambda k, v: F.when((k == "text") & (F.schema_of_variant(v) == "VOID"), F.lit("").cast("variant")).otherwise(v))
+        untyped = F.coalesce(F.try_variant_get(x, "$.type", "string"), F.lit("")) == ""
+        fields = F.when(untyped, F.map_concat(typed, F.map_filter(fields, lambda k, v: k != "type"))).otherwise(fields)
+        return F.when(F.schema_of_variant(x) == "STRING", text_block(x.cast("string"))).otherwise(fields)
+
+    many = F.try_variant_get(content, "$", "array<variant>")
+    blocks = F.when(many.isNotNull(), F.filter(F.transform(many, block), lambda b: b.isNotNull())).otherwise(F.array(text_block(content.cast("string"))))
+    return F.when(F.schema_of_variant(content) != "VOID", blocks)
+
+
+def _marked(blocks: Column, cache: dict | None) -> Column:
+    """Blocks with a cache mark on the first text block; see render_anthropic."""
+    bare = F.transform(blocks, lambda b: F.map_filter(b, lambda k, v: k != "cache_control"))
+    if cache is not None and cache.get("enable_system_cache") in (False, 0, ""):
+        return bare
+    mark = {"type": str((cache or {}).get("type") or "ephemeral").strip() or "ephemeral"}
+    if cache and cache.get("ttl"):
+        mark["ttl"] = str(cache["ttl"])
+    put = F.create_map(F.lit("cache_control"), F.parse_json(F.lit(json.dumps(mark))))
+    is_text = lambda b: F.coalesce(F.element_at(b, F.lit("type")).cast("string"), F.lit("text")) == "text"
+    first = F.array_position(F.transform(bare, is_text), True)
+    made = F.when(first > 0, F.transform(bare, lambda b, i: F.when(i + 1 == first, F.map_concat(b, put)).otherwise(b)))
+    empty = F.map_concat(F.from_json(F.lit('{"type":"text","text":""}'), "map<string,variant>"), put)
+    made = F.coalesce(made, F.concat(bare, F.array(empty)))
+    if cache is not None:
+        return made
+    has = F.exists(blocks, lambda b: F.exists(F.map_entries(b), lambda e: (e["key"] == "cache_control") & (F.schema_of_variant(e["value"]) != "VOID")))
+    return F.when(has, blocks).otherwise(made)
+
+
+def render_anthropic(
+    requests: DataFrame, model: str, temperature: float, limits: dict[str, int] | None = None, cache: dict | None = None, top_p: float | None = None, top_k: int | None = None, metadata: dict | None = None, overrides: dict | None = None
+) -> DataFrame:
     """requests (custom_id, messages, stop) as message-batch lines.
 
-    The first system message becomes system, with the cache mark on its text; later
-    ones and empty messages are dropped, a blank role is a user's.
+    The content of a message is a string, or a variant of a string or a list of strings
+    and blocks, whose fields are kept. The first system message becomes system; later
+    ones and empty messages are dropped, a blank role is a user's. cache: none marks the
+    first text block of system unless a block has a mark; settings (type, ttl) put their
+    own mark in any case, and enable_system_cache = False takes all marks off. overrides
+    replace whole parameters, last of all.
     """
+    plain = requests.schema["messages"].dataType.elementType["content"].dataType.simpleString() == "string"
     role = lambda m: F.lower(F.trim(F.coalesce(m["role"], F.lit(""))))
-    block = lambda text: F.array(F.struct(F.lit("text").alias("type"), text.alias("text")))
-    talk = F.transform(F.filter("messages", lambda m: (role(m) != "system") & m["content"].isNotNull()), lambda m: F.struct(F.when(role(m) == "", "user").otherwise(role(m)).alias("role"), block(m["content"]).alias("content")))
-    system = F.try_element_at(F.filter("messages", lambda m: (role(m) == "system") & m["content"].isNotNull()), F.lit(1))["content"]
-    marked = F.struct(F.lit("text").alias("type"), system.alias("text"), *([F.struct(F.lit(cache).alias("type")).alias("cache_control")] if cache else []))
-    limit = token_limit(kind_of(F.col("custom_id")), F.create_map(*(x for k, v in (limits or {}).items() for x in (F.lit(k), F.lit(v)))).cast("map<string,int>"), True)
-    params = F.struct(F.lit(model).alias("model"), F.lit(float(temperature)).alias("temperature"), F.col("talk").alias("messages"), F.when(system.isNotNull(), F.array(marked)).alias("system"), F.when(F.size("stop") > 0, F.col("stop")).alias("stop_sequences"), limit.alias("max_tokens"))
-    r = requests.where("custom_id is not null and custom_id <> ''").withColumn("talk", talk).where("size(talk) > 0")
-    return r.select("custom_id", F.to_json(F.struct("custom_id", params.alias("params"), F.struct(F.col("custom_id").alias("orig_custom_id")).alias("metadata"))).alias("line"))
+    said = F.transform("messages", lambda m: F.struct(F.when(role(m) == "", "user").otherwise(role(m)).alias("role"), F.coalesce(_blocks(m["content"], plain), F.array().cast("array<map<string,variant>>")).alias("content")))
+    r = requests.where("custom_id is not null and custom_id <> ''").withColumn("_said", said)
+    r = r.withColumn("_talk", F.filter("_said", lambda m: (m["role"] != "system") & (F.size(m["content"]) > 0))).where("size(_talk) > 0")
+    r = r.withColumn("_system", F.try_element_at(F.filter("_said", lambda m: (m["role"] == "system") & (F.size(m["content"]) > 0)), F.lit(1))["content"])
+    f = {"model": F.lit(model), "temperature": F.lit(float(temperature)), "messages": F.col("_talk")}
+    if top_p is not None:
+        f["top_p"] = F.lit(float(top_p))
+    if top_k is not None:
+        f["top_k"] = F.lit(int(top_k))
+    f["system"] = F.when(F.col("_system").isNotNull(), _marked(F.col("_system"), cache))
+    f["stop_sequences"] = F.when(F.size("stop") > 0, F.col("stop"))
+    f["max_tokens"] = token_limit(kind_of(F.col("custom_id")), _limits(limits), True)
+    about = F.struct(*(c.alias(k) for k, c in (_metadata(metadata) | {"orig_custom_id": F.col("custom_id")}).items()))
+    return r.select("custom_id", F.to_json(F.struct("custom_id", _overridden(f, overrides).alias("params"), about.alias("metadata"))).alias("line"))
 
 
 def safe_custom_id(requests: DataFrame, pos: str) -> DataFrame:

@@ -52,7 +52,7 @@ def _(spark, sf_dir):
     return prepare.seeded_sample(X.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 100)
 
 
-@query("q_manifest", "SELECT source, count(*) AS n_rows, sum(('0x' || substr(md5(doc_id || chr(31) || source || chr(31) || coalesce(text, '')), 1, 8))::UBIGINT)::BIGINT AS digest FROM documents GROUP BY source")
+@query("q_manifest", "SELECT source, count(*) AS n_rows, sum(('0x' || substr(md5(doc_id || chr(31) || coalesce(source, '') || chr(31) || coalesce(text, '')), 1, 15))::UBIGINT)::VARCHAR AS digest FROM documents GROUP BY source")
 def _(spark, sf_dir):
     return prepare.dataset_manifest(X.table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source")
 
@@ -122,14 +122,14 @@ def _(spark, sf_dir):
     return requests.shard_manifest(s, "custom_id", "pos", "condition", "temp", "shard")
 
 
-_MANIFEST = "m AS (SELECT l_orderkey AS name, 'set' || l_orderkey % 3 AS prompt_set, CASE WHEN l_linenumber % 2 = 0 THEN 'treatment' ELSE 'control' END AS condition, (l_partkey % 5) / 10.0::DOUBLE AS temp, l_quantity::DOUBLE AS lines FROM lineitem)"
+_MANIFEST = "m AS (SELECT l_orderkey AS name, 'set' || l_orderkey % 3 AS prompt_set, CASE WHEN l_linenumber % 2 = 0 THEN 'treatment' ELSE 'control' END AS condition, (l_partkey % 5) / 10.0::DOUBLE + CASE l_orderkey % 4 WHEN 1 THEN 2e-7 WHEN 3 THEN 4e-6 ELSE 0 END AS temp, l_quantity::DOUBLE AS lines FROM lineitem)"
 
 
-@query("q_stale_shards", f"WITH {_MANIFEST} SELECT * FROM m WHERE NOT (prompt_set = 'set1' AND condition = 'control' AND temp = 0.3) OR name % 2 = 0")
+@query("q_stale_shards", f"WITH {_MANIFEST}, g AS (SELECT *, prompt_set = 'set1' AND condition = 'control' AND abs(temp - 0.3) < 1e-6 AS stale FROM m) SELECT name, prompt_set, condition, round(temp, 9) AS temp, lines FROM g WHERE NOT stale OR name % 4 = 0")
 def _(spark, sf_dir):
-    m = X.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("name"), F.concat(F.lit("set"), (F.col("l_orderkey") % 3).cast("string")).alias("prompt_set"), F.when(F.col("l_linenumber") % 2 == 0, "treatment").otherwise("control").alias("condition"), ((F.col("l_partkey") % 5) / 10.0).alias("temp"), F.col("l_quantity").cast("double").alias("lines"))
-    fresh = m.where("prompt_set = 'set1' and condition = 'control' and abs(temp - 0.3) < 1e-9 and name % 2 = 0")
-    return requests.prune_stale_shards(m, fresh)
+    m = X.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("name"), F.concat(F.lit("set"), (F.col("l_orderkey") % 3).cast("string")).alias("prompt_set"), F.when(F.col("l_linenumber") % 2 == 0, "treatment").otherwise("control").alias("condition"), ((F.col("l_partkey") % 5) / 10.0 + F.when(F.col("l_orderkey") % 4 == 1, 2e-7).when(F.col("l_orderkey") % 4 == 3, 4e-6).otherwise(0.0)).alias("temp"), F.col("l_quantity").cast("double").alias("lines"))
+    fresh = m.where("prompt_set = 'set1' and condition = 'control' and abs(temp - 0.3) < 1e-9 and name % 4 = 0")
+    return requests.prune_stale_shards(m, fresh).withColumn("temp", F.round("temp", 9))
 
 
 @query("q_split_parts", f"WITH {X.PREDS}, n AS (SELECT row_number() OVER (ORDER BY item_key, custom_id) AS pos, (SELECT ceil(count(*) / 7.0)::BIGINT FROM preds) AS chunk FROM preds), p AS (SELECT ((pos - 1) // chunk + 1)::INTEGER AS part, count(*) AS n FROM n GROUP BY 1) SELECT part, n FROM p")
@@ -173,6 +173,47 @@ def _(spark, sf_dir):
     return p.select("custom_id", "p.model", F.col("p.system")[0]["text"].alias("system"), F.col("p.system")[0]["cache_control"]["type"].alias("cache"), F.size("p.messages").cast("long").alias("n_messages"), F.col("p.messages")[0]["role"].alias("role"), F.col("p.messages")[0]["content"][0]["text"].alias("said"), F.try_element_at("p.stop_sequences", F.lit(1)).alias("stop"), "p.max_tokens", F.col("b.metadata.orig_custom_id").alias("orig"))
 
 
+@query("q_openai_overrides", f"{_REQ} SELECT custom_id, 'm9' AS model, 1.5::DOUBLE AS temperature, true AS no_top_p, 'low' AS effort, CASE type WHEN 'open' THEN 1024 ELSE 256 END AS max_tokens, id AS said FROM req")
+def _(spark, sf_dir):
+    over = {"model": "m9", "temperature": 1.5, "top_p": 0.1, "reasoning": {"effort": "low"}}
+    out = requests.render_openai(_talks(spark, sf_dir), "m1", "/v1/chat/completions", 0.5, 0.9, {"open_book": 1024, "default": 256}, overrides=over, allow_top_p=False)
+    b = F.from_json("line", "body struct<model:string,temperature:double,top_p:double,max_tokens:int,messages:array<struct<content:string>>,reasoning:struct<effort:string>>")
+    return out.withColumn("b", b["body"]).select("custom_id", "b.model", "b.temperature", F.col("b.top_p").isNull().alias("no_top_p"), "b.reasoning.effort", "b.max_tokens", F.col("b.messages")[1]["content"].alias("said"))
+
+
+#: What is marked by default, with own settings, and with the cache off: of every third request the second block has a mark of its own.
+_CACHES = {"default": None, "own": {"type": "kept", "ttl": "1h"}, "off": {"enable_system_cache": False}}
+_MARKS = {"default": "CASE WHEN sample_index = 2 THEN '|mine' ELSE 'ephemeral|' END", "own": "'kept1h|'", "off": "'|'"}
+
+
+@query("q_anthropic_blocks", f"{_REQ} " + " UNION ALL ".join(f"SELECT custom_id, '{c}' AS cache, {m} AS marks, 'Be brief: ' || condition || chr(10) || 'b' AS system, id || chr(10) || 'more' AS said, 2::BIGINT AS n_messages, 7 AS top_k, 1.0::DOUBLE AS temperature, '1' AS run FROM req" for c, m in _MARKS.items()))
+def _(spark, sf_dir):
+    r = _requests(spark, sf_dir)
+    block = lambda text, mark: F.struct(text.alias("text"), F.when(mark, F.struct(F.lit("mine").alias("type"))).alias("cache_control"))
+    no = F.lit(False)
+    m = lambda role, content: F.to_json(F.struct(F.lit(role).alias("role"), content.alias("content")))
+    system = F.array(block(F.concat(F.lit("Be brief: "), F.col("condition")), no), block(F.lit("b"), F.col("sample_index") == 2))
+    messages = F.array(m("system", system), m(" ", F.array(block(F.col("id"), no), block(F.lit("more"), no))), m("assistant", F.lit(None).cast("string")), m("assistant", F.lit("ok")))
+    talks = r.select("custom_id", F.from_json(F.concat(F.lit("["), F.array_join(messages, ","), F.lit("]")), "array<struct<role:string,content:variant>>").alias("messages"), F.array().cast("array<string>").alias("stop"))
+    params = "params struct<temperature:double,top_k:int,system:array<struct<type:string,text:string,cache_control:struct<type:string,ttl:string>>>,messages:array<struct<role:string,content:array<struct<text:string>>>>>, metadata struct<run:string>"
+    each = []
+    for name, cache in _CACHES.items():
+        out = requests.render_anthropic(talks, "m2", 0.5, cache=cache, top_k=7, metadata={"run": 1}, overrides={"temperature": 1.0})
+        each.append(out.select("custom_id", F.lit(name).alias("cache"), F.from_json("line", params).alias("b")))
+    p = each[0].union(each[1]).union(each[2])
+    mark = lambda s: F.concat_ws("", s["cache_control"]["type"], s["cache_control"]["ttl"])
+    texts = lambda xs: F.array_join(F.transform(xs, lambda x: x["text"]), "\n")
+    return p.select("custom_id", "cache", F.array_join(F.transform("b.params.system", mark), "|").alias("marks"), texts(F.col("b.params.system")).alias("system"), texts(F.col("b.params.messages")[0]["content"]).alias("said"), F.size("b.params.messages").cast("long").alias("n_messages"), "b.params.top_k", "b.params.temperature", "b.metadata.run")
+
+
+@query("q_validate_manifest", """WITH d AS (SELECT doc_id % 5 AS part, doc_id FROM documents), m AS (SELECT part, count(*) AS n_rows FROM d WHERE part <> 3 AND NOT (part = 2 AND doc_id % 2 = 0) GROUP BY part), f AS (SELECT part, count(*) AS found_rows FROM d WHERE part <> 4 GROUP BY part)
+SELECT part, n_rows, found_rows, CASE part WHEN 0 THEN 'ok' WHEN 1 THEN 'digest' WHEN 2 THEN 'rows' WHEN 3 THEN 'unexpected' ELSE 'missing' END AS status FROM m FULL JOIN f USING (part)""")
+def _(spark, sf_dir):
+    d = X.table(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    before = d.where("part <> 3 and not (part = 2 and doc_id % 2 = 0)").withColumn("text", F.when(F.col("part") == 1, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    return prepare.validate_manifest(d.where("part <> 4"), prepare.dataset_manifest(before, "part"), "part")
+
+
 _SAFE = "regexp_replace({0}, '[^A-Za-z0-9_-]', '_', 'g')"
 _LONG = "CASE WHEN length({0}) > 64 THEN substr({0}, 1, 32) || '_' || substr(sha256(raw), 1, 16) ELSE {0} END"
 

@@ -21,6 +21,8 @@ def lines(spark, sf_dir):
     t = _turns(spark, sf_dir)
     S, L = F.struct, F.lit
     use = lambda a, b: S(F.col("turn").alias(a), (F.col("turn") + 2).alias(b))
+    # answers have white space around them, which parsing cuts off
+    t = t.withColumn("text", F.when(F.col("conv_id") % 4 == 1, F.concat(L("\n\t "), "text", L(" \r\n"))).otherwise(F.col("text")))
     chat = F.to_json(S(F.col("cid").alias("custom_id"), S(L("r1").alias("request_id"), S(F.array(S(S(L("assistant").alias("role"), F.col("text").alias("content")).alias("message"), L("stop").alias("finish_reason"))).alias("choices"), use("prompt_tokens", "completion_tokens").alias("usage")).alias("body")).alias("response")))
     half = F.floor(F.length("text") / 2).cast("int")
     block = lambda s: S(L("output_text").alias("type"), s.alias("text"))
@@ -28,7 +30,8 @@ def lines(spark, sf_dir):
     responses = F.to_json(S(F.col("cid").alias("custom_id"), S(S(L("r2").alias("id"), L("completed").alias("status"), F.array(S(L("reasoning").alias("type"), L(None).cast("array<struct<type:string,text:string>>").alias("content")), S(L("message").alias("type"), said.alias("content"))).alias("output"), use("input_tokens", "output_tokens").alias("usage")).alias("body")).alias("response")))
     text_block = F.array(S(L("text").alias("type"), F.col("text").alias("text")))
     batch = F.to_json(S(L("wrapped").alias("custom_id"), S(S(F.col("cid").alias("orig_custom_id")).alias("metadata")).alias("request"), S(L("succeeded").alias("type"), S(L("r3").alias("id"), text_block.alias("content"), L("end_turn").alias("stop_reason"), use("input_tokens", "output_tokens").alias("usage")).alias("message")).alias("result")))
-    failed = F.to_json(S(F.col("cid").alias("custom_id"), S(L("errored").alias("type"), S(L("overloaded").alias("message")).alias("error")).alias("result")))
+    reason = F.when(F.col("conv_id") % 2 == 0, S(L("busy").alias("type"), L("overloaded").alias("message")))
+    failed = F.to_json(S(F.col("cid").alias("custom_id"), S(L("errored").alias("type"), reason.alias("error")).alias("result")))
     error = F.to_json(S(F.col("cid").alias("customId"), S(L("boom").alias("message")).alias("error")))
     i = F.col("conv_id")
     line = F.when((i % 7 == 0) & (i % 3 == 2), failed).when(i % 7 == 0, error).when(i % 3 == 0, chat).when(i % 3 == 1, responses).otherwise(batch)
@@ -38,7 +41,7 @@ def lines(spark, sf_dir):
     return stored(t.select("conv_id", "line", F.lit("a.jsonl").alias("file")).union(twice), "lines")
 
 
-_T = "t AS (SELECT conv_id, turn, trim(text) AS text, concat_ws('|', 'conv', conv_id, 'control', '0.0', turn, 'closed') AS cid FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)"
+_T = r"t AS (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, concat_ws('|', 'conv', conv_id, 'control', '0.0', turn, 'closed') AS cid FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)"
 _GOOD = f"WITH {_T}, ok AS (SELECT * FROM t WHERE conv_id % 13 <> 0)"
 
 
@@ -81,9 +84,9 @@ for _name, _kind, _finish, _id in (("q_norm_chat", 0, "stop", "r1"), ("q_norm_re
         return p.select("custom_id", "request_id", "finish_reason", "response_text", "prompt_tokens", "completion_tokens", "total_tokens")
 
 
-@query("q_norm_failure", f"{_GOOD} SELECT cid AS custom_id, CASE WHEN conv_id % 3 = 2 THEN 'errored' ELSE 'error' END AS failure, '' AS response_text FROM ok WHERE conv_id % 7 = 0")
+@query("q_norm_failure", f"{_GOOD} SELECT cid AS custom_id, CASE WHEN conv_id % 3 = 2 THEN 'errored' ELSE 'error' END AS failure, '' AS response_text, CASE WHEN conv_id % 3 = 2 THEN CASE WHEN conv_id % 2 = 0 THEN 'busy' ELSE 'errored' END END AS error_type, CASE WHEN conv_id % 3 <> 2 THEN 'boom' WHEN conv_id % 2 = 0 THEN 'overloaded' ELSE '{N.NO_MESSAGE}' END AS error_message FROM ok WHERE conv_id % 7 = 0")
 def _(spark, sf_dir):
-    return _predictions(spark, sf_dir).where("failure is not null").select("custom_id", "failure", "response_text")
+    return _predictions(spark, sf_dir).where("failure is not null").select("custom_id", "failure", "response_text", "error_type", "error_message")
 
 
 @query("q_predictions", f"{_GOOD} SELECT cid AS custom_id, 'conv' AS dataset, conv_id::VARCHAR AS item_id, 'control' AS condition, 0.0::DOUBLE AS temp, turn::INTEGER AS sample_index, 'closed' AS type, CASE WHEN conv_id % 7 = 0 THEN '' ELSE text END AS response_text FROM ok")
@@ -92,7 +95,7 @@ def _(spark, sf_dir):
 
 
 def _split(spark, sf_dir):
-    p = _predictions(spark, sf_dir).drop("failure")
+    p = _predictions(spark, sf_dir).drop("failure", "error_type", "error_message")
     return p.where("cast(item_id as long) % 2 = 0").withColumn("response_text", F.lit("cached")), p.where("cast(item_id as long) % 4 <> 2")
 
 

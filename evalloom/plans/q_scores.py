@@ -116,8 +116,8 @@ def _(spark, sf_dir):
 @query("q_sweep_thresholds", f"{_OPEN} SELECT type, item_key, condition, sample_index, threshold, CASE WHEN {abstains('np', 'fixed')}::INTEGER >= threshold THEN 0.0::DOUBLE WHEN {_BASE} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS unsupported FROM o, (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS threshold)")
 def _(spark, sf_dir):
     abst = T.is_abstention(F.col("response_text")).cast("double")
-    p = _open(spark, sf_dir).withColumn("threshold", F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))))
-    return p.select(*_KEY, "threshold", T.is_unsupported(F.col("response_text"), F.col("context"), abst, F.col("threshold")).alias("unsupported"))
+    p = T.sweep_thresholds(_open(spark, sf_dir), F.col("response_text"), F.col("context"), abst, [0.0, 0.5, 1.0])
+    return p.select(*_KEY, "threshold", "unsupported")
 
 
 @query("q_grounded_benchmark", f"""WITH d AS (SELECT doc_id, {norm("text")} AS n FROM documents), b AS (SELECT item_id, {norm("text")} AS n FROM benchmark)
@@ -138,6 +138,40 @@ def _(spark, sf_dir):
     return full.select("doc_id", "item_id").union(rest)
 
 
+_DOC = f"d AS (SELECT doc_id, {X._PART(1, 6)} AS head, {X._PART(3, 3)} AS a1, {X._PART(3, 2)} AS a2, text FROM documents WHERE text IS NOT NULL)"
+
+
+def _parts(spark, sf_dir):
+    w = F.filter(F.split("text", X.WORDS), lambda t: t != "")
+    part = lambda i, n: F.array_join(F.slice(w, i, n), " ")
+    return X.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", part(1, 6).alias("head"), part(3, 3).alias("a1"), part(3, 2).alias("a2"))
+
+
+@query("q_content_text", f"WITH {_DOC} SELECT doc_id, md5(CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN array_to_string(list_filter([a1, a2, head], lambda x: x <> ''), chr(10)) WHEN 2 THEN '[' || text ELSE '' END) AS digest FROM d")
+def _(spark, sf_dir):
+    """Strings, lists of strings and blocks, strings that only look like a list, and none."""
+    i, block = F.col("doc_id") % 4, lambda c: F.to_json(F.struct(F.lit("text").alias("type"), F.col(c).alias("text")))
+    quoted = F.concat(F.lit('"'), F.regexp_replace("a1", r'["\\\\]', r"\\\\$0"), F.lit('"'))
+    listed = F.concat(F.lit("["), F.concat_ws(",", quoted, block("a2"), F.lit('{"type":"image"}'), block("head")), F.lit("]"))
+    v = F.when(i == 0, F.col("text")).when(i == 1, listed).when(i == 2, F.concat(F.lit("["), "text"))
+    return _parts(spark, sf_dir).select("doc_id", F.md5(T.content_to_text(v)).alias("digest"))
+
+
+@query("q_estimate_messages", rf"WITH {_DOC} SELECT doc_id, greatest(len(list_filter(regexp_split_to_array(concat_ws(' ', a1, a2, head, 'x y', 'z'), '{_SPACE}'), lambda z: z <> '')), 1)::BIGINT AS n FROM d")
+def _(spark, sf_dir):
+    """Content as a string, as a list of blocks, as one block, and a role without any."""
+    s = F.struct
+    whole = s(s(F.lit("user").alias("role"), F.concat_ws("\n", "a1", "a2").alias("content")).alias("m1"), s(F.array(s(F.col("head").alias("text")), s(F.lit("x y").alias("text"))).alias("content")).alias("m2"), s(s(F.lit("z").alias("text")).alias("content")).alias("m3"), s(F.lit("user").alias("role")).alias("m4"))
+    v = F.to_variant_object(whole)
+    messages = F.parse_json(F.concat(F.lit("["), F.concat_ws(",", *(F.to_json(F.try_variant_get(v, f"$.m{k}", "variant")) for k in (1, 2, 3, 4))), F.lit("]")))
+    return _parts(spark, sf_dir).select("doc_id", T.estimate_message_tokens(messages).cast("long").alias("n"))
+
+
+@query("q_temp_label", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '0' ELSE '0' || o_orderkey % 5 END AS label FROM orders")
+def _(spark, sf_dir):
+    return X.table(spark, sf_dir, "orders").select("o_orderkey", T.temp_label((F.col("o_orderkey") % 5) / 10.0).alias("label"))
+
+
 @query("q_estimate_tokens", rf"SELECT doc_id, CASE WHEN length(text) > 0 THEN greatest(len(list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda z: z <> '')), 1) ELSE 0 END::BIGINT AS n FROM documents")
 def _(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).cast("long").alias("n"))

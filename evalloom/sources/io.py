@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evalloom.operators.normalize import COLUMNS, records
 
 ITEM = "dataset string, id string, context string, question string, answers array<string>, is_unanswerable boolean"
-REQUEST = "custom_id string, body struct<messages: array<struct<role: string, content: string>>, stop: array<string>>"
+REQUEST = "custom_id string, body struct<messages: array<struct<role: string, content: variant>>, stop: array<string>>"
 PREDICTION = "custom_id string, dataset string, item_id string, condition string, temp double, sample_index int, type string, request_id string, finish_reason string, response_text string, prompt_tokens long, completion_tokens long, total_tokens long"
 METRICS = ("em", "f1", "abstain_rate", "false_answer_rate", "unsupported_rate")
 
@@ -24,6 +24,14 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REQUEST).option("mode", "DROPMALFORMED").json(path).where("custom_id is not null")
 
 
+def split_requests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The same requests, and what is left out: value and file of lines that are no JSON object with a custom_id."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    d = lines.withColumn("v", F.try_parse_json("value")).withColumn("id", F.try_variant_get("v", "$.custom_id", "string"))
+    good = d.where("id is not null").select(F.from_json("value", REQUEST).alias("r")).select("r.*")
+    return good, d.where("id is null").select("value", "file")
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PREDICTION).options(header=True, multiLine=True, quote='"', escape='"').csv(path)
 
