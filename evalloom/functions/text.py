@@ -92,7 +92,11 @@ def markers_of(mode: str) -> tuple[str, ...]:
 
 
 def is_abstention(s: Column, markers: str = "fixed") -> Column:
-    text = normalize_answer(s)
+    return has_marker(normalize_answer(s), markers)
+
+
+def has_marker(text: Column, markers: str = "fixed") -> Column:
+    """Whether a normalised answer has an abstention marker."""
     found = F.lit(False)
     for m in markers_of(markers):
         found = found | F.contains(text, F.lit(m))

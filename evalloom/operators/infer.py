@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions import dist
-from evalloom.operators.pairs import EPS
+from evalloom.operators.pairs import EPS, delta_histogram, effect_sizes, mcnemar_counts, paired_deltas, with_scopes
+from evalloom.operators.resample import bootstrap_histogram, permutation_histogram
+from evalloom.sources.shared import stored
 
 
 def _udf(f, *columns: Column) -> Column:
@@ -68,12 +70,13 @@ def wilcoxon(histogram: DataFrame, *keys: str, exact_up_to: int = 50) -> DataFra
     return g.select(*keys, *(F.coalesce(c, F.lit(d)).alias(c) for c, d in (("n", 0), ("w_plus", 0.0), ("w_minus", 0.0), ("w", 0.0), ("z", 0.0), ("p", 1.0))))
 
 
-def hodges_lehmann(deltas: DataFrame, *keys: str, most: int = 2000) -> DataFrame:
+def hodges_lehmann(deltas: DataFrame, *keys: str, most: int = 2000, counted: bool = False) -> DataFrame:
     """Median of the averages of all pairs i <= j; of groups with more than `most` deltas, the plain median.
 
     Pairs are of different values with their counts, so copies are never paired row by row.
+    counted: deltas are a histogram (keys, delta, cnt) already.
     """
-    h = deltas.groupBy(*keys, "delta").agg(F.count("*").alias("cnt"))
+    h = deltas if counted else deltas.groupBy(*keys, "delta").agg(F.count("*").alias("cnt"))
     n = h.groupBy(*keys).agg(F.sum("cnt").alias("n"))
     a = h.join(n.where(F.col("n") <= most), list(keys))
     b = a.select(*keys, F.col("delta").alias("d2"), F.col("cnt").alias("c2"))
@@ -166,21 +169,53 @@ def mean_intervals(rows: DataFrame, value: Column, *keys: str, alpha: float = 0.
     return g.withColumn("half", half).select(*keys, "n", "mean", "se", (F.col("mean") - F.col("half")).alias("ci_low"), (F.col("mean") + F.col("half")).alias("ci_high"))
 
 
-def significance(pairs: DataFrame, replicates: int = 1000, seed: int = 2025, margin: float = 0.02, alpha: float = 0.05) -> DataFrame:
-    """One row for each temp, type, scope and metric with all tests, and q over the family of McNemar and rank tests."""
-    from evalloom.operators import pairs as P
-    from evalloom.operators.resample import bootstrap_histogram, permutation_histogram
+def dataset_meta(intervals: DataFrame) -> DataFrame:
+    """meta_analysis over the datasets' rows of intervals (temp, type, scope, metric, n, mean, ci_low, ci_high): em always, f1 of open items."""
+    g = intervals.where("scope <> 'overall' and (metric = 'em' or (metric = 'f1' and type = 'open'))")
+    return meta_analysis(g, "temp", "type", "metric").withColumn("scope", F.lit("overall"))
 
+
+def risk_report(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Selective risk of both sides by temp, type and scope: the points, and the area under them on each."""
+    p, keys = with_scopes(pairs), ("temp", "type", "scope")
+    sides = [selective_risk(p, thresholds, s, *keys).withColumn("condition", F.lit(n)) for s, n in (("c", "control"), ("t", "treatment"))]
+    points = sides[0].unionByName(sides[1])
+    area = aurc(points, *keys, "condition")
+    points = points.groupBy(*keys, "condition").agg(F.sort_array(F.collect_list(F.struct("threshold", "coverage", "accuracy", "risk"))).alias("points"))  # a few thresholds
+    return points.join(area, [*keys, "condition"], "left")
+
+
+def significance(pairs: DataFrame, replicates: int = 5000, seed: int = 1337, margin: float = 0.01, alpha: float = 0.05, thresholds: tuple[float, ...] = (0.0, 0.5, 1.0), reference: bool = False) -> DataFrame:
+    """One row for each temp, type, scope (overall or a dataset) and metric with all tests.
+
+    Effects, rank test, Hodges-Lehmann, bootstrap interval and permutation p of every
+    metric; McNemar with odds ratio, selective risk and its area on em; on the overall
+    scope meta-analysis with heterogeneity over the datasets and non-inferiority with
+    its t interval of em and f1; q over the family of McNemar and rank tests (reference:
+    see fdr_bh). Pairs and their histogram are stored once, and every test reads them.
+    """
     keys = ("temp", "type", "scope", "metric")
-    deltas = P.with_scopes(P.paired_deltas(pairs))
-    h = P.delta_histogram(deltas, *keys)
-    wide = [P.effect_sizes(deltas, *keys), wilcoxon(h, *keys).withColumnsRenamed({"n": "n_nonzero", "p": "p_wilcoxon"}), hodges_lehmann(deltas, *keys), bootstrap_histogram(h, replicates, seed, alpha, *keys), permutation_histogram(h, replicates, seed, *keys), noninferiority(deltas, margin, alpha, *keys).select(*keys, F.col("p").alias("p_noninferior"))]
+    pairs = stored(pairs, "pairs")
+    deltas = with_scopes(paired_deltas(pairs)).where("type = 'open' or metric in ('em', 'abstain_rate')")
+    h = stored(delta_histogram(deltas, *keys), "histogram")
+    n = F.sum("cnt")
+    mean = h.groupBy(*keys).agg((F.sum(F.col("delta") * F.col("cnt")) / n).alias("mean"), n.alias("n"))
+    boot = stored(bootstrap_histogram(h, replicates, seed, alpha, *keys), "bootstrap")
+    hl = hodges_lehmann(h, *keys, counted=True)
+    effects = effect_sizes(deltas, *keys)
+    wide = [effects, wilcoxon(h, *keys).withColumnsRenamed({"n": "n_nonzero", "p": "p_wilcoxon"}), hl, boot, permutation_histogram(h, replicates, seed, *keys)]
     out = reduce(lambda a, b: a.join(b, list(keys), "left"), wide)
-    mc = odds_ratio(binom_two_sided(P.mcnemar_counts(P.with_scopes(pairs), "temp", "type", "scope"))).withColumnRenamed("p", "p_mcnemar").withColumn("metric", F.lit("em")).drop("n")
-    out = out.join(mc, list(keys), "left")
+    mc = odds_ratio(binom_two_sided(mcnemar_counts(with_scopes(pairs), "temp", "type", "scope"))).withColumnsRenamed({"p": "p_mcnemar", "n": "n_pairs"}).withColumn("metric", F.lit("em"))
+    meta = dataset_meta(mean.join(boot, list(keys))).withColumnsRenamed({"k": "meta_k"})
+    tost = noninferiority(deltas.where("scope = 'overall' and (metric = 'em' or (metric = 'f1' and type = 'open'))"), margin, alpha, *keys)
+    tost = tost.select(*keys, F.col("p").alias("p_noninferior"), "noninferior", F.col("ci_low").alias("t_low"), F.col("ci_high").alias("t_high"))
+    risk = risk_report(pairs, list(thresholds)).groupBy("temp", "type", "scope").pivot("condition", ["control", "treatment"]).agg(F.first("points").alias("risk"), F.first("aurc").alias("aurc")).withColumn("metric", F.lit("em"))
+    for part in (mc, meta, tost, risk):
+        out = out.join(part, list(keys), "left")
+    out = stored(out, "significance")
     name = F.concat_ws("|", F.col("temp").cast("string"), "type", "scope", "metric")
     family = out.select(F.concat(F.lit("w|"), name).alias("test"), F.col("p_wilcoxon").alias("p")).union(out.where("p_mcnemar is not null").select(F.concat(F.lit("m|"), name), "p_mcnemar"))
-    q = fdr_bh(family).select("test", "q")
+    q = fdr_bh(family, reference).select("test", "q")
     for prefix, column in (("w|", "q_wilcoxon"), ("m|", "q_mcnemar")):
         out = out.join(q.select(F.col("test").alias("t"), F.col("q").alias(column)), F.concat(F.lit(prefix), name) == F.col("t"), "left").drop("t")
     return out

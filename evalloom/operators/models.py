@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.sources.shared import stored
+
 NAMES = ("intercept", "treatment", "temp_c", "treatment_temp")
 
 
@@ -69,16 +71,22 @@ def ols_cluster_robust(rows: DataFrame, y: str = "f1", cluster: str = "item_key"
 def gee_logistic(rows: DataFrame, y: str = "binary_correct", cluster: str = "item_key", rounds: int = 25, exchangeable: bool = True) -> DataFrame:
     """Logistic regression of y with exchangeable correlation in clusters and robust errors.
 
-    Rows of one cluster and condition and temp are counted first; a round is one
-    aggregation by cluster and one sum over clusters.
+    Rows of one cluster and condition and temp are counted first, and clusters with the
+    same counts are one pattern with a number, stored once; a round is one aggregation by
+    pattern and one sum over patterns.
     """
     spark = rows.sparkSession
     d = design(rows.where(F.col(y).isNotNull()))
-    cells = d.groupBy(cluster, "x0", "x1", "x2", "x3").agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("s")).cache()
+    cells = d.groupBy(cluster, "x0", "x1", "x2", "x3").agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("s"))
+    # a cluster has few cells: one for each condition and temp
+    cell = F.struct("x0", "x1", "x2", "x3", "n", "s")
+    patterns = cells.groupBy(cluster).agg(F.sort_array(F.collect_list(cell)).alias("cells")).groupBy("cells").agg(F.count("*").alias("times"))
+    patterns = stored(patterns.withColumn("pattern", F.monotonically_increasing_id()), "patterns")
+    cells = patterns.select("pattern", "times", F.explode("cells").alias("c")).select("pattern", "times", "c.*")
     x = [F.col(f"x{i}") for i in range(4)]
-    s = cells.agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * x[i] * x[j]).alias(f"a{i}_{j}") for i in range(4) for j in range(i, 4)), F.sum("s").alias("s")).first()
+    times = F.col("times")
+    s = cells.agg(F.sum(times * F.col("n")).alias("n"), *(F.sum(times * F.col("n") * x[i] * x[j]).alias(f"a{i}_{j}") for i in range(4) for j in range(i, 4)), F.sum(times * F.col("s")).alias("s")).first()
     if not s["n"] or s["s"] in (0, s["n"]):
-        cells.unpersist()
         return _table(spark, [], [], np.zeros((0, 0)))
     keep = _independent(np.array([[s[f"a{min(i, j)}_{max(i, j)}"] for j in range(4)] for i in range(4)]))
     k, beta, rho = len(keep), np.zeros(len(keep)), 0.0
@@ -91,8 +99,8 @@ def gee_logistic(rows: DataFrame, y: str = "binary_correct", cluster: str = "ite
         c = cells.withColumn("mu", mu).withColumn("v", F.sqrt(F.col("mu") * (1 - F.col("mu")))).withColumn("r", (F.col("s") - F.col("n") * F.col("mu")) / F.col("v"))
         # squares of residuals: right answers and wrong ones
         rr = F.col("s") * (1 - F.col("mu")) / F.col("mu") + (F.col("n") - F.col("s")) * F.col("mu") / (1 - F.col("mu"))
-        per = c.groupBy(cluster).agg(
-            F.sum("n").alias("n"), F.sum("r").alias("r"), F.sum(rr).alias("rr"),
+        per = c.groupBy("pattern").agg(
+            F.first("times").alias("times"), F.sum("n").alias("n"), F.sum("r").alias("r"), F.sum(rr).alias("rr"),
             *(F.sum(F.col("n") * F.col("v") * x[keep[i]]).alias(f"d{i}") for i in range(k)),
             *(F.sum(F.col("v") * x[keep[i]] * F.col("r")).alias(f"e{i}") for i in range(k)),
             *(F.sum(F.col("n") * F.col("v") * F.col("v") * x[keep[i]] * x[keep[j]]).alias(f"h{i}_{j}") for i, j in tri),
@@ -102,10 +110,10 @@ def gee_logistic(rows: DataFrame, y: str = "binary_correct", cluster: str = "ite
         b = F.lit(rho) / ((1 - rho) * (1 + (F.col("n") - 1) * rho))
         per = per.withColumns({f"g{i}": a * F.col(f"e{i}") - b * F.col(f"d{i}") * F.col("r") for i in range(k)})
         return per.agg(
-            F.count("*").alias("clusters"), F.sum("n").alias("n"), F.sum("rr").alias("rr"), F.sum((F.col("r") * F.col("r") - F.col("rr")) / 2).alias("cross"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"),
-            *(F.sum(f"g{i}").alias(f"g{i}") for i in range(k)),
-            *(F.sum(a * F.col(f"h{i}_{j}") - b * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"H{i}_{j}") for i, j in tri),
-            *(F.sum(F.col(f"g{i}") * F.col(f"g{j}")).alias(f"M{i}_{j}") for i, j in tri),
+            F.sum(times * F.col("n")).alias("n"), F.sum(times * F.col("rr")).alias("rr"), F.sum(times * (F.col("r") * F.col("r") - F.col("rr")) / 2).alias("cross"), F.sum(times * F.col("n") * (F.col("n") - 1) / 2).alias("pairs"),
+            *(F.sum(times * F.col(f"g{i}")).alias(f"g{i}") for i in range(k)),
+            *(F.sum(times * (a * F.col(f"h{i}_{j}") - b * F.col(f"d{i}") * F.col(f"d{j}"))).alias(f"H{i}_{j}") for i, j in tri),
+            *(F.sum(times * F.col(f"g{i}") * F.col(f"g{j}")).alias(f"M{i}_{j}") for i, j in tri),
         ).first()
 
     r = None
@@ -120,6 +128,5 @@ def gee_logistic(rows: DataFrame, y: str = "binary_correct", cluster: str = "ite
             break
     r = sums(beta, rho)
     inv = np.linalg.inv(full(r, "H"))
-    cells.unpersist()
     out = _table(spark, [NAMES[i] for i in keep], beta, inv @ full(r, "M") @ inv)
     return out.withColumns({"odds_ratio": F.exp("coef"), "or_low": F.exp("ci_low"), "or_high": F.exp("ci_high"), "rho": F.lit(rho)})

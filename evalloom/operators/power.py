@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.functions import text as T
+from evalloom.operators.pairs import delta_histogram
+from evalloom.operators.resample import bootstrap_histogram
 
 
 def unsupported_sensitivity(predictions: DataFrame, items: DataFrame, thresholds: list[float], strategy: str = "baseline") -> DataFrame:
@@ -26,8 +28,12 @@ def unsupported_sensitivity(predictions: DataFrame, items: DataFrame, thresholds
     return g.where("c is not null and t is not null").select("item_key", "temp", "threshold", (F.col("t") - F.col("c")).alias("delta"))
 
 
-def sensitivity_summary(deltas: DataFrame) -> DataFrame:
-    return deltas.groupBy("temp", "threshold").agg(F.count("*").alias("n"), F.avg("delta").alias("mean"))
+def sensitivity_summary(deltas: DataFrame, replicates: int = 5000, seed: int = 1337, alpha: float = 0.05) -> DataFrame:
+    """Pairs, mean delta and its bootstrap interval for each temp and threshold."""
+    keys = ("temp", "threshold")
+    h = delta_histogram(deltas, *keys)
+    n = F.sum("cnt")
+    return h.groupBy(*keys).agg(n.alias("n"), (F.sum(F.col("delta") * F.col("cnt")) / n).alias("mean")).join(bootstrap_histogram(h, replicates, seed, alpha, *keys), list(keys))
 
 
 def power_deltas(pairs: DataFrame, unanswerable: DataFrame | None = None) -> DataFrame:

@@ -1,8 +1,10 @@
 """Bootstrap and sign-flip tests at any size.
 
 keyed: weights and signs come from a hash of seed, replicate and item, so any engine
-gives the same numbers. histogram: replicates are drawn over the different deltas of
-a group with their counts, whose cost does not follow the number of items.
+gives the same numbers; its cost is replicates times items, spread over all tasks, and
+its shuffle a row for each task, group and replicate. histogram: replicates are drawn
+over the different deltas of a group with their counts, whose cost does not follow the
+number of items.
 """
 
 from __future__ import annotations
@@ -12,41 +14,86 @@ from math import exp
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Cut points of the Poisson distribution with mean 1: P(weight <= k).
 POISSON = [sum(exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)[: k + 1]) for k in range(8)]
 
 
-def uniform(seed: int, replicate: Column, key: Column) -> Column:
-    """The first 8 hex digits of md5(seed|replicate|key) over 2**32."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), key)), 1, 8), 16, 10).cast("double") / 4294967296.0
-
-
-def poisson_weight(u: Column) -> Column:
-    w = F.lit(len(POISSON))
-    for k in range(len(POISSON) - 1, -1, -1):
-        w = F.when(u < POISSON[k], k).otherwise(w)
-    return w
+def _weights(items: list[str], replicates: int, seed: int, table: np.ndarray) -> np.ndarray:
+    """A row of table entries for each item: 16 bits of md5(seed|replicate // 8|item), the (replicate % 8)th of its eight."""
+    heads = [f"{seed}|{g}|".encode() for g in range(-(-replicates // 8))]
+    digests = b"".join(hashlib.md5(h + i).digest() for i in (x.encode("utf-8", "surrogatepass") for x in items) for h in heads)
+    return table[np.frombuffer(digests, dtype=">u2").reshape(len(items), -1)[:, :replicates]]
+
+
+def _keyed(deltas: DataFrame, replicates: int, seed: int, keys: tuple[str, ...], table: np.ndarray) -> DataFrame:
+    """(keys, r, n, total, w, wd): per replicate the rows, their sum, and the sums of weights and of weighted deltas.
+
+    A task adds up its own rows, item by item once for all groups, and gives a row for each group and replicate.
+    """
+
+    def added(batches):
+        sums: dict[tuple, list] = {}
+        for b in batches:
+            names, items = [b[k].to_pylist() for k in keys], b["item_key"].to_pylist()
+            d = b["delta"].to_numpy(zero_copy_only=False)
+            for s in range(0, len(items), 500):  # bounds the matrix of weights
+                at = {x: i for i, x in enumerate(dict.fromkeys(items[s : s + 500]))}
+                w = _weights(list(at), replicates, seed, table)
+                row = np.array([at[x] for x in items[s : s + 500]])
+                groups: dict[tuple, list[int]] = {}
+                for i, g in enumerate(zip(*(n[s : s + 500] for n in names))):
+                    groups.setdefault(g, []).append(i)
+                for g, places in groups.items():
+                    own, x = w[row[places]], d[s : s + 500][places]
+                    held = sums.setdefault(g, [0, 0.0, np.zeros(replicates), np.zeros(replicates)])
+                    held[0] += len(x)
+                    held[1] += float(x.sum())
+                    held[2] += own.sum(0)
+                    held[3] += x @ own
+            if len(sums) > 200:
+                yield from given(sums)
+                sums = {}
+        yield from given(sums)
+
+    def given(sums):
+        for g, (n, total, w, wd) in sums.items():
+            yield pd.DataFrame({**dict(zip(keys, g)), "r": np.arange(replicates, dtype=np.int32), "n": n, "total": total, "w": w, "wd": wd})[[*keys, "r", "n", "total", "w", "wd"]]
+
+    def run(batches):
+        for p in added(batches):
+            yield pa.RecordBatch.from_pandas(p, schema=schema, preserve_index=False)
+
+    rows = deltas.select(*keys, F.col("item_key").cast("string").alias("item_key"), F.col("delta").cast("double").alias("delta")).where("item_key is not null and delta is not null")
+    kinds = ", ".join([*([_type_of(deltas, keys)] if keys else []), "r int, n long, total double, w double, wd double"])
+    schema = to_arrow_schema(StructType.fromDDL(kinds))
+    parts = rows.mapInArrow(run, kinds)
+    return parts.groupBy(*keys, "r").agg(*(F.sum(c).alias(c) for c in ("n", "total", "w", "wd")))
+
+
+def poisson_table() -> np.ndarray:
+    """The Poisson weight of each 16-bit number over 65536."""
+    return np.searchsorted(np.array(POISSON), np.arange(65536) / 65536, side="right").astype(np.float64)
 
 
 def bootstrap_keyed(deltas: DataFrame, replicates: int, seed: int, alpha: float, *keys: str) -> DataFrame:
-    """Percentile interval of the mean from keyed Poisson weights."""
-    r = deltas.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    r = r.withColumn("w", poisson_weight(uniform(seed, F.col("r"), F.col("item_key"))))
-    means = r.groupBy(*keys, "r").agg((F.sum(F.col("w") * F.col("delta")) / F.sum("w")).alias("m")).where("m is not null")
+    """Percentile interval of the mean of deltas (keys, item_key, delta) from keyed Poisson weights."""
+    means = _keyed(deltas, replicates, seed, keys, poisson_table()).where("w > 0").withColumn("m", F.col("wd") / F.col("w"))
     ci = F.percentile("m", [alpha / 2, 1 - alpha / 2])
     return means.groupBy(*keys).agg(ci.alias("ci")).select(*keys, F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"))
 
 
 def permutation_keyed(deltas: DataFrame, replicates: int, seed: int, *keys: str) -> DataFrame:
     """Share of keyed sign flips whose mean is at least as far from 0; 1 for a mean of 0."""
-    r = deltas.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    sign = F.when(uniform(seed, F.col("r"), F.col("item_key")) < 0.5, -1.0).otherwise(1.0)
-    sums = r.groupBy(*keys, "r").agg(F.avg(sign * F.col("delta")).alias("m"), F.avg("delta").alias("obs"))
+    signs = np.where(np.arange(65536) < 32768, -1.0, 1.0)
+    sums = _keyed(deltas, replicates, seed, keys, signs).select(*keys, (F.col("wd") / F.col("n")).alias("m"), (F.col("total") / F.col("n")).alias("obs"))
     far = F.count_if(F.abs("m") >= F.abs("obs") - 1e-12) / F.lit(float(replicates))
-    return sums.groupBy(*keys).agg(F.when(F.abs(F.first("obs")) <= 1e-12, 1.0).otherwise(far).alias("p"))
+    return sums.groupBy(*keys).agg(F.when(F.abs(F.max("obs")) <= 1e-12, 1.0).otherwise(far).alias("p"))
 
 
 def _rng(seed: int, key: tuple) -> np.random.Generator:

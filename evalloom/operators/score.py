@@ -8,13 +8,23 @@ from pyspark.sql import functions as F
 from evalloom.functions import text as T
 
 
-def score_columns(prediction: Column, truths: Column, unanswerable: Column, is_open: Column, markers: str = "fixed") -> dict[str, Column]:
-    """em, f1, abstained and false_answer of an open or closed answer; f1 and false_answer are null for closed ones."""
-    abstains, em = T.is_abstention(prediction, markers), T.best_em(prediction, truths)
+def truth_tokens(truths: Column) -> Column:
+    """Each truth's normalised tokens; one empty truth where there are none."""
+    return F.transform(T.or_blank(truths), T.normal_tokens)
+
+
+def score_columns(tokens: Column, truths: Column, unanswerable: Column, is_open: Column, markers: str = "fixed") -> dict[str, Column]:
+    """em, f1, abstained and false_answer of an open or closed answer; f1 and false_answer are null for closed ones.
+
+    tokens: normal_tokens of the answer; truths: truth_tokens, so that nothing is normalised again for each pair.
+    """
+    abstains = T.has_marker(F.array_join(tokens, " "), markers)
+    em = F.exists(truths, lambda t: t == tokens).cast("double")
+    f1 = F.array_max(F.transform(truths, lambda t: T.f1_of_tokens(tokens, t)))
     no = is_open & F.coalesce(unanswerable, F.lit(False))
     return {
         "em": F.when(no, abstains.cast("double")).otherwise(em),
-        "f1": F.when(no, abstains.cast("double")).when(is_open, T.best_f1(prediction, truths)),
+        "f1": F.when(no, abstains.cast("double")).when(is_open, f1),
         "abstained": abstains.cast("double"),
         "false_answer": F.when(no, (~abstains).cast("double")).when(is_open, 0.0),
     }
@@ -30,19 +40,20 @@ def score_predictions(predictions: DataFrame, items: DataFrame, strategy: str =
 
     Predictions without an item are left out; unmatched() gives them.
     """
-    i = items.select("type", "item_key", "context", "answers", "is_unanswerable")
-    p = predictions.join(i, ["type", "item_key"])
+    i = items.select("type", "item_key", "context", truth_tokens(F.col("answers")).alias("_truths"), "is_unanswerable")
+    p = predictions.withColumn("_tokens", T.normal_tokens(F.col("response_text"))).join(i, ["type", "item_key"])
     is_open = F.col("type") == "open"
-    p = p.withColumns(score_columns(F.col("response_text"), F.col("answers"), F.col("is_unanswerable"), is_open, markers))
+    p = p.withColumns(score_columns(F.col("_tokens"), F.col("_truths"), F.col("is_unanswerable"), is_open, markers))
     bad = T.is_unsupported(F.col("response_text"), F.coalesce("context", F.lit("")), F.col("abstained"), threshold, strategy, min_overlap)
-    return p.withColumn("unsupported", F.when(is_open, bad)).drop("context", "answers", "is_unanswerable")
+    return p.withColumn("unsupported", F.when(is_open, bad)).drop("context", "_tokens", "_truths", "is_unanswerable")
 
 
 def scored_long(predictions: DataFrame, items: DataFrame, markers: str = "fixed") -> DataFrame:
     """Replicate rows for regression: a missing item counts as no answers, scored closed unless the type is open."""
-    i = items.select("type", "item_key", "answers", F.coalesce("is_unanswerable", F.lit(False)).alias("unanswerable"))
+    i = items.select("type", "item_key", truth_tokens(F.col("answers")).alias("_truths"), F.coalesce("is_unanswerable", F.lit(False)).alias("unanswerable"))
     p = predictions.join(i, ["type", "item_key"], "left").withColumn("unanswerable", F.coalesce("unanswerable", F.lit(False)))
-    s = score_columns(F.col("response_text"), F.col("answers"), F.col("unanswerable"), F.col("type") == "open", markers)
+    p = p.withColumn("_tokens", T.normal_tokens(F.col("response_text"))).withColumn("_truths", F.coalesce("_truths", F.array(F.array().cast("array<string>"))))
+    s = score_columns(F.col("_tokens"), F.col("_truths"), F.col("unanswerable"), F.col("type") == "open", markers)
     out = p.select("item_key", F.split("item_key", r"\|")[0].alias("dataset"), "type", "condition", "temp", "sample_index", "unanswerable", s["em"].alias("em"), s["f1"].alias("f1"), s["abstained"].alias("abstained"))
     return out.withColumn("binary_correct", T.majority(F.col("em")))
 

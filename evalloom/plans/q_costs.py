@@ -8,6 +8,7 @@ from evalloom.functions.text import job_state, temp_key
 from evalloom.operators import cost, report, telemetry
 from evalloom.plans import fixtures as X
 from evalloom.plans.base import query
+from evalloom.plans.q_stats import t_quantile
 
 P, I = f"WITH {X.PREDS}", f"WITH {X.PER_ITEM}"
 M = X.METRICS
@@ -111,9 +112,12 @@ def _(spark, sf_dir):
     return _round(report.report_means_ci(X.per_item(spark, sf_dir)).select("temp", "condition", "type", "n", "mean", "se"), "mean", "se")
 
 
-@query("q_report_limits")
+_HALF = f"{t_quantile('(count(x) - 1)::DOUBLE')} * stddev_samp(x) / sqrt(count(x))"
+
+
+@query("q_report_limits", f"{I}, v AS (SELECT temp, condition, type, CASE WHEN type = 'open' THEN f1 ELSE em END AS x FROM per_item) SELECT temp, condition, type, round(avg(x) - {_HALF}, 6) AS ci_low, round(avg(x) + {_HALF}, 6) AS ci_high FROM v GROUP BY temp, condition, type")
 def _(spark, sf_dir):
-    return report.report_means_ci(X.per_item(spark, sf_dir))
+    return _round(report.report_means_ci(X.per_item(spark, sf_dir)).select("temp", "condition", "type", "ci_low", "ci_high"), "ci_low", "ci_high", digits=6)
 
 
 @query("q_trials_pivot", f"{I}, t AS (SELECT *, {_K} AS trial FROM per_item) SELECT trial, round(avg(em) FILTER (type = 'closed') * 100, 6) AS closed_em, round(avg(em) FILTER (type = 'open') * 100, 6) AS open_em, round(avg(f1) FILTER (type = 'open') * 100, 6) AS open_f1 FROM t GROUP BY trial")

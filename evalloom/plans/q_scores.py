@@ -132,10 +132,23 @@ def _(spark, sf_dir):
     near = words.join(b.where("whole"), "key").select("doc_id", "item_id").distinct()
     text = F.array_join("t", " ")
     full = near.join(d, "doc_id").join(b.select("item_id", F.array_join("bt", " ").alias("bn")), "item_id").where(F.contains(text, F.col("bn")))
-    # short benchmark texts can stand inside words: each is tried on all documents, in one pass
-    short = b.where("not whole").agg(F.collect_list(F.struct("item_id", F.array_join("bt", " ").alias("bn"))).alias("bs"))
-    rest = d.crossJoin(F.broadcast(short)).select("doc_id", F.explode(F.filter("bs", lambda x: F.contains(text, x["bn"]))).alias("x")).select("doc_id", "x.item_id")
-    return full.select("doc_id", "item_id").union(rest)
+    return full.select("doc_id", "item_id").union(_short(d, words, b.where("not whole").select("item_id", "bt")))
+
+
+def _short(d, words, b):
+    """Texts of one or two words can begin or end inside of words: different words, or pairs of neighbours, that hold one are found by a few of its characters."""
+    ends = lambda w: F.filter(F.array(*(F.when(F.length(w) >= n, F.right(w, F.lit(n))) for n in (1, 2, 3))), lambda g: g.isNotNull())
+    one = b.where("size(bt) = 1").select("item_id", F.col("bt")[0].alias("w")).withColumn("g", F.left("w", F.lit(3)))
+    known = words.select("key").distinct()
+    holds = known.select("key", F.explode(F.array_distinct(F.flatten(F.array(*(F.when(F.length("key") >= n, F.transform(F.sequence(F.lit(1), F.length("key") - n + 1), lambda i, n=n: F.substring("key", i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)))))).alias("g"))
+    holds = holds.join(one, "g").where(F.contains("key", F.col("w"))).select("key", "item_id")
+    found = words.join(holds, "key").select("doc_id", "item_id").distinct()
+    two = b.where("size(bt) = 2").select("item_id", F.col("bt")[0].alias("u"), F.col("bt")[1].alias("v")).withColumn("g", F.right("u", F.lit(3)))
+    last = F.greatest(F.size("t") - 1, F.lit(0))
+    near = d.select("doc_id", F.explode(F.array_distinct(F.zip_with(F.slice("t", F.lit(1), last), F.slice("t", F.lit(2), last), lambda x, y: F.struct(x.alias("x"), y.alias("y"))))).alias("p"))
+    pairs = near.select("p.x", "p.y").distinct().select("x", "y", F.explode(ends(F.col("x"))).alias("g"))
+    pairs = pairs.join(two, "g").where(F.endswith("x", F.col("u")) & F.startswith("y", F.col("v"))).select(F.struct("x", "y").alias("p"), "item_id")
+    return found.union(near.join(pairs, "p").select("doc_id", "item_id").distinct())
 
 
 _DOC = f"d AS (SELECT doc_id, {X._PART(1, 6)} AS head, {X._PART(3, 3)} AS a1, {X._PART(3, 2)} AS a2, text FROM documents WHERE text IS NOT NULL)"

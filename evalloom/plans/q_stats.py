@@ -32,6 +32,28 @@ def _rounded(df, *names, digits=9):
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
+# Distributions in SQL: Simpson's rule, and the expansion of Student's quantile for many degrees of freedom.
+_SIMPSON = "list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {f})) * ({z}) / 6000"
+
+
+def two_sided(z: str) -> str:
+    """Twice the normal tail beyond |z|; beyond 12 it is 0 to all digits compared."""
+    z = f"least(abs({z}), 12.0)"
+    return f"greatest(0.0, 1 - 2 * {_SIMPSON.format(f=f'exp(-0.5 * ({z} * i / 2000.0) ** 2)', z=z)} / sqrt(2 * pi()))"
+
+
+def t_above(t: str, df: str) -> str:
+    """The tail of Student's distribution above t."""
+    f = f"(1 + ({t} * i / 2000.0) ** 2 / ({df})) ** (-(({df}) + 1) / 2.0)"
+    return f"(0.5 - exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(({df}) * pi()) * {_SIMPSON.format(f=f, z=t)})"
+
+
+def t_quantile(df: str) -> str:
+    z = NormalDist().inv_cdf(0.975)
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    return f"({z!r} + " + " + ".join(f"{c!r} / ({df}) ** {k}" for k, c in enumerate(terms, 1)) + ")"
+
+
 def r(expression: str, name: str | None = None, digits: int = 9) -> str:
     return f"round({expression}, {digits}) AS {name or expression}"
 
@@ -83,36 +105,48 @@ def _(spark, sf_dir):
     return _rounded(infer.odds_ratio(P.mcnemar_counts(_pairs(spark, sf_dir), "temp", "type")).select("temp", "type", "odds_ratio"), "odds_ratio")
 
 
-@query("q_odds_limits")
+_TAIL = "list_sum(list_transform(range({a}, {b} + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + i * ln({p}) + (b + c - i) * ln(1 - {p}))))"
+
+
+@query("q_odds_limits", f"""WITH RECURSIVE {X.PAIRS}, m AS (SELECT temp, type, count(*) FILTER (c_em < 0.5 AND t_em >= 0.5) AS b, count(*) FILTER (c_em >= 0.5 AND t_em < 0.5) AS c FROM pairs GROUP BY temp, type),
+s AS (SELECT temp, type, b, c, 0 AS k, 0.0::DOUBLE AS l0, 1.0::DOUBLE AS l1, 0.0::DOUBLE AS h0, 1.0::DOUBLE AS h1 FROM m WHERE b > 0 AND c > 0
+  UNION ALL SELECT temp, type, b, c, k + 1, CASE WHEN up < 0.025 THEN (l0 + l1) / 2 ELSE l0 END, CASE WHEN up < 0.025 THEN l1 ELSE (l0 + l1) / 2 END, CASE WHEN down > 0.025 THEN (h0 + h1) / 2 ELSE h0 END, CASE WHEN down > 0.025 THEN h1 ELSE (h0 + h1) / 2 END
+  FROM (SELECT *, {_TAIL.format(a="b", b="(b + c)", p="((l0 + l1) / 2)")} AS up, {_TAIL.format(a="0", b="b", p="((h0 + h1) / 2)")} AS down FROM s WHERE k < 50))
+SELECT m.temp, m.type, m.b, m.c, round(coalesce(l0 / (1 - l0), CASE WHEN m.b = 0 AND m.c > 0 THEN 0 END), 6) AS odds_low, round(h0 / (1 - h0), 6) AS odds_high FROM m LEFT JOIN (SELECT * FROM s WHERE k = 50) e USING (temp, type)""")
 def _(spark, sf_dir):
-    return infer.odds_ratio(P.mcnemar_counts(_pairs(spark, sf_dir), "temp", "type"))
+    o = infer.odds_ratio(P.mcnemar_counts(_pairs(spark, sf_dir), "temp", "type"))
+    o = o.select("temp", "type", "b", "c", "odds_low", F.when((F.col("b") > 0) & (F.col("c") > 0), F.col("odds_high")).alias("odds_high"))
+    return _rounded(o, "odds_low", "odds_high", digits=6)
 
 
+#: Draws of the keyed forms, for each metric; the histogram form draws 5000.
+REPLICATES = 2000
 _CUTS = "CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(resample.POISSON)) + f" ELSE {len(resample.POISSON)} END"
-_KEYED = f"""{W}, u AS (SELECT temp, type, r, delta, ('0x' || substr(md5('2025|' || r || '|' || item_key), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM deltas, (SELECT unnest(range(1, 201)) AS r) WHERE metric = 'em')"""
+_KEYED = f"""{W}, h AS (SELECT item_key, g, md5('2025|' || g || '|' || item_key) AS h FROM (SELECT DISTINCT item_key FROM deltas), (SELECT unnest(range(0, {-(-REPLICATES // 8)})) AS g)),
+u AS (SELECT item_key, g * 8 + k AS r, ('0x' || substr(h, 4 * k + 1, 4))::INTEGER / 65536.0::DOUBLE AS u FROM h, (SELECT unnest(range(0, 8))::INTEGER AS k) WHERE g * 8 + k < {REPLICATES})"""
 
 
 def _em(spark, sf_dir):
     return _deltas(spark, sf_dir).where("metric = 'em'")
 
 
-@query("q_bootstrap_keyed", f"""{_KEYED}, m AS (SELECT temp, type, r, sum(w * delta) / sum(w) AS m FROM (SELECT *, {_CUTS} AS w FROM u) GROUP BY temp, type, r)
-SELECT temp, type, round(quantile_cont(m, 0.025), 8) AS ci_low, round(quantile_cont(m, 0.975), 8) AS ci_high FROM m GROUP BY temp, type""")
+@query("q_bootstrap_keyed", f"""{_KEYED}, v AS (SELECT item_key, r, {_CUTS} AS w FROM u), m AS (SELECT temp, type, metric, r, sum(w * delta) / sum(w) AS m FROM deltas JOIN v USING (item_key) GROUP BY ALL)
+SELECT temp, type, metric, round(quantile_cont(m, 0.025), 8) AS ci_low, round(quantile_cont(m, 0.975), 8) AS ci_high FROM m GROUP BY ALL""")
 def _(spark, sf_dir):
-    return _rounded(resample.bootstrap_keyed(_em(spark, sf_dir), 200, 2025, 0.05, "temp", "type"), "ci_low", "ci_high", digits=8)
+    return _rounded(resample.bootstrap_keyed(_deltas(spark, sf_dir), REPLICATES, 2025, 0.05, *KEYS), "ci_low", "ci_high", digits=8)
 
 
-@query("q_permutation_keyed", f"""{_KEYED}, m AS (SELECT temp, type, r, avg(CASE WHEN u < 0.5 THEN -delta ELSE delta END) AS m, avg(delta) AS obs FROM u GROUP BY temp, type, r)
-SELECT temp, type, CASE WHEN abs(first(obs)) <= 1e-12 THEN 1.0 ELSE count(*) FILTER (abs(m) >= abs(obs) - 1e-12) / 200.0::DOUBLE END AS p FROM m GROUP BY temp, type""")
+@query("q_permutation_keyed", f"""{_KEYED}, v AS (SELECT item_key, r, CASE WHEN u < 0.5 THEN -1 ELSE 1 END AS w FROM u), m AS (SELECT temp, type, metric, r, avg(w * delta) AS m, avg(delta) AS obs FROM deltas JOIN v USING (item_key) GROUP BY ALL)
+SELECT temp, type, metric, CASE WHEN abs(max(obs)) <= 1e-12 THEN 1.0 ELSE count(*) FILTER (abs(m) >= abs(obs) - 1e-12) / {REPLICATES}.0::DOUBLE END AS p FROM m GROUP BY ALL""")
 def _(spark, sf_dir):
-    return resample.permutation_keyed(_em(spark, sf_dir), 200, 2025, "temp", "type")
+    return resample.permutation_keyed(_deltas(spark, sf_dir), REPLICATES, 2025, *KEYS)
 
 
 @query("q_resample_histogram")
 def _(spark, sf_dir):
     h = P.delta_histogram(_deltas(spark, sf_dir), *KEYS)
-    b = resample.bootstrap_histogram(h, 1000, 2025, 0.05, *KEYS)
-    return b.join(resample.permutation_histogram(h, 1000, 2025, *KEYS), list(KEYS))
+    b = resample.bootstrap_histogram(h, 5000, 2025, 0.05, *KEYS)
+    return b.join(resample.permutation_histogram(h, 5000, 2025, *KEYS), list(KEYS))
 
 
 @query("q_histogram", f"{W} SELECT temp, type, metric, round(delta, 9) AS delta, count(*) AS cnt FROM deltas GROUP BY temp, type, metric, round(delta, 9)")
@@ -132,9 +166,11 @@ def _(spark, sf_dir):
     return _rounded(_rounded(w, "w_plus", "w_minus", "w", digits=3), "z", digits=7)
 
 
-@query("q_wilcoxon_p")
+@query("q_wilcoxon_p", f"""{_RANKS}, z AS (SELECT *, (least(w_plus, w_minus) - n::DOUBLE * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM g WHERE n > 50) SELECT temp, type, metric, round({two_sided("z")}, 7) AS p FROM z""")
 def _(spark, sf_dir):
-    return infer.wilcoxon(P.delta_histogram(_deltas(spark, sf_dir), *KEYS), *KEYS)
+    """Groups of more than 50 differences, whose p is the normal one."""
+    w = infer.wilcoxon(P.delta_histogram(_deltas(spark, sf_dir), *KEYS), *KEYS).where("n > 50")
+    return _rounded(w.select(*KEYS, "p"), "p", digits=7)
 
 
 @query("q_hodges_lehmann", f"""{W}, e AS (SELECT temp, type, delta, row_number() OVER (PARTITION BY temp, type ORDER BY delta, item_key) AS i, count(*) OVER (PARTITION BY temp, type) AS n FROM deltas WHERE metric = 'em'),
@@ -204,9 +240,10 @@ def _(spark, sf_dir):
     return _rounded(_meta(spark, sf_dir).select("temp", "type", "metric", "q", F.col("df").cast("long").alias("df"), "i2"), "q", "i2", digits=6)
 
 
-@query("q_heterogeneity_p")
+@query("q_heterogeneity_p", f"{_META} SELECT temp, type, metric, round({two_sided('sqrt(q)')}, 6) AS q_p FROM t WHERE df = 1")
 def _(spark, sf_dir):
-    return _meta(spark, sf_dir).select("temp", "type", "metric", "q", "df", "q_p")
+    """With two datasets, and so one degree of freedom, chi-square is the square of a normal."""
+    return _rounded(_meta(spark, sf_dir).where("df = 1").select("temp", "type", "metric", "q_p"), "q_p", digits=6)
 
 
 _TESTS = f"""{W}, m AS (SELECT temp, type, dataset, count(*) FILTER (c_em < 0.5 AND t_em >= 0.5) AS b, count(*) FILTER (c_em >= 0.5 AND t_em < 0.5) AS c FROM pairs GROUP BY ALL),
@@ -233,9 +270,11 @@ def _(spark, sf_dir):
     return _rounded(_rounded(t.select(*KEYS, "n", "mean", "sd", "t"), "mean", "sd"), "t", digits=7)
 
 
-@query("q_tost_p")
+@query("q_tost_p", f"""{W}, g AS (SELECT temp, type, metric, count(*) AS n, avg(delta) AS mean, stddev_samp(delta) AS sd, (avg(delta) + 0.01) / (stddev_samp(delta) / sqrt(count(*))) AS t FROM deltas WHERE metric IN ('em', 'f1') GROUP BY ALL)
+SELECT temp, type, metric, n, round({t_above("t", "(n - 1)::DOUBLE")}, 6) AS p, round(mean - {t_quantile("(n - 1)::DOUBLE")} * sd / sqrt(n), 6) AS ci_low, round(mean + {t_quantile("(n - 1)::DOUBLE")} * sd / sqrt(n), 6) AS ci_high, {t_above("t", "(n - 1)::DOUBLE")} < 0.05 AS noninferior FROM g""")
 def _(spark, sf_dir):
-    return infer.noninferiority(_deltas(spark, sf_dir).where("metric in ('em', 'f1')"), 0.01, 0.05, *KEYS)
+    t = infer.noninferiority(_deltas(spark, sf_dir).where("metric in ('em', 'f1')"), 0.01, 0.05, *KEYS)
+    return _rounded(t.select(*KEYS, "n", "p", "ci_low", "ci_high", "noninferior"), "p", "ci_low", "ci_high", digits=6)
 
 
 @query("q_significance")
@@ -243,6 +282,28 @@ def _(spark, sf_dir):
     return infer.significance(_pairs(spark, sf_dir))
 
 
+_SCOPED = " UNION ALL ".join(f"SELECT *, {s} AS scope FROM {{0}}" for s in ("'overall'", "dataset"))
+_SIG = f"""{W}, ds AS ({_SCOPED.format("deltas")}), ps AS ({_SCOPED.format("pairs")}), d AS (SELECT * FROM ds WHERE type = 'open' OR metric IN ('em', 'abstain_rate')),
+e AS (SELECT temp, type, scope, metric, count(*) AS n, avg(delta) AS mean, CASE WHEN stddev_samp(delta) > 0 THEN avg(delta) / stddev_samp(delta) ELSE 0 END AS cohens_d FROM d GROUP BY ALL),
+m AS (SELECT temp, type, scope, 'em' AS metric, count(*) AS n_pairs, count(*) FILTER (c_em < 0.5 AND t_em >= 0.5) AS b, count(*) FILTER (c_em >= 0.5 AND t_em < 0.5) AS c FROM ps GROUP BY ALL),
+mp AS (SELECT *, {_P} AS p FROM m),
+rk AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY temp, type, scope, metric, size) - 1) / 2.0::DOUBLE AS k FROM (SELECT *, round(abs(delta), 12) AS size FROM d WHERE abs(delta) > 1e-12) WINDOW w AS (PARTITION BY temp, type, scope, metric ORDER BY size)),
+wx AS (SELECT temp, type, scope, metric, least(sum(CASE WHEN delta > 0 THEN k ELSE 0 END), sum(CASE WHEN delta < 0 THEN k ELSE 0 END)) AS w FROM rk GROUP BY ALL),
+rp AS (""" + " UNION ALL ".join(f"SELECT temp, type, scope, '{n}' AS side, threshold, sum(1 - {s}_abstain_rate) / count(*) AS coverage, 1 - sum({s}_em) / sum(1 - {s}_abstain_rate) AS risk FROM ps, (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS threshold) WHERE {s}_abstain_rate <= threshold GROUP BY ALL HAVING sum(1 - {s}_abstain_rate) > 0" for s, n in (("c", "control"), ("t", "treatment"))) + """),
+ar AS (SELECT temp, type, scope, 'em' AS metric, side, CASE WHEN count(*) > 1 THEN sum(area) END AS aurc FROM (SELECT *, (coverage - lag(coverage) OVER v) * (risk + lag(risk) OVER v) / 2 AS area FROM rp WINDOW v AS (PARTITION BY temp, type, scope, side ORDER BY coverage, threshold)) GROUP BY ALL)"""
+
+
+@query("q_significance_exact", f"""{_SIG} SELECT e.temp, e.type, e.scope, e.metric, e.n, round(e.mean, 9) AS mean, round(e.cohens_d, 8) AS cohens_d, round(coalesce(wx.w, 0), 3) AS w, mp.n_pairs, mp.b, mp.c, round((mp.b + 0.5) / (mp.c + 0.5), 8) AS odds_ratio, round(mp.p, 7) AS p_mcnemar,
+  round(ac.aurc, 8) AS aurc_control, round(ax.aurc, 8) AS aurc_treatment
+FROM e LEFT JOIN wx USING (temp, type, scope, metric) LEFT JOIN mp USING (temp, type, scope, metric) LEFT JOIN (SELECT * FROM ar WHERE side = 'control') ac USING (temp, type, scope, metric) LEFT JOIN (SELECT * FROM ar WHERE side = 'treatment') ax USING (temp, type, scope, metric)""")
+def _(spark, sf_dir):
+    """What of the report no draw decides."""
+    s = infer.significance(_pairs(spark, sf_dir), replicates=100)
+    s = s.select("temp", "type", "scope", "metric", "n", "mean", "cohens_d", "w", "n_pairs", "b", "c", "odds_ratio", "p_mcnemar", F.col("control_aurc").alias("aurc_control"), F.col("treatment_aurc").alias("aurc_treatment"))
+    s = _rounded(_rounded(s, "mean"), "cohens_d", "odds_ratio", "aurc_control", "aurc_treatment", digits=8)
+    return _rounded(_rounded(s, "w", digits=3), "p_mcnemar", digits=7)
+
+
 # ---------------------------------------------------------------- sweeps and power
 
 _MARKS = [i / 10 for i in range(11)]
@@ -254,7 +315,13 @@ i AS (SELECT item_key, temp, threshold, avg(CASE WHEN gone >= threshold THEN 0 E
 SELECT temp, threshold, count(*) AS n, round(avg(t - c), 9) AS mean FROM i WHERE c IS NOT NULL AND t IS NOT NULL GROUP BY temp, threshold""")
 def _(spark, sf_dir):
     items = X.text_items(spark, sf_dir)
-    return _rounded(power.sensitivity_summary(power.unsupported_sensitivity(X.text_predictions(items), items, _MARKS)), "mean")
+    return _rounded(power.sensitivity_summary(power.unsupported_sensitivity(X.text_predictions(items), items, _MARKS), 100).drop("ci_low", "ci_high"), "mean")
+
+
+@query("q_sensitivity_limits")
+def _(spark, sf_dir):
+    items = X.text_items(spark, sf_dir)
+    return power.sensitivity_summary(power.unsupported_sensitivity(X.text_predictions(items), items, _MARKS))
 
 
 _Z = NormalDist().inv_cdf(0.975) + NormalDist().inv_cdf(0.8)
@@ -292,9 +359,20 @@ def _(spark, sf_dir):
     return _rounded(models.ols_cluster_robust(_long(spark, sf_dir).where("type = 'open' and temp = 0.0")).select("term", "coef"), "coef", digits=8)
 
 
-@query("q_ols_full")
+_OLS = f"""WITH {X.PREDS}, d AS (SELECT item_key, f1 AS y, (condition = 'treatment')::INTEGER AS x, temp FROM preds WHERE type = 'open'), a AS (SELECT avg(temp) AS m, count(*) AS n, count(DISTINCT item_key) AS g FROM d),
+cell AS (SELECT x, temp, avg(y) AS mean, count(*) AS k FROM d GROUP BY x, temp),
+l AS (SELECT x, temp, mean, k, CASE WHEN temp = 0 THEN (0.7 - m) / 0.7 ELSE m / 0.7 END AS level, CASE WHEN temp = 0 THEN -1 / 0.7 ELSE 1 / 0.7 END AS slope FROM cell, a),
+term AS (SELECT 'intercept' AS term, x, temp, mean, k, CASE WHEN x = 0 THEN level ELSE 0 END AS c FROM l UNION ALL SELECT 'treatment', x, temp, mean, k, CASE WHEN x = 1 THEN level ELSE -level END FROM l
+  UNION ALL SELECT 'temp_c', x, temp, mean, k, CASE WHEN x = 0 THEN slope ELSE 0 END FROM l UNION ALL SELECT 'treatment_temp', x, temp, mean, k, CASE WHEN x = 1 THEN slope ELSE -slope END FROM l),
+s AS (SELECT term, item_key, sum(c / k * (y - mean)) AS s FROM d JOIN term USING (x, temp) GROUP BY term, item_key),
+v AS (SELECT term, sum(s * s) * g / (g - 1) * (n - 1) / (n - 4) AS v FROM s, a GROUP BY term, g, n), b AS (SELECT term, sum(c * mean) AS coef FROM term GROUP BY term)"""
+
+
+@query("q_ols_full", f"{_OLS} SELECT term, round(coef, 7) AS coef, round(sqrt(v), 7) AS se, round(coef - 1.96 * sqrt(v), 7) AS ci_low, round(coef + 1.96 * sqrt(v), 7) AS ci_high, round({two_sided('coef / sqrt(v)')}, 6) AS p FROM b JOIN v USING (term)")
 def _(spark, sf_dir):
-    return models.ols_cluster_robust(_long(spark, sf_dir).where("type = 'open'"))
+    """Two temperatures make the terms combinations of four cell means, which SQL can tell with their errors by cluster."""
+    o = models.ols_cluster_robust(_long(spark, sf_dir).where("type = 'open'"))
+    return _rounded(_rounded(o.select("term", "coef", "se", "ci_low", "ci_high", "p"), "coef", "se", "ci_low", "ci_high", digits=7), "p", digits=6)
 
 
 @query("q_gee")

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,42 @@ def test_nearest_rank_and_rolling(spark):
     assert got == {"a": 10.0, "b": 7.0, "c": None}
     t = spark.createDataFrame([(i, "p", s) for i, s in enumerate((0, 1, 59, 60, 61, 700, 759, 760))], "id int, provider string, s int").withColumn("ts", F.timestamp_seconds("s"))
     assert {r.id: r.in_window for r in telemetry.rolling_request_total(t).collect()} == {0: 1, 1: 2, 2: 3, 3: 3, 4: 3, 5: 1, 6: 2, 7: 2}
+
+
+def test_exchangeable_fit_against_dense_matrices(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(60):
+        lean = rng.normal()
+        for c in ("control", "treatment"):
+            for t in (0.0, 0.7):
+                for _ in range(int(rng.integers(1, 3))):
+                    rows.append((f"i{i}", c, t, int(rng.random() < 1 / (1 + np.exp(-(0.3 + 0.5 * (c == "treatment") + lean))))))
+    df = spark.createDataFrame(rows, "item_key string, condition string, temp double, binary_correct int")
+    got = {r.term: r for r in models.gee_logistic(df).collect()}
+    y, who = np.array([r[3] for r in rows], dtype=float), np.array([r[0] for r in rows])
+    temp, treat = np.array([r[2] for r in rows]), np.array([float(r[1] == "treatment") for r in rows])
+    x = np.stack([np.ones(len(y)), treat, temp - temp.mean(), treat * (temp - temp.mean())], axis=1)
+    beta, rho = np.zeros(4), 0.0
+    for _ in range(40):
+        mu = 1 / (1 + np.exp(-x @ beta))
+        v = np.sqrt(mu * (1 - mu))
+        h, m, g, cross, pairs = np.zeros((4, 4)), np.zeros((4, 4)), np.zeros(4), 0.0, 0
+        res = (y - mu) / v
+        for k in np.unique(who):
+            at = who == k
+            n = int(at.sum())
+            inv = np.linalg.inv((1 - rho) * np.eye(n) + rho * np.ones((n, n)))
+            d = v[at][:, None] * x[at]
+            u = d.T @ inv @ res[at]
+            h, m, g = h + d.T @ inv @ d, m + np.outer(u, u), g + u
+            cross, pairs = cross + (res[at].sum() ** 2 - (res[at] ** 2).sum()) / 2, pairs + n * (n - 1) / 2
+        cov = np.linalg.inv(h) @ m @ np.linalg.inv(h)
+        step = np.linalg.solve(h, g)
+        if np.abs(step).max() < 1e-10:
+            break
+        beta = beta + step
+        rho = cross / ((res**2).sum() / (len(y) - 4)) / (pairs - 4)
+    for i, name in enumerate(models.NAMES):
+        assert got[name].coef == pytest.approx(beta[i], abs=1e-6) and got[name].se == pytest.approx(np.sqrt(cov[i, i]), abs=1e-6)
+    assert got["intercept"].rho == pytest.approx(rho, abs=1e-6) and rho > 0.05
