@@ -152,10 +152,11 @@ def _oracle() -> str:
     for i in range(3, len(RULES)):
         every = f"list_concat({every}, s{i})"
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-s AS (SELECT doc_id, {", ".join(spans(i, r) for i, r in enumerate(RULES))} FROM d)
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(substr(md5(doc_id::VARCHAR), 1, 1) < '8', false) AS early FROM documents),
+e AS (SELECT DISTINCT t FROM d WHERE early),
+s AS (SELECT doc_id, t IN (SELECT t FROM e) AS known, {", ".join(spans(i, r) for i, r in enumerate(RULES))} FROM d)
 SELECT doc_id, len(s0)::BIGINT AS n_assign, len(s1)::BIGINT AS n_access, len(s2)::BIGINT AS n_hex,
-  sha256({text(base)}) AS base_sha256, {text(every)} AS spans
+  sha256({text(base)}) AS base_sha256, {text(every)} AS spans, known
 FROM s"""
 
 
