@@ -119,8 +119,8 @@ def _(spark, sf_dir):
     return _rounded(o, "odds_low", "odds_high", digits=6)
 
 
-#: Draws of the keyed forms, for each metric; the histogram form draws 5000.
-REPLICATES = 2000
+#: Draws for each metric, of both forms.
+REPLICATES = 5000
 _CUTS = "CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(resample.POISSON)) + f" ELSE {len(resample.POISSON)} END"
 _KEYED = f"""{W}, h AS (SELECT item_key, g, md5('2025|' || g || '|' || item_key) AS h FROM (SELECT DISTINCT item_key FROM deltas), (SELECT unnest(range(0, {-(-REPLICATES // 8)})) AS g)),
 u AS (SELECT item_key, g * 8 + k AS r, ('0x' || substr(h, 4 * k + 1, 4))::INTEGER / 65536.0::DOUBLE AS u FROM h, (SELECT unnest(range(0, 8))::INTEGER AS k) WHERE g * 8 + k < {REPLICATES})"""
