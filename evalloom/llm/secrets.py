@@ -65,9 +65,7 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     The text is split at the matches: the lengths of what stands between them and of
     themselves add up to their places, so that no text is searched from its start again.
     """
-    matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    found = F.zip_with(F.split(text, rule.pattern, -1), matches, lambda gap, m: F.struct(F.char_length(gap).alias("gap"), m.alias("m")))
-    found = F.slice(found, F.lit(1), F.size(matches))  # nothing follows the last gap
+    none = F.array().cast(SPANS)
 
     def add(acc: Column, x: Column) -> Column:
         m, start = x["m"], acc["end"] + x["gap"]
@@ -76,8 +74,14 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
         value = F.regexp_extract(m, rule.pattern, rule.group) if rule.group else m
         return F.struct(end.alias("end"), F.when(F.char_length(value) >= rule.least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    start = F.struct(F.lit(0).alias("end"), F.array().cast(SPANS).alias("spans"))
-    return F.aggregate(found, start, add, lambda acc: acc["spans"])
+    def placed(matches: Column) -> Column:
+        found = F.zip_with(F.split(text, rule.pattern, -1), matches, lambda gap, m: F.struct(F.char_length(gap).alias("gap"), m.alias("m")))
+        found = F.slice(found, F.lit(1), F.size(matches))  # nothing follows the last gap
+        start = F.struct(F.lit(0).alias("end"), none.alias("spans"))
+        return F.when(F.size(matches) == 0, none).otherwise(F.aggregate(found, start, add, lambda acc: acc["spans"]))
+
+    # an array of one element names the matches, so that they are looked for once, and gaps only where there are any
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))), placed)[0]
 
 
 def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
