@@ -21,6 +21,7 @@ encoded each.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -118,10 +119,10 @@ class Pieces:
                 order = np.argsort(h)
                 ids = np.array([i for _, i in own])[order]
                 self.by_length[n] = (h[order], ids, np.array(self.scores)[ids])
-        self.plain = np.isin(self.kinds, (self.NORMAL, self.USER))
-        self.shown = [p.replace(SPACE, " ") for p in self.pieces]
+        shown = {self.UNKNOWN: lambda p: " ⁇ ".encode(), self.CONTROL: lambda p: b"", self.BYTE: lambda p: bytes([int(p[3:5], 16)])}
+        self.shown = [shown.get(k, lambda p: p.replace(SPACE, " ").encode("utf-8"))(p) for p, k in zip(self.pieces, self.kinds)]
         self.cut_lines = not any("\n" in p for p, _ in usable)
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
 
     @staticmethod
     def _codes(words: list[str], n: int) -> np.ndarray:
@@ -242,28 +243,16 @@ class Pieces:
     def encode(self, texts: list) -> list[np.ndarray | None]:
         """Ids of each text; null stays null."""
         split = [None if t is None else self.words(t) for t in texts]
-        unseen = list({w for s in split if s for w in s} - self.cache.keys())
+        used = set(chain.from_iterable(s for s in split if s))
+        unseen = list(used - self.cache.keys())
         if len(self.cache) + len(unseen) > CACHE:
-            self.cache = {w: self.cache[w] for w in {w for s in split if s for w in s} & self.cache.keys()}
-        self.cache |= zip(unseen, (np.array(ids, dtype=np.int32) for ids in self.segment(unseen)))
-        have, none = self.cache, np.empty(0, dtype=np.int32)
-        return [None if s is None else np.concatenate([none, *map(have.__getitem__, s)]) for s in split]
+            self.cache = {w: self.cache[w] for w in used & self.cache.keys()}
+        self.cache |= zip(unseen, self.segment(unseen))
+        have = self.cache
+        return [None if s is None else np.array(list(chain.from_iterable(map(have.__getitem__, s))), dtype=np.int32) for s in split]
 
     def decode(self, ids) -> str:
-        ids = np.asarray(ids, dtype=np.int64)
-        if self.plain[ids].all():
-            text = "".join(map(self.shown.__getitem__, ids.tolist()))
-        else:
-            out = bytearray()
-            for i in ids.tolist():
-                k = self.kinds[i]
-                if k == self.BYTE:
-                    out.append(int(self.pieces[i][3:5], 16))
-                elif k == self.UNKNOWN:
-                    out += " ⁇ ".encode()
-                elif k != self.CONTROL:
-                    out += self.shown[i].encode("utf-8")
-            text = out.decode("utf-8", "surrogatepass")
+        text = b"".join(map(self.shown.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "surrogatepass")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
