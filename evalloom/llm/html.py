@@ -4,12 +4,12 @@ Pages are cut into lines, one for each block of text. Within each host every pag
 paired with the page next to it in order of URL path, the one of its two neighbours
 that shares the longer start; all lines of both, menus and all, are aligned by longest
 common subsequence, and lines that both hold are shared lines. Shared lines are
-deleted, unless both pages hold them inside their article element: articles repeat
-and quote each other, and such text is the page's own. Structure that is never text
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments, hidden
-parts) is left out in any case; on a page with an article element so is what stands
-outside of it. An element that is left out and holds the page's only article loses its
-other text, not the article.
+deleted, except inside the article element of a page that has one: articles repeat
+each other and what menus and notices say elsewhere, and there it is the page's own
+text. Structure that is never text (menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, comments, hidden parts) is left out in any case; on a page
+with an article element so is what stands outside of it. An element that is left out
+and holds the page's only article loses its other text, not the article.
 
 The order of URLs is made by range partitioning, and neighbours across partitions by
 a row for each partition, so that a host with a third of all pages is no one task's.
@@ -204,13 +204,13 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return [(t, LEFT_OUT if i not in chosen else ARTICLE if chosen[i] else AROUND) for i, (t, *_) in enumerate(found)]
 
 
-def common_lines(a: list[int], b: list[int], roles: bytes = b"", other_roles: bytes = b"") -> list[int]:
-    """Places in a of a longest common subsequence of a and b, by bit rows, but for lines that are in both articles."""
+def common_lines(a: list[int], b: list[int]) -> list[int]:
+    """Places in a of a longest common subsequence of a and b, by bit rows."""
     both = set(a) & set(b)
-    own, other = [i for i, x in enumerate(a) if x in both], [j for j, x in enumerate(b) if x in both]
+    own, other = [i for i, x in enumerate(a) if x in both], [x for x in b if x in both]
     where: dict[int, int] = {}
-    for j, at in enumerate(other):
-        where[b[at]] = where.get(b[at], 0) | 1 << j
+    for j, x in enumerate(other):
+        where[x] = where.get(x, 0) | 1 << j
     full = (1 << len(other)) - 1
     v, rows = full, [full]
     for i in own:
@@ -227,8 +227,7 @@ def common_lines(a: list[int], b: list[int], roles: bytes = b"", other_roles: by
             continue
         while length(i, j - 1) == here:
             j -= 1
-        if not (roles and roles[own[i - 1]] == ARTICLE == other_roles[other[j - 1]]):
-            out.append(own[i - 1])
+        out.append(own[i - 1])
         j -= 1
     return out[::-1]
 
@@ -276,29 +275,27 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def hashed(batches):
         for b in batches:
-            out, roles = [], []
+            out = []
             for page in b["html"].to_pylist():
-                found = blocks(page or "")
-                own = [t.encode("utf-8", "surrogatepass") for t, _ in found]
-                roles.append(bytes(role for _, role in found))
+                own = [t.encode("utf-8", "surrogatepass") for t, _ in blocks(page or "")]
                 ends = np.cumsum([len(t) for t in own], dtype=np.int64)
                 starts = ends - np.array([len(t) for t in own], dtype=np.int64)
                 out.append(range_hashes(np.frombuffer(b"".join(own), dtype=np.uint8), starts, ends).view(np.int64) if own else [])
-            yield pa.RecordBatch.from_arrays([b["k1"], b["k2"], b["host"], b["path"], pa.array(out, pa.list_(pa.int64())), pa.array(roles, pa.binary())], names=["k1", "k2", "host", "path", "lines", "roles"])
+            yield pa.RecordBatch.from_arrays([b["k1"], b["k2"], b["host"], b["path"], pa.array(out, pa.list_(pa.int64()))], names=["k1", "k2", "host", "path", "lines"])
 
-    rows = p.select("k1", "k2", host.alias("host"), path.alias("path"), "html").mapInArrow(hashed, "k1 long, k2 long, host string, path string, lines array<long>, roles binary")
+    rows = p.select("k1", "k2", host.alias("host"), path.alias("path"), "html").mapInArrow(hashed, "k1 long, k2 long, host string, path string, lines array<long>")
     rows = written(rows, "lines")
     keys = rows.select("k1", "k2", "host", "path").distinct()
     pairs = written(neighbours(keys), "pairs")
-    texts = rows.groupBy("k1", "k2").agg(F.first(F.struct("lines", "roles")).alias("x")).select("k1", "k2", "x.*")
+    texts = rows.groupBy("k1", "k2").agg(F.first("lines").alias("lines"))
     texts = written(texts, "texts")
-    both = pairs.join(texts, ["k1", "k2"]).join(texts.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("lines").alias("others"), F.col("roles").alias("other_roles")), ["n1", "n2"])
+    both = pairs.join(texts, ["k1", "k2"]).join(texts.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("lines").alias("others")), ["n1", "n2"])
 
     def aligned(batches):
         for b in batches:
-            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "shared": [common_lines(list(x), list(y), r, s) for x, y, r, s in zip(b["lines"], b["others"], b["roles"], b["other_roles"])]})
+            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "shared": [common_lines(list(x), list(y)) for x, y in zip(b["lines"], b["others"])]})
 
-    shared = written(both.select("k1", "k2", "lines", "others", "roles", "other_roles").mapInPandas(aligned, "k1 long, k2 long, shared array<int>"), "shared")
+    shared = written(both.select("k1", "k2", "lines", "others").mapInPandas(aligned, "k1 long, k2 long, shared array<int>"), "shared")
 
     def differenced(batches):
         for b in batches:
@@ -307,7 +304,7 @@ def extracted(pages: DataFrame) -> DataFrame:
                 own, common = blocks(page or ""), set(common or ())
                 least = ARTICLE if any(role == ARTICLE for _, role in own) else AROUND
                 text = [(i, t) for i, (t, role) in enumerate(own) if role >= least]
-                keep = [t for i, t in text if i not in common]
+                keep = [t for i, t in text if least == ARTICLE or i not in common]
                 out.append("\n".join(keep))
                 gone.append(len(own) - len(keep))
                 by_neighbour.append(len(text) - len(keep))

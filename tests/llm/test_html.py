@@ -131,7 +131,7 @@ def brute(rows):
                     y -= 1
                 else:
                     x, y = x - 1, y - 1
-                    if not own[x][1] == ARTICLE == other[y][1]:
+                    if own[x][1] != ARTICLE:
                         gone.add(x)
         least = ARTICLE if any(r == ARTICLE for _, r in own) else AROUND
         out[i] = "\n".join(t for k, (t, r) in enumerate(own) if r >= least and k not in gone)
