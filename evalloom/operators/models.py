@@ -13,9 +13,10 @@ from evalloom.sources.shared import stored
 NAMES = ("intercept", "treatment", "temp_c", "treatment_temp")
 
 
-def design(rows: DataFrame) -> DataFrame:
-    """rows with x0..x3: one, treatment, centred temp and their product."""
-    centre = rows.agg(F.avg("temp")).first()[0] or 0.0
+def design(rows: DataFrame, weight: Column | None = None) -> DataFrame:
+    """rows with x0..x3: one, treatment, centred temp and their product; weight: how many a row stands for."""
+    n = F.lit(1) if weight is None else weight
+    centre = rows.agg(F.sum(F.col("temp") * n) / F.sum(n)).first()[0] or 0.0
     t, c = (F.col("condition") == "treatment").cast("double"), F.col("temp") - centre
     return rows.withColumns({"x0": F.lit(1.0), "x1": t, "x2": c, "x3": t * c})
 
@@ -76,8 +77,8 @@ def gee_logistic(rows: DataFrame, y: str = "binary_correct", cluster: str = "ite
     pattern and one sum over patterns.
     """
     spark = rows.sparkSession
-    d = design(rows.where(F.col(y).isNotNull()))
-    cells = d.groupBy(cluster, "x0", "x1", "x2", "x3").agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("s"))
+    cells = rows.where(F.col(y).isNotNull()).groupBy(cluster, "condition", "temp").agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("s"))
+    cells = design(stored(cells, "cells"), F.col("n")).groupBy(cluster, "x0", "x1", "x2", "x3").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     # a cluster has few cells: one for each condition and temp
     cell = F.struct("x0", "x1", "x2", "x3", "n", "s")
     patterns = cells.groupBy(cluster).agg(F.sort_array(F.collect_list(cell)).alias("cells")).groupBy("cells").agg(F.count("*").alias("times"))
