@@ -149,7 +149,7 @@ def _(spark, sf_dir):
     return b.join(resample.permutation_histogram(h, 5000, 2025, *KEYS), list(KEYS))
 
 
-@query("q_histogram", f"{W} SELECT temp, type, metric, round(delta, 9) AS delta, count(*) AS cnt FROM deltas GROUP BY temp, type, metric, round(delta, 9)")
+@query("q_histogram", f"{W} SELECT temp, type, metric, round(delta, 9) + 0.0 AS delta, count(*) AS cnt FROM deltas GROUP BY temp, type, metric, round(delta, 9) + 0.0")
 def _(spark, sf_dir):
     return P.delta_histogram(_rounded(_deltas(spark, sf_dir), "delta"), *KEYS)
 
