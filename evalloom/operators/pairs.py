@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalloom.sources.shared import stored
+
 METRICS = ("em", "f1", "abstain_rate", "false_answer_rate", "unsupported_rate")
 OPEN_ONLY = ("f1", "false_answer_rate", "unsupported_rate")
 EPS = 1e-12
@@ -81,10 +83,19 @@ def subgroup_effects(deltas: DataFrame) -> DataFrame:
 def nearest_rank(df: DataFrame, value: str, q: float, *keys: str) -> DataFrame:
     """Per key the element at rank round-half-even(q (n - 1)) of the sorted values.
 
-    Equal values are counted first, so ranks run over different values only.
+    Equal values are counted first and dealt by ranges of keys and value; counted ranges
+    tell which one holds the rank, and only that one is ranked.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("cnt"))
+    placed = stored(counts.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()), "values")
+    sizes = placed.groupBy(*keys, "_range").agg(F.sum("cnt").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")
+    at = F.bround(F.lit(q) * (F.sum("_n").over(Window.partitionBy(*keys)) - 1)).cast("long")
+    sizes = sizes.withColumn("_before", before).withColumn("_at", at).where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_n")))
+    sizes = sizes.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_range").alias("_r"), (F.col("_at") - F.col("_before")).alias("_rest"))
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     upto = F.sum("cnt").over(Window.partitionBy(*keys).orderBy(value))
-    total = F.sum("cnt").over(Window.partitionBy(*keys))
-    at = F.bround(F.lit(q) * (total - 1)).cast("long")
-    return counts.withColumn("upto", upto).withColumn("at", at).where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("cnt") <= F.col("at"))).select(*keys, F.col(value).alias("q"))
+    held = placed.join(sizes, same).withColumn("_upto", upto)
+    return held.where((F.col("_upto") > F.col("_rest")) & (F.col("_upto") - F.col("cnt") <= F.col("_rest"))).select(*keys, F.col(value).alias("q"))

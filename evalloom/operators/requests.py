@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions.text import first_filled, temp_key
+from evalloom.sources.shared import stored
 
 
 def coalesce_fields(df: DataFrame, default: str = "unknown", pos: str = "pos") -> DataFrame:
@@ -47,30 +48,24 @@ def skipped_ids(requests: DataFrame, *keys: str) -> DataFrame:
     return requests.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_distinct("custom_id").alias("n_ids")).withColumn("skipped", F.col("n_rows") - F.col("n_ids"))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], buckets: int = 64, sample: int = 20_000) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
     """pos: the row's number in its group, from 1, in an order.
 
-    No window spans a group: rows fall into ranges of the first order column, whose ends
-    come from a sample of about so many values; ranges are counted, and rows are numbered
-    in their range behind the ranges before it. The sample only shapes the ranges.
+    No window spans a group: rows are dealt by ranges of keys and order together (as many
+    as the session has shuffle partitions, or as given), sorted and stored with their place
+    in the range; counted ranges tell how many of the group come before. Only rows that are
+    equal in keys and order never part. Null keys are groups, too.
     """
-    every = max(1, df.count() // sample)
-    drawn = F.when(F.pmod(F.xxhash64(*order), F.lit(every)) == 0, F.col(order[0]))
-    cuts = df.groupBy(*keys).agg(F.array_sort(F.collect_set(drawn)).alias("_s"))
-    at = F.transform(F.sequence(F.lit(1), F.lit(buckets)), lambda i: F.try_element_at("_s", F.ceil(i * F.size("_s") / buckets).cast("int")))
-    at = F.when(F.size("_s") == 0, F.slice("_s", 1, 0)).otherwise(F.array_distinct(at))
-    cuts = cuts.select(*(F.col(k).alias(f"_k_{k}") for k in keys), at.alias("_cuts"))
-    same = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        same = c if same is None else same & c
-    d = df.join(cuts, same) if keys else df.crossJoin(cuts)
-    d = d.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(order[0])))).drop("_cuts", *(f"_k_{k}" for k in keys))
-    counts = d.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    by = [*keys, *order]
+    dealt = df.repartitionByRange(*([ranges] if ranges else []), *by).sortWithinPartitions(*by)
+    placed = stored(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    counts = placed.groupBy(*keys, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")
-    counts = counts.withColumn("_before", before).drop("_n")
-    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    return d.join(counts, [*keys, "_range"]).withColumn("pos", own + F.col("_before")).drop("_range", "_before")
+    starts = counts.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_range").alias("_r"), (before - F.col("_first") + 1).alias("_start"))
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return placed.join(starts, same).select(*df.columns, (F.col("_at") + F.col("_start")).alias("pos"))
 
 
 def assign_shard(df: DataFrame, most: int = 9999, pos: str = "pos") -> DataFrame:

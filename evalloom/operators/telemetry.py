@@ -12,7 +12,11 @@ def telemetry_summary(samples: DataFrame, *keys: str, extra: tuple[str, ...] = (
     """samples (keys, latency_ms, ...): count, mean, largest and 95th latency, largest of other columns, to 3 places."""
     x = samples.withColumn("latency_ms", F.col("latency_ms").try_cast("double"))
     g = x.groupBy(*keys).agg(F.count("latency_ms").alias("samples"), F.round(F.avg("latency_ms"), 3).alias("mean_ms"), F.round(F.max("latency_ms"), 3).alias("max_ms"), *(F.round(F.max(F.col(c).try_cast("double")), 3).alias(f"max_{c}") for c in extra))
-    return g.join(nearest_rank(x, "latency_ms", 0.95, *keys).select(*keys, F.round("q", 3).alias("p95_ms")), list(keys), "left")
+    p95 = nearest_rank(x, "latency_ms", 0.95, *keys).select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.round("q", 3).alias("p95_ms"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return g.join(p95, same, "left").select(*g.columns, "p95_ms")
 
 
 def job_status_counts(jobs: DataFrame, *keys: str) -> DataFrame:

@@ -108,7 +108,7 @@ _SHARDS = f"WITH {X.PREDS}, {_NUM}, sh AS (SELECT *, ((pos - 1) // 4000)::INTEGE
 
 def _numbered(spark, sf_dir):
     p = X.predictions(spark, sf_dir).select("custom_id", "item_key", "type", "sample_index", "condition", "temp")
-    return requests.numbered(p, ["condition", "temp"], ["item_key", "type", "sample_index"], 8)
+    return requests.numbered(p, ["condition", "temp"], ["item_key", "type", "sample_index"])
 
 
 @query("q_shards", f"{_SHARDS} SELECT custom_id, pos, shard, CASE WHEN shard > 0 THEN '_part' || lpad((shard + 1)::VARCHAR, 2, '0') ELSE '' END AS suffix FROM sh")
@@ -134,7 +134,7 @@ def _(spark, sf_dir):
 
 @query("q_split_parts", f"WITH {X.PREDS}, n AS (SELECT row_number() OVER (ORDER BY item_key, custom_id) AS pos, (SELECT ceil(count(*) / 7.0)::BIGINT FROM preds) AS chunk FROM preds), p AS (SELECT ((pos - 1) // chunk + 1)::INTEGER AS part, count(*) AS n FROM n GROUP BY 1) SELECT part, n FROM p")
 def _(spark, sf_dir):
-    p = requests.numbered(X.predictions(spark, sf_dir).select("custom_id", "item_key"), [], ["item_key", "custom_id"], 16)
+    p = requests.numbered(X.predictions(spark, sf_dir).select("custom_id", "item_key"), [], ["item_key", "custom_id"])
     return requests.part_sizes(requests.split_parts(p, 7), 7)
 
 

@@ -112,6 +112,12 @@ def test_nearest_rank_and_rolling(spark):
     x = spark.createDataFrame([("a", float(v)) for v in range(1, 11)] + [("b", 7.0), ("c", None)], "k string, latency_ms double")
     got = {r.k: r.p95_ms for r in telemetry.telemetry_summary(x, "k").collect()}
     assert got == {"a": 10.0, "b": 7.0, "c": None}
+    y = spark.range(3000).select(F.when(F.col("id") % 4 > 0, "k").alias("k"), ((F.col("id") * 7919) % 2003 / 3.0).alias("v"))
+    values: dict = {}
+    for r in y.collect():
+        values.setdefault(r.k, []).append(r.v)
+    for q in (0.0, 0.25, 0.95, 1.0):
+        assert {r.k: r.q for r in pairs.nearest_rank(y, "v", q, "k").collect()} == {k: sorted(v)[round(q * (len(v) - 1))] for k, v in values.items()}
     t = spark.createDataFrame([(i, "p", s) for i, s in enumerate((0, 1, 59, 60, 61, 700, 759, 760))], "id int, provider string, s int").withColumn("ts", F.timestamp_seconds("s"))
     assert {r.id: r.in_window for r in telemetry.rolling_request_total(t).collect()} == {0: 1, 1: 2, 2: 3, 3: 3, 4: 3, 5: 1, 6: 2, 7: 2}
 
