@@ -40,3 +40,14 @@ def test_held_out_accuracy(spark):
     test = [r for r in got if r.doc_id is not None and r.doc_id < 600 and (r.held_out or r.doc_id >= 400)]
     assert sum(r.predicted == (r.doc_id % 5 != 0) for r in test) / len(test) > 0.97
     assert scored(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_repeated_rows_long_texts_and_extra_columns(spark):
+    rows = [(i, ("A plain sentence of words. " * 3) if i % 2 else "x!! | " * 20, "a", 0.5, True) for i in range(40)]
+    rows += [rows[1], (1, "another text", "b", None, None), (50, "long words here " * 60_000, "a", 0.1, False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality string, score double, held_out boolean")
+    labels = spark.createDataFrame([(i, i % 2, 0, "s") for i in range(40)] + [(1, 1, 0, "s")], "doc_id long, quality int, toxic int, text string")
+    got = scored(docs, labels).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows) and all(0 <= r.score <= 1 for r in got)
+    same = [r.score for r in got if r.doc_id == 1]
+    assert len(same) == 3 and len(set(same)) <= 2
