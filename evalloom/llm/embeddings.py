@@ -19,7 +19,8 @@ count for each node and links that connect its groups, never all pairs.
 Cases: null, empty and zero vectors and vectors with null or non-finite components
 link with nothing, nor do vectors of different lengths; a null vec_id links with
 nothing and has a null component; repeated rows are vectors of their own; vectors
-are scaled by their largest component first, so that no finite one overflows.
+are scaled by their largest component first, so that no finite one overflows;
+extra columns are not read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ A to B is the part of A's weight whose chunks B has too.
 Cases: null text is empty; an empty text has an empty fingerprint, like another
 only if that is empty too (1). Rows with a null doc_id come last in descending
 order; rows with one doc_id (or none) are ordered by a hash of their text, so that
-many of them are split too; only equal rows are never split.
+many of them are split too; only equal rows are never split;
+extra columns are not read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ a row for each partition, so that a host with a third of all pages is no one tas
 Cases: null html is empty and gives an empty text; null or unreadable URLs are one
 host with the whole URL as path; equal rows are one page for pairing, and each is
 returned; of two neighbours that share equally long starts the one before counts;
-cut-off and badly nested pages are read as far as they go.
+cut-off and badly nested pages are read as far as they go;
+extra columns are not read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ A document is the set of its distinct word shingles; two documents link when
 Cases: null and empty texts have an empty set and link with nothing; texts shorter
 than a shingle have one; a null doc_id links with nothing and has a null component;
 rows with one doc_id are one document; a very long text is one set, which bounds
-the size of a cell from below; sets of one size are searched in order of doc_id.
+the size of a cell from below; sets of one size are searched in order of doc_id;
+extra columns are not read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Cases: null text has no words; a null source is a source, the last in order;
 documents without words take nothing; a document longer than the rest of a budget is
 not taken for it; repeated rows, and rows with one doc_id or none, are documents of
 their own: which of them are taken follows from their texts and, among equal rows,
-from their number.
+from their number;
+extra columns are not read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ from those of merging, which no sum of scores gives.
 
 Cases: null text has null pieces, empty text none; texts are encoded whole; of
 segmentations with one sum the one whose last piece is shortest; repeated rows are
-encoded each.
+encoded each;
+extra columns are not read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ that has them. Only keys are shuffled to find blobs; the content of one row of e
 unseen blob is moved once.
 
 Cases: null content is empty; rows with one path, version and content are one blob
-and each is returned; a null path is a path like others.
+and each is returned; a null path is a path like others;
+extra columns are not read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ Of documents with one text only the first is looked into.
 Cases: null text and empty text are no words; a null doc_id has no place in the
 order, so nothing is removed from it or because of it; rows with one doc_id and
 the same or another text are one document for the order, and each is returned; a
-very long text is read whole, and its lists are as long as it is.
+very long text is read whole, and its lists are as long as it is;
+extra columns are not read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
