@@ -1,4 +1,4 @@
-"""The ten registered queries: each operator over its whole table, in the columns asked for."""
+"""The registered queries: each operator over its whole table, in the columns asked for."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, secrets, urls
+from . import byte_bpe, pieces, runs, secrets, urls
 from .common import read, written
 from .embeddings import near_duplicates
 from .fingerprints import fingerprints
@@ -93,6 +93,15 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = byte_bpe.decoded(byte_bpe.encoded(read(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.found_runs(read(spark, sf_dir, "documents"), words=24, exponent=3, edit=runs.planted))
+
+
 OP9_SQL = r"""
 WITH p AS (SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host,
   DATE '2024-01-01' + ((page_id % 365 + 365) % 365)::INTEGER AS fetched FROM pages),
@@ -121,6 +130,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_url_filters": op9_url_filters,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {"op2_secret_scans": secrets.ORACLE, "op9_url_filters": OP9_SQL}
