@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, pieces, runs, secrets, urls
+from . import alignment, byte_bpe, pieces, runs, secrets, urls
 from .common import read, written
 from .embeddings import near_duplicates
 from .fingerprints import fingerprints
@@ -102,6 +102,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.found_runs(read(spark, sf_dir, "documents"), words=24, exponent=3, edit=runs.planted))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(read(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH p AS (SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host,
   DATE '2024-01-01' + ((page_id % 365 + 365) % 365)::INTEGER AS fetched FROM pages),
@@ -132,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_document_fingerprints": op10_document_fingerprints,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLES: dict[str, str] = {"op2_secret_scans": secrets.ORACLE, "op9_url_filters": OP9_SQL}
