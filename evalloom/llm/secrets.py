@@ -6,7 +6,8 @@ the findings of all blobs, old and new, are joined back to every path and versio
 that has them. Only keys are shuffled to find blobs; the content of one row of each
 unseen blob is moved once.
 
-Cases: null content is empty; rows with one path, version and content are one blob
+Cases: null content is empty; very long texts are scanned whole, and no pattern's stack
+grows with what it matches; rows with one path, version and content are one blob
 and each is returned; a null path is a path like others;
 extra columns are not read, and an empty table gives an empty result.
 """
@@ -23,13 +24,18 @@ from .common import written
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern whose matches are secrets if the group has so many characters at least."""
+    """A pattern whose matches are secrets if the group has so many characters at least.
+
+    lines: a group at a match's end of which only key_lines belong to the secret. What is
+    behind them holds no match of the pattern.
+    """
 
     kind: str
     pattern: str
     version: int = 1
     group: int = 0
     least: int = 0
+    lines: int = 0
 
 
 def _either(words: str) -> str:
@@ -43,17 +49,32 @@ ACCESS = Rule("access", "AKIA[A-Z0-9]+", least=20)
 HEX = Rule("hex", "[0-9a-f]{24,}", least=24)  # runs are maximal: the same as runs of any length, then 24 or more
 BASE = (ASSIGN, ACCESS, HEX)
 # A private key from its header to its END line; if that is missing (another ----- comes first, or 64 dashes),
-# over the header fields, the lines of base64 and the rest of one on the line behind.
-_64 = "[A-Za-z0-9+/=]"
-_PEM = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----"
-    r"|(?:[ \t\r\n]*(?:Proc-Type|DEK-Info):[^\n]*){0,4}(?:[ \t\r\n\\]*" + _64 + r"{40,}(?:[ \t\r\n\\]+" + _64 + r"{40,})*(?:\r?\n[ \t]*" + _64 + "+)?)?)"
-)
+# over the header fields, the lines of base64 (40 characters or more) and the rest of one on the line behind.
+_HEAD = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_ENDED = r"[^-]*(?:-{1,4}[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----"
+_FIELDS = r"(?:[ \t\r\n]*(?:Proc-Type|DEK-Info):[^\n]*){0,4}"
+_64, _APART = "A-Za-z0-9+/=", r" \t\r\n\\"
+#: The lines in one class of characters, as group 1: a repeated group would take a stack frame for each line.
+_PEM = f"{_HEAD}(?:{_ENDED}|{_FIELDS}([{_64}{_APART}]*))"
+#: The same in one pattern, for engines that don't backtrack.
+_PEM_WHOLE = f"{_HEAD}(?:{_ENDED}|{_FIELDS}(?:[{_APART}]*[{_64}]{{40,}}(?:[{_APART}]+[{_64}]{{40,}})*(?:\\r?\\n[ \\t]*[{_64}]+)?)?)"
+
+
+def key_lines(tail: Column) -> Column:
+    """How many characters at the start of such lines belong to a key: those of 40 and more, and the shorter rest of one on the line behind."""
+    apart = F.lit(" \t\r\n\\")
+    short = F.regexp_instr(tail, F.lit(f"(?:^|[{_APART}])[{_64}]{{1,39}}(?:[{_APART}]|$)"))
+    long = F.rtrim(F.when(short > 0, F.substring(tail, F.lit(1), F.when(F.substring(tail, F.lit(1), F.lit(1)).rlike(f"[{_64}]") & (short == 1), 0).otherwise(short))).otherwise(tail), apart)
+    # an array of one element names the length, so that it is computed once
+    rest = lambda n: F.char_length(F.regexp_extract(F.substring(tail, n + 1, F.char_length(tail)), rf"^\r?\n[ \t]*[{_64}]+", 0))
+    return F.transform(F.array(F.char_length(long)), lambda n: F.when((n > 0) & (short > 0), n + rest(n)).otherwise(n))[0]
+
+
 MORE = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{20,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("pem", _PEM, version=2),
+    Rule("pem", _PEM, version=3, lines=1),
 )
 RULES = BASE + MORE
 
@@ -71,7 +92,11 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     def add(acc: Column, x: Column) -> Column:
         m, start = x["m"], acc["end"] + x["gap"]
         end = start + F.char_length(m)
-        span = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end")))
+        stop = end
+        if rule.lines:
+            tail = F.regexp_extract(m, rule.pattern, rule.lines)
+            stop = F.transform(F.array(tail), lambda t: end - F.char_length(t) + key_lines(t))[0]
+        span = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), stop.alias("end")))
         value = F.regexp_extract(m, rule.pattern, rule.group) if rule.group else m
         return F.struct(end.alias("end"), F.when(F.char_length(value) >= rule.least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
@@ -145,7 +170,7 @@ def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
 def _oracle() -> str:
     def spans(i: int, r: Rule) -> str:
-        pattern = r.pattern.replace("'", "''")
+        pattern = (_PEM_WHOLE if r.lines else r.pattern).replace("'", "''")
         value = f"regexp_extract(x, '{pattern}', {r.group})" if r.group else "x"
         step = f"lambda a, x: {{'e': a.e + strpos(substr(t, a.e + 1), x) - 1 + length(x), 's': CASE WHEN length({value}) >= {r.least} THEN list_append(a.s, {{'b': a.e + strpos(substr(t, a.e + 1), x) - 1, 'k': {i}, 'e': a.e + strpos(substr(t, a.e + 1), x) - 1 + length(x)}}) ELSE a.s END}}"
         return f"list_reduce(regexp_extract_all(t, '{pattern}', 0), {step}, {{'e': 0::BIGINT, 's': []::STRUCT(b BIGINT, k INTEGER, e BIGINT)[]}}).s AS s{i}"
