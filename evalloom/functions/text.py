@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -48,15 +49,45 @@ def word_tokens(s: Column) -> Column:
     return F.filter(F.split(normalize_answer(s), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
-def _overlap(p: Column, t: Column) -> Column:
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.array_distinct(p), F.lit(0), lambda acc, x: acc + F.least(count(p, x), count(t, x)))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use reads it, in lambdas too.
+
+    An array of one element names it: what a lambda reads more than once is computed each time else.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
+def bag(tokens: Column) -> Column:
+    """A multiset as a set: each token with its number among its equals.
+
+    Sorting brings equal tokens together; a run of n of them gives the numbers 0 to n - 1.
+    """
+
+    def numbered(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i - 1) != s[i]))
+
+        def runs(b: Column) -> Column:
+            of_run = lambda at, k: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(b, k + 1), F.size(s)) - at - 1), lambda n: F.concat(s[at], F.lit(" "), n.cast("string")))
+            return F.flatten(F.transform(b, of_run))
+
+        return F.when(F.size(s) > 0, once(first, runs)).otherwise(F.array().cast("array<string>"))
+
+    return once(F.sort_array(tokens), numbered)
+
+
+def f1_of_bags(p: Column, t: Column) -> Column:
+    """F1 of two bags: what they share is met by hash."""
+
+    def f1(c: Column) -> Column:
+        n, m = F.size(p), F.size(t)
+        both = F.lit(2.0) * (c / n) * (c / m) / (c / n + c / m)
+        return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0) | (c == 0), 0.0).otherwise(both)
+
+    return once(F.size(F.array_intersect(p, t)), f1)
 
 
 def f1_of_tokens(p: Column, t: Column) -> Column:
-    n, m, c = F.size(p), F.size(t), _overlap(p, t)
-    both = F.lit(2.0) * (c / n) * (c / m) / (c / n + c / m)
-    return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0) | (c == 0), 0.0).otherwise(both)
+    return once(F.struct(bag(p).alias("p"), bag(t).alias("t")), lambda x: f1_of_bags(x["p"], x["t"]))
 
 
 def token_f1(prediction: Column, truth: Column) -> Column:
@@ -73,11 +104,11 @@ def or_blank(truths: Column) -> Column:
 
 
 def best_f1(prediction: Column, truths: Column) -> Column:
-    return F.array_max(F.transform(or_blank(truths), lambda t: token_f1(prediction, t)))
+    return once(bag(normal_tokens(prediction)), lambda p: F.array_max(F.transform(or_blank(truths), lambda t: once(bag(normal_tokens(t)), lambda x: f1_of_bags(p, x)))))
 
 
 def best_em(prediction: Column, truths: Column) -> Column:
-    return F.exists(or_blank(truths), lambda t: exact_match(prediction, t)).cast("double")
+    return once(normalize_answer(prediction), lambda p: F.exists(or_blank(truths), lambda t: normalize_answer(t) == p)).cast("double")
 
 
 def _normal(s: str) -> str:
@@ -105,19 +136,73 @@ def has_marker(text: Column, markers: str = "fixed") -> Column:
 
 def support_baseline(prediction: Column, context: Column) -> Column:
     """1 if the normalised answer is a non-empty part of the normalised context."""
-    p = normalize_answer(prediction)
-    return ((p != "") & F.contains(normalize_answer(context), p)).cast("double")
+    return once(normalize_answer(prediction), lambda p: (p != "") & F.contains(normalize_answer(context), p)).cast("double")
+
+
+def share_in(tokens: Column, others: Column) -> Column:
+    """Share of tokens, repeats counted, that others has; 0 without tokens.
+
+    Those of both are met by hash; sorted together with the runs of equal tokens they mark
+    the runs that count, so the work follows the sum of both lengths.
+    """
+    kind = "array<struct<token:string,run:int>>"
+
+    def share(x: Column) -> Column:
+        n = F.size(x["tokens"])
+
+        def marked(s: Column) -> Column:
+            # a token that both have stands as (token, 0) before its numbered occurrences
+            def add(acc: Column, e: Column) -> Column:
+                mark = e["run"] == 0
+                counted = F.when(~mark & e["token"].eqNullSafe(acc["token"]), acc["n"] + 1).otherwise(acc["n"])
+                return F.struct(F.when(mark, e["token"]).otherwise(acc["token"]).alias("token"), counted.alias("n"))
+
+            return F.aggregate(s, F.struct(F.lit(None).cast("string").alias("token"), F.lit(0).alias("n")), add, lambda acc: acc["n"])
+
+        both = F.transform(F.array_intersect(x["tokens"], x["others"]), lambda t: F.struct(t.alias("token"), F.lit(0).alias("run")))
+        own = F.transform(x["tokens"], lambda t: F.struct(t.alias("token"), F.lit(1).alias("run")))
+        return F.when(n == 0, 0.0).otherwise(once(F.sort_array(F.concat(both.cast(kind), own.cast(kind))), marked) / n)
+
+    return once(F.struct(tokens.alias("tokens"), others.alias("others")), share)
 
 
 def support_overlap(prediction: Column, context: Column) -> Column:
     """Share of the answer's tokens that the context has."""
-    p, c = word_tokens(prediction), F.array_distinct(word_tokens(context))
-    return F.when(F.size(p) == 0, 0.0).otherwise(F.size(F.filter(p, lambda t: F.array_contains(c, t))) / F.size(p))
+    return share_in(word_tokens(prediction), word_tokens(context))
+
+
+#: Support strategies by name: functions of the answer, the context and the least overlap that give a boolean Column.
+_SUPPORT: dict[str, Callable[..., Column]] = {}
+#: Columns besides answer and context that a strategy reads.
+_INPUTS: dict[str, tuple[str, ...]] = {}
+
+
+def register_support(name: str, supported: Callable[..., Column], inputs: tuple[str, ...] = ()) -> None:
+    """A strategy by which scoring, sweeps and sensitivity judge answers.
+
+    supported(prediction, context, min_overlap, *inputs) gives a boolean Column; null counts
+    as not supported. It can be made of Column functions or call an Arrow or pandas UDF.
+    inputs: further columns that it reads, of the predictions or the items; they are passed
+    on to it in this order.
+    """
+    _SUPPORT[name], _INPUTS[name] = supported, tuple(inputs)
+
+
+def support_inputs(strategy: str) -> tuple[str, ...]:
+    return _INPUTS.get(strategy, ())
+
+
+register_support("baseline", lambda p, c, least: support_baseline(p, c) > 0)
+register_support("overlap", lambda p, c, least: support_overlap(p, c) >= least)
+register_support("combined", lambda p, c, least: (support_baseline(p, c) > 0) | (support_overlap(p, c) >= least))
+register_support("nli", _SUPPORT["combined"])
 
 
 def is_supported(prediction: Column, context: Column, strategy: str = "baseline", min_overlap: float = 0.6) -> Column:
-    base, overlap = support_baseline(prediction, context) > 0, support_overlap(prediction, context) >= min_overlap
-    return {"baseline": base, "overlap": overlap, "combined": base | overlap, "nli": base | overlap}.get(strategy, F.lit(False))
+    """By a registered strategy; nothing is supported by an unknown one."""
+    if strategy not in _SUPPORT:
+        return F.lit(False)
+    return F.coalesce(_SUPPORT[strategy](prediction, context, min_overlap, *map(F.col, _INPUTS[strategy])), F.lit(False))
 
 
 def is_unsupported(prediction: Column, context: Column, abstained: Column, threshold: float | Column, strategy: str = "baseline", min_overlap: float = 0.6) -> Column:

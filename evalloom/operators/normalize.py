@@ -42,10 +42,14 @@ def rejected(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.where(F.try_parse_json(column).isNull() & (F.trim(column) != ""))
 
 
+def has_response(v: Column) -> Column:
+    """Whether a record is an answer and no error stub."""
+    return F.coalesce(_get(v, "$.response", "variant").isNotNull() | (_get(v, "$.result.type") == "succeeded"), F.lit(False))
+
+
 def combine_parts(parts: DataFrame) -> DataFrame:
     """One record for each custom_id of records (custom_id, v, value, file): one with a response, then the first file."""
-    has = _get(F.col("v"), "$.response", "variant").isNotNull() | (_get(F.col("v"), "$.result.type") == "succeeded")
-    w = Window.partitionBy("custom_id").orderBy(F.desc(F.coalesce(has, F.lit(False))), "file", F.md5("value"))
+    w = Window.partitionBy("custom_id").orderBy(F.desc(has_response(F.col("v"))), "file", F.md5("value"))
     return parts.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -59,8 +63,8 @@ def _joined(blocks: Column, take) -> Column:
     return F.array_join(F.transform(F.coalesce(blocks, F.array().cast("array<variant>")), take), "")
 
 
-def predictions(recs: DataFrame) -> DataFrame:
-    """The 13 columns of predictions, and failure, error_type and error_message, from records (custom_id, v) of any of three shapes.
+def predictions(recs: DataFrame, *more: str) -> DataFrame:
+    """The 13 columns of predictions, and failure, error_type, error_message and more, from records (custom_id, v, more) of any of three shapes.
 
     chat: response[.body].choices[0]; responses: response[.body].output[]; message
     batch: result.message. Tokens are taken under either of their names. Records whose
@@ -92,7 +96,7 @@ def predictions(recs: DataFrame) -> DataFrame:
     p, c = tokens("input_tokens", "prompt_tokens"), tokens("output_tokens", "completion_tokens")
     summed = F.when(p.isNotNull() | c.isNotNull(), F.coalesce(p, F.lit(0)) + F.coalesce(c, F.lit(0)))
     out = d.select(
-        "custom_id",
+        "custom_id", *more,
         F.when(batch, F.coalesce(_text(m, "$.id"), F.when(success, _text(v, "$.id")))).otherwise(F.coalesce(_text(v, "$.response.request_id"), _text(v, "$.response.id"), _text(b, "$.id"))).alias("request_id"),
         F.when(batch, F.when(success, F.coalesce(_text(m, "$.stop_reason"), _text(m, "$.stop_sequence"), F.lit("stop"))))
         .when(responses, F.coalesce(F.try_element_at(ends, F.lit(-1)), _text(b, "$.status"), _text(v, "$.response.status"), F.lit("stop")))
@@ -103,7 +107,7 @@ def predictions(recs: DataFrame) -> DataFrame:
         F.when(~batch | ~success, error_type).alias("error_type"), F.when(~batch | ~success, error_message).alias("error_message"),
     )
     good, _ = parse_custom_id(out)
-    return good.select(*COLUMNS, "failure", "error_type", "error_message")
+    return good.select(*COLUMNS, "failure", "error_type", "error_message", *more)
 
 
 #: Fixed value: what a failed message-batch record without an error object says.

@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from evalloom.functions import text as T
 from evalloom.operators.pairs import delta_histogram
 from evalloom.operators.resample import bootstrap_histogram
+from evalloom.operators.score import with_inputs
 
 
-def unsupported_sensitivity(predictions: DataFrame, items: DataFrame, thresholds: list[float], strategy: str = "baseline") -> DataFrame:
+def unsupported_sensitivity(predictions: DataFrame, items: DataFrame, thresholds: list[float], strategy: str = "baseline", min_overlap: float = 0.6) -> DataFrame:
     """Paired deltas of the unsupported rate for each threshold: item_key, temp, threshold, delta.
 
     An answer abstains here if it is empty after normalisation; a missing item has an empty context.
     """
-    p = predictions.where("type = 'open'").join(items.select("type", "item_key", "context"), ["type", "item_key"], "left")
+    theirs, _ = with_inputs(predictions, items, strategy)
+    p = predictions.where("type = 'open'").join(items.select("type", "item_key", "context", *(c for c in theirs if c != "context")), ["type", "item_key"], "left")
     gone = (T.normalize_answer(F.col("response_text")) == "").cast("double")
-    bad = (~T.is_supported(F.col("response_text"), F.coalesce("context", F.lit("")), strategy)).cast("double")
+    bad = (~T.is_supported(F.col("response_text"), F.coalesce("context", F.lit("")), strategy, min_overlap)).cast("double")
     p = p.select("item_key", "temp", "condition", gone.alias("gone"), bad.alias("bad"))
     p = p.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
     flag = F.when(F.col("gone") >= F.col("threshold"), 0.0).otherwise(F.col("bad"))

@@ -9,8 +9,19 @@ from evalloom.functions import text as T
 
 
 def truth_tokens(truths: Column) -> Column:
-    """Each truth's normalised tokens; one empty truth where there are none."""
-    return F.transform(T.or_blank(truths), T.normal_tokens)
+    """Each truth's normalised tokens and their bag; one empty truth where there are none."""
+    one = lambda t: T.once(T.normal_tokens(t), lambda x: F.struct(x.alias("tokens"), T.bag(x).alias("bag")))
+    return F.transform(T.or_blank(truths), one)
+
+
+def with_inputs(predictions: DataFrame, items: DataFrame, strategy: str) -> tuple[list[str], list[str]]:
+    """A support strategy's further inputs: those that come from items, and those that predictions have."""
+    wanted = T.support_inputs(strategy)
+    own = [c for c in wanted if c in predictions.columns]
+    theirs = [c for c in wanted if c not in own]
+    if missing := [c for c in theirs if c not in items.columns]:
+        raise ValueError(f"strategy {strategy} reads {missing}, which neither predictions nor items have")
+    return theirs, own
 
 
 def score_columns(tokens: Column, truths: Column, unanswerable: Column, is_open: Column, markers: str = "fixed") -> dict[str, Column]:
@@ -19,8 +30,8 @@ def score_columns(tokens: Column, truths: Column, unanswerable: Column, is_open:
     tokens: normal_tokens of the answer; truths: truth_tokens, so that nothing is normalised again for each pair.
     """
     abstains = T.has_marker(F.array_join(tokens, " "), markers)
-    em = F.exists(truths, lambda t: t == tokens).cast("double")
-    f1 = F.array_max(F.transform(truths, lambda t: T.f1_of_tokens(tokens, t)))
+    em = T.once(tokens, lambda x: F.exists(truths, lambda t: t["tokens"] == x)).cast("double")
+    f1 = T.once(T.bag(tokens), lambda x: F.array_max(F.transform(truths, lambda t: T.f1_of_bags(x, t["bag"]))))
     no = is_open & F.coalesce(unanswerable, F.lit(False))
     return {
         "em": F.when(no, abstains.cast("double")).otherwise(em),
@@ -38,21 +49,23 @@ def unmatched(predictions: DataFrame, items: DataFrame) -> DataFrame:
 def score_predictions(predictions: DataFrame, items: DataFrame, strategy: str = "baseline", min_overlap: float = 0.6, threshold: float = 0.5, markers: str = "fixed") -> DataFrame:
     """predictions (type, item_key, condition, temp, sample_index, response_text) with their scores.
 
-    Predictions without an item are left out; unmatched() gives them.
+    Predictions without an item are left out; unmatched() gives them. strategy: a name that
+    text.register_support knows.
     """
-    i = items.select("type", "item_key", "context", truth_tokens(F.col("answers")).alias("_truths"), "is_unanswerable")
+    theirs, _ = with_inputs(predictions, items, strategy)
+    i = items.select("type", "item_key", "context", *(F.col(c) for c in theirs if c not in ("context", "is_unanswerable")), truth_tokens(F.col("answers")).alias("_truths"), "is_unanswerable")
     p = predictions.withColumn("_tokens", T.normal_tokens(F.col("response_text"))).join(i, ["type", "item_key"])
     is_open = F.col("type") == "open"
     p = p.withColumns(score_columns(F.col("_tokens"), F.col("_truths"), F.col("is_unanswerable"), is_open, markers))
     bad = T.is_unsupported(F.col("response_text"), F.coalesce("context", F.lit("")), F.col("abstained"), threshold, strategy, min_overlap)
-    return p.withColumn("unsupported", F.when(is_open, bad)).drop("context", "_tokens", "_truths", "is_unanswerable")
+    return p.withColumn("unsupported", F.when(is_open, bad)).drop("context", "_tokens", "_truths", "is_unanswerable", *theirs)
 
 
 def scored_long(predictions: DataFrame, items: DataFrame, markers: str = "fixed") -> DataFrame:
     """Replicate rows for regression: a missing item counts as no answers, scored closed unless the type is open."""
     i = items.select("type", "item_key", truth_tokens(F.col("answers")).alias("_truths"), F.coalesce("is_unanswerable", F.lit(False)).alias("unanswerable"))
     p = predictions.join(i, ["type", "item_key"], "left").withColumn("unanswerable", F.coalesce("unanswerable", F.lit(False)))
-    p = p.withColumn("_tokens", T.normal_tokens(F.col("response_text"))).withColumn("_truths", F.coalesce("_truths", F.array(F.array().cast("array<string>"))))
+    p = p.withColumn("_tokens", T.normal_tokens(F.col("response_text"))).withColumn("_truths", F.coalesce("_truths", truth_tokens(F.array().cast("array<string>"))))
     s = score_columns(F.col("_tokens"), F.col("_truths"), F.col("unanswerable"), F.col("type") == "open", markers)
     out = p.select("item_key", F.split("item_key", r"\|")[0].alias("dataset"), "type", "condition", "temp", "sample_index", "unanswerable", s["em"].alias("em"), s["f1"].alias("f1"), s["abstained"].alias("abstained"))
     return out.withColumn("binary_correct", T.majority(F.col("em")))

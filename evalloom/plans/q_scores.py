@@ -120,6 +120,27 @@ def _(spark, sf_dir):
     return p.select(*_KEY, "threshold", "unsupported")
 
 
+def _near_start(prediction, context, min_overlap, unanswerable):
+    """A strategy of one's own: the answer stands near the context's start, or half of its words anywhere if the item has no answer."""
+    early = T.once(T.normalize_answer(prediction), lambda p: (p != "") & F.contains(F.left(T.normalize_answer(context), F.lit(200)), p))
+    return early | (unanswerable & (T.support_overlap(prediction, context) >= min_overlap))
+
+
+T.register_support("near_start", _near_start, inputs=("is_unanswerable",))
+_NEAR = f"(np <> '' AND contains(left(nc, 200), np)) OR (is_unanswerable AND {_SHARE} >= 0.5)"
+
+
+@query("q_support_custom", f"""{_OPEN}, s AS (SELECT *, CASE WHEN {abstains('np', 'fixed')} THEN 1 ELSE 0 END AS gone, CASE WHEN {_NEAR} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS bad FROM o)
+SELECT type, item_key, condition, sample_index, threshold, CASE WHEN gone >= 0.5 THEN 0.0::DOUBLE ELSE bad END AS unsupported, CASE WHEN gone >= threshold THEN 0.0::DOUBLE ELSE bad END AS swept FROM s, (SELECT unnest([0.0, 1.0])::DOUBLE AS threshold)""")
+def _(spark, sf_dir):
+    """Scores and a sweep by a registered strategy that reads a column of the items."""
+    items = X.text_items(spark, sf_dir)
+    scored = score.score_predictions(X.text_predictions(items), items, "near_start", 0.5).where("type = 'open'").select(*_KEY, "unsupported")
+    abst = T.is_abstention(F.col("response_text")).cast("double")
+    swept = T.sweep_thresholds(_open(spark, sf_dir), F.col("response_text"), F.col("context"), abst, [0.0, 1.0], "near_start", 0.5)
+    return scored.join(swept.select(*_KEY, "threshold", F.col("unsupported").alias("swept")), list(_KEY))
+
+
 @query("q_grounded_benchmark", f"""WITH d AS (SELECT doc_id, {norm("text")} AS n FROM documents), b AS (SELECT item_id, {norm("text")} AS n FROM benchmark)
 SELECT doc_id, item_id FROM d JOIN b ON b.n <> '' AND contains(d.n, b.n)""")
 def _(spark, sf_dir):

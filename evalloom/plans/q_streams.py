@@ -5,32 +5,42 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalloom.plans import fixtures as X
-from evalloom.plans.q_results import _T, lines
+from evalloom.plans.q_results import _T, _turns, lines
 from evalloom.plans.q_scores import _SCORES
 from evalloom.plans.base import query
 from evalloom.sources.shared import shared_path
 from evalloom.streaming import streams as S
 
 
-def _to(stream, spark, name, mode="append"):
+def _to(stream, spark, name, mode="append", conf=None):
     """The stream's result as a table in the shared folder."""
     out, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
     if mode == "append":
-        S.run_available(stream, out, state)
+        S.run_available(stream, out, state, conf=conf)
         return spark.read.schema(stream.schema).parquet(out)
     # the whole result so far is written over at each batch: a row for each group
     S.run_available(stream, out, state, mode, lambda df, i: df.write.mode("overwrite").parquet(out))
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query("q_stream_ingest", f"WITH {_T} SELECT cid AS custom_id, turn::INTEGER AS sample_index, CASE WHEN conv_id % 7 = 0 THEN '' ELSE text END AS response_text FROM t WHERE conv_id % 13 <> 0")
+@query("q_stream_ingest", f"""WITH {_T} SELECT cid AS custom_id, turn::INTEGER AS sample_index, CASE WHEN conv_id % 7 = 0 THEN '' ELSE text END AS response_text,
+  conv_id % 7 = 0 AS failed, CASE WHEN conv_id % 7 <> 0 AND conv_id % 5 = 2 THEN 2 ELSE 1 END::BIGINT AS revision FROM t WHERE conv_id % 13 <> 0""")
 def _(spark, sf_dir):
-    """The lines are written as JSONL parts, some ids in two of them, and ingested as a stream."""
+    """The lines are written as JSONL parts, some ids in two of them, and ingested as a stream, a file a batch.
+
+    A fifth of the ids has an error stub in an earlier part, which its answer replaces, and
+    another fifth one in a later part, which changes nothing.
+    """
     parts = shared_path(spark, "parts")
     t = lines(spark, sf_dir)
-    for i, file in enumerate(("a.jsonl", "b.jsonl")):
-        t.where(F.col("file") == file).select(F.col("line").alias("value")).write.text(f"{parts}/{i}")
-    return _to(S.stream_results(spark, parts, names="*.txt"), spark, "ingest").select("custom_id", "sample_index", "response_text")
+    stub = F.to_json(F.struct(F.col("cid").alias("custom_id"), F.struct(F.lit("late").alias("message")).alias("error")))
+    ids = _turns(spark, sf_dir)
+    stubs = lambda k: ids.where(f"conv_id % 5 = {k} and conv_id % 7 <> 0").select(stub.alias("value"))
+    of = lambda name: t.where(F.col("file") == name).select(F.col("line").alias("value"))
+    for i, part in enumerate((stubs(2), of("a.jsonl"), of("b.jsonl"), stubs(3))):
+        part.coalesce(1).write.text(f"{parts}/{i}")
+    p = _to(S.stream_results(spark, parts, files=1, names="*.txt"), spark, "ingest", conf=S.RESULTS_CONF)
+    return S.latest(p).join(p.groupBy("custom_id").agg(F.max("revision").alias("revision")), "custom_id").select("custom_id", "sample_index", "response_text", F.col("failure").isNotNull().alias("failed"), "revision")
 
 
 def _prediction_stream(spark, sf_dir):

@@ -3,32 +3,97 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from evalloom.operators import normalize, score
 
 MEASURES = ("em", "f1", "abstained", "false_answer", "unsupported")
 
 
-def stream_results(spark: SparkSession, path: str, watermark: str = "1 day", files: int | None = None, names: str = "*.jsonl") -> DataFrame:
-    """New JSONL parts below a folder as predictions, each custom_id once within the watermark.
+#: What a stream of stream_results starts with: values with a time to live need this store, and would make batches without data for ever.
+RESULTS_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+_CHOSEN = StructType([StructField("stub", BooleanType()), StructField("file", StringType()), StructField("digest", StringType()), StructField("revision", LongType())])
+_CHANGES = StructType([StructField("custom_id", StringType()), StructField("value", StringType()), StructField("revision", LongType())])
 
-    Event time is the file's, so state of old ids is dropped as newer files come.
+
+class BestRecord(StatefulProcessor):
+    """For each custom_id the best record so far: one with a response, then that of the first file, then the least digest.
+
+    A better one is passed on when it comes, with the next revision; so an error stub is
+    replaced by the answer that follows it, and an answer never by a stub. What is known of
+    an id is dropped when it was not written for ttl_ms.
+    """
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.chosen = handle.getValueState("chosen", _CHOSEN, self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        best = None
+        for p in rows:
+            own = min(zip(p["stub"].tolist(), p["file"], p["digest"], p["value"]), key=lambda r: r[:3])
+            best = own if best is None or own[:3] < best[:3] else best
+        known = self.chosen.get() if self.chosen.exists() else None
+        if known is None or best[:3] < tuple(known[:3]):
+            revision = 1 if known is None else known[3] + 1
+            self.chosen.update((*best[:3], revision))
+            yield pd.DataFrame({"custom_id": [key[0]], "value": [best[3]], "revision": [revision]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_results(spark: SparkSession, path: str, ttl: timedelta = timedelta(days=1), files: int | None = None, names: str = "*.jsonl", depth: str | None = None) -> DataFrame:
+    """New JSONL parts below a folder as predictions, with the revision of each.
+
+    A custom_id comes again, with the next revision, when a better record of it comes (see
+    BestRecord): combine_parts over all files gives what the last revisions have. Ids are
+    known for ttl of processing time. depth: a part of the file's path that orders files,
+    as a regular expression with one group; the whole path otherwise.
     """
     r = spark.readStream.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", names)
     if files:
         r = r.option("maxFilesPerTrigger", files)
-    lines = r.load(path).select("value", F.col("_metadata.file_modification_time").alias("at"))
-    recs = normalize.records(lines).withWatermark("at", watermark).dropDuplicatesWithinWatermark(["custom_id"])
-    return normalize.predictions(recs)
+    file = F.col("_metadata.file_path")
+    lines = r.load(path).select("value", (F.regexp_extract(file, depth, 1) if depth else file).alias("file"))
+    recs = normalize.records(lines).select("custom_id", (~normalize.has_response(F.col("v"))).alias("stub"), "file", F.md5("value").alias("digest"), "value")
+    best = recs.groupBy("custom_id").transformWithStateInPandas(BestRecord(ttl // timedelta(milliseconds=1)), _CHANGES, "append", "processingtime")
+    return normalize.predictions(best.withColumn("v", F.try_parse_json("value")), "revision")
+
 
+def latest(predictions: DataFrame) -> DataFrame:
+    """The last revision of each custom_id of what stream_results gave, in one aggregation."""
+    rest = [c for c in predictions.columns if c not in ("custom_id", "revision")]
+    top = F.max_by(F.struct(*rest), "revision").alias("p")
+    return predictions.groupBy("custom_id").agg(top).select("custom_id", "p.*").select(*(c for c in predictions.columns if c != "revision"))
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", per_batch: Callable | None = None) -> None:
-    """Everything that is there now, in as many batches as the source makes, then stop."""
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", per_batch: Callable | None = None, conf: dict[str, str] | None = None) -> None:
+    """Everything that is there now, in as many batches as the source makes, then stop.
+
+    conf: settings that the stream starts with (RESULTS_CONF for stream_results); the session's own stay what they were.
+    """
+    spark, conf = stream.sparkSession, conf or {}
+    before = {k: spark.conf.get(k) for k in conf}
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    q = w.foreachBatch(per_batch).start() if per_batch else w.format("parquet").option("path", path).start()
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        q = w.foreachBatch(per_batch).start() if per_batch else w.format("parquet").option("path", path).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     q.awaitTermination()
 
 
