@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions import dist
 from evalloom.operators.pairs import EPS, delta_histogram, effect_sizes, mcnemar_counts, paired_deltas, with_scopes
-from evalloom.operators.resample import bootstrap_histogram, permutation_histogram
+from evalloom.operators.resample import bootstrap_histogram, permutation_exact
 from evalloom.sources.shared import stored
 
 
@@ -70,21 +72,58 @@ def wilcoxon(histogram: DataFrame, *keys: str, exact_up_to: int = 50) -> DataFra
     return g.select(*keys, *(F.coalesce(c, F.lit(d)).alias(c) for c, d in (("n", 0), ("w_plus", 0.0), ("w_minus", 0.0), ("w", 0.0), ("z", 0.0), ("p", 1.0))))
 
 
-def hodges_lehmann(deltas: DataFrame, *keys: str, most: int = 2000, counted: bool = False) -> DataFrame:
-    """Median of the averages of all pairs i <= j; of groups with more than `most` deltas, the plain median.
+def walsh_median(values: np.ndarray, counts: np.ndarray) -> float:
+    """Median of (x + y) / 2 over all pairs of items, each with itself too, from different values in order and their counts.
 
-    Pairs are of different values with their counts, so copies are never paired row by row.
+    The pair sum of a given rank is narrowed by halving: how many sums are at most so large
+    follows from one binary search for each value, so there is no table of pairs.
+    """
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    n = int(upto[-1])
+    pairs = n * (n + 1) // 2
+    own = counts.astype(object) if n > 1 << 30 else counts
+
+    def reach(x: float) -> np.ndarray:
+        return np.searchsorted(values, x - values, side="right")
+
+    def below(x: float) -> int:
+        """Pairs with a sum of at most x: ordered pairs of items, and those of an item with itself once more, halved."""
+        return (int((own * upto[reach(x)]).sum()) + int(counts[values + values <= x].sum())) // 2
+
+    def ranked(k: int) -> float:
+        low, high = 2 * float(values[0]), 2 * float(values[-1])
+        slack = 1e-12 * max(1.0, abs(low), abs(high))
+        low -= slack
+        high += slack
+        while high - low > slack:
+            middle = (low + high) / 2
+            low, high = (low, middle) if below(middle) >= k else (middle, high)
+        at = reach(high + slack) - 1  # the sum itself, as it stands in the data
+        sums = (values + values[np.maximum(at, 0)])[at >= 0]
+        return float(sums.max())
+
+    return (ranked((pairs + 1) // 2) + ranked(pairs // 2 + 1)) / 4
+
+
+def hodges_lehmann(deltas: DataFrame, *keys: str, most: int = 2000, counted: bool = False, exact: bool = False) -> DataFrame:
+    """Median of the averages of all pairs i <= j.
+
+    By default of groups with more than `most` deltas the plain median; exact: the same
+    median at any number, from each group's histogram in one task.
     counted: deltas are a histogram (keys, delta, cnt) already.
     """
     h = deltas if counted else deltas.groupBy(*keys, "delta").agg(F.count("*").alias("cnt"))
-    n = h.groupBy(*keys).agg(F.sum("cnt").alias("n"))
-    a = h.join(n.where(F.col("n") <= most), list(keys))
-    b = a.select(*keys, F.col("delta").alias("d2"), F.col("cnt").alias("c2"))
-    pairs = a.join(b, list(keys)).where("delta <= d2")
-    weight = F.when(F.col("delta") == F.col("d2"), F.col("cnt") * (F.col("cnt") + 1) / 2).otherwise(F.col("cnt") * F.col("c2"))
-    values = pairs.select(*keys, ((F.col("delta") + F.col("d2")) / 2).alias("v"), weight.cast("long").alias("cnt"))
-    values = values.union(h.join(n.where(F.col("n") > most), list(keys)).select(*keys, F.col("delta").alias("v"), "cnt"))
-    return values.groupBy(*keys).agg(F.expr("percentile(v, 0.5, cnt)").alias("hl"))
+
+    def median(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("delta")
+        v, c = p["delta"].to_numpy(dtype=float), p["cnt"].to_numpy(dtype=np.int64)
+        if not exact and c.sum() > most:
+            at = np.searchsorted(np.cumsum(c), [(c.sum() + 1) // 2, c.sum() // 2 + 1])
+            return pd.DataFrame([(*key, float(v[at].mean()))])
+        return pd.DataFrame([(*key, walsh_median(v, c))])
+
+    kinds = ", ".join([*(f"{k} {h.schema[k].dataType.simpleString()}" for k in keys), "hl double"])
+    return h.groupBy(*keys).applyInPandas(median, kinds)
 
 
 def selective_risk(pairs: DataFrame, thresholds: list[float], side: str = "t", *keys: str) -> DataFrame:
@@ -203,7 +242,7 @@ def significance(pairs: DataFrame, replicates: int = 5000, seed: int = 1337, mar
     boot = stored(bootstrap_histogram(h, replicates, seed, alpha, *keys), "bootstrap")
     hl = hodges_lehmann(h, *keys, counted=True)
     effects = effect_sizes(deltas, *keys)
-    wide = [effects, wilcoxon(h, *keys).withColumnsRenamed({"n": "n_nonzero", "p": "p_wilcoxon"}), hl, boot, permutation_histogram(h, replicates, seed, *keys)]
+    wide = [effects, wilcoxon(h, *keys).withColumnsRenamed({"n": "n_nonzero", "p": "p_wilcoxon"}), hl, boot, permutation_exact(h, replicates, seed, *keys).withColumnRenamed("exact", "permutation_exact")]
     out = reduce(lambda a, b: a.join(b, list(keys), "left"), wide)
     mc = odds_ratio(binom_two_sided(mcnemar_counts(with_scopes(pairs), "temp", "type", "scope"))).withColumnsRenamed({"p": "p_mcnemar", "n": "n_pairs"}).withColumn("metric", F.lit("em"))
     meta = dataset_meta(mean.join(boot, list(keys))).withColumnsRenamed({"k": "meta_k"})

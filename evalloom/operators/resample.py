@@ -10,7 +10,8 @@ number of items.
 from __future__ import annotations
 
 import hashlib
-from math import exp
+from fractions import Fraction
+from math import exp, lcm
 
 import numpy as np
 import pandas as pd
@@ -119,19 +120,92 @@ def bootstrap_histogram(histogram: DataFrame, replicates: int, seed: int, alpha:
     return histogram.groupBy(*keys).applyInPandas(draw, f"{_type_of(histogram, keys)}, ci_low double, ci_high double")
 
 
+#: Denominators of deltas, and points of the lattice of their sums, up to which a sign-flip test is exact.
+DENOMINATOR, LATTICE = 1000, 1 << 24
+
+
+def lattice(sizes: np.ndarray, counts: np.ndarray, most: int = LATTICE) -> tuple[np.ndarray, int] | None:
+    """Sizes as whole multiples of one unit and the units of that in 1, if their sum has so many units at most."""
+    unit = 1
+    for x in sizes.tolist():
+        f = Fraction(x).limit_denominator(DENOMINATOR)
+        if abs(float(f) - x) > 1e-9:
+            return None
+        unit = lcm(unit, f.denominator)
+        if unit * x > most:
+            return None
+    k = np.rint(sizes * unit).astype(np.int64)
+    return (k, unit) if int((k * counts).sum()) <= most else None
+
+
+def flip_tail(k: np.ndarray, counts: np.ndarray, observed: int) -> float:
+    """P(|sum of +-k over all counts| >= observed), every sign being as likely.
+
+    The number of units with a plus, 0 to their sum t, is a sum of binomial numbers; the
+    convolution of all is a product of cosines on t + 1 frequencies, and what lies between
+    -observed and observed is summed by the kernel of a run of ones.
+    """
+    t = int((k * counts).sum())
+    inside = max(0, observed if (t - observed) % 2 else observed - 1)  # places strictly between, of every second one
+    if not inside:
+        return 1.0
+    total, n = 0.0, t + 1
+    for start in range(0, n, 1 << 16):
+        half = np.pi * np.arange(start, min(n, start + (1 << 16))) / n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            logs, signs = np.zeros(len(half)), np.ones(len(half))
+            for x, c in zip(k.tolist(), counts.tolist()):
+                cos = np.cos((x * half) % (2 * np.pi))
+                logs += c * np.log(np.abs(cos))
+                signs *= np.where((cos < 0) & (c % 2 == 1), -1.0, 1.0)
+            kernel = np.sin(inside * half) / np.sin(half)
+        if start == 0:
+            kernel[0] = inside
+        total += float((signs * np.exp(logs) * kernel).sum())
+    return min(1.0, max(0.0, 1.0 - total / n))
+
+
+def permutation_exact(histogram: DataFrame, replicates: int, seed: int, *keys: str, most: int = LATTICE) -> DataFrame:
+    """(keys, p_permutation, exact): p over all sign flips of histogram (keys, delta, cnt), without a seed.
+
+    Deltas that are multiples of a common unit give sums on a lattice, whose distribution is
+    computed; the cost follows its points and the different sizes, not the number of items.
+    Only where there is no such lattice of `most` points p is drawn, as permutation_histogram has it.
+    """
+
+    def p_of(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        delta, count = p["delta"].to_numpy(dtype=float), p["cnt"].to_numpy(dtype=np.int64)
+        by = pd.DataFrame({"size": np.abs(delta).round(12), "cnt": count}).groupby("size")["cnt"].sum()
+        by = by[by.index > 0]
+        size, counts = by.index.to_numpy(dtype=float), by.to_numpy(dtype=np.int64)
+        found = lattice(size, counts, most)
+        if found is None:
+            return pd.DataFrame([(*key, _drawn(key, p, replicates, seed), False)])
+        k, unit = found
+        observed = abs(int((np.rint(delta * unit).astype(np.int64) * count).sum()))
+        return pd.DataFrame([(*key, flip_tail(k, counts, observed), True)])
+
+    return histogram.groupBy(*keys).applyInPandas(p_of, f"{_type_of(histogram, keys)}, p_permutation double, exact boolean")
+
+
+def _drawn(key: tuple, p: pd.DataFrame, replicates: int, seed: int) -> float:
+    """Share of random sign flips that are as far from 0: of equal sizes, a binomial number is positive."""
+    n = p["cnt"].sum()
+    by = p.assign(size=p["delta"].abs()).groupby("size")["cnt"].sum()
+    observed = abs((p["delta"] * p["cnt"]).sum() / n)
+    if observed <= 1e-12:
+        return 1.0
+    rng, far = _rng(seed, key), 0
+    for at in range(0, replicates, 100):
+        plus = rng.binomial(by.to_numpy(), 0.5, size=(min(100, replicates - at), len(by)))
+        far += int((np.abs((2 * plus - by.to_numpy()) @ by.index.to_numpy() / n) >= observed - 1e-12).sum())
+    return far / replicates
+
+
 def permutation_histogram(histogram: DataFrame, replicates: int, seed: int, *keys: str) -> DataFrame:
-    """p of random sign flips of histogram (keys, delta, cnt): of equal sizes, a binomial number is positive."""
+    """p of random sign flips of histogram (keys, delta, cnt)."""
 
     def draw(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        n = p["cnt"].sum()
-        by = p.assign(size=p["delta"].abs()).groupby("size")["cnt"].sum()
-        observed = abs((p["delta"] * p["cnt"]).sum() / n)
-        if observed <= 1e-12:
-            return pd.DataFrame([(*key, 1.0)])
-        rng, far = _rng(seed, key), 0
-        for at in range(0, replicates, 100):
-            plus = rng.binomial(by.to_numpy(), 0.5, size=(min(100, replicates - at), len(by)))
-            far += int((np.abs((2 * plus - by.to_numpy()) @ by.index.to_numpy() / n) >= observed - 1e-12).sum())
-        return pd.DataFrame([(*key, far / replicates)])
+        return pd.DataFrame([(*key, _drawn(key, p, replicates, seed))])
 
     return histogram.groupBy(*keys).applyInPandas(draw, f"{_type_of(histogram, keys)}, p_permutation double")

@@ -52,11 +52,22 @@ def _(spark, sf_dir):
     return prepare.seeded_sample(X.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 100)
 
 
-@query("q_manifest", "SELECT source, count(*) AS n_rows, sum(('0x' || substr(md5(doc_id || chr(31) || coalesce(source, '') || chr(31) || coalesce(text, '')), 1, 15))::UBIGINT)::VARCHAR AS digest FROM documents GROUP BY source")
+def _digest_sql(*columns: str) -> str:
+    row = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, 'n;')" for c in columns)
+    return " || '-' || ".join(f"sum(('0x' || substr(sha256({row}), {1 + 15 * i}, 15))::UBIGINT)::VARCHAR" for i in range(3))
+
+
+@query("q_manifest", f"SELECT source, count(*) AS n_rows, {_digest_sql('doc_id', 'source', 'text')} AS digest FROM documents GROUP BY source")
 def _(spark, sf_dir):
     return prepare.dataset_manifest(X.table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source")
 
 
+@query("q_range_digests", f"""WITH d AS (SELECT doc_id, source, text FROM documents), l AS (SELECT *, unnest([0, 1, 2]) AS level FROM d)
+SELECT source, level, floor(floor(doc_id / 64.0) / (16 ** level))::BIGINT AS range, count(*) AS n_rows, {_digest_sql('doc_id', 'source', 'text')} AS digest FROM l GROUP BY ALL""")
+def _(spark, sf_dir):
+    return prepare.range_digests(X.table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id", 64, "source")
+
+
 @query("q_limit_first", "SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5")
 def _(spark, sf_dir):
     return prepare.limit_first(X.table(spark, sf_dir, "documents").select("source", "doc_id"), 5, "doc_id", "source")
@@ -206,12 +217,19 @@ def _(spark, sf_dir):
     return p.select("custom_id", "cache", F.array_join(F.transform("b.params.system", mark), "|").alias("marks"), texts(F.col("b.params.system")).alias("system"), texts(F.col("b.params.messages")[0]["content"]).alias("said"), F.size("b.params.messages").cast("long").alias("n_messages"), "b.params.top_k", "b.params.temperature", "b.metadata.run")
 
 
-@query("q_validate_manifest", """WITH d AS (SELECT doc_id % 5 AS part, doc_id FROM documents), m AS (SELECT part, count(*) AS n_rows FROM d WHERE part <> 3 AND NOT (part = 2 AND doc_id % 2 = 0) GROUP BY part), f AS (SELECT part, count(*) AS found_rows FROM d WHERE part <> 4 GROUP BY part)
-SELECT part, n_rows, found_rows, CASE part WHEN 0 THEN 'ok' WHEN 1 THEN 'digest' WHEN 2 THEN 'rows' WHEN 3 THEN 'unexpected' ELSE 'missing' END AS status FROM m FULL JOIN f USING (part)""")
+@query("q_validate_manifest", """WITH d AS (SELECT doc_id % 5 AS part, doc_id, doc_id // 64 AS r FROM documents), m AS (SELECT part, count(*) AS n_rows FROM d WHERE part <> 3 AND NOT (part = 2 AND doc_id % 2 = 0) GROUP BY part), f AS (SELECT part, count(*) AS found_rows FROM d WHERE part <> 4 GROUP BY part),
+c AS (SELECT part, string_agg(r::VARCHAR, ',' ORDER BY r) AS ranges FROM (SELECT DISTINCT part, r FROM d WHERE part = 1 AND r % 3 = 1 OR part = 2 AND doc_id % 2 = 0) GROUP BY part)
+SELECT part, n_rows, found_rows, CASE part WHEN 0 THEN 'ok' WHEN 1 THEN CASE WHEN ranges IS NULL THEN 'ok' ELSE 'digest' END WHEN 2 THEN 'rows' WHEN 3 THEN 'unexpected' ELSE 'missing' END AS status, CASE WHEN part IN (1, 2) THEN ranges END AS ranges FROM m FULL JOIN f USING (part) LEFT JOIN c USING (part)""")
 def _(spark, sf_dir):
+    """Sets of documents with other texts in some ranges of ids, without some rows, missing and new ones; of the first two the ranges are named."""
     d = X.table(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    before = d.where("part <> 3 and not (part = 2 and doc_id % 2 = 0)").withColumn("text", F.when(F.col("part") == 1, F.concat("text", F.lit("."))).otherwise(F.col("text")))
-    return prepare.validate_manifest(d.where("part <> 4"), prepare.dataset_manifest(before, "part"), "part")
+    other = (F.col("part") == 1) & (F.floor(F.col("doc_id") / 64) % 3 == 1)
+    before = d.where("part <> 3 and not (part = 2 and doc_id % 2 = 0)").withColumn("text", F.when(other, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    now = d.where("part <> 4")
+    trees = [prepare.range_digests(x, "doc_id", 64, "part") for x in (before, now)]
+    changed = prepare.changed_ranges(*trees, "part").groupBy("part").agg(F.array_join(F.sort_array(F.collect_list("range")), ",").alias("ranges"))  # a set's changed ranges
+    status = prepare.validate_manifest(now, prepare.dataset_manifest(before, "part"), "part")
+    return status.join(changed, "part", "left").withColumn("ranges", F.when(F.col("status").isin("digest", "rows"), F.col("ranges")))
 
 
 _SAFE = "regexp_replace({0}, '[^A-Za-z0-9_-]', '_', 'g')"

@@ -149,6 +149,17 @@ def _(spark, sf_dir):
     return b.join(resample.permutation_histogram(h, 5000, 2025, *KEYS), list(KEYS))
 
 
+@query("q_permutation_exact", f"""{W}, s AS (SELECT temp, type, metric, round(delta * 120)::BIGINT AS d FROM deltas),
+g AS (SELECT temp, type, metric, sum(abs(d))::BIGINT AS t, abs(sum(d))::BIGINT - 1 AS m FROM s GROUP BY ALL), h AS (SELECT temp, type, metric, abs(d) AS k, count(*) AS c FROM s WHERE d <> 0 GROUP BY ALL),
+j AS (SELECT *, unnest(range(0, t + 1)) AS j FROM g WHERE m > 0), f AS (SELECT j.temp, j.type, j.metric, j.j, any_value(m) AS m, any_value(t) + 1 AS n, product(power(cos(pi() * ((j.j * k) % (2 * (t + 1))) / (t + 1)), c)) AS f FROM j JOIN h USING (temp, type, metric) GROUP BY ALL),
+p AS (SELECT temp, type, metric, 1 - sum(f * CASE WHEN j = 0 THEN m ELSE sin(pi() * m * j / n) / sin(pi() * j / n) END) / any_value(n) AS p FROM f GROUP BY ALL)
+SELECT temp, type, metric, round(least(1.0, greatest(0.0, coalesce(p, 1.0))), 8) + 0.0 AS p_permutation, true AS exact FROM g LEFT JOIN p USING (temp, type, metric)""")
+def _(spark, sf_dir):
+    """p over all sign flips; the SQL sums the same frequencies with a fixed unit of 1 / 120."""
+    p = resample.permutation_exact(P.delta_histogram(_deltas(spark, sf_dir), *KEYS), 5000, 2025, *KEYS)
+    return p.withColumn("p_permutation", F.round("p_permutation", 8) + 0.0)
+
+
 @query("q_histogram", f"{W} SELECT temp, type, metric, round(delta, 9) + 0.0 AS delta, count(*) AS cnt FROM deltas GROUP BY temp, type, metric, round(delta, 9) + 0.0")
 def _(spark, sf_dir):
     return P.delta_histogram(_rounded(_deltas(spark, sf_dir), "delta"), *KEYS)
@@ -180,6 +191,17 @@ def _(spark, sf_dir):
     return _rounded(infer.hodges_lehmann(_em(spark, sf_dir), "temp", "type"), "hl")
 
 
+@query("q_hl_exact", f"""{W}, e AS (SELECT temp, type, delta, count(*) AS c FROM deltas WHERE metric = 'em' GROUP BY ALL), n AS (SELECT temp, type, sum(c) AS n FROM e GROUP BY ALL),
+v AS (SELECT a.temp, a.type, (a.delta + b.delta) / 2 AS v, CASE WHEN a.delta = b.delta THEN a.c * (a.c + 1) / 2 ELSE a.c * b.c END AS w FROM e a JOIN e b ON a.temp = b.temp AND a.type = b.type AND a.delta <= b.delta),
+u AS (SELECT *, sum(w) OVER (PARTITION BY temp, type ORDER BY v) AS upto FROM v)
+SELECT temp, type, round((min(v) FILTER (upto >= floor((n * (n + 1) / 2 + 1) / 2)) + min(v) FILTER (upto >= floor(n * (n + 1) / 4) + 1)) / 2, 9) + 0.0 AS hl, any_value(n)::BIGINT AS n FROM u JOIN n USING (temp, type) GROUP BY temp, type""")
+def _(spark, sf_dir):
+    """The exact median at any number of deltas; the SQL pairs different values."""
+    e = _em(spark, sf_dir)
+    hl = infer.hodges_lehmann(e, "temp", "type", exact=True)
+    return hl.join(e.groupBy("temp", "type").agg(F.count("*").alias("n")), ["temp", "type"]).withColumn("hl", F.round("hl", 9) + 0.0)
+
+
 @query("q_effects", f"""{W} SELECT temp, type, metric, count(*) AS n, {r("avg(delta)", "mean")}, {r("coalesce(stddev_samp(delta), 0)", "sd")}, round(CASE WHEN stddev_samp(delta) > 0 THEN avg(delta) / stddev_samp(delta) ELSE 0 END, 8) AS cohens_d,
   round(CASE WHEN count(*) FILTER (abs(delta) > 1e-12) > 0 THEN (count(*) FILTER (delta > 1e-12) - count(*) FILTER (delta < -1e-12)) / count(*) FILTER (abs(delta) > 1e-12) ELSE 0 END, 9) AS cliffs_delta FROM deltas GROUP BY temp, type, metric""")
 def _(spark, sf_dir):

@@ -132,3 +132,24 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     batch = {r.item_id: (r.response_text, r.failure) for r in N.predictions(N.combine_parts(N.records(lines))).collect()}
     assert got == batch
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != next(iter(S.RESULTS_CONF.values()))
+
+
+def test_digests_tell_rows_apart(spark):
+    from evalloom.operators import prepare
+
+    def digest(*rows):
+        return prepare.dataset_manifest(spark.createDataFrame(list(rows), "a string, b string")).first().digest
+
+    sets = [[("x", None)], [("x", "")], [("x1:", "y")], [("x", "1:y")], [("1:x", "")], [("", "1:x")], [("n;", "")], [(None, "")], [("a", "b"), ("c", "d")], [("a", "d"), ("c", "b")], [("a", "b")], [("a", "b")] * 2]
+    assert len({digest(*x) for x in sets}) == len(sets)
+    assert digest(("a", "b"), ("c", "d")) == digest(("c", "d"), ("a", "b"))
+
+
+def test_changed_ranges_are_found_from_the_top(spark):
+    from evalloom.operators import prepare
+
+    before = spark.range(5000).select("id", F.md5(F.col("id").cast("string")).alias("x")).union(spark.createDataFrame([(None, "n")], "id long, x string"))
+    now = before.where("id is null or (id not between 640 and 703 and id <> 4999)").withColumn("x", F.when(F.col("id") == 70, "other").otherwise(F.col("x"))).union(spark.createDataFrame([(9000, None)], "id long, x string"))
+    trees = [prepare.range_digests(t, "id", 64) for t in (before, now)]
+    assert sorted((r.range, r.status) for r in prepare.changed_ranges(*trees).collect()) == [(1, "changed"), (10, "gone"), (78, "changed"), (140, "new")]
+    assert trees[0].where("level = 2").count() == 2 and prepare.changed_ranges(trees[0], trees[0]).count() == 0

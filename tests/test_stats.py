@@ -159,3 +159,46 @@ def test_exchangeable_fit_against_dense_matrices(spark):
     for i, name in enumerate(models.NAMES):
         assert got[name].coef == pytest.approx(beta[i], abs=1e-6) and got[name].se == pytest.approx(np.sqrt(cov[i, i]), abs=1e-6)
     assert got["intercept"].rho == pytest.approx(rho, abs=1e-6) and rho > 0.05
+
+
+def test_sign_flips_on_a_lattice_against_all_flips():
+    import itertools
+
+    import numpy as np
+
+    from evalloom.operators import resample
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        k = np.unique(rng.integers(1, 9, size=rng.integers(1, 4)))
+        c = rng.integers(1, 5, size=len(k))
+        items = np.repeat(k, c)
+        sums = [sum(s * x for s, x in zip(signs, items.tolist())) for signs in itertools.product((-1, 1), repeat=len(items))]
+        for observed in {abs(s) for s in sums}:
+            assert abs(resample.flip_tail(k, c, observed) - np.mean([abs(s) >= observed for s in sums])) < 1e-10
+    k, unit = resample.lattice(np.array([1 / 3, 0.5, 0.1]), np.array([1, 1, 1]))
+    assert unit == 30 and k.tolist() == [10, 15, 3] and resample.lattice(np.array([2**0.5]), np.array([1])) is None
+    # a million items: the normal tail
+    assert abs(resample.flip_tail(np.array([1]), np.array([1_000_000]), 2000) - 0.0455) < 2e-4
+
+
+def test_lattices_and_draws_by_group(spark):
+    from evalloom.operators import resample
+
+    rows = [("a", 0.5, 6), ("a", -0.5, 2), ("b", 2**0.5, 5), ("b", -(2**0.5), 1), ("c", 0.0, 4)]
+    h = spark.createDataFrame(rows, "g string, delta double, cnt long")
+    got = {r.g: (round(r.p_permutation, 2), r.exact) for r in resample.permutation_exact(h, 20_000, 1, "g").collect()}
+    assert got["a"] == (0.29, True) and got["c"] == (1.0, True) and not got["b"][1] and abs(got["b"][0] - 0.22) < 0.03
+
+
+def test_walsh_median_against_all_pairs():
+    import numpy as np
+
+    from evalloom.operators.infer import walsh_median
+
+    rng = np.random.default_rng(5)
+    for n, draw in ((1, rng.normal), (2, rng.normal), (3000, rng.normal), (3000, lambda size: rng.integers(-6, 7, size) / 6), (7, lambda size: np.full(size, 0.25))):
+        x = np.sort(draw(size=n))
+        i, j = np.triu_indices(n)
+        v, c = np.unique(x, return_counts=True)
+        assert abs(walsh_median(v, c) - np.median((x[i] + x[j]) / 2)) < 1e-12
