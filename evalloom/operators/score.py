@@ -46,14 +46,20 @@ def unmatched(predictions: DataFrame, items: DataFrame) -> DataFrame:
     return predictions.join(items.select("type", "item_key"), ["type", "item_key"], "left_anti")
 
 
+def prepare_items(items: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """What scoring reads of items, with the truths' tokens and bags: to be stored where items are scored against again and again."""
+    further = [c for c in more if c not in ("context", "is_unanswerable")]
+    return items.select("type", "item_key", "context", *further, truth_tokens(F.col("answers")).alias("_truths"), "is_unanswerable")
+
+
 def score_predictions(predictions: DataFrame, items: DataFrame, strategy: str = "baseline", min_overlap: float = 0.6, threshold: float = 0.5, markers: str = "fixed") -> DataFrame:
     """predictions (type, item_key, condition, temp, sample_index, response_text) with their scores.
 
     Predictions without an item are left out; unmatched() gives them. strategy: a name that
-    text.register_support knows.
+    text.register_support knows. items: as they are, or from prepare_items.
     """
     theirs, _ = with_inputs(predictions, items, strategy)
-    i = items.select("type", "item_key", "context", *(F.col(c) for c in theirs if c not in ("context", "is_unanswerable")), truth_tokens(F.col("answers")).alias("_truths"), "is_unanswerable")
+    i = items if "_truths" in items.columns else prepare_items(items, tuple(theirs))
     p = predictions.withColumn("_tokens", T.normal_tokens(F.col("response_text"))).join(i, ["type", "item_key"])
     is_open = F.col("type") == "open"
     p = p.withColumns(score_columns(F.col("_tokens"), F.col("_truths"), F.col("is_unanswerable"), is_open, markers))

@@ -8,7 +8,7 @@ from evalloom.plans import fixtures as X
 from evalloom.plans.q_results import _T, _turns, lines
 from evalloom.plans.q_scores import _SCORES
 from evalloom.plans.base import query
-from evalloom.sources.shared import shared_path
+from evalloom.sources.shared import shared_path, stored
 from evalloom.streaming import streams as S
 
 
@@ -95,6 +95,27 @@ def _(spark, sf_dir):
     return _shown(t)
 
 
+@query("q_sketch_rollup", """WITH e AS (SELECT date_trunc('day', ts)::DATE AS day, event_type AS provider FROM events WHERE value IS NOT NULL),
+g AS (SELECT day::VARCHAR AS day, provider, count(*) AS samples FROM e GROUP BY ALL UNION ALL SELECT 'all', provider, count(*) FROM e GROUP BY provider UNION ALL SELECT 'all', 'all', count(*) FROM e) SELECT *, true AS q50_right, true AS q95_right FROM g""")
+def _(spark, sf_dir):
+    """Hourly sketches merged to days and providers, these to all days and to one; each quantile's true rank, counted over the events, is within a hundredth (and two samples)."""
+    e = X.table(spark, sf_dir, "events").select(F.col("event_type").alias("provider"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("latency_ms"))
+    hours = stored(S.latency_sketches(e), "sketches")
+    days = S.rolled_up(hours, F.to_date("window_start").cast("string").alias("day"), "provider")
+    whole = S.rolled_up(days, F.lit("all").alias("day"), "provider")
+    every = S.rolled_up(whole, F.lit("all").alias("day"), F.lit("all").alias("provider"))
+    merged = stored(days.unionByName(whole).unionByName(every).drop("sketch"), "quantiles")
+    at = F.explode(F.array(F.struct(F.to_date("ts").cast("string").alias("day"), F.col("provider").alias("provider")), F.struct(F.lit("all").alias("day"), F.col("provider").alias("provider")), F.struct(F.lit("all").alias("day"), F.lit("all").alias("provider")))).alias("at")
+    ranks = e.where("latency_ms is not null").select(at, "latency_ms").join(F.broadcast(merged), (F.col("at.day") == F.col("day")) & (F.col("at.provider") == F.col("provider")))  # a row for each day and provider
+
+    def right(q):
+        low, high = (F.count_if(F.col("latency_ms") < F.col(f"q{q}")), F.count_if(F.col("latency_ms") <= F.col(f"q{q}")))
+        slack = 0.01 * F.count("*") + 2
+        return ((low <= q / 100 * F.count("*") + slack) & (high >= q / 100 * F.count("*") - slack)).alias(f"q{q}_right")
+
+    return ranks.groupBy("day", "provider", "samples").agg(right(50), right(95))
+
+
 @query("q_stream_progress", "SELECT user_id % 10 AS part, count(*) AS items_out, 900::BIGINT AS items_in, count(*) >= 900 AS done FROM events GROUP BY 1")
 def _(spark, sf_dir):
     parts = spark.range(10).select(F.col("id").alias("part"), F.lit(900).cast("long").alias("items_in"))

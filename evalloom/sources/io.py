@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.operators.normalize import COLUMNS, records
+from evalloom.sources.shared import stored
 
 ITEM = "dataset string, id string, context string, question string, answers array<string>, is_unanswerable boolean"
 REQUEST = "custom_id string, body struct<messages: array<struct<role: string, content: variant>>, stop: array<string>>"
@@ -108,5 +112,35 @@ class UsageIn:
 
 
 def read_usage(texts: DataFrame, column: str = "value") -> DataFrame:
-    """(prompt_tokens, completion_tokens) of all usage objects in JSON texts."""
+    """(prompt_tokens, completion_tokens) of all usage objects in JSON texts.
+
+    Objects and lists are taken apart level by level, what is a usage object no further;
+    each level is stored, and the last is the one without any left.
+    """
+    names = PROMPT_KEYS + COMPLETION_KEYS
+    at = lambda v, name: F.try_variant_get(v, f"$.{name}", "variant")
+
+    def whole(v, own: tuple[str, ...]):
+        value = F.coalesce(*(at(v, n) for n in own))
+        plain = F.schema_of_variant(value)
+        number = F.when(plain == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double")).when(~plain.startswith("OBJECT") & ~plain.startswith("ARRAY"), F.try_variant_get(value, "$", "string").try_cast("double"))
+        fits = F.when(~F.isnan(number) & (F.abs(number) < float(1 << 62)), number)
+        return F.coalesce(fits.cast("long"), F.lit(0)).cast("long")
+
+    is_usage = reduce(or_, (at(F.col("v"), n).isNotNull() for n in names))
+    left = texts.select(F.try_parse_json(column).alias("v")).where("v is not null")
+    found = []
+    while True:
+        level = stored(left.select("v", (is_usage & F.schema_of_variant("v").startswith("OBJECT")).alias("usage")), "usage")
+        found.append(level.where("usage").select(whole(F.col("v"), PROMPT_KEYS).alias("prompt_tokens"), whole(F.col("v"), COMPLETION_KEYS).alias("completion_tokens")))
+        kind = F.schema_of_variant("v")
+        rest = level.where(~F.col("usage") & (kind.startswith("OBJECT") | kind.startswith("ARRAY")))
+        if rest.isEmpty():
+            return reduce(DataFrame.union, found)
+        children = texts.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("value").alias("child"))
+        left = rest.lateralJoin(children).select(F.col("child").alias("v"))
+
+
+def read_usage_rows(texts: DataFrame, column: str = "value") -> DataFrame:
+    """The same by a Python function of each text."""
     return texts.lateralJoin(UsageIn(F.col(column).outer())).select("prompt_tokens", "completion_tokens")

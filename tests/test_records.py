@@ -101,6 +101,11 @@ def test_sources(spark, tmp_path):
     assert [(r.item_key, r.em, r.f1) for r in io.read_scores(spark, str(tmp_path / "scores.csv")).collect()] == [("a", 1.0, None), ("c", 0.0, None)]
     usage = spark.createDataFrame([('[{"response":{"body":{"usage":{"prompt_tokens":5,"completion_tokens":"2"}}}},{"usage":{"input_tokens":1,"x":{"prompt_tokens":9}}}]',), ("{cut",), (None,)], "value string")
     assert sorted(map(tuple, io.read_usage(usage).collect())) == [(1, 0), (5, 2)]
+    odd = ['{"a":[[{"input_tokens":"x","output_tokens":true}],[{"b":{"c":{"completion_tokens":"7.9"}}}]]}', '{"prompt_tokens":null,"output_tokens":1e400}', '{"prompt_tokens":{"input_tokens":3}}', "[]", "3", '"prompt_tokens"', '{"input_tokens":2,"prompt_tokens":" 4 "}']
+    odd = spark.createDataFrame([(x,) for x in odd], "value string")
+    by_level = io.read_usage(odd)
+    assert sorted(map(tuple, by_level.collect())) == sorted(map(tuple, io.read_usage_rows(odd).collect())) == [(0, 0), (0, 0), (0, 1), (0, 7), (4, 0)]
+    assert "Python" not in by_level._jdf.queryExecution().toString() and "Arrow" not in by_level._jdf.queryExecution().toString()
     shards = spark.createDataFrame([(0, 2, "b"), (0, 1, "a"), (1, 3, "c")], "shard int, pos int, line string")
     io.write_shards(shards, str(tmp_path / "shards"))
     assert [r.value for r in spark.read.text(str(tmp_path / "shards" / "shard=0")).collect()] == ["a", "b"]
@@ -153,3 +158,34 @@ def test_changed_ranges_are_found_from_the_top(spark):
     trees = [prepare.range_digests(t, "id", 64) for t in (before, now)]
     assert sorted((r.range, r.status) for r in prepare.changed_ranges(*trees).collect()) == [(1, "changed"), (10, "gone"), (78, "changed"), (140, "new")]
     assert trees[0].where("level = 2").count() == 2 and prepare.changed_ranges(trees[0], trees[0]).count() == 0
+
+
+def test_moments_merge_without_cancelling_and_files_stay_few(spark, tmp_path):
+    import os
+    import random
+    import statistics
+
+    rng = random.Random(6)
+    rows = [("k", "open", "c", "0.0", i % 50, 1e8 + rng.random()) for i in range(500)]
+    d = spark.createDataFrame(rows, "item_key string, type string, condition string, temp string, b int, em double")
+    states = d.groupBy(*S.KEYS, "b").agg(F.count("*").alias("k"), *S.moments("em"))
+    r = S.merged_moments(states, ("em",), *S.KEYS).first()
+    x = [v[-1] for v in rows]
+    assert r.k == r.em_n == 500 and abs(r.em_mean - statistics.fmean(x)) < 1e-7 and abs((r.em_m2 / 499) ** 0.5 - statistics.stdev(x)) < 1e-7
+
+    items = spark.createDataFrame([("open", f"i{i}", "c", ["yes"], False) for i in range(3)], "type string, item_key string, context string, answers array<string>, is_unanswerable boolean")
+    add = S.score_batch(items, str(tmp_path), every=5)
+    every = []
+    for b in range(18):
+        batch = [("open", f"i{(b + i) % 3}", "control", "0.0", b, "yes" if (b + i) % 4 else "no") for i in range(2)]
+        every += batch
+        frame = spark.createDataFrame(batch, "type string, item_key string, condition string, temp string, sample_index int, response_text string")
+        add(frame, b)
+        if b in (5, 12):
+            add(frame, b)  # a repeated batch counts once
+    assert len([f for f in os.listdir(tmp_path) if "=" in f]) <= 12
+    from evalloom.operators import score
+
+    whole = score.aggregate_replicates(score.score_predictions(spark.createDataFrame(every, frame.schema), items))
+    want = {r.item_key: (round(r.em, 12), round(r.em_std, 12), round(r.f1, 12), r.k) for r in whole.collect()}
+    assert {r.item_key: (round(r.em, 12), round(r.em_std, 12), round(r.f1, 12), r.k) for r in S.merged_scores(spark, str(tmp_path)).collect()} == want
