@@ -17,7 +17,8 @@ a row for each partition, so that a host with a third of all pages is no one tas
 Cases: null html is empty and gives an empty text; null or unreadable URLs are one
 host with the whole URL as path; equal rows are one page for pairing, and each is
 returned; of two neighbours that share equally long starts the one before counts;
-cut-off and badly nested pages are read as far as they go;
+cut-off and badly nested pages are read as far as they go; very long pages are aligned
+whole, in memory that grows with the lines times the root of the lines that both share;
 extra columns are not read, and an empty table gives an empty result.
 """
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -57,7 +59,8 @@ NAMES |= frozenset(
 SUBJECTS = frozenset("menu banner promotion masthead cookie cookies consent gdpr notice notices overlay subscription comment replies widget widgets toolbar login signup sponsor".split())
 # texts of others, often article elements themselves
 OTHERS = frozenset("related recommended recommendations comment comments commentlist disqus respond replies related-posts related-articles comment-list comments-area comment-respond".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# blocks of text themselves: inside an article their names say how they look, not what they are
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre dt dd td th figcaption caption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
@@ -80,8 +83,8 @@ def _flags(tag: str, attributes: str, in_main: bool) -> tuple[int, bool]:
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "")
             if key in ("class", "id") and tag not in ("html", "body", "main"):
-                if in_main and (tag in HEADINGS or (tag == "section" and key == "id")):
-                    continue  # made of the words of a heading
+                if in_main and (tag in PROSE or (tag == "section" and key == "id")):
+                    continue  # a paragraph is the article's whatever it is called; ids are made of the words of a heading
                 names = {x.lower().replace("_", "-") for x in value.split()} & NAMES
                 if in_main:
                     names -= SUBJECTS
@@ -206,21 +209,34 @@ def blocks(page: str) -> list[tuple[str, int]]:
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Places in a of a longest common subsequence of a and b, by bit rows."""
+    """Places in a of a longest common subsequence of a and b, by bit rows.
+
+    Only every so manieth row is held; those between are made again on the way back, so the
+    memory follows the longer side times the root of the shorter.
+    """
     both = set(a) & set(b)
     own, other = [i for i, x in enumerate(a) if x in both], [x for x in b if x in both]
     where: dict[int, int] = {}
     for j, x in enumerate(other):
         where[x] = where.get(x, 0) | 1 << j
     full = (1 << len(other)) - 1
-    v, rows = full, [full]
-    for i in own:
-        u = v & where[a[i]]
-        v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()  # noqa: E731  of the first i and j
-    out, j = [], len(other)
+    step = isqrt(len(own)) + 1
+
+    def rows_from(v: int, start: int, end: int):
+        """Rows start to end, of which the first is v."""
+        yield v
+        for i in own[start:end]:
+            u = v & where[a[i]]
+            v = ((v + u) | (v - u)) & full
+            yield v
+
+    held = [v for i, v in enumerate(rows_from(full, 0, len(own))) if i % step == 0]
+    length = lambda i, j: j - (rows[i - low] & ((1 << j) - 1)).bit_count()  # noqa: E731  of the first i and j
+    out, j, low, rows = [], len(other), len(own) + 1, []
     for i in range(len(own), 0, -1):
+        if i - 1 < low:
+            low = (i - 1) // step * step
+            rows = list(rows_from(held[low // step], low, min(low + step, len(own))))
         here = length(i, j)
         if not here:
             break
@@ -257,8 +273,9 @@ def neighbours(keys: DataFrame) -> DataFrame:
     near = near.withColumn("next", F.when(row == F.col("last"), same(F.col("behind"))).otherwise(F.col("next")))
 
     def shared(x):
-        other = F.coalesce(x["path"], F.lit(""))
-        return F.coalesce(F.size(F.array_compact(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.char_length("path"), F.char_length(other)))), lambda i: F.when(F.substring("path", F.lit(1), i) == F.substring(other, F.lit(1), i), i)))), F.lit(0))
+        """Characters that both paths begin with (one more for equal paths), in one pass."""
+        same_at = F.zip_with(F.split("path", ""), F.split(F.coalesce(x["path"], F.lit("")), ""), lambda c, d: F.coalesce(c == d, F.lit(False)))
+        return F.transform(F.array(same_at), lambda s: F.coalesce(F.nullif(F.array_position(s, False), F.lit(0)) - 1, F.size(s).cast("long")))[0]
 
     best = F.when(F.col("prev").isNull(), F.col("next")).when(F.col("next").isNull(), F.col("prev")).when(shared(F.col("next")) > shared(F.col("prev")), F.col("next")).otherwise(F.col("prev"))
     return near.withColumn("best", best).where("best is not null").select("k1", "k2", F.col("best.k1").alias("n1"), F.col("best.k2").alias("n2"))

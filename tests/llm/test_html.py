@@ -93,6 +93,25 @@ def test_names_are_whole():
     assert text('<p class="ad-hoc">a</p><p class="Banner">b</p><p class="site-footer">c</p>') == ["a"]
 
 
+def test_paragraphs_of_an_article_stay_whatever_their_class():
+    for name in "share social promo related respond recommended popup adv pager navigation breadcrumb advertising sharing comments".split():
+        assert text(f"<div class='{name}'>x y</div><article><p>One</p><p class='{name}'>Two</p><blockquote class='{name}'>Three</blockquote></article>") == ["One", "Two", "Three"], name
+        assert text(f"<article><p>One</p><div class='comments'><p class='{name}'>reader</p></div></article>") == ["One"]
+
+
+def test_long_pages_are_aligned_in_bounded_memory():
+    import resource
+    import time
+
+    rng = random.Random(9)
+    a = list(range(40_000))
+    b = [x for x in a if rng.random() < 0.9] + [rng.randrange(40_000) for _ in range(500)]
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    got = common_lines(a, b)
+    assert len(got) >= 0.89 * 40_000 and got == sorted(got) and time.process_time() - began < 60
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000  # KB; all rows at once take 200 MB
+
+
 def test_raw_elements_end_where_they_end():
     for n in (1, 8, 9, 300):
         for tag in ("script", "STYLE", "svg", "button"):
