@@ -25,9 +25,10 @@ from __future__ import annotations
 
 import json
 import os
+import pickle
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +36,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import public
-from .chunked import CHUNK, brought_back, entries, packed, parts_of, ragged, runs_of_texts, unpacked
+from .chunked import brought_back, entries, packed, parts_of, parts_of_sizes, ragged, runs_of_texts, unpacked
 from .common import written
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of text that go to an encoder in one call.
 CALL = 1 << 16
-#: Parts of a generation of alignments that a worker keeps from one block of texts to the next.
-CACHE = 200_000
-#: Characters of texts that are aligned together.
-TOGETHER = 1 << 20
+#: Parts that more than one chunk had and whose alignments a worker keeps.
+KEPT = 200_000
+#: Characters of text in a chunk, and of texts that are aligned together.
+CHUNK, TOGETHER = 1 << 23, 1 << 20
 _CUT = re.compile(r"(?<=[^ ▁])(?= [^\s])")
 _ODD = re.compile(r" \s|▁| $")
-#: Parts at whose edge the encoders need not cut: they are encoded alone.
-_ODD_EDGE = re.compile(r"^ (?:\s|$)|[ ▁]$")
 
 
 def byte_letters() -> dict[str, int]:
@@ -86,8 +85,8 @@ class Pair:
         self.len_b = np.fromiter(map(len, self.bytes_b), dtype=np.int64, count=self.n_b)
         # ids as they stand in a group, with what follows them
         self.shown = [f"{i}{x}" for x in ",|" for i in range(self.n_a)] + [f"{i}{x}" for x in ",;" for i in range(self.n_b)]
-        self.young: dict[str, tuple | None] = {}
-        self.old: dict[str, tuple | None] = {}
+        self.last: dict[str, tuple | None] = {}
+        self.kept: dict[str, tuple | None] = {}
 
     def _piece(self, i: int) -> bytes:
         if self.b.is_control(i) or self.b.is_unknown(i):
@@ -96,9 +95,9 @@ class Pair:
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode("utf-8")
 
     def align(self, parts: list[str]) -> list[tuple | None]:
-        """For each part (n_a, n_b, n_groups, n_links, groups, different links, how often each stands); None where bytes differ.
+        """For each part (n_a, n_b, n_groups, n_links, groups, links, how often each stands); None where bytes differ.
 
-        A link is a * n_b + b. Parts must be such that both encoders cut between any two of them.
+        Links are longs a * n_b + b as bytes, and so are their numbers; one can come twice. Parts must be such that both encoders cut between any two of them.
         """
         out: list[tuple | None] = []
         for start, end in parts_of(parts, CALL):
@@ -151,12 +150,12 @@ class Pair:
         link_at = np.searchsorted(link_g[order], np.concatenate([[0], upto]))
         sums = [np.concatenate([[0], np.cumsum(x)]) for x in (n_a, n_b, n_a * n_b)]
         counts = [(s[upto] - s[starts]).tolist() for s in sums]
-        out, begin = [], 0
-        for i, end in enumerate(both.tolist()):
-            x, y = int(link_at[i]), int(link_at[i + 1])
-            out.append((counts[0][i], counts[1][i], int(upto[i] - starts[i]), counts[2][i], "".join(shown[begin:end]), pair[x:y], times[x:y]))
-            begin = end
-        return out
+        n_groups, at = (upto - starts).tolist(), (8 * link_at).tolist()
+        pair, times, begins = pair.tobytes(), times.tobytes(), [0, *both.tolist()]
+        return [
+            (*four, "".join(shown[s:e]), pair[x:y], times[x:y])
+            for four, s, e, x, y in zip(zip(counts[0], counts[1], n_groups, counts[2]), begins, begins[1:], at, at[1:])
+        ]
 
     def parts(self, text: str) -> list[str]:
         """Where both encoders cut: before a space between a character that is no space and one that is no white space."""
@@ -166,25 +165,28 @@ class Pair:
         return [" " + p for p in whole[1:].split(" ")]
 
     def of(self, parts: list[str]) -> list[tuple | None]:
-        """The alignment of each of several different parts.
-
-        Two generations are kept: what was used lately, and what was before; so the frequent ones stay.
-        """
+        """The alignment of each of several different parts, from the chunk before or from what two chunks had, if they have it."""
         found = {}
         for p in parts:
-            if p in self.young:
-                found[p] = self.young[p]
-            elif p in self.old:
-                found[p] = self.young[p] = self.old[p]
+            if p in self.kept:
+                found[p] = self.kept[p]
+            elif p in self.last:
+                found[p] = self.kept[p] = self.last[p]
         new = [p for p in parts if p not in found]
-        plain = [p for p in new if not _ODD_EDGE.search(p)]
-        fresh = dict(zip(plain, self.align(plain))) | {p: self.align([p])[0] for p in new if _ODD_EDGE.search(p)}
-        self.young |= {p: x for p, x in fresh.items() if len(p) < 64}
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-        found |= fresh
+        # where encoders need not cut at a part's edge, it is encoded alone
+        alone = [p for p in new if p[-1] in " ▁" or p[1].isspace()]
+        if alone:
+            new = list(set(new) - set(alone))
+        found |= zip(new, self.align(new))
+        found |= {p: self.align([p])[0] for p in alone}
         return [found[p] for p in parts]
 
+    def remember(self, chunk: dict[str, tuple | None]) -> None:
+        """The alignments of a chunk's parts, for the next one; of those of two chunks the newest KEPT stay."""
+        self.last = {p: x for p, x in chunk.items() if len(p) < 64}
+        if len(self.kept) > KEPT:
+            self.kept = dict(islice(self.kept.items(), len(self.kept) - KEPT // 2, None))
+
 
 class Slots(dict):
     """A number for each different key, in order of the first lookup."""
@@ -213,14 +215,13 @@ def distinct_sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.
     return k[first], np.add.reduceat(values[order], first) if len(first) else values[:0]
 
 
-_HEAD = "chunk long, doc_id array<long>, n_a array<int>, n_b array<int>, n_groups array<int>, n_links array<long>, groups array<binary>"
-_CHUNK = _HEAD + ", doc_parts array<int>, places binary, times binary, part_links array<int>, links binary, link_times binary, pairs array<long>, holds array<long>, same array<int>, same_holds array<long>"
+_CHUNK = "chunk long, payload binary, pairs array<long>, holds array<long>, same array<int>, same_holds array<long>"
 
 
 def chunk_links(docs: DataFrame, a: bytes, b: bytes, size: int = CHUNK) -> DataFrame:
     """A row for each chunk of texts (schema _CHUNK).
 
-    By text: counts, the digest of its groups, its different parts (places) and how often each
+    payload, by text: counts, the digest of its groups, its different parts (places) and how often each
     stands (times). By part: its different links and how often each stands; a link is a number
     below the length of same (an id of A linked with its like) or, from there on, a place in
     pairs (a * pieces of B + b). holds: how many texts of the chunk hold a pair linked.
@@ -231,30 +232,34 @@ def chunk_links(docs: DataFrame, a: bytes, b: bytes, size: int = CHUNK) -> DataF
 
         p = loaded(a, b)
         for number, ids, texts in runs_of_texts(batches, size):
-            slots, shown, links, counts = Slots(), [], [], np.zeros((5, 0), dtype=np.int64)
-            rows, digests, places, times = [], [], [], []
+            slots, have, shown, counts = Slots(), [], [], np.zeros((5, 0), dtype=np.int64)
+            rows, digests, places, place_times = [], [], [], []
             for start, end in parts_of(texts, TOGETHER):
-                split = [list(map(slots.__getitem__, p.parts(t))) if t else [] for t in texts[start:end]]
-                fresh = p.of(list(islice(slots, len(shown), None)))
+                split = [p.parts(t) if t else [] for t in texts[start:end]]
+                n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+                flat = np.fromiter(map(slots.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(n.sum()))
+                fresh = p.of(list(islice(slots, len(have), None)))
+                have += fresh
                 shown += ["" if x is None else x[4] for x in fresh]
-                links += [None if x is None else x[5:] for x in fresh]
                 new = np.array([(1, 0, 0, 0, 0) if x is None else (0, *x[:4]) for x in fresh], dtype=np.int64).reshape(-1, 5)
                 counts = np.concatenate([counts, new.T], axis=1)
-                for s in split:
-                    sums = counts[:, s].sum(axis=1).tolist() if s else [1]
-                    if sums[0]:  # no text, or the bytes of a part differ
-                        rows.append((0, 0, 0, 0, 0))
-                        digests.append(b"")
-                        continue
-                    digests.append(hashlib.sha256("".join(map(shown.__getitem__, s))[:-1].encode()).hexdigest().encode())
-                    own, n = np.unique(np.array(s, dtype=np.int64), return_counts=True)
-                    rows.append((*sums[1:], len(own)))
-                    places.append(own)
-                    times.append(n)
-            rows = np.array(rows, dtype=np.int64).reshape(-1, 5)
-            n_links = np.fromiter((0 if x is None else len(x[0]) for x in links), dtype=np.int64, count=len(links))
+                ends = np.concatenate([[0], np.cumsum(n)])
+                sums = np.diff(np.concatenate([np.zeros((5, 1), dtype=np.int64), np.cumsum(counts[:, flat], axis=1)], axis=1)[:, ends], axis=1)
+                good = (n > 0) & (sums[0] == 0)  # there is text, and no part's bytes differ
+                names, stops = list(map(shown.__getitem__, flat.tolist())), ends.tolist()
+                digests += [hashlib.sha256("".join(names[s:e])[:-1].encode()).hexdigest().encode() if g else b"" for s, e, g in zip(stops, stops[1:], good.tolist())]
+                key = (np.repeat(np.arange(len(n)), n) * len(slots) + flat)[np.repeat(good, n)]
+                key, own = np.unique(key, return_counts=True)
+                places.append(key % len(slots) if len(slots) else key)
+                place_times.append(own)
+                n_parts = np.bincount(key // max(1, len(slots)), minlength=len(n))
+                rows.append(np.concatenate([np.where(good, sums[1:], 0), n_parts[None]]).T)
+            rows = np.concatenate(rows)
+            n_links = np.fromiter((0 if x is None else len(x[5]) for x in have), dtype=np.int64, count=len(have)) // 8
             join = lambda arrays: np.concatenate(arrays) if arrays else np.empty(0, dtype=np.int64)
-            pair, link_times = join([x[0] for x in links if x]), join([x[1] for x in links if x])
+            pair, link_times = (np.frombuffer(b"".join([x[i] for x in have if x]), dtype=np.int64) for i in (5, 6))
+            p.remember(dict(zip(slots, have)))
+            del slots, have, shown
             like = p.same[pair // p.n_b] == pair % p.n_b
             others = np.unique(pair[~like])
             link = np.where(like, pair // p.n_b, p.n_a + np.searchsorted(others, pair))
@@ -262,39 +267,27 @@ def chunk_links(docs: DataFrame, a: bytes, b: bytes, size: int = CHUNK) -> DataF
             holds = np.zeros(p.n_a + len(others), dtype=np.int64)  # A's vocabulary, then the other pairs
             first = np.cumsum(n_links) - n_links
             at = 0
-            for start, end in _runs(n_parts, 1 << 18):  # texts at a time: different links of each count once
+            for start, end in parts_of_sizes(n_parts.tolist(), 1 << 18):  # texts at a time: different links of each count once
                 m = int(n_parts[start:end].sum())
                 own, doc = place[at : at + m], np.repeat(np.arange(start, end), n_parts[start:end])
                 key = np.repeat(doc, n_links[own]) * len(holds) + link[ragged(first[own], n_links[own])]
                 holds += np.bincount(np.unique(key) % len(holds), minlength=len(holds))
                 at += m
             same = np.flatnonzero(holds[: p.n_a])
-            row = lambda i, kind: pa.array([rows[:, i].tolist()], pa.list_(kind))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([number], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), row(0, pa.int32()), row(1, pa.int32()), row(2, pa.int32()), row(3, pa.int64()), pa.array([digests], pa.list_(pa.binary())),
-                pa.array([n_parts.tolist()], pa.list_(pa.int32())), pa.array([packed(place)], pa.binary()), pa.array([packed(join(times))], pa.binary()),
-                pa.array([n_links.tolist()], pa.list_(pa.int32())), pa.array([packed(link)], pa.binary()), pa.array([packed(link_times)], pa.binary()),
-                pa.array([others.tolist()], pa.list_(pa.int64())), pa.array([holds[p.n_a :].tolist()], pa.list_(pa.int64())),
-                pa.array([same.tolist()], pa.list_(pa.int32())), pa.array([holds[same].tolist()], pa.list_(pa.int64())),
-            ], names=[f.split()[0] for f in _CHUNK.split(", ")])
+            payload = pickle.dumps({
+                "doc_id": ids.to_pylist(), "counts": rows[:, :4], "groups": digests, "doc_parts": n_parts, "places": packed(place), "times": packed(join(place_times)),
+                "part_links": n_links, "links": packed(link), "link_times": packed(link_times),
+            })
+            columns = [[number], [payload], [others.tolist()], [holds[p.n_a :].tolist()], [same.tolist()], [holds[same].tolist()]]
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in _CHUNK.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, _CHUNK)
 
 
-def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    start, held = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        held += n
-        if held >= most:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def link_counts(docs: DataFrame, a: bytes, b: bytes, size: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chunks; how many documents hold each id of A linked with its like (a, n); the same of all other pairs (pair, n)."""
-    chunks = written(chunk_links(docs, a, b, size), "links")
+    chunks = written(chunk_links(docs, a, b, size), "links", by="chunk")
     same = chunks.select(F.explode(F.arrays_zip("same", "same_holds")).alias("x")).groupBy(F.col("x.same").alias("a")).agg(F.sum("x.same_holds").alias("n"))
     others = chunks.select(F.explode(F.arrays_zip("pairs", "holds")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.holds").alias("n"))
     return chunks, same, written(others, "pairs")
@@ -322,22 +315,22 @@ def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
     best = np.maximum(best, like)
 
     def total(head: dict, found: pa.Table) -> pa.RecordBatch:
-        counts = np.concatenate([like, found["n"].to_numpy()])
-        of_a = np.concatenate([np.arange(n_a), found["entry"].to_numpy() // n_b])
+        order = np.argsort(found["slot"].to_numpy())
+        counts = np.concatenate([like, found["n"].to_numpy()[order]])
+        of_a = np.concatenate([np.arange(n_a), found["entry"].to_numpy()[order] // n_b])
         link, times = unpacked(head["links"]), unpacked(head["link_times"]).astype(np.int64)
         sums = np.concatenate([np.zeros((2, 1), dtype=np.int64), np.cumsum(np.stack([times * counts[link], times * (counts[link] == best[of_a[link]])]), axis=1)], axis=1)
-        ends = np.cumsum(np.array(head["part_links"], dtype=np.int64))
+        ends = np.cumsum(head["part_links"])
         by_part = np.diff(sums[:, ends], axis=1, prepend=0) if len(ends) else np.zeros((2, 0), dtype=np.int64)
         place, n = unpacked(head["places"]), unpacked(head["times"]).astype(np.int64)
         sums = np.concatenate([np.zeros((2, 1), dtype=np.int64), np.cumsum(by_part[:, place] * n, axis=1)], axis=1)
-        by_text = np.diff(sums[:, np.cumsum(np.array(head["doc_parts"], dtype=np.int64))], axis=1, prepend=0)
-        long = lambda name: pa.array(head[name], pa.int64())
+        by_text = np.diff(sums[:, np.cumsum(head["doc_parts"])], axis=1, prepend=0)
         return pa.RecordBatch.from_arrays(
-            [long("doc_id"), long("n_a"), long("n_b"), long("n_groups"), long("n_links"), pa.array(by_text[1], pa.int64()), pa.array(by_text[0], pa.int64()), pa.array([x.decode() for x in head["groups"]], pa.string())],
+            [pa.array(head["doc_id"], pa.int64()), *(pa.array(c, pa.int64()) for c in head["counts"].T), pa.array(by_text[1], pa.int64()), pa.array(by_text[0], pa.int64()), pa.array([x.decode() for x in head["groups"]], pa.string())],
             names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
         )
 
     each = entries(chunks, "pairs")
     found = each.join(others.withColumnRenamed("pair", "entry").hint("merge"), "entry").select("chunk", "slot", "entry", "n")
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return brought_back(chunks.drop("pairs", "holds", "same", "same_holds"), found, total, schema)
+    return brought_back(chunks, found, total, schema)

@@ -3,9 +3,9 @@
 Work on a token's content (its ids, its count over all documents) needs each
 different content once, not each occurrence. A task cuts its texts into chunks of a
 bounded number of bytes; a chunk keeps the places of its entries, packed, and a list of
-its different entries. Only the entries are exploded, shuffled and joined; their values
-meet the chunk's places again by the chunk's number. So the rows of a hot entry are as
-many as there are chunks, and no document is a group.
+its different entries. Only the entries are shuffled; their values meet the chunk's
+places again by the chunk's number. So a hot entry is shuffled once for each chunk, and
+no document is a group.
 
 The chunks are written before anything reads them, so their numbers stay the same
 whatever is computed again.
@@ -13,15 +13,18 @@ whatever is computed again.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Bytes of text in a chunk (one longer text is a chunk of its own).
-CHUNK = 1 << 24
+CHUNK = 1 << 23
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -66,14 +69,18 @@ def runs_of_texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tupl
 
 def parts_of(texts: list, size: int) -> Iterator[tuple[int, int]]:
     """Ends of runs of texts of about so many characters."""
+    yield from parts_of_sizes([len(t or "") for t in texts], size)
+
+
+def parts_of_sizes(sizes, size: int) -> Iterator[tuple[int, int]]:
     start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
+    for i, n in enumerate(sizes):
+        held += n
         if held >= size:
             yield start, i + 1
             start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def entries(chunks: DataFrame, column: str) -> DataFrame:
@@ -82,30 +89,15 @@ def entries(chunks: DataFrame, column: str) -> DataFrame:
 
 
 def brought_back(chunks: DataFrame, found: DataFrame, work: Callable[[dict, pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """work on each row of chunks and the table of its rows of found (chunk, slot, ...), in order of slot.
+    """work on the payload (a pickled dict) of each of chunks (chunk, payload) and the table of its rows of found (chunk, ...).
 
-    Both are dealt by the chunk's number and come sorted, so a task holds one chunk at a time.
+    chunks are dealt by their numbers as they are written, so only found is shuffled. A
+    task holds one chunk at a time.
     """
-    rows = chunks.withColumn("slot", F.lit(-1)).unionByName(found, allowMissingColumns=True)
-
-    def run(batches):
-        head, held, own = None, [], None
-        for b in batches:
-            number, slot = b["chunk"].to_numpy(), b["slot"].to_numpy()
-            cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
-            for start, end in zip(cuts, cuts[1:]):
-                if start == end:
-                    continue
-                if number[start] != own:
-                    if head is not None:
-                        yield work(head, pa.Table.from_batches(held, b.schema))
-                    head, held, own = None, [], number[start]
-                if slot[start] == -1:
-                    head = b.slice(start, 1).to_pylist()[0]
-                    start += 1
-                if start < end:
-                    held.append(b.slice(start, end - start))
-        if head is not None:
-            yield work(head, pa.Table.from_batches(held, b.schema))
-
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "slot").mapInArrow(run, schema)
+
+    def one(head: pa.Table, rows: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([work(pickle.loads(x), rows) for x in head["payload"].to_pylist()], out)
+
+    out = to_arrow_schema(StructType.fromDDL(schema))
+    found = found.withColumnRenamed("chunk", "of_chunk")
+    return chunks.select("chunk", "payload").groupBy("chunk").cogroup(found.groupBy("of_chunk")).applyInArrow(one, schema)

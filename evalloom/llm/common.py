@@ -39,19 +39,29 @@ def shared_dir(spark: SparkSession) -> str:
 _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there, so a lost executor costs no recomputation.
+
+    by: a column that rows are dealt by, to as many buckets as shuffles have partitions; what
+    groups or joins by it reads the table without moving it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evalloom-{name}-{uuid.uuid4().hex}"
     before = {k: spark.conf.get(k) for k in _WHILE_WRITING}
     for k, v in _WHILE_WRITING.items():
         spark.conf.set(k, v)
+    table = f"evalloom_{name}_{uuid.uuid4().hex}"
     try:
-        df.write.parquet(path)
+        if by:
+            df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(table)
+        else:
+            df.write.parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.table(table) if by else spark.read.schema(df.schema).parquet(path)
+    if by:  # the catalog forgets the name; the files stay
+        spark.sql(f"DROP TABLE {table}")
     out._evalloom_path = path
     return out
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from evalloom.llm import alignment as L
@@ -103,14 +104,15 @@ def test_parts_of_several_texts_are_encoded_together(pair):
 
 
 def test_groups_of_many_tokens_and_small_caches(spark, pair, monkeypatch):
-    monkeypatch.setattr(L, "CACHE", 2)
+    monkeypatch.setattr(L, "KEPT", 2)
     for t in ["z" * 400 + "日" * 100, "a b c", "日" * 3000, "a b c d", "c b"]:
         got, shown = Counter(), ""
         parts = pair.parts(t)
         have = dict(zip(set(parts), pair.of(list(set(parts)))))
+        pair.remember(have)
         for x in parts:
             shown += have[x][4]
-            for k, n in zip(have[x][5].tolist(), have[x][6].tolist()):
+            for k, n in zip(np.frombuffer(have[x][5], dtype=np.int64).tolist(), np.frombuffer(have[x][6], dtype=np.int64).tolist()):
                 got[divmod(k, pair.n_b)] += n
         want = groups(pair, t)
         assert got == Counter((x, y) for ga, gb in want for x in ga for y in gb)
