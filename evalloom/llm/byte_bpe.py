@@ -2,8 +2,9 @@
 
 A task explodes its texts into pre-tokens ("words") with their positions and keeps, by
 chunk, the list of different words and the position list of each text. The words of
-all chunks are made distinct by a shuffle, each is encoded once by merging its bytes
-in order of rank, the ids are joined back to the chunks' words, and a chunk puts them
+all chunks are shuffled by a checksum, those of one chunk and checksum packed in one
+row, so that equal words meet in one task and each is encoded once, by merging its bytes
+in order of rank. The ids are joined back to the chunks by number, and a chunk puts them
 in the order of the positions. Decoding looks up every id in the token-byte table.
 
 The pattern of pre-tokens is applied to arrays of code points, not by a regular
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import pickle
 import zlib
 
 import numpy as np
@@ -31,13 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunked import CHUNK, brought_back, entries, packed, parts_of, ragged, runs_of_texts, unpacked
+from .chunked import CHUNK, brought_back, packed, parts_of, parts_of_sizes, ragged, runs_of_texts, unpacked
 from .common import written
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 LETTER, NUMBER, OTHER, WHITE, END = range(5)
 #: Code points that are worked on at once.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
+#: Values of the checksum that words are dealt by.
+BUCKETS = 128
+#: Different words that a task keeps; beyond them it starts anew, and encodes some again.
+KEPT = 2_000_000
 #: Words of so many bytes or more are merged with a heap.
 LONG = 256
 _NONE = 1 << 62
@@ -114,8 +120,25 @@ def same_words(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return numbers, first
 
 
-def chunk_words(docs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(chunk, doc_id, n_words, places, words): doc_ids of a chunk, words of each, their places in the chunk's words, and these."""
+def joined_bytes(items: list[bytes]) -> bytes:
+    """Byte strings as one, compressed."""
+    sizes = np.fromiter(map(len, items), dtype="<u4", count=len(items))
+    raw = len(items).to_bytes(8, "little") + sizes.tobytes() + b"".join(items)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def split_bytes(data: bytes) -> list[bytes]:
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    n = int.from_bytes(raw[:8], "little")
+    ends = (8 + 4 * n + np.cumsum(np.frombuffer(raw, dtype="<u4", count=n, offset=8), dtype=np.int64)).tolist()
+    return [raw[s:e] for s, e in zip([8 + 4 * n, *ends], ends)]
+
+
+def chunk_words(docs: DataFrame, size: int = CHUNK, buckets: int = BUCKETS) -> DataFrame:
+    """(chunk, payload, packs). payload: doc_ids of a chunk, words of each, their places among
+    the chunk's different words, the frequent ones first, and the checksums (bucket) of these.
+    packs: the bytes of the words of each checksum, in the same order.
+    """
     packed_classes = code_classes()
 
     def explode(batches):
@@ -128,20 +151,25 @@ def chunk_words(docs: DataFrame, size: int = CHUNK) -> DataFrame:
                 local, first = same_words(codes, begins, finishes)
                 names = [joined[s:e].encode("utf-8", "surrogatepass") for s, e in zip(begins[first].tolist(), finishes[first].tolist())]
                 own = np.fromiter((slots.setdefault(w, len(slots)) for w in names), dtype=np.int64, count=len(names))
-                places.append(own[local])
+                places.append(own[local].astype(np.int32))
                 n_words.append(np.diff(np.searchsorted(begins, stops), prepend=0))
             place = np.concatenate(places)
             order = np.argsort(-np.bincount(place, minlength=len(slots)), kind="stable")  # frequent ones first: small numbers pack well
             rank = np.empty(len(order), dtype=np.int64)
             rank[order] = np.arange(len(order))
             words = list(slots)
+            bucket = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % buckets
+            bucket = bucket[order]
+            dealt = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[dealt], np.arange(buckets + 1)).tolist()
+            packs = [{"bucket": i, "words": joined_bytes([words[k] for k in order[dealt[s:e]].tolist()])} for i, (s, e) in enumerate(zip(cuts, cuts[1:])) if s < e]
+            payload = pickle.dumps({"doc_id": ids.to_pylist(), "n_words": np.concatenate(n_words), "places": packed(rank[place]), "bucket": packed(bucket)})
             yield pa.RecordBatch.from_pydict({
-                "chunk": pa.array([number], pa.int64()), "doc_id": pa.array([ids.to_pylist()], pa.list_(pa.int64())),
-                "n_words": pa.array([np.concatenate(n_words).tolist()], pa.list_(pa.int32())), "places": pa.array([packed(rank[place])], pa.binary()),
-                "words": pa.array([[words[i] for i in order.tolist()]], pa.list_(pa.binary())),
+                "chunk": pa.array([number], pa.int64()), "payload": pa.array([payload], pa.binary()),
+                "packs": pa.array([packs], pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))),
             })
 
-    schema = "chunk long, doc_id array<long>, n_words array<int>, places binary, words array<binary>"
+    schema = "chunk long, payload binary, packs array<struct<bucket:int,words:binary>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(explode, schema)
 
 
@@ -229,48 +257,62 @@ def loaded(data: bytes) -> Ranks:
     return _LOADED[key]
 
 
-def encode_words(words: DataFrame, data: bytes) -> DataFrame:
-    """(entry, ids) of different words (entry, binary)."""
+def encode_words(packs: DataFrame, data: bytes, parts: int) -> DataFrame:
+    """(chunk, bucket, sizes, ids) of packs (chunk, bucket, words): equal words have one bucket and are encoded once in its task."""
 
     def encode(batches):
-        r = loaded(data)
+        r, have = loaded(data), {}
         for b in batches:
-            ids = [np.array(r.encode(w), dtype="<u4").tobytes() for w in b["entry"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"entry": b["entry"], "ids": pa.array(ids, pa.binary())})
-
-    return words.mapInArrow(encode, "entry binary, ids binary")
+            sizes, ids = [], []
+            for words in b["words"].to_pylist():
+                words = split_bytes(words)
+                if len(have) > KEPT:
+                    have.clear()
+                for w in words:
+                    if w not in have:
+                        have[w] = np.array(r.encode(w), dtype="<u4").tobytes()
+                own = [have[w] for w in words]
+                sizes.append(packed(np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4))
+                ids.append(packed(np.frombuffer(b"".join(own), dtype="<u4")))
+            yield pa.RecordBatch.from_pydict({"chunk": b["chunk"], "bucket": b["bucket"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
+
+    return packs.repartition(parts, "bucket").mapInArrow(encode, "chunk long, bucket int, sizes binary, ids binary")
 
 
 def assembled(head: dict, found: pa.Table) -> pa.RecordBatch:
     """Ids of a chunk's texts from those of its words."""
-    column = found["ids"].combine_chunks() if found.num_rows else pa.array([], pa.binary())
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, dtype=np.int64)
-    values = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view("<u4") if len(column) else np.empty(0, dtype="<u4")
-    starts, sizes = (offsets[:-1] - offsets[0]) // 4, np.diff(offsets) // 4
-    place = unpacked(head["places"])
-    n = sizes[place]
-    ids = values[ragged(starts[place], n)]
-    upto = np.concatenate([[0], np.cumsum(n)])[np.cumsum(np.array(head["n_words"], dtype=np.int64))]
-    begin = np.concatenate([[0], upto[:-1]])
-    return pa.RecordBatch.from_pydict({
-        "doc_id": pa.array(head["doc_id"], pa.int64()), "n_tokens": pa.array(upto - begin, pa.int64()),
-        "ids": pa.array([ids[s:e].tobytes() for s, e in zip(begin.tolist(), upto.tolist())], pa.binary()),
-    })
-
-
-def encoded(docs: DataFrame, path: str | None = None, size: int = CHUNK) -> DataFrame:
+    bucket = unpacked(head["bucket"])
+    dealt = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[dealt], np.arange(int(bucket.max(initial=0)) + 2))
+    join = lambda arrays: np.concatenate([np.empty(0, dtype="<u4"), *arrays])
+    slots = np.concatenate([np.empty(0, dtype=np.int64), *(dealt[cuts[i] : cuts[i + 1]] for i in found["bucket"].to_pylist())])
+    sizes, values = join(map(unpacked, found["sizes"].to_pylist())).astype(np.int64), join(map(unpacked, found["ids"].to_pylist()))
+    starts = np.empty(len(slots), dtype=np.int64)
+    starts[slots] = np.cumsum(sizes) - sizes
+    n_ids = np.empty(len(slots), dtype=np.int64)
+    n_ids[slots] = sizes
+    place, n_words = unpacked(head["places"]), head["n_words"]
+    out, word = [], np.concatenate([[0], np.cumsum(n_words)])
+    for start, end in parts_of_sizes(n_words, TOGETHER):  # some texts at a time
+        own = place[word[start] : word[end]]
+        n = n_ids[own]
+        ids = values[ragged(starts[own], n)]
+        upto = np.concatenate([[0], np.cumsum(n)])[word[start : end + 1] - word[start]].tolist()
+        out += [ids[s:e].tobytes() for s, e in zip(upto, upto[1:])]
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(head["doc_id"], pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())})
+
+
+def encoded(docs: DataFrame, path: str | None = None, size: int = CHUNK, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, n_tokens, ids) per row of docs (doc_id, text).
 
     The file of ranks is read on the driver and sent with the tasks: it is 1 MB, whatever the corpus.
     """
     with open(path or public(RANKS), "rb") as f:
         data = f.read()
-    chunks = written(chunk_words(docs, size), "words")
-    each = entries(chunks, "words")
-    vocabulary = written(encode_words(each.select("entry").distinct(), data), "vocabulary")
-    found = each.join(vocabulary.hint("merge"), "entry").select("chunk", "slot", "ids")
-    return brought_back(chunks.drop("words"), found, assembled, "doc_id long, n_tokens long, ids binary")
+    chunks = written(chunk_words(docs, size, buckets), "words", by="chunk")
+    packs = chunks.select("chunk", F.explode("packs").alias("p")).select("chunk", "p.bucket", "p.words")
+    found = encode_words(packs, data, max(8, buckets // 4))
+    return brought_back(chunks, found, assembled, "doc_id long, n_tokens long, ids binary")
 
 
 def decoded(encodings: DataFrame, path: str | None = None) -> DataFrame:
@@ -283,7 +325,7 @@ def decoded(encodings: DataFrame, path: str | None = None) -> DataFrame:
 
     def decode(batches):
         r = loaded(data)
-        for b in batches:
+        for b in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
             rows = b["ids"].to_pylist()
             out = [None if x is None else r.decode(np.frombuffer(x, dtype="<u4"))[0].tobytes() for x in rows]
             yield b.append_column("bytes", pa.array(out, pa.binary()))
