@@ -5,8 +5,10 @@ multiple of its own size, the excess shared again. A source is taken whole as of
 as its target holds it; the rest of the budget is fitted by documents of exact
 lengths. Documents are counted by length; most of the rest is met by an equal part
 of every length, then by long documents, and the last words, BUDGET or as many as
-the longest document has, by a bounded knapsack over the counts that are left. Which documents of a length are taken is
-decided by a seeded hash of their ids.
+the longest document has, by a bounded knapsack over the counts that are left. Where that
+does not meet the budget and a nearer sum may exist (few or very long documents), sums of
+two halves of the documents are matched, which is exact up to HALF squared ways to take them.
+Which documents of a length are taken is decided by a seeded hash of their ids.
 
 Only the histogram of lengths of a source meets in one task: as many rows as it
 has different lengths, at most its longest document's words.
@@ -30,8 +32,10 @@ from .common import WORD, written
 
 #: Words of a budget that the exact knapsack fits at least.
 BUDGET = 1 << 14
-#: Sums that it tells apart; beyond so many words it first fits in units of several words.
+#: Sums that it tells apart in memory.
 SUMS = 1 << 21
+#: Ways to take documents that are listed for each half of the long ones.
+HALF = 1 << 21
 #: Documents of one source and length that are ranked together.
 TOGETHER = 64
 
@@ -64,16 +68,22 @@ def fitted(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return counts.copy()
     # the part for the knapsack: no document that fits at all is longer
     last = max(BUDGET, int(sizes[(counts > 0) & (sizes <= budget)].max(initial=0)))
-    take = _fitted(sizes, counts, budget, total, last)
     short = budget % int(np.gcd.reduce(sizes[counts > 0]))  # no sum comes nearer
-    if last < SUMS // 2 and budget - int((take * sizes).sum()) > short:  # few documents: with as many as the knapsack bears
-        other = _fitted(sizes, counts, budget, total, SUMS // 2)
-        if (other * sizes).sum() > (take * sizes).sum():
-            return other
-    return take
+    best = np.zeros(len(sizes), dtype=np.int64)
+    ways = [lambda: _matched(sizes, counts, budget)]
+    if last < SUMS // 2:  # the sums of a window fit in memory: most often the first way meets the budget
+        ways = [lambda: _fitted(sizes, counts, budget, total, last), *ways, lambda: _fitted(sizes, counts, budget, total, SUMS // 2)]
+    for way in ways:
+        take = way()
+        if (take * sizes).sum() > (best * sizes).sum():
+            best = take
+        if budget - int((best * sizes).sum()) <= short or (way is ways[-1]):
+            break
+    return best
 
 
 def _fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, total: int, last: int) -> np.ndarray:
+    """An equal part of every size, then long ones down to the last words, and these by dynamic programming."""
     take = np.array([c * max(0, budget - last) // total for c in counts.tolist()], dtype=np.int64)
     rest = budget - int((take * sizes).sum())
     for i in range(len(sizes) - 1, -1, -1):  # long ones first, down to what the knapsack fits
@@ -81,17 +91,54 @@ def _fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, total: int, last
             n = min(int(counts[i] - take[i]), (rest - last) // int(sizes[i]))
             take[i] += n
             rest -= n * int(sizes[i])
-    while rest > SUMS:
-        unit = -(-rest // SUMS)
-        more = _knapsack(-(-sizes // unit), counts - take, rest // unit)
-        if not more.any():  # rounding hides one that just fits
-            fits = np.flatnonzero((sizes > 0) & (sizes <= rest) & (counts > take))
-            if not len(fits):
-                return take
-            more[fits[-1]] = 1
-        take += more
-        rest -= int((more * sizes).sum())
-    return take + _knapsack(sizes, counts - take, rest)
+    return take + _knapsack(sizes, counts - take, min(rest, SUMS))
+
+
+def _matched(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """The best sum of few documents, however long: sums of two halves of them, matched in order.
+
+    All ways to take them are looked at if there are no more than HALF squared. Of more
+    documents, as many as make so many ways are chosen among, from the longest down, and
+    the others are taken so that about half of the chosen ones' words is left.
+    """
+    at = np.flatnonzero((sizes > 0) & (sizes <= budget) & (counts > 0))[::-1]
+    halves, ways, free = ([], []), [1, 1], np.zeros(len(sizes), dtype=np.int64)
+    for i in at.tolist():
+        h = 0 if ways[0] <= ways[1] else 1
+        n = min(int(counts[i]), budget // int(sizes[i]), HALF // ways[h] - 1)
+        if n <= 0:
+            break
+        halves[h].append((i, n))
+        ways[h] *= n + 1
+        free[i] = n
+    take = np.zeros(len(sizes), dtype=np.int64)
+    rest = budget
+    if not (free[at] == np.minimum(counts[at], budget // sizes[at])).all():
+        aim = int((free * sizes).sum()) // 2
+        for i in at.tolist():
+            n = max(0, min(int(counts[i] - free[i]), (rest - aim) // int(sizes[i])))
+            take[i] = n
+            rest -= n * int(sizes[i])
+
+    def sums(half: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """All sums up to rest, each once and in order, and the ways (mixed radix) they are made."""
+        out, code, radix = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), 1
+        for i, n in half:
+            k = np.arange(n + 1)
+            out, code = (out[:, None] + k * int(sizes[i])).reshape(-1), (code[:, None] + k * radix).reshape(-1)
+            fits = out <= rest
+            out, first = np.unique(out[fits], return_index=True)
+            code, radix = code[fits][first], radix * (n + 1)
+        return out, code
+
+    (a, code_a), (b, code_b) = map(sums, halves)
+    partner = np.searchsorted(b, rest - a, side="right") - 1
+    i = int(np.argmax(a + b[partner]))
+    for half, code in ((halves[0], int(code_a[i])), (halves[1], int(code_b[partner[i]]))):
+        for k, n in half:
+            take[k] += code % (n + 1)
+            code //= n + 1
+    return take
 
 
 def _knapsack(sizes: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:

@@ -40,6 +40,32 @@ def test_fitted_with_long_documents():
         assert int((take * sizes).sum()) == best, (sizes, counts, budget)
 
 
+def test_few_documents_of_any_length_are_fitted_exactly():
+    rng = np.random.default_rng(7)
+    for case in range(500):
+        top = int(rng.choice([100, 20_000, 200_000, 6_000_000]))
+        sizes = np.unique(rng.integers(1, top + 1, size=rng.integers(1, 6)))
+        counts = rng.integers(1, 10, len(sizes))
+        budget = int(rng.integers(1, (sizes * counts).sum() + 1))
+        sums = np.zeros(1, dtype=np.int64)
+        for s, c in zip(sizes, counts):
+            sums = (sums[:, None] + s * np.arange(c + 1)).reshape(-1)
+        take = fitted(sizes, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        assert int((take * sizes).sum()) == sums[sums <= budget].max(), (case, sizes, counts, budget)
+    assert int((fitted(np.array([1_934_858, 5_260_418, 5_777_953]), np.array([3, 3, 2]), 23_873_917) * [1_934_858, 5_260_418, 5_777_953]).sum()) == 23_494_065
+
+
+def test_many_long_documents_meet_the_budget():
+    rng = np.random.default_rng(8)
+    for _ in range(6):
+        sizes = np.unique(rng.integers(100_000, 9_000_000, size=60))
+        counts = rng.integers(1, 2000, len(sizes))
+        budget = int(rng.integers(10**9, (sizes * counts).sum()))
+        take = fitted(sizes, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and int((take * sizes).sum()) == budget
+
+
 def wanted(sizes, weights=(5, 2, 1)):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % 3] for i, s in enumerate(order)}
