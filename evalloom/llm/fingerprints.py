@@ -10,7 +10,7 @@ A to B is the part of A's weight whose chunks B has too.
 Cases: null text is empty; an empty text has an empty fingerprint, like another
 only if that is empty too (1). Rows with a null doc_id come last in descending
 order; rows with one doc_id (or none) are ordered by a hash of their text, so that
-many of them are split too; only equal rows are never split;
+many of them are split too; equal rows are dealt once for each batch that has them;
 extra columns are not read, and an empty table gives an empty result.
 """
 
@@ -117,20 +117,52 @@ def _parts(ends: tuple[np.ndarray, np.ndarray, np.ndarray], doc_id: np.ndarray,
     return out
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, more, salt): of the equal rows of a batch one with more = 0, and one for the others, more of them.
+
+    The next document of all equal rows but the last is one like themselves, so those need no
+    neighbour; a hot row is dealt once for each batch that has it, and the others by salt.
+    """
+
+    def once(batches):
+        from pyspark import TaskContext
+
+        salt = TaskContext.get().partitionId() << 32
+        for b in batches:
+            ids, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
+            counts: dict[tuple, int] = {}
+            for key in zip(ids, texts):
+                counts[key] = counts.get(key, 0) + 1
+            if len(counts) == len(ids):
+                out = b
+                more = np.zeros(len(ids), dtype=np.int64)
+            else:
+                again = [k for k, n in counts.items() if n > 1]
+                rows = [*counts, *again]
+                out = pa.RecordBatch.from_pydict({"doc_id": pa.array([k[0] for k in rows], pa.int64()), "text": pa.array([k[1] for k in rows], pa.string())})
+                more = np.array([0] * len(counts) + [counts[k] - 1 for k in again], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([out["doc_id"], out["text"], pa.array(more), pa.array(np.arange(salt, salt + len(more)))], names=["doc_id", "text", "more", "salt"])
+            salt += len(more)
+
+    return docs.mapInArrow(once, "doc_id long, text string, more long, salt long")
+
+
 def with_next(docs: DataFrame, part_bytes: int = 1 << 21, few: int = 512, large_bytes: int = 1 << 26) -> DataFrame:
-    """Rows (part, lead, doc_id, th, text) in which every document stands before its next one.
+    """Rows (part, lead, doc_id, th, text, more) in which every document stands before its next one.
 
     Parts are ranges of (descending doc_id, text hash th) of about part_bytes of text, beyond
     `few` of them of large_bytes. Their first keys, three numbers for each part, are the only
     thing that the driver sees and sends. The first document of a part is copied to the end
-    of the part before it (of the first, to the last part), with lead = 1. Texts are moved once.
+    of the part before it (of the first, to the last part), with lead = 1. Rows that stand
+    for more copies (see without_copies) have parts below 0. Texts are moved once.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("th", F.xxhash64("text"))
-    keys = written(d.select("doc_id", "th", F.octet_length("text").alias("size")), "textkeys")
+    th = F.xxhash64("text").alias("th")
+    keys = written(d.select("doc_id", th, F.octet_length("text").alias("size")), "textkeys")
+    d = without_copies(d).select("doc_id", "text", "more", "salt", th)
     total = keys.agg(F.sum("size")).first()[0]
     if total is None:
-        return d.select(F.lit(0).alias("part"), F.lit(0).alias("lead"), "doc_id", "th", "text")
+        return d.select(F.lit(0).alias("part"), F.lit(0).alias("lead"), "doc_id", "th", "text", "more")
     parts = max(1, min(few, total // part_bytes), total // large_bytes)
     order = [F.desc_nulls_last("doc_id"), F.asc("th")]
     key = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), "th")
@@ -146,10 +178,11 @@ def with_next(docs: DataFrame, part_bytes: int = 1 << 21, few: int = 512, large_
     table = d.sparkSession.createDataFrame([(i, None if n else -down, th, (i - 1) % len(firsts)) for i, (n, down, th) in enumerate(firsts)], "f_part int, f_id long, f_th long, before int")
     d = d.withColumn("part", place(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "th"))
     d = d.join(F.broadcast(table), (F.col("part") == F.col("f_part")) & F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left")
-    own = F.struct(F.col("part").alias("part"), F.lit(0).alias("lead"))
+    spread = (-1 - F.pmod(F.xxhash64("salt"), F.lit(parts))).cast("int")
+    own = F.struct(F.when(F.col("more") > 0, spread).otherwise(F.col("part")).alias("part"), F.lit(0).alias("lead"))
     ahead = F.struct(F.col("before").alias("part"), F.lit(1).alias("lead"))
-    dealt = d.select(F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, ahead))).alias("p"), "doc_id", "th", "text")
-    return dealt.select("p.part", "p.lead", "doc_id", "th", "text")
+    dealt = d.select(F.explode(F.when(F.col("before").isNull() | (F.col("more") > 0), F.array(own)).otherwise(F.array(own, ahead))).alias("p"), "doc_id", "th", "text", "more")
+    return dealt.select("p.part", "p.lead", "doc_id", "th", "text", "more")
 
 
 def fingerprints(docs: DataFrame, part_bytes: int = 1 << 21) -> DataFrame:
@@ -164,21 +197,25 @@ def fingerprints(docs: DataFrame, part_bytes: int = 1 << 21) -> DataFrame:
         """Each document, its fingerprint, and those of the next."""
         held = None
         for b in batches:
-            for part, lead, doc_id, text in zip(*(b[k].to_pylist() for k in ("part", "lead", "doc_id", "text"))):
+            for part, lead, doc_id, text, more in zip(*(b[k].to_pylist() for k in ("part", "lead", "doc_id", "text", "more"))):
                 if lead and held is None:
                     continue  # only the first copy counts
                 f = fingerprint(text)
+                if more:
+                    yield doc_id, text, f, text, f, more
+                    continue
                 if held is not None:
-                    yield (*held, text, f)
+                    yield (*held, text, f, 1)
                 held = None if lead else (doc_id, text, f)
 
     def compared(batches):
         out = []
-        for doc_id, text, f, other, g in pairs(batches):
+        for doc_id, text, f, other, g, times in pairs(batches):
             new = edited(text, other)
             e = fingerprint(new)
             out.append((doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), written_out(f), written_out(e), containment(f, e), containment(f, g)))
-            if len(out) == 500:
+            out += out[-1:] * (times - 1)
+            if len(out) >= 500:
                 yield _batch(out)
                 out = []
         if out:

@@ -60,6 +60,19 @@ def test_against_brute_force(spark):
         assert sorted(map(tuple, fingerprints(df, part_bytes).collect()), key=str) == sorted(want, key=str)
 
 
+def test_a_third_of_equal_rows_is_dealt_out(spark):
+    from evalloom.llm.fingerprints import with_next
+
+    same = spark.range(100_000).selectExpr("cast(null as long) AS doc_id", "'the same text of all of these' AS text")
+    df = same.unionByName(spark.range(1000).selectExpr("id AS doc_id", "concat('text ', id) AS text"))
+    dealt = with_next(df, 20_000)
+    assert dealt.where("more = 0").count() < 3000 and dealt.where("more > 0").agg({"more": "sum"}).first()[0] > 98_000
+    got = fingerprints(df, 20_000)
+    assert got.count() == 101_000
+    hot = got.where("doc_id is null").groupBy("near_next", "edited_sha256").count().collect()
+    assert sorted(r["count"] for r in hot) == [1, 99_999] and max(r.near_next for r in hot) == 1.0
+
+
 def test_small_tables(spark):
     assert fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     (r,) = fingerprints(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).collect()
