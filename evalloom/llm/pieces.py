@@ -16,7 +16,8 @@ from those of merging, which no sum of scores gives.
 Cases: null text has null pieces, empty text none; texts are encoded whole; of
 segmentations with one sum the one whose last piece is shortest; repeated rows are
 encoded each;
-extra columns are not read, and an empty table gives an empty result.
+extra columns are not read, and an empty table gives an empty result. In decoding, ids
+that the model does not have give nothing, and bytes that are no whole character U+FFFD.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words kept with their pieces between batches of a task.
 CACHE = 200_000
+#: So few words of one length from LONG characters on are gone through one by one.
+FEW, LONG = 8, 64
 #: Shift of the ranks of a merge model in the law of its log-probabilities.
 MANDELBROT = 50.0
 
@@ -169,7 +172,10 @@ class Pieces:
                 hit = keys[at] == roll
                 if hit.any():
                     found[size] = (np.where(hit, scores[at], -np.inf), np.where(hit, ids[at], -1))
-        for end in range(1, n + 1):
+        if rows < FEW and n >= LONG:
+            for row in range(rows):
+                self._one_long(n, row, found, best, back, piece)
+        for end in range(1, n + 1) if not (rows < FEW and n >= LONG) else ():
             best[:, end] = best[:, end - 1] + self.unknown_score
             if 1 in found:
                 score, ids = found[1][0][:, end - 1], found[1][1][:, end - 1]
@@ -197,6 +203,31 @@ class Pieces:
             out.append(tuple(ids))
         return out
 
+    def _one_long(self, n: int, row: int, found: dict, best: np.ndarray, back: np.ndarray, piece: np.ndarray) -> None:
+        """The same maxima for a long word without others of its length: from the pieces found, in order of their ends."""
+        starts, sizes, scores, ids = [], [], [], []
+        for size, (score, i) in sorted(found.items()):
+            at = np.flatnonzero(i[row] >= 0)
+            starts.append(at)
+            sizes.append(np.full(len(at), size))
+            scores.append(score[row, at])
+            ids.append(i[row, at])
+        join = lambda x: np.concatenate([np.empty(0, dtype=np.int64), *x])
+        end = join(starts) + join(sizes)
+        order = np.argsort(end, kind="stable")  # and by size, as they are
+        cuts = np.searchsorted(end[order], np.arange(1, n + 2)).tolist()
+        sizes, scores, ids = (join(x)[order].tolist() for x in (sizes, scores, ids))
+        sums, length, chosen = [0.0] * (n + 1), [1] * (n + 1), [-1] * (n + 1)
+        for e in range(1, n + 1):
+            top = sums[e - 1] + self.unknown_score
+            for k in range(cuts[e - 1], cuts[e]):
+                size = int(sizes[k])
+                total = sums[e - size] + scores[k]
+                if total > top or size == 1:  # an unknown character only where no piece is the character
+                    top, length[e], chosen[e] = total, size, int(ids[k])
+            sums[e] = top
+        best[row], back[row], piece[row] = sums, length, chosen
+
     def _walk(self, word: str, back: np.ndarray, piece: np.ndarray, row: int) -> list[int]:
         """One word's pieces, with bytes where none covers a character or a hash was another string's."""
         ids, end = [], len(word)
@@ -253,7 +284,13 @@ class Pieces:
         return [None if s is None else np.array(list(chain.from_iterable(map(have.__getitem__, s))), dtype=np.int32) for s in split]
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.shown.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "surrogatepass")
+        """The text of ids: those that are none of the model's give nothing, bytes that are no whole character U+FFFD."""
+        n = len(self.shown)
+        raw = b"".join([self.shown[i] for i in np.asarray(ids, dtype=np.int64).tolist() if 0 <= i < n])
+        try:
+            text = raw.decode("utf-8", "surrogatepass")
+        except UnicodeDecodeError:
+            text = raw.decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 

@@ -44,6 +44,28 @@ def test_best_sum_against_brute_force(pieces):
         assert total(pieces, got) == total(pieces, want), w
 
 
+def test_long_words_against_brute_force(pieces):
+    rng = random.Random(14)
+    words = ["".join(rng.choice("thaeinosr.é梦x0") for _ in range(n)) for n in (63, 64, 65, 65, 200, 333)] + ["x" * 500, "日" * 300]
+    for w, got in zip(words, pieces.segment(words)):
+        assert list(got) == brute(pieces, w)[1], w
+
+
+def test_unspaced_text_in_linear_time(pieces):
+    import time
+
+    for t in ("x" * 200_000, "日本語の文章が続く" * 20_000):
+        began = time.process_time()
+        ids = pieces.encode([t])[0]
+        assert time.process_time() - began < 5 and pieces.decode(ids) == t
+        pieces.cache.clear()
+
+
+def test_decode_of_any_ids(pieces):
+    e = pieces._bytes("é")
+    assert pieces.decode([-1, 10**6, 2**31 - 1]) == "" and pieces.decode(e[:1]) == "\ufffd" and pieces.decode([*e, -5]) == "é" and pieces.decode([]) == ""
+
+
 def test_same_sums_as_the_library_with_the_same_pieces(pieces):
     sp = pytest.importorskip("sentencepiece")
 
