@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions import dist
-from evalloom.operators.pairs import EPS, delta_histogram, effect_sizes, mcnemar_counts, paired_deltas, with_scopes
+from evalloom.operators.pairs import EPS, balance_check, delta_histogram, effect_sizes, mcnemar_counts, pair_conditions, paired_deltas, pairing_rate, with_scopes
 from evalloom.operators.resample import bootstrap_histogram, permutation_exact
 from evalloom.sources.shared import stored
 
@@ -258,3 +258,16 @@ def significance(pairs: DataFrame, replicates: int = 5000, seed: int = 1337, mar
     for prefix, column in (("w|", "q_wilcoxon"), ("m|", "q_mcnemar")):
         out = out.join(q.select(F.col("test").alias("t"), F.col("q").alias(column)), F.concat(F.lit(prefix), name) == F.col("t"), "left").drop("t")
     return out
+
+
+def significance_report(per_item: DataFrame, **options) -> DataFrame:
+    """significance of the pairs of per_item, and on each row how the rows were balanced and paired.
+
+    n_control, n_treatment, ratio and severity (balance_check), n_rows, n_items, n_pairs_all,
+    pairing_rate (pairs an item), pairing_rate_rows and low_pairing: fewer than half as many pairs as the rows could make.
+    """
+    per_item = stored(per_item, "peritem")
+    pairs = pair_conditions(per_item)
+    paired = pairing_rate(per_item, pairs).withColumnsRenamed({"n_pairs": "n_pairs_all", "rate": "pairing_rate", "rate_rows": "pairing_rate_rows"})
+    design = F.broadcast(balance_check(per_item).crossJoin(F.broadcast(paired)))  # one row
+    return significance(pairs, **options).crossJoin(design).withColumn("low_pairing", F.col("pairing_rate_rows") < 0.25)

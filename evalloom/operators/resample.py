@@ -25,34 +25,42 @@ from pyspark.sql.types import StructType
 POISSON = [sum(exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)[: k + 1]) for k in range(8)]
 
 
-def _weights(items: list[str], replicates: int, seed: int, table: np.ndarray) -> np.ndarray:
-    """A row of table entries for each item: 16 bits of md5(seed|replicate // 8|item), the (replicate % 8)th of its eight."""
-    heads = [f"{seed}|{g}|".encode() for g in range(-(-replicates // 8))]
-    digests = b"".join(hashlib.md5(h + i).digest() for i in (x.encode("utf-8", "surrogatepass") for x in items) for h in heads)
-    return table[np.frombuffer(digests, dtype=">u2").reshape(len(items), -1)[:, :replicates]]
+# Fixed values of the draws: a step from one replicate to the next and two odd factors that scramble 32 bits.
+STEP, FACTORS = 2654435769, (2146121005, 2221713035)
+
+
+def _weights(first: np.ndarray, second: np.ndarray, replicates: int, table: np.ndarray) -> np.ndarray:
+    """A row of table entries for each item, from two 32-bit halves of its hash: 16 scrambled bits for each replicate."""
+    x = (first.astype(np.uint32)[:, None] + np.arange(replicates, dtype=np.uint32) * np.uint32(STEP)) ^ second.astype(np.uint32)[:, None]
+    for shift, factor in zip((16, 15), FACTORS):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    x ^= x >> np.uint32(16)
+    return table[x >> np.uint32(16)]
 
 
 def _keyed(deltas: DataFrame, replicates: int, seed: int, keys: tuple[str, ...], table: np.ndarray) -> DataFrame:
     """(keys, r, n, total, w, wd): per replicate the rows, their sum, and the sums of weights and of weighted deltas.
 
-    A task adds up its own rows, item by item once for all groups, and gives a row for each group and replicate.
+    An item is hashed once, with the seed, by Spark; its replicates follow from the hash. A
+    task adds up its own rows in blocks, each item once for all groups, and gives a row for
+    each group and replicate.
     """
 
     def added(batches):
         sums: dict[tuple, list] = {}
         for b in batches:
-            names, items = [b[k].to_pylist() for k in keys], b["item_key"].to_pylist()
-            d = b["delta"].to_numpy(zero_copy_only=False)
-            for s in range(0, len(items), 500):  # bounds the matrix of weights
-                at = {x: i for i, x in enumerate(dict.fromkeys(items[s : s + 500]))}
-                w = _weights(list(at), replicates, seed, table)
-                row = np.array([at[x] for x in items[s : s + 500]])
-                groups: dict[tuple, list[int]] = {}
-                for i, g in enumerate(zip(*(n[s : s + 500] for n in names))):
-                    groups.setdefault(g, []).append(i)
-                for g, places in groups.items():
+            p = b.to_pandas()
+            group = p.groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(p), dtype=np.int64)
+            names = {int(g): tuple(b[k][i].as_py() for k in keys) for g, i in zip(*np.unique(group, return_index=True))}
+            item, d = p["h1"].to_numpy() << 32 | p["h2"].to_numpy(), p["delta"].to_numpy()
+            for s in range(0, len(p), 500):  # bounds the matrix of weights
+                one, row = np.unique(item[s : s + 500], return_inverse=True)
+                w = _weights(one >> 32 & 0xFFFFFFFF, one & 0xFFFFFFFF, replicates, table)
+                for g in np.unique(group[s : s + 500]).tolist():
+                    places = np.flatnonzero(group[s : s + 500] == g)
                     own, x = w[row[places]], d[s : s + 500][places]
-                    held = sums.setdefault(g, [0, 0.0, np.zeros(replicates), np.zeros(replicates)])
+                    held = sums.setdefault(names[g], [0, 0.0, np.zeros(replicates), np.zeros(replicates)])
                     held[0] += len(x)
                     held[1] += float(x.sum())
                     held[2] += own.sum(0)
@@ -70,7 +78,9 @@ def _keyed(deltas: DataFrame, replicates: int, seed: int, keys: tuple[str, ...],
         for p in added(batches):
             yield pa.RecordBatch.from_pandas(p, schema=schema, preserve_index=False)
 
-    rows = deltas.select(*keys, F.col("item_key").cast("string").alias("item_key"), F.col("delta").cast("double").alias("delta")).where("item_key is not null and delta is not null")
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("item_key").cast("string")))
+    half = lambda i: F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long")
+    rows = deltas.where("item_key is not null and delta is not null").select(*keys, half(0).alias("h1"), half(1).alias("h2"), F.col("delta").cast("double").alias("delta"))
     kinds = ", ".join([*([_type_of(deltas, keys)] if keys else []), "r int, n long, total double, w double, wd double"])
     schema = to_arrow_schema(StructType.fromDDL(kinds))
     parts = rows.mapInArrow(run, kinds)

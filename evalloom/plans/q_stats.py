@@ -122,8 +122,10 @@ def _(spark, sf_dir):
 #: Draws for each metric, of both forms.
 REPLICATES = 5000
 _CUTS = "CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(resample.POISSON)) + f" ELSE {len(resample.POISSON)} END"
-_KEYED = f"""{W}, h AS (SELECT item_key, g, md5('2025|' || g || '|' || item_key) AS h FROM (SELECT DISTINCT item_key FROM deltas), (SELECT unnest(range(0, {-(-REPLICATES // 8)})) AS g)),
-u AS (SELECT item_key, g * 8 + k AS r, ('0x' || substr(h, 4 * k + 1, 4))::INTEGER / 65536.0::DOUBLE AS u FROM h, (SELECT unnest(range(0, 8))::INTEGER AS k) WHERE g * 8 + k < {REPLICATES})"""
+_SCRAMBLE = "xor(x, x >> {0}) * {1} % 4294967296"
+_KEYED = f"""{W}, h AS (SELECT item_key, ('0x' || substr(m, 1, 8))::UBIGINT AS a, ('0x' || substr(m, 9, 8))::UBIGINT AS b FROM (SELECT DISTINCT item_key, md5('2025|' || item_key) AS m FROM deltas)),
+x0 AS (SELECT item_key, r, xor((a + r * {resample.STEP}) % 4294967296, b) AS x FROM h, (SELECT unnest(range(0, {REPLICATES}))::UBIGINT AS r)), x1 AS (SELECT item_key, r, {_SCRAMBLE.format(16, resample.FACTORS[0])} AS x FROM x0),
+x2 AS (SELECT item_key, r, {_SCRAMBLE.format(15, resample.FACTORS[1])} AS x FROM x1), u AS (SELECT item_key, r, (xor(x, x >> 16) >> 16)::INTEGER / 65536.0::DOUBLE AS u FROM x2)"""
 
 
 def _em(spark, sf_dir):
@@ -315,13 +317,22 @@ rp AS (""" + " UNION ALL ".join(f"SELECT temp, type, scope, '{n}' AS side, thres
 ar AS (SELECT temp, type, scope, 'em' AS metric, side, CASE WHEN count(*) > 1 THEN sum(area) END AS aurc FROM (SELECT *, (coverage - lag(coverage) OVER v) * (risk + lag(risk) OVER v) / 2 AS area FROM rp WINDOW v AS (PARTITION BY temp, type, scope, side ORDER BY coverage, threshold)) GROUP BY ALL)"""
 
 
-@query("q_significance_exact", f"""{_SIG} SELECT e.temp, e.type, e.scope, e.metric, e.n, round(e.mean, 9) AS mean, round(e.cohens_d, 8) AS cohens_d, round(coalesce(wx.w, 0), 3) AS w, mp.n_pairs, mp.b, mp.c, round((mp.b + 0.5) / (mp.c + 0.5), 8) AS odds_ratio, round(mp.p, 7) AS p_mcnemar,
-  round(ac.aurc, 8) AS aurc_control, round(ax.aurc, 8) AS aurc_treatment
-FROM e LEFT JOIN wx USING (temp, type, scope, metric) LEFT JOIN mp USING (temp, type, scope, metric) LEFT JOIN (SELECT * FROM ar WHERE side = 'control') ac USING (temp, type, scope, metric) LEFT JOIN (SELECT * FROM ar WHERE side = 'treatment') ax USING (temp, type, scope, metric)""")
+_DESIGN = """ze AS (SELECT count(*) FILTER (condition = 'control') AS n_control, count(*) FILTER (condition = 'treatment') AS n_treatment, count(*) AS n_rows, count(DISTINCT (item_key, type, temp)) AS n_items FROM per_item),
+zp AS (SELECT count(*) AS n_pairs_all FROM pairs), hh AS (SELECT temp, type, scope, metric, delta, count(*) AS c FROM d GROUP BY ALL), hn AS (SELECT temp, type, scope, metric, sum(c) AS n FROM hh GROUP BY ALL),
+hv AS (SELECT a.temp, a.type, a.scope, a.metric, (a.delta + b.delta) / 2 AS v, CASE WHEN a.delta = b.delta THEN a.c * (a.c + 1) / 2 ELSE a.c * b.c END AS w FROM hh a JOIN hh b USING (temp, type, scope, metric) JOIN hn USING (temp, type, scope, metric) WHERE a.delta <= b.delta AND n <= 2000
+  UNION ALL SELECT temp, type, scope, metric, delta, c FROM hh JOIN hn USING (temp, type, scope, metric) WHERE n > 2000),
+hu AS (SELECT *, sum(w) OVER (PARTITION BY temp, type, scope, metric ORDER BY v) AS upto, sum(w) OVER (PARTITION BY temp, type, scope, metric) AS total FROM hv),
+hl AS (SELECT temp, type, scope, metric, (min(v) FILTER (upto >= floor((total + 1) / 2)) + min(v) FILTER (upto >= floor(total / 2) + 1)) / 2 AS hl FROM hu GROUP BY ALL)"""
+
+
+@query("q_significance_exact", f"""{_SIG}, {_DESIGN} SELECT e.temp, e.type, e.scope, e.metric, e.n, round(e.mean, 9) AS mean, round(e.cohens_d, 8) AS cohens_d, round(coalesce(wx.w, 0), 3) AS w, mp.n_pairs, mp.b, mp.c, round((mp.b + 0.5) / (mp.c + 0.5), 8) AS odds_ratio, round(mp.p, 7) AS p_mcnemar,
+  round(ac.aurc, 8) AS aurc_control, round(ax.aurc, 8) AS aurc_treatment, round(hl.hl, 9) + 0.0 AS hl,
+  ze.n_control, ze.n_treatment, round(greatest(ze.n_control, ze.n_treatment) / least(ze.n_control, ze.n_treatment), 9) AS ratio, ze.n_rows, ze.n_items, zp.n_pairs_all, round(zp.n_pairs_all / ze.n_items, 9) AS pairing_rate, zp.n_pairs_all / ze.n_rows < 0.25 AS low_pairing
+FROM e JOIN hl USING (temp, type, scope, metric) CROSS JOIN ze CROSS JOIN zp LEFT JOIN wx USING (temp, type, scope, metric) LEFT JOIN mp USING (temp, type, scope, metric) LEFT JOIN (SELECT * FROM ar WHERE side = 'control') ac USING (temp, type, scope, metric) LEFT JOIN (SELECT * FROM ar WHERE side = 'treatment') ax USING (temp, type, scope, metric)""")
 def _(spark, sf_dir):
     """What of the report no draw decides."""
-    s = infer.significance(_pairs(spark, sf_dir), replicates=100)
-    s = s.select("temp", "type", "scope", "metric", "n", "mean", "cohens_d", "w", "n_pairs", "b", "c", "odds_ratio", "p_mcnemar", F.col("control_aurc").alias("aurc_control"), F.col("treatment_aurc").alias("aurc_treatment"))
+    s = infer.significance_report(_per_item(spark, sf_dir), replicates=100).withColumn("hl", F.round("hl", 9) + 0.0)
+    s = _rounded(s, "ratio", "pairing_rate").select("temp", "type", "scope", "metric", "hl", "n_control", "n_treatment", "ratio", "n_rows", "n_items", "n_pairs_all", "pairing_rate", "low_pairing", "n", "mean", "cohens_d", "w", "n_pairs", "b", "c", "odds_ratio", "p_mcnemar", F.col("control_aurc").alias("aurc_control"), F.col("treatment_aurc").alias("aurc_treatment"))
     s = _rounded(_rounded(s, "mean"), "cohens_d", "odds_ratio", "aurc_control", "aurc_treatment", digits=8)
     return _rounded(_rounded(s, "w", digits=3), "p_mcnemar", digits=7)
 
