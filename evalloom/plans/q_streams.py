@@ -34,7 +34,7 @@ def _(spark, sf_dir):
     parts = shared_path(spark, "parts")
     t = lines(spark, sf_dir)
     stub = F.to_json(F.struct(F.col("cid").alias("custom_id"), F.struct(F.lit("late").alias("message")).alias("error")))
-    ids = _turns(spark, sf_dir)
+    ids = _turns(spark, sf_dir).where("conv_id % 13 <> 0")
     stubs = lambda k: ids.where(f"conv_id % 5 = {k} and conv_id % 7 <> 0").select(stub.alias("value"))
     of = lambda name: t.where(F.col("file") == name).select(F.col("line").alias("value"))
     for i, part in enumerate((stubs(2), of("a.jsonl"), of("b.jsonl"), stubs(3))):
