@@ -266,7 +266,7 @@ def significance_report(per_item: DataFrame, **options) -> DataFrame:
     n_control, n_treatment, ratio and severity (balance_check), n_rows, n_items, n_pairs_all,
     pairing_rate (pairs an item), pairing_rate_rows and low_pairing: fewer than half as many pairs as the rows could make.
     """
-    per_item = stored(per_item, "peritem")
+    per_item = stored(per_item, "peritem", by="item_key")
     pairs = pair_conditions(per_item)
     paired = pairing_rate(per_item, pairs).withColumnsRenamed({"n_pairs": "n_pairs_all", "rate": "pairing_rate", "rate_rows": "pairing_rate_rows"})
     design = F.broadcast(balance_check(per_item).crossJoin(F.broadcast(paired)))  # one row

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from evalloom.functions import text as T
 
 
+def by_item(rows: DataFrame) -> DataFrame:
+    """Rows dealt by item_key, once: telling copies apart, means over replicates and pairing all group by it and more, and need no further exchange."""
+    return rows.repartition("item_key")
+
+
 def truth_tokens(truths: Column) -> Column:
     """Each truth's normalised tokens and their bag; one empty truth where there are none."""
     one = lambda t: T.once(T.normal_tokens(t), lambda x: F.struct(x.alias("tokens"), T.bag(x).alias("bag")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evalloom.operators.score import by_item
+
 WORDS = r"[ \n\t]+"
 
 
@@ -36,9 +38,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scored prediction for each custom_id."""
     raw = table(spark, sf_dir, "lineitem").selectExpr(*_split_fields("string"))
     raw = raw.withColumn("custom_id", F.concat_ws("|", "dataset", "item_id", "condition", "temp_s", "sample_index", "type"))
-    first = F.row_number().over(Window.partitionBy("custom_id").orderBy(*_ORDER.split(", ")))
-    scored = raw.withColumn("n", first).where("n = 1").drop("n")
-    return scored.withColumn("temp", F.col("temp_s").cast("double")).withColumn("item_key", F.concat_ws("|", "dataset", "item_id"))
+    raw = by_item(raw.withColumn("item_key", F.concat_ws("|", "dataset", "item_id")))
+    first = F.row_number().over(Window.partitionBy("item_key", "custom_id").orderBy(*_ORDER.split(", ")))
+    return raw.withColumn("n", first).where("n = 1").drop("n").withColumn("temp", F.col("temp_s").cast("double"))
 
 
 def _split_fields(string: str) -> list[str]:

@@ -19,8 +19,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/evalloom-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written there and read again."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written there and read again.
+
+    by: a column that rows are dealt by, to as many buckets as shuffles have partitions; what
+    groups or joins by it (and more) reads the table without an exchange.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    if not by:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    table = f"evalloom_{name}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, by).write.bucketBy(parts, by).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the catalog forgets the name; the files stay
+    return out

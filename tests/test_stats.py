@@ -202,3 +202,23 @@ def test_walsh_median_against_all_pairs():
         i, j = np.triu_indices(n)
         v, c = np.unique(x, return_counts=True)
         assert abs(walsh_median(v, c) - np.median((x[i] + x[j]) / 2)) < 1e-12
+
+
+def test_one_exchange_from_predictions_to_pairs(spark):
+    from evalloom.operators import pairs, score
+    from evalloom.sources.shared import stored
+
+    rows = [(f"a|{i % 40}", "open", ("control", "treatment")[i % 2], 0.0, i // 80, float(i % 3 == 0)) for i in range(400)]
+    p = spark.createDataFrame(rows, "item_key string, type string, condition string, temp double, sample_index int, em double")
+    p = p.selectExpr("*", "em AS f1", "em AS abstained", "em AS false_answer", "em AS unsupported")
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    dealt = pairs.pair_conditions(score.aggregate_replicates(score.by_item(p)))
+    assert exchanges(dealt) == 1
+    kept = stored(score.aggregate_replicates(score.by_item(p)), "peritem", by="item_key")
+    read = pairs.pair_conditions(kept)
+    assert exchanges(read) == 0
+    plain = pairs.pair_conditions(score.aggregate_replicates(p))
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, read.collect())) == sorted(map(str, plain.collect()))
