@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from evalloom.functions import text as T
 from evalloom.operators.pairs import delta_histogram
-from evalloom.operators.resample import bootstrap_histogram
+from evalloom.operators.resample import bootstrap_histogram, bootstrap_keyed
 from evalloom.operators.score import with_inputs
+from evalloom.sources.shared import stored
 
 
 def unsupported_sensitivity(predictions: DataFrame, items: DataFrame, thresholds: list[float], strategy: str = "baseline", min_overlap: float = 0.6) -> DataFrame:
@@ -30,11 +31,19 @@ def unsupported_sensitivity(predictions: DataFrame, items: DataFrame, thresholds
     return g.where("c is not null and t is not null").select("item_key", "temp", "threshold", (F.col("t") - F.col("c")).alias("delta"))
 
 
-def sensitivity_summary(deltas: DataFrame, replicates: int = 5000, seed: int = 1337, alpha: float = 0.05) -> DataFrame:
-    """Pairs, mean delta and its bootstrap interval for each temp and threshold."""
+def sensitivity_summary(deltas: DataFrame, replicates: int = 5000, seed: int = 1337, alpha: float = 0.05, keyed: bool = False) -> DataFrame:
+    """Pairs, mean delta and its bootstrap interval for each temp and threshold.
+
+    keyed: draws from a hash of seed and item, the same in any engine; else over the histogram.
+    """
     keys = ("temp", "threshold")
+    if keyed:
+        deltas = stored(deltas, "sensitivity")
     h = delta_histogram(deltas, *keys)
     n = F.sum("cnt")
+    if keyed:
+        mean = h.groupBy(*keys).agg(n.alias("n"), (F.sum(F.col("delta") * F.col("cnt")) / n).alias("mean"))
+        return mean.join(bootstrap_keyed(deltas, replicates, seed, alpha, *keys), list(keys))
     return h.groupBy(*keys).agg(n.alias("n"), (F.sum(F.col("delta") * F.col("cnt")) / n).alias("mean")).join(bootstrap_histogram(h, replicates, seed, alpha, *keys), list(keys))
 
 

@@ -123,22 +123,29 @@ def _(spark, sf_dir):
 REPLICATES = 5000
 _CUTS = "CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(resample.POISSON)) + f" ELSE {len(resample.POISSON)} END"
 _SCRAMBLE = "xor(x, x >> {0}) * {1} % 4294967296"
-_KEYED = f"""{W}, h AS (SELECT item_key, ('0x' || substr(m, 1, 8))::UBIGINT AS a, ('0x' || substr(m, 9, 8))::UBIGINT AS b FROM (SELECT DISTINCT item_key, md5('2025|' || item_key) AS m FROM deltas)),
-x0 AS (SELECT item_key, r, xor((a + r * {resample.STEP}) % 4294967296, b) AS x FROM h, (SELECT unnest(range(0, {REPLICATES}))::UBIGINT AS r)), x1 AS (SELECT item_key, r, {_SCRAMBLE.format(16, resample.FACTORS[0])} AS x FROM x0),
-x2 AS (SELECT item_key, r, {_SCRAMBLE.format(15, resample.FACTORS[1])} AS x FROM x1), u AS (SELECT item_key, r, (xor(x, x >> 16) >> 16)::INTEGER / 65536.0::DOUBLE AS u FROM x2)"""
+
+
+def keyed_sql(relation: str, seed: int) -> str:
+    """ku (item_key, r, u): the keyed draws of the items of a relation."""
+    return f"""kh AS (SELECT item_key, ('0x' || substr(m, 1, 8))::UBIGINT AS a, ('0x' || substr(m, 9, 8))::UBIGINT AS b FROM (SELECT DISTINCT item_key, md5('{seed}|' || item_key) AS m FROM {relation})),
+k0 AS (SELECT item_key, r, xor((a + r * {resample.STEP}) % 4294967296, b) AS x FROM kh, (SELECT unnest(range(0, {REPLICATES}))::UBIGINT AS r)), k1 AS (SELECT item_key, r, {_SCRAMBLE.format(16, resample.FACTORS[0])} AS x FROM k0),
+k2 AS (SELECT item_key, r, {_SCRAMBLE.format(15, resample.FACTORS[1])} AS x FROM k1), ku AS (SELECT item_key, r, (xor(x, x >> 16) >> 16)::INTEGER / 65536.0::DOUBLE AS u FROM k2)"""
+
+
+_KEYED = f"{W}, {keyed_sql('deltas', 2025)}"
 
 
 def _em(spark, sf_dir):
     return _deltas(spark, sf_dir).where("metric = 'em'")
 
 
-@query("q_bootstrap_keyed", f"""{_KEYED}, v AS (SELECT item_key, r, {_CUTS} AS w FROM u), m AS (SELECT temp, type, metric, r, sum(w * delta) / sum(w) AS m FROM deltas JOIN v USING (item_key) GROUP BY ALL)
+@query("q_bootstrap_keyed", f"""{_KEYED}, v AS (SELECT item_key, r, {_CUTS} AS w FROM ku), m AS (SELECT temp, type, metric, r, sum(w * delta) / sum(w) AS m FROM deltas JOIN v USING (item_key) GROUP BY ALL)
 SELECT temp, type, metric, round(quantile_cont(m, 0.025), 8) AS ci_low, round(quantile_cont(m, 0.975), 8) AS ci_high FROM m GROUP BY ALL""")
 def _(spark, sf_dir):
     return _rounded(resample.bootstrap_keyed(_deltas(spark, sf_dir), REPLICATES, 2025, 0.05, *KEYS), "ci_low", "ci_high", digits=8)
 
 
-@query("q_permutation_keyed", f"""{_KEYED}, v AS (SELECT item_key, r, CASE WHEN u < 0.5 THEN -1 ELSE 1 END AS w FROM u), m AS (SELECT temp, type, metric, r, avg(w * delta) AS m, avg(delta) AS obs FROM deltas JOIN v USING (item_key) GROUP BY ALL)
+@query("q_permutation_keyed", f"""{_KEYED}, v AS (SELECT item_key, r, CASE WHEN u < 0.5 THEN -1 ELSE 1 END AS w FROM ku), m AS (SELECT temp, type, metric, r, avg(w * delta) AS m, avg(delta) AS obs FROM deltas JOIN v USING (item_key) GROUP BY ALL)
 SELECT temp, type, metric, CASE WHEN abs(max(obs)) <= 1e-12 THEN 1.0 ELSE count(*) FILTER (abs(m) >= abs(obs) - 1e-12) / {REPLICATES}.0::DOUBLE END AS p FROM m GROUP BY ALL""")
 def _(spark, sf_dir):
     return resample.permutation_keyed(_deltas(spark, sf_dir), REPLICATES, 2025, *KEYS)
@@ -342,15 +349,29 @@ def _(spark, sf_dir):
 _MARKS = [i / 10 for i in range(11)]
 
 
-@query("q_sensitivity", f"""{_SCORES}, b AS (SELECT item_key, temp, condition, (np = '')::INTEGER AS gone, (NOT (np <> '' AND contains(coalesce({norm("context")}, ''), np)))::INTEGER AS bad FROM u WHERE type = 'open'),
+_SENSITIVE = f"""{_SCORES}, b AS (SELECT item_key, temp, condition, (np = '')::INTEGER AS gone, (NOT (np <> '' AND contains(coalesce({norm("context")}, ''), np)))::INTEGER AS bad FROM u WHERE type = 'open'),
 i AS (SELECT item_key, temp, threshold, avg(CASE WHEN gone >= threshold THEN 0 ELSE bad END) FILTER (condition = 'control') AS c, avg(CASE WHEN gone >= threshold THEN 0 ELSE bad END) FILTER (condition = 'treatment') AS t
-  FROM b, (SELECT unnest({_MARKS})::DOUBLE AS threshold) GROUP BY ALL)
-SELECT temp, threshold, count(*) AS n, round(avg(t - c), 9) AS mean FROM i WHERE c IS NOT NULL AND t IS NOT NULL GROUP BY temp, threshold""")
+  FROM b, (SELECT unnest({_MARKS})::DOUBLE AS threshold) GROUP BY ALL)"""
+
+
+@query("q_sensitivity", f"""{_SENSITIVE} SELECT temp, threshold, count(*) AS n, round(avg(t - c), 9) AS mean FROM i WHERE c IS NOT NULL AND t IS NOT NULL GROUP BY temp, threshold""")
 def _(spark, sf_dir):
     items = X.text_items(spark, sf_dir)
     return _rounded(power.sensitivity_summary(power.unsupported_sensitivity(X.text_predictions(items), items, _MARKS), 100).drop("ci_low", "ci_high"), "mean")
 
 
+@query("q_sensitivity_keyed", f"""{_SENSITIVE}, sd AS (SELECT item_key, temp, threshold, t - c AS delta FROM i WHERE c IS NOT NULL AND t IS NOT NULL), {keyed_sql("sd", 1337)},
+v AS (SELECT item_key, r, {_CUTS} AS w FROM ku), m AS (SELECT temp, threshold, r, sum(w * delta) / sum(w) AS m FROM sd JOIN v USING (item_key) GROUP BY ALL HAVING sum(w) > 0),
+ci AS (SELECT temp, threshold, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY ALL)
+SELECT temp, threshold, count(*) AS n, round(avg(delta), 9) AS mean, round(any_value(lo), 8) + 0.0 AS ci_low, round(any_value(hi), 8) + 0.0 AS ci_high FROM sd JOIN ci USING (temp, threshold) GROUP BY temp, threshold""")
+def _(spark, sf_dir):
+    """Limits from keyed draws, which any engine gives alike."""
+    items = X.text_items(spark, sf_dir)
+    d = power.unsupported_sensitivity(X.text_predictions(items), items, _MARKS)
+    s = power.sensitivity_summary(d, REPLICATES, 1337, keyed=True)
+    return _rounded(s, "mean").withColumns({c: F.round(c, 8) + 0.0 for c in ("ci_low", "ci_high")})
+
+
 @query("q_sensitivity_limits")
 def _(spark, sf_dir):
     items = X.text_items(spark, sf_dir)
