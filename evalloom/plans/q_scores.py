@@ -8,6 +8,7 @@ from evalloom.functions import text as T
 from evalloom.operators import score
 from evalloom.plans import fixtures as X
 from evalloom.plans.base import query
+from evalloom.sources.shared import stored
 
 _SPACE = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _PUNCT = T.PUNCTUATION.replace("'", "''")
@@ -144,32 +145,69 @@ def _(spark, sf_dir):
 @query("q_grounded_benchmark", f"""WITH d AS (SELECT doc_id, {norm("text")} AS n FROM documents), b AS (SELECT item_id, {norm("text")} AS n FROM benchmark)
 SELECT doc_id, item_id FROM d JOIN b ON b.n <> '' AND contains(d.n, b.n)""")
 def _(spark, sf_dir):
-    """Which benchmark texts stand in which documents: candidates share the rarest-looking token, then the exact test."""
-    d = X.table(spark, sf_dir, "documents").select("doc_id", T.normal_tokens(F.col("text")).alias("t"))
+    """Which benchmark texts stand in which documents: candidates share a run of up to three whole words, then the exact test.
+
+    Documents are normalised once for the runs; of the texts only candidates' are read again.
+    """
+    d = X.table(spark, sf_dir, "documents").select("doc_id", "text")
     b = X.table(spark, sf_dir, "benchmark").select("item_id", T.normal_tokens(F.col("text")).alias("bt")).where("size(bt) > 0")
-    inner = F.when(F.size("bt") > 2, F.slice("bt", 2, F.size("bt") - 2)).otherwise(F.col("bt"))  # the first and last may be parts of words
-    b = b.withColumn("key", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]).withColumn("whole", F.size("bt") > 2)
-    words = d.select("doc_id", F.explode(F.array_distinct("t")).alias("key"))
-    near = words.join(b.where("whole"), "key").select("doc_id", "item_id").distinct()
-    text = F.array_join("t", " ")
-    full = near.join(d, "doc_id").join(b.select("item_id", F.array_join("bt", " ").alias("bn")), "item_id").where(F.contains(text, F.col("bn")))
-    return full.select("doc_id", "item_id").union(_short(d, words, b.where("not whole").select("item_id", "bt")))
+    b = stored(b.select("*", F.array_join("bt", " ").alias("bn"), F.size("bt").alias("n")), "texts")
+    inner = stored(b.where("n > 2").select("item_id", F.slice("bt", 2, F.col("n") - 2).alias("i")), "inner")  # the first and last may be parts of words
+    of = F.when(F.size("i") >= RUN, _runs(F.col("i"), RUN)).when(F.size("i") == 2, _runs(F.col("i"), 2)).otherwise(_runs(F.col("i"), 1))
+    keys = stored(inner.select("item_id", F.array_max(of).alias("r")).select("item_id", "r.len", "r.key"), "keys")  # the longest run looks rarest
+    lengths = [r[0] for r in keys.select("len").distinct().collect()]  # at most RUN numbers
+    near = _candidates(d, keys, lengths).union(_short(d, b.where("n < 3").select("item_id", "bt")))
+    near = stored(near.distinct(), "near")
+    found = d.join(near.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", T.normalize_answer(F.col("text")).alias("text"))
+    return near.join(found, "doc_id").join(b.select("item_id", "bn"), "item_id").where(F.contains("text", F.col("bn"))).select("doc_id", "item_id")
 
 
-def _short(d, words, b):
-    """Texts of one or two words can begin or end inside of words: different words, or pairs of neighbours, that hold one are found by a few of its characters."""
-    ends = lambda w: F.filter(F.array(*(F.when(F.length(w) >= n, F.right(w, F.lit(n))) for n in (1, 2, 3))), lambda g: g.isNotNull())
+#: Words of the runs that candidates share: fewer only where a text has fewer whole ones.
+RUN = 3
+
+
+def _runs(tokens, n):
+    """All runs of n neighbours of tokens: their letters, n, and a hash. Words are read by their places: a slice would copy the whole array each time."""
+    words = lambda i: [tokens[i + k] for k in range(n)]
+    run = lambda i: F.struct(F.length(F.concat(*words(i))).alias("letters"), F.lit(n).alias("len"), F.xxhash64(*words(i)).alias("key"))
+    return _each(tokens, n, run)
+
+
+def _each(tokens, n, of):
+    """of(place) for the start of each run of n neighbours; none of fewer tokens."""
+    return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0))), lambda i: i + n <= F.size(tokens)), of)
+
+
+def _candidates(d, keys, lengths):
+    """doc_id and item_id where a document has the run of a text."""
+    if not lengths:
+        return keys.select(F.lit(0).cast("long").alias("doc_id"), "item_id").limit(0)
+    runs = d.select("doc_id", F.explode(T.once(T.normal_tokens(F.col("text")), lambda t: F.concat(*(_runs(t, n) for n in lengths)))).alias("r"))
+    return runs.select("doc_id", "r.len", "r.key").join(keys, ["len", "key"]).select("doc_id", "item_id")
+
+
+def _short(d, b):
+    """Texts of one or two words can begin or end inside of words: different words that hold one, or end with its first, are found by a few of its characters."""
     one = b.where("size(bt) = 1").select("item_id", F.col("bt")[0].alias("w")).withColumn("g", F.left("w", F.lit(3)))
-    known = words.select("key").distinct()
-    holds = known.select("key", F.explode(F.array_distinct(F.flatten(F.array(*(F.when(F.length("key") >= n, F.transform(F.sequence(F.lit(1), F.length("key") - n + 1), lambda i, n=n: F.substring("key", i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)))))).alias("g"))
-    holds = holds.join(one, "g").where(F.contains("key", F.col("w"))).select("key", "item_id")
-    found = words.join(holds, "key").select("doc_id", "item_id").distinct()
     two = b.where("size(bt) = 2").select("item_id", F.col("bt")[0].alias("u"), F.col("bt")[1].alias("v")).withColumn("g", F.right("u", F.lit(3)))
-    last = F.greatest(F.size("t") - 1, F.lit(0))
-    near = d.select("doc_id", F.explode(F.array_distinct(F.zip_with(F.slice("t", F.lit(1), last), F.slice("t", F.lit(2), last), lambda x, y: F.struct(x.alias("x"), y.alias("y"))))).alias("p"))
-    pairs = near.select("p.x", "p.y").distinct().select("x", "y", F.explode(ends(F.col("x"))).alias("g"))
-    pairs = pairs.join(two, "g").where(F.endswith("x", F.col("u")) & F.startswith("y", F.col("v"))).select(F.struct("x", "y").alias("p"), "item_id")
-    return found.union(near.join(pairs, "p").select("doc_id", "item_id").distinct())
+    none = b.select(F.lit(0).cast("long").alias("doc_id"), "item_id").limit(0)
+    if b.isEmpty():
+        return none
+    tokens = T.normal_tokens(F.col("text"))
+    words = d.select("doc_id", F.explode(F.array_distinct(tokens)).alias("key"))
+    known = stored(words.select("key").distinct(), "known")
+    # a lambda's second parameter would be the place of its element, so the length is bound outside
+    pieces = lambda n: F.when(F.length("key") >= n, F.transform(F.sequence(F.lit(1), F.length("key") - n + 1), lambda i: F.substring("key", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    holds = known.select("key", F.explode(F.array_distinct(F.flatten(F.array(*(pieces(n) for n in (1, 2, 3)))))).alias("g"))
+    holds = holds.join(one, "g").where(F.contains("key", F.col("w"))).select("key", "item_id")
+    found = words.join(stored(holds, "holds"), "key").select("doc_id", "item_id").distinct()
+    if two.isEmpty():
+        return found
+    ends = lambda w: F.filter(F.array(*(F.when(F.length(w) >= n, F.right(w, F.lit(n))) for n in (1, 2, 3))), lambda g: g.isNotNull())
+    firsts = known.select(F.col("key").alias("x"), F.explode(ends(F.col("key"))).alias("g")).join(two, "g").where(F.endswith("x", F.col("u"))).select("x", "v", "item_id")
+    pairs = d.select("doc_id", F.explode(T.once(tokens, lambda t: F.array_distinct(_each(t, 2, lambda i: F.struct(t[i].alias("x"), t[i + 1].alias("y")))))).alias("p"))
+    pairs = pairs.select("doc_id", "p.x", "p.y").join(stored(firsts, "firsts"), "x").where(F.startswith("y", F.col("v")))
+    return found.union(pairs.select("doc_id", "item_id").distinct())
 
 
 _DOC = f"d AS (SELECT doc_id, {X._PART(1, 6)} AS head, {X._PART(3, 3)} AS a1, {X._PART(3, 2)} AS a2, text FROM documents WHERE text IS NOT NULL)"
