@@ -223,7 +223,7 @@ def _parts(spark, sf_dir):
 def _(spark, sf_dir):
     """Strings, lists of strings and blocks, strings that only look like a list, and none."""
     i, block = F.col("doc_id") % 4, lambda c: F.to_json(F.struct(F.lit("text").alias("type"), F.col(c).alias("text")))
-    quoted = F.concat(F.lit('"'), F.regexp_replace("a1", r'["\\\\]', r"\\\\$0"), F.lit('"'))
+    quoted = F.regexp_extract(F.to_json(F.array("a1")), r"(?s)^\[(.*)\]$", 1)
     listed = F.concat(F.lit("["), F.concat_ws(",", quoted, block("a2"), F.lit('{"type":"image"}'), block("head")), F.lit("]"))
     v = F.when(i == 0, F.col("text")).when(i == 1, listed).when(i == 2, F.concat(F.lit("["), "text"))
     return _parts(spark, sf_dir).select("doc_id", F.md5(T.content_to_text(v)).alias("digest"))
