@@ -77,10 +77,17 @@ def _(spark, sf_dir):
     late = e.crossJoin(ends).where(F.col("ts") < F.least(F.col("first") + F.expr("INTERVAL 1 DAY"), F.col("last") - F.expr("INTERVAL 3 HOURS"))).select("provider", "ts", (F.col("latency_ms") + 1000).alias("latency_ms"))
     end = lambda wait: ends.select(F.lit("end").alias("provider"), (F.col("last") + F.expr(f"INTERVAL {wait}")).alias("ts"), F.lit(0.0).alias("latency_ms"))
     # rows are held against the watermark of the batch before the last: one small batch lies between
-    for i, part in enumerate((e, end("1 MINUTE"), late, end("2 DAYS"))):
-        part.coalesce(1).write.parquet(f"{path}/{i}")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
-    return _shown(_to(S.stream_telemetry(stream), spark, "closed").where("provider <> 'end'"))
+    stream = spark.readStream.schema(e.schema).parquet(f"{path}/*")
+    return _shown(_phases(S.stream_telemetry(stream), spark, "closed", path, (e, end("1 MINUTE"), late, end("2 DAYS"))).where("provider <> 'end'"))
+
+
+def _phases(stream, spark, name, path, parts, conf=None, write=lambda df, p: df.write.parquet(p)):
+    """The stream's result over parts that come one after another: each is written by all tasks, and the stream goes on from where it stopped."""
+    out, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
+    for i, part in enumerate(parts):
+        write(part, f"{path}/{i}")
+        S.run_available(stream, out, state, conf=conf)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def _events(spark, sf_dir):
