@@ -20,9 +20,9 @@ def unsupported_sensitivity(predictions: DataFrame, items: DataFrame, thresholds
     An answer abstains here if it is empty after normalisation; a missing item has an empty context.
     """
     theirs, _ = with_inputs(predictions, items, strategy)
-    p = predictions.where("type = 'open'").join(items.select("type", "item_key", "context", *(c for c in theirs if c != "context")), ["type", "item_key"], "left")
+    p = predictions.where("type = 'open'").join(items.select("type", "item_key", "context", *T.input_columns([c for c in theirs if c != "context"], F.col("context"), items.columns)), ["type", "item_key"], "left")
     gone = (T.normalize_answer(F.col("response_text")) == "").cast("double")
-    bad = (~T.is_supported(F.col("response_text"), F.coalesce("context", F.lit("")), strategy, min_overlap)).cast("double")
+    bad = (~T.is_supported(F.col("response_text"), F.coalesce("context", F.lit("")), strategy, min_overlap, p.columns)).cast("double")
     p = p.select("item_key", "temp", "condition", gone.alias("gone"), bad.alias("bad"))
     p = p.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
     flag = F.when(F.col("gone") >= F.col("threshold"), 0.0).otherwise(F.col("bad"))

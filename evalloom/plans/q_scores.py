@@ -95,23 +95,27 @@ _SHARE = "CASE WHEN len(pw) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(pw, lambda
 
 
 def _open(spark, sf_dir):
-    return _joined(spark, sf_dir).where("type = 'open'")
+    """Open answers with their contexts, normalised once an item."""
+    items = X.text_items(spark, sf_dir)
+    of = items.select("type", "item_key", "context", "answers", "is_unanswerable", *T.input_columns(list(T.OF_CONTEXT), F.col("context")))
+    return X.text_predictions(items).join(of, ["type", "item_key"]).where("type = 'open'")
 
 
 @query("q_support_baseline", f"{_OPEN} SELECT type, item_key, condition, sample_index, CASE WHEN {_BASE} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS supported FROM o")
 def _(spark, sf_dir):
-    return _open(spark, sf_dir).select(*_KEY, T.support_baseline(F.col("response_text"), F.col("context")).alias("supported"))
+    return _open(spark, sf_dir).select(*_KEY, T.support_baseline(F.col("response_text"), F.col("context"), F.col("context_normal")).alias("supported"))
 
 
 @query("q_support_overlap", f"{_OPEN} SELECT type, item_key, condition, sample_index, round({_SHARE}, 9) AS overlap FROM o")
 def _(spark, sf_dir):
-    return _open(spark, sf_dir).select(*_KEY, F.round(T.support_overlap(F.col("response_text"), F.col("context")), 9).alias("overlap"))
+    return _open(spark, sf_dir).select(*_KEY, F.round(T.support_overlap(F.col("response_text"), F.col("context"), F.col("context_words")), 9).alias("overlap"))
 
 
 @query("q_unsupported", f"{_OPEN} SELECT type, item_key, condition, sample_index, CASE WHEN {abstains('np', 'fixed')} THEN 0.0::DOUBLE WHEN {_BASE} OR {_SHARE} >= 0.6 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS unsupported FROM o")
 def _(spark, sf_dir):
     abst = T.is_abstention(F.col("response_text")).cast("double")
-    return _open(spark, sf_dir).select(*_KEY, T.is_unsupported(F.col("response_text"), F.col("context"), abst, 0.5, "combined").alias("unsupported"))
+    o = _open(spark, sf_dir)
+    return o.select(*_KEY, T.is_unsupported(F.col("response_text"), F.col("context"), abst, 0.5, "combined", ready=o.columns).alias("unsupported"))
 
 
 @query("q_sweep_thresholds", f"{_OPEN} SELECT type, item_key, condition, sample_index, threshold, CASE WHEN {abstains('np', 'fixed')}::INTEGER >= threshold THEN 0.0::DOUBLE WHEN {_BASE} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS unsupported FROM o, (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS threshold)")
@@ -121,13 +125,13 @@ def _(spark, sf_dir):
     return p.select(*_KEY, "threshold", "unsupported")
 
 
-def _near_start(prediction, context, min_overlap, unanswerable):
+def _near_start(prediction, context, min_overlap, unanswerable, normal, words):
     """A strategy of one's own: the answer stands near the context's start, or half of its words anywhere if the item has no answer."""
-    early = T.once(T.normalize_answer(prediction), lambda p: (p != "") & F.contains(F.left(T.normalize_answer(context), F.lit(200)), p))
-    return early | (unanswerable & (T.support_overlap(prediction, context) >= min_overlap))
+    early = T.once(T.normalize_answer(prediction), lambda p: (p != "") & F.contains(F.left(normal, F.lit(200)), p))
+    return early | (unanswerable & (T.support_overlap(prediction, context, words) >= min_overlap))
 
 
-T.register_support("near_start", _near_start, inputs=("is_unanswerable",))
+T.register_support("near_start", _near_start, inputs=("is_unanswerable", *T.OF_CONTEXT))
 _NEAR = f"(np <> '' AND contains(left(nc, 200), np)) OR (is_unanswerable AND {_SHARE} >= 0.5)"
 
 
