@@ -166,64 +166,73 @@ def _blocks(content: Column, plain: bool) -> Column:
         return F.when(content.isNotNull(), F.array(text_block(content)))
 
     def block(x: Column) -> Column:
-        fields = F.transform_values(F.try_variant_get(x, "$", "map<string,variant>"), lambda k, v: F.when((k == "text") & (F.schema_of_variant(v) == "VOID"), F.lit("").cast("variant")).otherwise(v))
+        fields = F.transform_values(F.try_variant_get(x, "$", "map<string,variant>"), lambda k, v: F.when((k == "text") & F.is_variant_null(v), F.lit("").cast("variant")).otherwise(v))
         untyped = F.coalesce(F.try_variant_get(x, "$.type", "string"), F.lit("")) == ""
         fields = F.when(untyped, F.map_concat(typed, F.map_filter(fields, lambda k, v: k != "type"))).otherwise(fields)
-        return F.when(F.schema_of_variant(x) == "STRING", text_block(x.cast("string"))).otherwise(fields)
+        return F.coalesce(fields, F.when(F.schema_of_variant(x) == "STRING", text_block(x.cast("string"))))  # only objects have fields
 
     many = F.try_variant_get(content, "$", "array<variant>")
-    blocks = F.when(many.isNotNull(), F.filter(F.transform(many, block), lambda b: b.isNotNull())).otherwise(F.array(text_block(content.cast("string"))))
-    return F.when(F.schema_of_variant(content) != "VOID", blocks)
+    blocks = F.coalesce(F.filter(F.transform(many, block), lambda b: b.isNotNull()), F.array(text_block(content.cast("string"))))
+    return F.when(content.isNotNull() & ~F.is_variant_null(content), blocks)
 
 
-def _marked(blocks: Column, cache: dict | None) -> Column:
-    """Blocks with a cache mark on the first text block; see render_anthropic."""
-    bare = F.transform(blocks, lambda b: F.map_filter(b, lambda k, v: k != "cache_control"))
+def _marked(blocks: Column, bare: Column, first: Column, cache: dict | None) -> Column:
+    """Blocks with a cache mark on the first text block; bare: without marks, first: the place of their first text block. See render_anthropic."""
     if cache is not None and cache.get("enable_system_cache") in (False, 0, ""):
         return bare
     mark = {"type": str((cache or {}).get("type") or "ephemeral").strip() or "ephemeral"}
     if cache and cache.get("ttl"):
         mark["ttl"] = str(cache["ttl"])
     put = F.create_map(F.lit("cache_control"), F.parse_json(F.lit(json.dumps(mark))))
-    is_text = lambda b: F.coalesce(F.element_at(b, F.lit("type")).cast("string"), F.lit("text")) == "text"
-    first = F.array_position(F.transform(bare, is_text), True)
     made = F.when(first > 0, F.transform(bare, lambda b, i: F.when(i + 1 == first, F.map_concat(b, put)).otherwise(b)))
     empty = F.map_concat(F.from_json(F.lit('{"type":"text","text":""}'), "map<string,variant>"), put)
     made = F.coalesce(made, F.concat(bare, F.array(empty)))
     if cache is not None:
         return made
-    has = F.exists(blocks, lambda b: F.exists(F.map_entries(b), lambda e: (e["key"] == "cache_control") & (F.schema_of_variant(e["value"]) != "VOID")))
+    own = lambda b: F.try_element_at(b, F.lit("cache_control"))
+    has = F.exists(blocks, lambda b: own(b).isNotNull() & ~F.is_variant_null(own(b)))
     return F.when(has, blocks).otherwise(made)
 
 
 def render_anthropic(
-    requests: DataFrame, model: str, temperature: float, limits: dict[str, int] | None = None, cache: dict | None = None, top_p: float | None = None, top_k: int | None = None, metadata: dict | None = None, overrides: dict | None = None
-) -> DataFrame:
+    requests: DataFrame, model: str, temperature: float, limits: dict[str, int] | None = None, cache: dict | None = None, top_p: float | None = None, top_k: int | None = None, metadata: dict | None = None, overrides: dict | None = None,
+    caches: dict[str, dict | None] | None = None,
+) -> DataFrame:
     """requests (custom_id, messages, stop) as message-batch lines.
 
     The content of a message is a string, or a variant of a string or a list of strings
     and blocks, whose fields are kept. The first system message becomes system; later
     ones and empty messages are dropped, a blank role is a user's. cache: none marks the
     first text block of system unless a block has a mark; settings (type, ttl) put their
-    own mark in any case, and enable_system_cache = False takes all marks off. overrides
-    replace whole parameters, last of all.
+    own mark in any case, and enable_system_cache = False takes all marks off. caches:
+    several of these by name, in place of cache; a request has a line for each, named in
+    column cache, and its blocks are built once for all. overrides replace whole
+    parameters, last of all.
     """
     plain = requests.schema["messages"].dataType.elementType["content"].dataType.simpleString() == "string"
     role = lambda m: F.lower(F.trim(F.coalesce(m["role"], F.lit(""))))
     said = F.transform("messages", lambda m: F.struct(F.when(role(m) == "", "user").otherwise(role(m)).alias("role"), F.coalesce(_blocks(m["content"], plain), F.array().cast("array<map<string,variant>>")).alias("content")))
-    r = requests.where("custom_id is not null and custom_id <> ''").withColumn("_said", said)
-    r = r.withColumn("_talk", F.filter("_said", lambda m: (m["role"] != "system") & (F.size(m["content"]) > 0))).where("size(_talk) > 0")
+    # a generated column is built once a row; a plain one would be built again in the filter and wherever it is named
+    r = requests.where("custom_id is not null and custom_id <> ''").select("custom_id", "stop", F.explode(F.array(said)).alias("_said"))
+    of_talk = lambda m: (m["role"] != "system") & (F.size(m["content"]) > 0)
+    r = r.where(F.exists("_said", of_talk)).withColumn("_talk", F.filter("_said", of_talk))
     r = r.withColumn("_system", F.try_element_at(F.filter("_said", lambda m: (m["role"] == "system") & (F.size(m["content"]) > 0)), F.lit(1))["content"])
+    r = r.withColumn("_bare", F.transform("_system", lambda b: F.map_filter(b, lambda k, v: k != "cache_control")))
+    is_text = lambda b: F.coalesce(F.element_at(b, F.lit("type")).cast("string"), F.lit("text")) == "text"
+    r = r.withColumn("_first", F.array_position(F.transform("_bare", is_text), True))
+    system = lambda c: F.when(F.col("_system").isNotNull(), _marked(F.col("_system"), F.col("_bare"), F.col("_first"), c))
+    every = F.array(*(F.struct(F.lit(name).alias("cache"), system(c).alias("system")) for name, c in (caches or {"": cache}).items()))
+    r = r.select("custom_id", "stop", "_talk", F.explode(every).alias("_c")).select("custom_id", "stop", "_talk", "_c.cache", "_c.system")
     f = {"model": F.lit(model), "temperature": F.lit(float(temperature)), "messages": F.col("_talk")}
     if top_p is not None:
         f["top_p"] = F.lit(float(top_p))
     if top_k is not None:
         f["top_k"] = F.lit(int(top_k))
-    f["system"] = F.when(F.col("_system").isNotNull(), _marked(F.col("_system"), cache))
+    f["system"] = F.col("system")
     f["stop_sequences"] = F.when(F.size("stop") > 0, F.col("stop"))
     f["max_tokens"] = token_limit(kind_of(F.col("custom_id")), _limits(limits), True)
     about = F.struct(*(c.alias(k) for k, c in (_metadata(metadata) | {"orig_custom_id": F.col("custom_id")}).items()))
-    return r.select("custom_id", F.to_json(F.struct("custom_id", _overridden(f, overrides).alias("params"), about.alias("metadata"))).alias("line"))
+    return r.select("custom_id", *(["cache"] if caches else []), F.to_json(F.struct("custom_id", _overridden(f, overrides).alias("params"), about.alias("metadata"))).alias("line"))
 
 
 def safe_custom_id(requests: DataFrame, pos: str) -> DataFrame:

@@ -85,8 +85,11 @@ req AS (SELECT items.dataset, items.item_id AS id, items.type, context, temp, sa
   FROM items, plan, (SELECT unnest([0, 1, 2]) AS sample_index), (SELECT unnest(['control', 'treatment']) AS condition) WHERE sample_index < k)"""
 
 
-def _requests(spark, sf_dir):
+def _requests(spark, sf_dir, dealt=False):
+    """dealt: items without their texts to all tasks, where a request costs more than reading its item."""
     items = X.text_items(spark, sf_dir).select("dataset", F.col("item_id").alias("id"), "type", "context")
+    if dealt:
+        items = items.drop("context").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dataset", "id")
     return requests.request_matrix(items, {0.0: 1, 0.7: 3})
 
 
@@ -199,19 +202,16 @@ _MARKS = {"default": "CASE WHEN sample_index = 2 THEN '|mine' ELSE 'ephemeral|'
 
 @query("q_anthropic_blocks", f"{_REQ} " + " UNION ALL ".join(f"SELECT custom_id, '{c}' AS cache, {m} AS marks, 'Be brief: ' || condition || chr(10) || 'b' AS system, id || chr(10) || 'more' AS said, 2::BIGINT AS n_messages, 7 AS top_k, 1.0::DOUBLE AS temperature, '1' AS run FROM req" for c, m in _MARKS.items()))
 def _(spark, sf_dir):
-    r = _requests(spark, sf_dir)
+    r = _requests(spark, sf_dir, dealt=True)
     block = lambda text, mark: F.struct(text.alias("text"), F.when(mark, F.struct(F.lit("mine").alias("type"))).alias("cache_control"))
     no = F.lit(False)
     m = lambda role, content: F.to_json(F.struct(F.lit(role).alias("role"), content.alias("content")))
     system = F.array(block(F.concat(F.lit("Be brief: "), F.col("condition")), no), block(F.lit("b"), F.col("sample_index") == 2))
     messages = F.array(m("system", system), m(" ", F.array(block(F.col("id"), no), block(F.lit("more"), no))), m("assistant", F.lit(None).cast("string")), m("assistant", F.lit("ok")))
     talks = r.select("custom_id", F.from_json(F.concat(F.lit("["), F.array_join(messages, ","), F.lit("]")), "array<struct<role:string,content:variant>>").alias("messages"), F.array().cast("array<string>").alias("stop"))
-    params = "params struct<temperature:double,top_k:int,system:array<struct<type:string,text:string,cache_control:struct<type:string,ttl:string>>>,messages:array<struct<role:string,content:array<struct<text:string>>>>>, metadata struct<run:string>"
-    each = []
-    for name, cache in _CACHES.items():
-        out = requests.render_anthropic(talks, "m2", 0.5, cache=cache, top_k=7, metadata={"run": 1}, overrides={"temperature": 1.0})
-        each.append(out.select("custom_id", F.lit(name).alias("cache"), F.from_json("line", params).alias("b")))
-    p = each[0].union(each[1]).union(each[2])
+    params = "params struct<temperature:double,top_k:int,system:array<struct<text:string,cache_control:struct<type:string,ttl:string>>>,messages:array<struct<content:array<struct<text:string>>>>>, metadata struct<run:string>"
+    out = requests.render_anthropic(talks, "m2", 0.5, caches=_CACHES, top_k=7, metadata={"run": 1}, overrides={"temperature": 1.0})
+    p = out.select("custom_id", "cache", F.from_json("line", params).alias("b"))
     mark = lambda s: F.concat_ws("", s["cache_control"]["type"], s["cache_control"]["ttl"])
     texts = lambda xs: F.array_join(F.transform(xs, lambda x: x["text"]), "\n")
     return p.select("custom_id", "cache", F.array_join(F.transform("b.params.system", mark), "|").alias("marks"), texts(F.col("b.params.system")).alias("system"), texts(F.col("b.params.messages")[0]["content"]).alias("said"), F.size("b.params.messages").cast("long").alias("n_messages"), "b.params.top_k", "b.params.temperature", "b.metadata.run")
