@@ -26,20 +26,20 @@ def _to(stream, spark, name, mode="append", conf=None):
 @query("q_stream_ingest", f"""WITH {_T} SELECT cid AS custom_id, turn::INTEGER AS sample_index, CASE WHEN conv_id % 7 = 0 THEN '' ELSE text END AS response_text,
   conv_id % 7 = 0 AS failed, CASE WHEN conv_id % 7 <> 0 AND conv_id % 5 = 2 THEN 2 ELSE 1 END::BIGINT AS revision FROM t WHERE conv_id % 13 <> 0""")
 def _(spark, sf_dir):
-    """The lines are written as JSONL parts, some ids in two of them, and ingested as a stream, a file a batch.
+    """The lines are written as JSONL parts, some ids in two of them, and ingested as a stream, a part a batch.
 
     A fifth of the ids has an error stub in an earlier part, which its answer replaces, and
     another fifth one in a later part, which changes nothing.
     """
-    parts = shared_path(spark, "parts")
+    path = shared_path(spark, "parts")
     t = lines(spark, sf_dir)
     stub = F.to_json(F.struct(F.col("cid").alias("custom_id"), F.struct(F.lit("late").alias("message")).alias("error")))
     ids = _turns(spark, sf_dir).where("conv_id % 13 <> 0")
     stubs = lambda k: ids.where(f"conv_id % 5 = {k} and conv_id % 7 <> 0").select(stub.alias("value"))
     of = lambda name: t.where(F.col("file") == name).select(F.col("line").alias("value"))
-    for i, part in enumerate((stubs(2), of("a.jsonl"), of("b.jsonl"), stubs(3))):
-        part.coalesce(1).write.text(f"{parts}/{i}")
-    p = _to(S.stream_results(spark, parts, files=1, names="*.txt"), spark, "ingest", conf=S.RESULTS_CONF)
+    # a part is a folder of files, which all tasks write; its number orders its records
+    stream = S.stream_results(spark, f"{path}/*", names="*.txt", depth=r"/(\d+)/[^/]*$")
+    p = _phases(stream, spark, "ingest", path, (stubs(2), of("a.jsonl"), of("b.jsonl"), stubs(3)), S.RESULTS_CONF, lambda df, to: df.write.text(to))
     return S.latest(p).join(p.groupBy("custom_id").agg(F.max("revision").alias("revision")), "custom_id").select("custom_id", "sample_index", "response_text", F.col("failure").isNotNull().alias("failed"), "revision")
 
 
