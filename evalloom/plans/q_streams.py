@@ -39,7 +39,9 @@ def _(spark, sf_dir):
     of = lambda name: t.where(F.col("file") == name).select(F.col("line").alias("value"))
     # a part is a folder of files, which all tasks write; its number orders its records
     stream = S.stream_results(spark, f"{path}/*", names="*.txt", depth=r"/(\d+)/[^/]*$")
-    p = _phases(stream, spark, "ingest", path, (stubs(2), of("a.jsonl"), of("b.jsonl"), stubs(3)), S.RESULTS_CONF, lambda df, to: df.write.text(to))
+    # each part is a start of its own: its stores are closed when it ends, else four copies of the state lie on the executors' disks
+    conf = S.RESULTS_CONF | {"spark.sql.streaming.stateStore.unloadOnCommit": "true"}
+    p = _phases(stream, spark, "ingest", path, (stubs(2), of("a.jsonl"), of("b.jsonl"), stubs(3)), conf, lambda df, to: df.write.text(to))
     return S.latest(p).join(p.groupBy("custom_id").agg(F.max("revision").alias("revision")), "custom_id").select("custom_id", "sample_index", "response_text", F.col("failure").isNotNull().alias("failed"), "revision")
 
 
